@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import functools
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 
@@ -31,7 +32,9 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 FULL = regex.compile(PATTERN.replace(r"[^\s", rf"[^{SPACE}").replace(r"\S", rf"[^{SPACE}]").replace(r"\s", rf"[{SPACE}]"))
 ODD = re.compile("[\x1c-\x1f\x85" + "".join(re.escape(c) for c in map(chr, range(0x80, 0x10000)) if unicodedata.category(c) in ("Nl", "No", "Cn")) + "\U00010000-\U0010ffff]")
 ODD_ASCII = re.compile("[\x1c-\x1f]")
-MOST_PIECES = 300_000
+MOST_PIECES = MOST_PREFIXES = MOST_PAIRS = 300_000
+#: Longer pieces have a table of their own and are not kept.
+SHORT = 64
 
 
 def pieces(text: str) -> list[str]:
@@ -46,11 +49,16 @@ class Vocabulary:
         """listing: lines of a token in base64 and its rank."""
         self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, listing.splitlines())}
         self.token = {i: t for t, i in self.rank.items()}
-        self.suffixes = {t[k:] for t in self.rank for k in range(len(t))}
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.stable: dict[tuple[int, int], bool] = {}
+        self.edges: dict[int, list[tuple[bytes, int, int]]] = {}
+        self.stable: dict[int, bool] = {}
         self.known = Pieces(self)
 
+    @functools.cached_property
+    def suffixes(self) -> dict[bytes, int]:
+        """All suffixes of tokens, with the rank of those that are tokens and -1 for others."""
+        return dict.fromkeys((t[k:] for t in self.rank for k in range(len(t))), -1) | self.rank
+
     def split(self, t: int) -> tuple[int, int] | None:
         """The two tokens of the merge that makes ``t``; None for a single byte; (t, -1) if no merges make it."""
         if t not in self.halves:
@@ -66,13 +74,16 @@ class Vocabulary:
         half = self.split(t)
         return half is None or half[1] >= 0
 
-    def edge(self, t: int, side: int) -> list[tuple[int, int, int]]:
-        """Tokens that stand at one end of ``t`` while it is built: token, rank from which, rank until which it stands."""
-        out, until = [], 1 << 60
-        while (half := self.split(t)) is not None:
-            out.append((t, t, until))
-            t, until = half[side], t
-        return [*out, (t, -1, until)]
+    def edge(self, t: int, side: int) -> list[tuple[bytes, int, int]]:
+        """Tokens that stand at one end of ``t`` while it is built: bytes, rank from which, rank until which each stands."""
+        key = 2 * t + side
+        if key not in self.edges:
+            out, until, now = [], 1 << 60, t
+            while (half := self.split(now)) is not None:
+                out.append((self.token[now], now, until))
+                now, until = half[side], now
+            self.edges[key] = [*out, (self.token[now], -1, until)]
+        return self.edges[key]
 
     def apart(self, left: int, right: int, below: int = 1 << 60) -> bool:
         """No merge under rank ``below`` joins bytes of ``left`` and ``right`` while each is built from bytes.
@@ -80,20 +91,22 @@ class Vocabulary:
         Two tokens at the boundary merge if their merge's rank comes while both stand. Of equal ranks the
         one further left is merged first: the boundary's before the right token's own, but after the left's own.
         """
+        rank, right_edge = self.rank, self.edge(right, 0)
         for a, a_from, a_until in self.edge(left, 1):
-            for b, b_from, b_until in self.edge(right, 0):
-                both = self.rank.get(self.token[a] + self.token[b])
-                if both is not None and both < below and max(a_from, b_from) < both < a_until and both <= b_until:
+            for b, b_from, b_until in right_edge:
+                both = rank.get(a + b)
+                if both is not None and a_from < both < a_until and b_from < both <= b_until and both < below:
                     return False
         return True
 
     def can_follow(self, left: int, right: int) -> bool:
-        pair = left, right
-        if pair not in self.stable:
-            if len(self.stable) >= 1_000_000:
+        pair = left << 32 | right
+        out = self.stable.get(pair)
+        if out is None:
+            if len(self.stable) >= MOST_PAIRS:
                 self.stable.clear()
-            self.stable[pair] = self.apart(left, right)
-        return self.stable[pair]
+            out = self.stable[pair] = self.made(right) and self.apart(left, right)
+        return out
 
 
 class LastTokens:
@@ -107,12 +120,11 @@ class LastTokens:
         """Add bytes; entries of shorter prefixes stay as they are."""
         v, start = self.vocabulary, len(self.last)
         self.data += more
-        data, last, rank, suffixes = self.data, self.last, v.rank, v.suffixes
+        data, last, suffixes = self.data, self.last, v.suffixes
         for end in range(start + 1, len(data) + 1):
             begin, found = end - 1, -1
-            while begin >= 0 and (part := data[begin:end]) in suffixes:
-                t = rank.get(part)
-                if t is not None and v.made(t) and (not begin or v.can_follow(last[begin - 1], t)):
+            while begin >= 0 and (t := suffixes.get(data[begin:end])) is not None:
+                if t >= 0 and (v.can_follow(last[begin - 1], t) if begin else v.made(t)):
                     found = t
                     break
                 begin -= 1
@@ -140,18 +152,59 @@ class LastTokens:
         return out[::-1]
 
 
+class Prefixes(dict):
+    """Last token of each prefix of the short pieces seen, shared by all of them: pieces that begin alike are worked out once."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+
+    def tokens(self, data: bytes) -> list[int]:
+        v = self.vocabulary
+        suffixes, stable = v.suffixes, v.stable
+        if len(self) >= MOST_PREFIXES:
+            self.clear()
+        size = known = len(data)
+        while known and data[:known] not in self:
+            known -= 1
+        for end in range(known + 1, size + 1):
+            begin = end - 1
+            while begin >= 0:
+                t = suffixes.get(data[begin:end])
+                if t >= 0:
+                    if begin:
+                        last = self[data[:begin]]
+                        fits = stable.get(last << 32 | t)
+                        if fits is None:
+                            fits = v.can_follow(last, t)
+                    else:
+                        fits = v.made(t)
+                    if fits:
+                        self[data[:end]] = t
+                        break
+                begin -= 1
+        out, end = [], size
+        while end:
+            t = self[data[:end]]
+            out.append(t)
+            end -= len(v.token[t])
+        return out[::-1]
+
+
 class Pieces(dict):
     """Piece -> ids as little-endian 32-bit integers, kept for short pieces; forgets everything when full."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
+        self.vocabulary, self.prefixes = vocabulary, Prefixes(vocabulary)
 
     def __missing__(self, piece: str) -> bytes:
+        data = piece.encode()
+        if len(data) > SHORT:
+            return np.array(LastTokens(self.vocabulary, data).tokens(), "<u4").tobytes()
         if len(self) >= MOST_PIECES:
             self.clear()
-        out = np.array(LastTokens(self.vocabulary, piece.encode()).tokens(), "<u4").tobytes()
-        if len(piece) <= 64:
-            self[piece] = out
+        whole = self.vocabulary.rank.get(data)  # one token even where merges don't make it
+        ids = [whole] if whole is not None else self.prefixes.tokens(data)
+        self[piece] = out = struct.pack(f"<{len(ids)}I", *ids)
         return out
 
 
