@@ -1,0 +1,31 @@
+"""A Bloom filter as a table of set bits, built by aggregation and probed by join; negatives are certain."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def shape(expected: int, rate: float = 0.01) -> tuple[int, int]:
+    """Bits and hash functions for a number of keys (1,000 at least) and a false-positive rate."""
+    n = max(expected, 1000)
+    bits = math.ceil(-n * math.log(rate) / math.log(2) ** 2)
+    return bits, max(1, min(8, round(bits / n * math.log(2))))
+
+
+def positions(key: Column, bits: int, hashes: int) -> Column:
+    """Bit numbers of a key: seven hexadecimal digits of salted MD5 values each."""
+    return F.array(*[(F.conv(F.substring(F.md5(F.concat(F.lit(f"{i}|"), key)), 1, 7), 16, 10).cast("bigint") % bits) for i in range(hashes)])
+
+
+def build(keys: DataFrame, key: str, bits: int, hashes: int) -> DataFrame:
+    return keys.select(F.explode(positions(F.col(key), bits, hashes)).alias("bit")).distinct()
+
+
+def probe(filter_bits: DataFrame, asked: DataFrame, key: str, bits: int, hashes: int) -> DataFrame:
+    """(key, maybe): false means that the key is certainly absent."""
+    want = asked.select(F.col(key).alias("key")).distinct().select("key", F.explode(F.array_distinct(positions(F.col("key"), bits, hashes))).alias("bit"))
+    set_bits = filter_bits.withColumn("hit", F.lit(True))
+    return want.join(set_bits, "bit", "left").groupBy("key").agg(F.every(F.coalesce("hit", F.lit(False))).alias("maybe"))
