@@ -7,9 +7,9 @@ similarity from the population count of the XOR; pairs that could reach the thre
 sets. Confirmed links make classes by connected components.
 
 Buckets of up to ``SMALL`` nodes give all their pairs. Larger ones give one pair per node, with the bucket's
-most crowded node as pivot. A large bucket whose nodes do not all end in one class is taken up again with
-512 values in 252 bands of twelve, where every pair across classes is checked. So no candidate is dropped, and a
-dense group costs one pair per node instead of all of its pairs.
+most crowded node as pivot. The nodes of large buckets that do not end in one class are taken up again by an exact
+prefix filter over their shingles, which finds every pair across classes that can reach the threshold. So no candidate is
+dropped, and a dense group costs one pair per node instead of all of its pairs.
 
 At the threshold itself a link is missed with a chance of about 1e-6 (0.80) or 1e-9 (0.85), and less above it.
 """
@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import materialize, release, small_side
 from .components import components
@@ -33,7 +34,7 @@ from .shingles import STEP, blocks, mix, shingle_set
 #: Most nodes of a bucket that gives all its pairs.
 SMALL = 16
 #: Number of MinHash values, rows a band, permutations that deal the values to bands.
-FIRST, SECOND = (128, 5, 2), (512, 12, 6)
+FIRST = (128, 5, 2)
 SKETCH_BITS = 512
 SIGNED = "struct<n_shingles: bigint, node: binary, bands: array<bigint>, sketch: array<bigint>>"
 
@@ -92,7 +93,7 @@ def set_key(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
-def signed(texts: Iterator[pa.Array], n: int, plan: tuple[int, int, int], with_sketch: bool) -> Iterator[pa.Array]:
+def signed(texts: Iterator[pa.Array], n: int, plan: tuple[int, int, int]) -> Iterator[pa.Array]:
     for batch in texts:
         counts, keys, bands, sketches = [], [], [], []
         for some in blocks((shingle_set(t.as_py(), n) for t in batch), 16_384):
@@ -100,20 +101,20 @@ def signed(texts: Iterator[pa.Array], n: int, plan: tuple[int, int, int], with_s
             if full:
                 minima = minhashes(full, plan)
                 by_band = iter(band_keys(minima, plan))
-                by_bit = iter(odd_sketches(minima)) if with_sketch else None
+                by_bit = iter(odd_sketches(minima))
             for s in some:
                 counts.append(len(s))
                 keys.append(set_key(s) if len(s) else None)
                 bands.append(next(by_band) if len(s) else None)
-                sketches.append(next(by_bit) if with_sketch and len(s) else None)
+                sketches.append(next(by_bit) if len(s) else None)
         long_list = pa.list_(pa.int64())
         yield pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, long_list), pa.array(sketches, long_list)], ["n_shingles", "node", "bands", "sketch"])
 
 
-def signature(text: Column, n: int, plan: tuple[int, int, int], with_sketch: bool = True) -> Column:
+def signature(text: Column, n: int, plan: tuple[int, int, int]) -> Column:
     @F.arrow_udf(SIGNED)
     def sign(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        return signed(texts, n, plan, with_sketch)
+        return signed(texts, n, plan)
 
     return sign.asNondeterministic()(text)  # else Spark runs it below the joins that choose its rows
 
@@ -161,16 +162,31 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
     return links
 
 
-def again(stuck: DataFrame, nodes: DataFrame, roots: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """Candidate pairs across classes among nodes of large, mixed buckets, by longer bands."""
+def again(stuck: DataFrame, nodes: DataFrame, roots: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+    """Candidate pairs across classes among ``stuck`` nodes, by an exact prefix filter.
+
+    A node's shingles are ordered by how many stuck nodes have them, rarest first. Two sets that reach the threshold share
+    one of the first ``size - ceil(percent * size) + 1`` of both; where the first one shared stands tells how many can follow, and
+    pairs for which that is too few are left out in the join. Copies with many edits of their own have prefixes that no
+    other has, so a dense group gives few pairs.
+    """
     wanted = stuck.join(nodes.select("node", "doc"), "node")
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(small_side(wanted.select(F.col("doc").alias("w")).distinct(), wanted.count()), F.col("doc_id").eqNullSafe(F.col("w")), "left_semi")
-    rows = source.select(signature(F.col("text"), n, SECOND, False).alias("s")).select("s.node", F.explode("s.bands").alias("key")).distinct()
-    rows = materialize(rows.join(roots.withColumnRenamed("root", "found"), "node", "left").select("node", "key", F.coalesce("found", "node").alias("root")))
-    mixed = rows.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("key")
-    left = materialize(rows.join(mixed, "key"))
-    a, b = left.select("key", F.col("node").alias("a"), F.col("root").alias("ra")), left.select("key", F.col("node").alias("b"), F.col("root").alias("rb"))
-    return a.join(b, "key").filter("a < b and ra <> rb").select("a", "b").distinct()
+    sets = source.select(hashed_set(F.col("text"), n).alias("s")).select("s.node", "s.items").dropDuplicates(["node"]).join(stuck, "node")
+    rows = materialize(sets.select("node", F.size("items").alias("n"), F.explode("items").alias("h")))
+    often = rows.groupBy("h").agg(F.count("*").alias("df"))
+    place = F.row_number().over(W.partitionBy("node").orderBy("df", "h"))
+    first = rows.join(often, "h").withColumn("at", place).filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).filter("df > 1")
+    first = materialize(first.join(roots.withColumnRenamed("root", "found"), "node", "left").select("h", "node", "n", "at", F.coalesce("found", "node").alias("root")))
+    mixed = first.groupBy("h").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("h")
+    left = materialize(first.join(mixed, "h"))
+    side = lambda x: left.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "at", "root")])
+    most = 1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    enough = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & (most * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
+    pairs = materialize(side("a").join(side("b"), "h").filter(enough).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
+    for done in (rows, first, left):
+        release(done)
+    return pairs
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -199,7 +215,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = of.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("key")
     stuck = materialize(large.join(mixed, "key", "left_semi").select("node").distinct())
     if not stuck.isEmpty():
-        found = confirmed(again(stuck, nodes, roots, docs, id_col, text_col, n), nodes, docs, id_col, text_col, n, percent)
+        found = confirmed(again(stuck, nodes, roots, docs, id_col, text_col, n, percent), nodes, docs, id_col, text_col, n, percent)
         roots = components(links.unionAll(found))
     for done in (buckets, members):
         release(done)
