@@ -85,7 +85,7 @@ def features(text: str, begin: int, end: int) -> list[str]:
     before, after = text[begin - 1 : begin], text[end : end + 1]
     parts = re.split("[^0-9]+", span)
     out = [f"digits{len(digits) if len(digits) < 20 else 20}", f"at{at}", f"letters{bool(re.search('[A-Za-z]', span))}", f"plus{span[0] == '+'}", f"luhn{len(digits) >= 14 and luhn(digits)}"]
-    out += [f"marks{''.join(sorted(set(re.sub('[A-Za-z0-9]', '', span))))[:6]}", f"shape{shape[:24]}", f"open{'' if not before else 'a' if before.isalnum() else before if before in '.-+@_=' else ' '}", f"close{'' if not after else 'a' if after.isalnum() else after if after in '@-_=' else ' '}"]
+    out += [f"marks{''.join(sorted(set(re.sub('[A-Za-z0-9]', '', span))))[:6]}", f"shape{shape[:24]}", f"open{'a' if before.isalnum() else before if before and before in '.-+@_=' else ' '}", f"close{'a' if after.isalnum() else after if after and after in '@-_=' else ' '}"]  # a region's edge is a blank or an end of the text
     out += [f"octets{len(parts) == 4 and all(p and len(p) < 4 and int(p) < 256 for p in parts)}", f"groups{min(len(parts), 6)}", f"host{bool(re.search(r'(?:[.]|[ \[(]dot[ \])])[ ]?[A-Za-z]{2,}$', span))}"]
     return out
 
