@@ -82,7 +82,7 @@ def platforms(v: Column) -> Column:
 
 
 def homepage(v: Column) -> Column:
-    return F.coalesce(F.when(_is_string(v), text_of(v)), F.element_at(F.filter(F.transform(F.try_variant_get(v, "$", "array<variant>"), text_of), lambda s: s.isNotNull()), 1))
+    return F.coalesce(F.when(_is_string(v), text_of(v)), F.element_at(F.filter(F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: text_of(x)), lambda s: s.isNotNull()), 1))
 
 
 def source_path(position: Column) -> Column:
