@@ -32,7 +32,9 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 FULL = regex.compile(PATTERN.replace(r"[^\s", rf"[^{SPACE}").replace(r"\S", rf"[^{SPACE}]").replace(r"\s", rf"[{SPACE}]"))
 ODD = re.compile("[\x1c-\x1f\x85" + "".join(re.escape(c) for c in map(chr, range(0x80, 0x10000)) if unicodedata.category(c) in ("Nl", "No", "Cn")) + "\U00010000-\U0010ffff]")
 ODD_ASCII = re.compile("[\x1c-\x1f]")
-MOST_PIECES = MOST_PREFIXES = MOST_PAIRS = 300_000
+MOST_PIECES = MOST_PREFIXES = MOST_PAIRS = 200_000
+#: Rows that a task holds as Python objects at once.
+SLICE = 256
 #: Longer pieces have a table of their own and are not kept.
 SHORT = 64
 
@@ -272,14 +274,21 @@ def read_listing(df: DataFrame, path: str) -> bytes:
     return bytes(df.sparkSession.read.format("binaryFile").load(path).select("content").first()[0])
 
 
+def slices(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The same rows in short arrays."""
+    for batch in batches:
+        for at in range(0, len(batch), SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def token_ids(text: Column, shared) -> Column:
     """Ids of each whole text as binary: little-endian unsigned 32-bit integers. shared: a broadcast vocabulary file."""
 
     @F.arrow_udf("binary")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         v = vocabulary(shared.value)
-        for batch in batches:
-            yield pa.array([encode(t.as_py(), v) for t in batch], pa.binary())
+        for part in slices(batches):
+            yield pa.array([encode(t.as_py(), v) for t in part], pa.binary())
 
     return ids.asNondeterministic()(text)
 
@@ -288,8 +297,8 @@ def token_bytes(ids: Column, shared) -> Column:
     @F.arrow_udf("binary")
     def data(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         v = vocabulary(shared.value)
-        for batch in batches:
-            yield pa.array([decode(t.as_py(), v) for t in batch], pa.binary())
+        for part in slices(batches):
+            yield pa.array([decode(t.as_py(), v) for t in part], pa.binary())
 
     return data.asNondeterministic()(ids)
 
@@ -300,7 +309,7 @@ def prefix_tokens(text: Column, shared) -> Column:
     @F.arrow_udf("array<int>")
     def table(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         v = vocabulary(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.array([[t for p in pieces(x.as_py() or "") for t in LastTokens(v, p.encode()).last] for x in batch], pa.list_(pa.int32()))
 
     return table.asNondeterministic()(text)
