@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import itertools
 import re
 import struct
 import unicodedata
@@ -32,10 +33,10 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 FULL = regex.compile(PATTERN.replace(r"[^\s", rf"[^{SPACE}").replace(r"\S", rf"[^{SPACE}]").replace(r"\s", rf"[{SPACE}]"))
 ODD = re.compile("[\x1c-\x1f\x85" + "".join(re.escape(c) for c in map(chr, range(0x80, 0x10000)) if unicodedata.category(c) in ("Nl", "No", "Cn")) + "\U00010000-\U0010ffff]")
 ODD_ASCII = re.compile("[\x1c-\x1f]")
-MOST_PIECES = MOST_PREFIXES = MOST_PAIRS = 350_000
-#: Rows that a task holds as Python objects at once.
-SLICE = 256
-#: Longer pieces have a table of their own and are not kept.
+MOST_PIECES = MOST_PAIRS = 350_000
+#: Rows, and characters unless one text is longer, that a task holds as Python objects at once.
+SLICE, SLICE_CHARS = 256, 1_000_000
+#: Longer pieces are not kept.
 SHORT = 64
 
 
@@ -54,6 +55,7 @@ class Vocabulary:
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.edges: dict[int, list[tuple[bytes, int, int]]] = {}
         self.stable: dict[int, bool] = {}
+        self.sizes = {i: len(t) for i, t in self.token.items()}
         self.known = Pieces(self)
 
     @functools.cached_property
@@ -111,26 +113,48 @@ class Vocabulary:
         return out
 
 
+def extend(v: Vocabulary, data: bytes, last: list[int]) -> list[int]:
+    """Add to ``last``, which has the last tokens of some of the shorter prefixes of ``data``, those of the others."""
+    suffixes, stable = v.suffixes, v.stable
+    for end in range(len(last) + 1, len(data) + 1):
+        begin, found = end - 1, -1
+        while begin >= 0 and (t := suffixes.get(data[begin:end])) is not None:
+            if t >= 0:
+                if begin:
+                    fits = stable.get(last[begin - 1] << 32 | t)
+                    if fits is None:
+                        fits = v.can_follow(last[begin - 1], t)
+                else:
+                    fits = v.made(t)
+                if fits:
+                    found = t
+                    break
+            begin -= 1
+        last.append(found)
+    return last
+
+
+def walk(v: Vocabulary, data: bytes, last: list[int]) -> list[int]:
+    """The encoding. A whole piece that is in the vocabulary is one token even where merges don't make it."""
+    if (whole := v.rank.get(data)) is not None:
+        return [whole]
+    out, end, sizes = [], len(data), v.sizes
+    while end:
+        out.append(last[end - 1])
+        end -= sizes[out[-1]]
+    return out[::-1]
+
+
 class LastTokens:
     """A piece's bytes with each prefix's last token."""
 
     def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
-        self.vocabulary, self.data, self.last = vocabulary, b"", []
-        self.append(data)
+        self.vocabulary, self.data, self.last = vocabulary, data, extend(vocabulary, data, [])
 
     def append(self, more: bytes) -> None:
         """Add bytes; entries of shorter prefixes stay as they are."""
-        v, start = self.vocabulary, len(self.last)
         self.data += more
-        data, last, suffixes = self.data, self.last, v.suffixes
-        for end in range(start + 1, len(data) + 1):
-            begin, found = end - 1, -1
-            while begin >= 0 and (t := suffixes.get(data[begin:end])) is not None:
-                if t >= 0 and (v.can_follow(last[begin - 1], t) if begin else v.made(t)):
-                    found = t
-                    break
-                begin -= 1
-            last.append(found)
+        extend(self.vocabulary, self.data, self.last)
 
     def truncate(self, length: int) -> None:
         """Keep a prefix; its encoding needs no further work."""
@@ -144,71 +168,42 @@ class LastTokens:
         self.append(new + tail)
 
     def tokens(self) -> list[int]:
-        """The encoding. A whole piece that is in the vocabulary is one token even where merges don't make it."""
-        if self.data in self.vocabulary.rank:
-            return [self.vocabulary.rank[self.data]]
-        out, end = [], len(self.data)
-        while end:
-            out.append(self.last[end - 1])
-            end -= len(self.vocabulary.token[out[-1]])
-        return out[::-1]
-
-
-class Prefixes(dict):
-    """Last token of each prefix of the short pieces seen, shared by all of them: pieces that begin alike are worked out once."""
-
-    def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
-
-    def tokens(self, data: bytes) -> list[int]:
-        v = self.vocabulary
-        suffixes, stable = v.suffixes, v.stable
-        if len(self) >= MOST_PREFIXES:
-            self.clear()
-        size = known = len(data)
-        while known and data[:known] not in self:
-            known -= 1
-        for end in range(known + 1, size + 1):
-            begin = end - 1
-            while begin >= 0:
-                t = suffixes.get(data[begin:end])
-                if t >= 0:
-                    if begin:
-                        last = self[data[:begin]]
-                        fits = stable.get(last << 32 | t)
-                        if fits is None:
-                            fits = v.can_follow(last, t)
-                    else:
-                        fits = v.made(t)
-                    if fits:
-                        self[data[:end]] = t
-                        break
-                begin -= 1
-        out, end = [], size
-        while end:
-            t = self[data[:end]]
-            out.append(t)
-            end -= len(v.token[t])
-        return out[::-1]
+        return walk(self.vocabulary, self.data, self.last)
 
 
 class Pieces(dict):
     """Piece -> ids as little-endian 32-bit integers, kept for short pieces; forgets everything when full."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary, self.prefixes = vocabulary, Prefixes(vocabulary)
+        self.vocabulary = vocabulary
 
     def __missing__(self, piece: str) -> bytes:
-        data = piece.encode()
-        if len(data) > SHORT:
-            return np.array(LastTokens(self.vocabulary, data).tokens(), "<u4").tobytes()
-        if len(self) >= MOST_PIECES:
-            self.clear()
-        whole = self.vocabulary.rank.get(data)  # one token even where merges don't make it
-        ids = [whole] if whole is not None else self.prefixes.tokens(data)
-        self[piece] = out = struct.pack(f"<{len(ids)}I", *ids)
+        out = np.array(LastTokens(self.vocabulary, piece.encode()).tokens(), "<u4").tobytes()
+        if len(piece) <= SHORT:
+            if len(self) >= MOST_PIECES:
+                self.clear()
+            self[piece] = out
         return out
 
+    def learn(self, found: set[str]) -> None:
+        """Keep the short ones of these pieces. In order, each takes over the entries of the prefix that it shares with the one before."""
+        new = {p for p in found if p not in self}
+        if len(self) + len(new) > MOST_PIECES:
+            self.clear()
+            new = found
+        v, before, last = self.vocabulary, "", []
+        for piece in sorted(p for p in new if len(p) <= SHORT):
+            same = 0
+            for a, b in zip(before, piece):
+                if a != b:
+                    break
+                same += 1
+            data = piece.encode()
+            del last[same if piece.isascii() else len(piece[:same].encode()) :]
+            ids = walk(v, data, extend(v, data, last))
+            self[piece] = struct.pack(f"<{len(ids)}I", *ids)
+            before = piece
+
 
 class TokenizedText:
     """A text with its pieces and their ids, for appends and edits that re-encode only what they touch."""
@@ -261,8 +256,11 @@ def vocabulary(listing: bytes) -> Vocabulary:
     return Vocabulary(listing)
 
 
-def encode(text: str | None, v: Vocabulary) -> bytes:
-    return b"".join(map(v.known.__getitem__, pieces(text))) if text else b""
+def encode(texts: list[str | None], v: Vocabulary) -> list[bytes]:
+    """Ids of each text; null and empty texts have none."""
+    found = [pieces(t) if t else [] for t in texts]
+    v.known.learn(set(itertools.chain.from_iterable(found)))
+    return [b"".join(map(v.known.__getitem__, p)) for p in found]
 
 
 def decode(ids: bytes | None, v: Vocabulary) -> bytes:
@@ -274,11 +272,18 @@ def read_listing(df: DataFrame, path: str) -> bytes:
     return bytes(df.sparkSession.read.format("binaryFile").load(path).select("content").first()[0])
 
 
-def slices(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """The same rows in short arrays."""
-    for batch in batches:
-        for at in range(0, len(batch), SLICE):
-            yield batch.slice(at, SLICE)
+def slices(batch: pa.Array) -> Iterator[list]:
+    """The same rows as short lists."""
+    part, size = [], 0
+    for row in batch:
+        row = row.as_py()
+        if part and (len(part) >= SLICE or size + len(row or "") > SLICE_CHARS):
+            yield part
+            part, size = [], 0
+        part.append(row)
+        size += len(row or "")
+    if part:
+        yield part
 
 
 def token_ids(text: Column, shared) -> Column:
@@ -287,8 +292,8 @@ def token_ids(text: Column, shared) -> Column:
     @F.arrow_udf("binary")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         v = vocabulary(shared.value)
-        for part in slices(batches):
-            yield pa.array([encode(t.as_py(), v) for t in part], pa.binary())
+        for batch in batches:
+            yield pa.array([ids for part in slices(batch) for ids in encode(part, v)], pa.binary())
 
     return ids.asNondeterministic()(text)
 
@@ -297,8 +302,8 @@ def token_bytes(ids: Column, shared) -> Column:
     @F.arrow_udf("binary")
     def data(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         v = vocabulary(shared.value)
-        for part in slices(batches):
-            yield pa.array([decode(t.as_py(), v) for t in part], pa.binary())
+        for batch in batches:
+            yield pa.array((decode(t, v) for part in slices(batch) for t in part), pa.binary())
 
     return data.asNondeterministic()(ids)
 
@@ -309,8 +314,8 @@ def prefix_tokens(text: Column, shared) -> Column:
     @F.arrow_udf("array<int>")
     def table(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         v = vocabulary(shared.value)
-        for batch in slices(batches):
-            yield pa.array([[t for p in pieces(x.as_py() or "") for t in LastTokens(v, p.encode()).last] for x in batch], pa.list_(pa.int32()))
+        for batch in batches:
+            yield pa.array(([t for p in pieces(x or "") for t in LastTokens(v, p.encode()).last] for part in slices(batch) for x in part), pa.list_(pa.int32()))
 
     return table.asNondeterministic()(text)
 
