@@ -33,7 +33,7 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 FULL = regex.compile(PATTERN.replace(r"[^\s", rf"[^{SPACE}").replace(r"\S", rf"[^{SPACE}]").replace(r"\s", rf"[{SPACE}]"))
 ODD = re.compile("[\x1c-\x1f\x85" + "".join(re.escape(c) for c in map(chr, range(0x80, 0x10000)) if unicodedata.category(c) in ("Nl", "No", "Cn")) + "\U00010000-\U0010ffff]")
 ODD_ASCII = re.compile("[\x1c-\x1f]")
-MOST_PIECES = MOST_PAIRS = 350_000
+MOST_PIECES = MOST_PAIRS = 150_000
 #: Rows, and characters unless one text is longer, that a task holds as Python objects at once.
 SLICE, SLICE_CHARS = 256, 1_000_000
 #: Longer pieces are not kept.
