@@ -50,8 +50,7 @@ def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids`` and ``decoded_sha256``, the digest of the decoded ids' bytes, which are the text's."""
     ship(spark)
-    back = bpe.decode_documents(bpe.encode_documents(docs, TOKENIZER), TOKENIZER, ("doc_id", "n_tokens", "ids"))
-    return back.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.round_trip(docs, TOKENIZER).select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [("language", identify_language), ("exact_dedup", drop_exact_copies), ("near_dedup", drop_near_copies), ("decontamination", drop_benchmark_passages), ("bpe", encode_tokens)]

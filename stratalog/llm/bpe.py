@@ -308,6 +308,19 @@ def token_bytes(ids: Column, shared) -> Column:
     return data.asNondeterministic()(ids)
 
 
+def both_ways(text: Column, shared) -> Column:
+    """``ids`` of each whole text and ``decoded``, the bytes that those ids decode to, in one Python worker with one vocabulary."""
+    kinds = pa.struct({"ids": pa.binary(), "decoded": pa.binary()})
+
+    @F.arrow_udf("ids binary, decoded binary")
+    def coded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        v = vocabulary(shared.value)
+        for batch in batches:
+            yield pa.array(({"ids": i, "decoded": decode(i, v)} for part in slices(batch) for i in encode(part, v)), kinds)
+
+    return coded.asNondeterministic()(text)
+
+
 def prefix_tokens(text: Column, shared) -> Column:
     """For each byte of a text, the last token of the encoding of its piece up to that byte."""
 
@@ -334,6 +347,12 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     return out.select("doc_id", "ids", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"))
 
 
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, ids, n_tokens, decoded``: ``encode_documents`` and ``decode_documents`` in one step; cases as there."""
+    both = docs.select(F.col(id_col).alias("doc_id"), both_ways(F.col(text_col), share_vocabulary(docs, path)).alias("b"))
+    return both.select("doc_id", "b.ids", (F.octet_length("b.ids") / 4).cast("bigint").alias("n_tokens"), "b.decoded")
+
+
 def decode_documents(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), ids_col: str = "ids") -> DataFrame:
     """``keep`` columns and ``decoded``: the bytes of the ids; null ids decode to nothing."""
     return encoded.select(*keep, token_bytes(F.col(ids_col), share_vocabulary(encoded, path)).alias("decoded"))

@@ -43,8 +43,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = bpe.encode_documents(table(spark, sf_dir, "documents"), TOKENIZER)
-    back = bpe.decode_documents(ids, TOKENIZER, ("doc_id", "n_tokens", "ids"))
+    back = bpe.round_trip(table(spark, sf_dir, "documents"), TOKENIZER)
     return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

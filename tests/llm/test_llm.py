@@ -104,6 +104,9 @@ def test_bpe(docs, empty, encoding):
     text = dict((r.doc_id, r.text) for r in docs.collect())
     assert all(bytes(r.decoded).decode() == (text[r.doc_id] or "") for r in got if r.doc_id is not None)
     assert bpe.encode_documents(empty, queries.TOKENIZER).count() == 0
+    both = bpe.round_trip(docs, queries.TOKENIZER).collect()
+    assert Counter((r.doc_id, bytes(r.ids), r.n_tokens, bytes(r.decoded)) for r in both) == Counter((r.doc_id, bytes(r.ids), r.n_tokens, bytes(r.decoded)) for r in got)
+    assert bpe.round_trip(empty, queries.TOKENIZER).count() == 0
 
 
 def test_bpe_appends_and_edits(encoding):
