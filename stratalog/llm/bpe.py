@@ -294,6 +294,7 @@ def token_ids(text: Column, shared) -> Column:
         v = vocabulary(shared.value)
         for batch in batches:
             yield pa.array([ids for part in slices(batch) for ids in encode(part, v)], pa.binary())
+        v.known.clear()  # the worker stays for other tasks
 
     return ids.asNondeterministic()(text)
 
@@ -317,6 +318,7 @@ def both_ways(text: Column, shared) -> Column:
         v = vocabulary(shared.value)
         for batch in batches:
             yield pa.array(({"ids": i, "decoded": decode(i, v)} for part in slices(batch) for i in encode(part, v)), kinds)
+        v.known.clear()  # the worker stays for other tasks
 
     return coded.asNondeterministic()(text)
 

@@ -188,7 +188,7 @@ class Model:
 
     def make_room(self) -> None:
         """Forget all tokens once they are many; called between texts, never between a look-up and its use."""
-        if self.table is None or len(self.index) > 300_000 or self.chars > 8_000_000:
+        if self.table is None or len(self.index) > 150_000 or self.chars > 4_000_000:
             self.index, self.table, self.chars = Numbers(), np.zeros((1024, len(self.labels) + 1), np.float32), 0
 
     def look_up(self, tokens: list[str]) -> np.ndarray:
@@ -343,6 +343,7 @@ def predict(text: Column, model: Model, spark) -> Column:
                     scores += s.tolist()
                     some, size = [], 0
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+        held.index, held.table, held.chars = Numbers(), None, 0  # the worker stays for other stages
 
     return judge.asNondeterministic()(text)
 

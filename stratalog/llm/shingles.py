@@ -27,7 +27,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Word -> 64-bit hash; forgets everything when it has ``most`` words, so memory is bounded."""
 
-    def __init__(self, most: int = 200_000):
+    def __init__(self, most: int = 100_000):
         self.most = most
 
     def __missing__(self, word: bytes) -> int:
