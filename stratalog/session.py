@@ -10,10 +10,17 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 SHIPPED: set[str] = set()
+#: Bytes of an Arrow batch: texts have any length, so a number of rows alone doesn't bound what a Python worker holds.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20)
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Make ``stratalog`` importable on all executors, once per application; Spark's own file server carries it."""
+    """Make ``stratalog`` importable on all executors, once per application; Spark's own file server carries it.
+
+    Arrow batches are bounded by ``BATCH`` unless the application sets its own bound.
+    """
+    if not spark.sparkContext.getConf().contains(BATCH[0]):
+        spark.conf.set(*BATCH)
     app = spark.sparkContext.applicationId
     if app not in SHIPPED:
         top = Path(__file__).parent
