@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .batches import tidy
+
 #: The tokenizer's published pattern with its classes of letters and numbers in the standard library's terms. They are the
 #: same for texts without the characters of ``ODD``; other texts are matched by the pattern itself.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -292,7 +294,7 @@ def token_ids(text: Column, shared) -> Column:
     @F.arrow_udf("binary")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         v = vocabulary(shared.value)
-        for batch in batches:
+        for batch in tidy(batches):
             yield pa.array([ids for part in slices(batch) for ids in encode(part, v)], pa.binary())
         v.known.clear()  # the worker stays for other tasks
 
@@ -303,7 +305,7 @@ def token_bytes(ids: Column, shared) -> Column:
     @F.arrow_udf("binary")
     def data(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         v = vocabulary(shared.value)
-        for batch in batches:
+        for batch in tidy(batches):
             yield pa.array((decode(t, v) for part in slices(batch) for t in part), pa.binary())
 
     return data.asNondeterministic()(ids)
@@ -316,7 +318,7 @@ def both_ways(text: Column, shared) -> Column:
     @F.arrow_udf("ids binary, decoded binary")
     def coded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         v = vocabulary(shared.value)
-        for batch in batches:
+        for batch in tidy(batches):
             yield pa.array(({"ids": i, "decoded": decode(i, v)} for part in slices(batch) for i in encode(part, v)), kinds)
         v.known.clear()  # the worker stays for other tasks
 
@@ -329,7 +331,7 @@ def prefix_tokens(text: Column, shared) -> Column:
     @F.arrow_udf("array<int>")
     def table(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         v = vocabulary(shared.value)
-        for batch in batches:
+        for batch in tidy(batches):
             yield pa.array(([t for p in pieces(x or "") for t in LastTokens(v, p.encode()).last] for part in slices(batch) for x in part), pa.list_(pa.int32()))
 
     return table.asNondeterministic()(text)

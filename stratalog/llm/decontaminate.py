@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .batches import tidy
 from .common import materialize, small_side
 from .near_dedup import layout
 from .shingles import ngrams, shingle_set, word_hashes
@@ -90,7 +91,7 @@ def shingle_column(text: Column, words: int, lengths: tuple[int, ...] = ()) -> C
 
     @F.arrow_udf("array<bigint>")
     def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in tidy(batches):
             out = []
             for t in batch:
                 if lengths:
@@ -107,7 +108,7 @@ def shingle_column(text: Column, words: int, lengths: tuple[int, ...] = ()) -> C
 def sample_column(items: Column) -> Column:
     @F.arrow_udf("array<bigint>")
     def chosen(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in tidy(batches):
             yield pa.array([samples(np.array(s.as_py(), np.int64).view(np.uint64)).view(np.int64) for s in batch], pa.list_(pa.int64()))
 
     return chosen.asNondeterministic()(items)
@@ -120,7 +121,7 @@ def by_broadcast(docs: DataFrame, items: DataFrame, words: int, percent: int) ->
     @F.arrow_udf("array<struct<item_id: bigint, shared: bigint, size: bigint>>")
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         index = Index(shared.value, words, percent)
-        for batch in batches:
+        for batch in tidy(batches):
             yield pa.array([[{"item_id": i, "shared": n, "size": index.size[i]} for i, n in index.find(t.as_py())] for t in batch], pa.list_(pa.struct([("item_id", pa.int64()), ("shared", pa.int64()), ("size", pa.int64())])))
 
     return docs.select("doc_id", F.explode(found.asNondeterministic()(F.col("text"))).alias("f")).select("doc_id", "f.item_id", "f.shared", F.col("f.size").alias("n_item"))

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .batches import tidy
 from .shingles import STEP, mix
 
 BUCKETS = 1 << 15
@@ -332,7 +333,7 @@ def predict(text: Column, model: Model, spark) -> Column:
     @F.arrow_udf("struct<lang_pred: string, score: double>")
     def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         held = load(shared.value)
-        for batch in batches:
+        for batch in tidy(batches):
             names, scores, some, size = [], [], [], 0
             for i, t in enumerate(batch):
                 some.append(t.as_py())

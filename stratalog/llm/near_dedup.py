@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .batches import tidy
 from .common import materialize, release, small_side
 from .components import components
 from .shingles import STEP, blocks, mix, shingle_set
@@ -94,7 +95,7 @@ def set_key(s: np.ndarray) -> bytes:
 
 
 def signed(texts: Iterator[pa.Array], n: int, plan: tuple[int, int, int]) -> Iterator[pa.Array]:
-    for batch in texts:
+    for batch in tidy(texts):
         counts, keys, bands, sketches = [], [], [], []
         for some in blocks((shingle_set(t.as_py(), n) for t in batch), 16_384):
             full = [s for s in some if len(s)]
@@ -122,7 +123,7 @@ def signature(text: Column, n: int, plan: tuple[int, int, int]) -> Column:
 def hashed_set(text: Column, n: int) -> Column:
     @F.arrow_udf("struct<node: binary, items: array<bigint>>")
     def full(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in texts:
+        for batch in tidy(texts):
             sets = [shingle_set(t.as_py(), n) for t in batch]
             yield pa.StructArray.from_arrays([pa.array([set_key(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "items"])
 

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .batches import tidy
+
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -234,7 +236,7 @@ def span_column(text: Column, shared) -> Column:
     @F.arrow_udf("struct<base: array<struct<kind: string, begin: int, end: int>>, spans: array<struct<kind: string, begin: int, end: int>>>")
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         field = Field(shared.value)
-        for batch in batches:
+        for batch in tidy(batches):
             both = [all_spans(t.as_py(), field) for t in batch]
             listed = [pa.array([[{"kind": k, "begin": b, "end": e} for b, e, k in x[i]] for x in both], pa.list_(one)) for i in (0, 1)]
             yield pa.StructArray.from_arrays(listed, ["base", "spans"])
