@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .bpe import encode_documents
+from .common import materialize
 
 #: Lengths in a block of the two-level sums.
 BLOCK = 1024
@@ -29,7 +30,7 @@ def limits(histogram: DataFrame) -> DataFrame:
     than there are blocks (longest length / BLOCK). A repeated length is added up, a null length ignored; an empty histogram gives an
     empty result.
     """
-    rows = histogram.filter("length is not null").groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
+    rows = materialize(histogram.filter("length is not null").groupBy("length").agg(F.sum("n_docs").alias("n_docs")))  # read twice below
     rows = rows.select("length", "n_docs", (F.col("length") * F.col("n_docs")).alias("tokens"), F.floor(F.col("length") / BLOCK).alias("block"))
     blocks = rows.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum("tokens").alias("bt"))
     later, all_blocks = W.partitionBy(F.lit(0)).orderBy(F.col("block").desc()).rowsBetween(W.unboundedPreceding, -1), W.partitionBy(F.lit(0))
