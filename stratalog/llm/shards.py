@@ -1,9 +1,10 @@
 """Shards by vector bin packing of bounded lots of groups; bytes, tokens and rows are balanced together.
 
-Groups of equal texts fall by hash into ``LOTS`` lots. A group with more bytes than an average lot is cut into
-pieces of about that size by rows; there are fewer than ``LOTS`` such groups and ``2 * LOTS``
-pieces whatever the input is, so what is packed has a bounded size. Lots are taken largest first; each goes to the
-shard where the dot product of its vector with the shard's residual capacity is highest.
+Groups of equal texts fall by hash into ``LOTS`` lots. A group with more bytes than an average lot is an item of its
+own and is counted in pieces of about that size by rows; there are fewer than ``LOTS`` such groups and ``2 * LOTS``
+pieces whatever the input is, so what is packed has a bounded size. Only a group that exceeds ``WHOLE`` of a shard's
+capacity (all bytes / shards) is packed piece by piece, so its copies can come to different shards. Items are taken
+largest first; each goes to the shard where the dot product of its vector with the shard's residual capacity is highest.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import Window as W
 from .common import materialize
 
 SHARDS, LOTS = 16, 4096
+#: Equal texts stay together up to this part of a shard's capacity.
+WHOLE = 0.5
 LAW = "bytes"
 
 
@@ -43,7 +46,7 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
 
     ``size`` is the text's UTF-8 bytes plus one; a null text has no bytes and no words and is grouped with other nulls.
     ``law`` is ``bytes``: sizes are near equal, and tokens and rows follow. Equal texts share a shard
-    unless they fill more than a lot. ``slot`` counts from 0 in each shard without gaps: by lot, then by id
+    unless they fill more than ``WHOLE`` of its capacity. ``slot`` counts from 0 in each shard without gaps: by lot and piece, then by id
     (nulls first), text checksum and size; which of rows equal in all of these comes first does not matter. ``grown_shard`` is null. Other columns are ignored. An empty table gives an
     empty result.
     """
@@ -51,20 +54,24 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("bigint").alias("size"), F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"), F.coalesce(words(text), F.lit(0)).cast("bigint").alias("tokens"), F.xxhash64(text).alias("grp"))
     rows = materialize(rows.withColumn("spread", F.xxhash64(F.monotonically_increasing_id())))
     groups = rows.groupBy("grp").agg(F.sum("size").alias("b"))
-    mean = (rows.agg(F.sum("size")).first()[0] or 0) / lots
-    large = groups.filter(F.col("b") > mean).select("grp", F.ceil(F.col("b") / max(mean, 1)).cast("int").alias("pieces"))
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    mean = total / lots
+    large = groups.filter(F.col("b") > mean).select("grp", F.ceil(F.col("b") / max(mean, 1)).cast("int").alias("pieces"), (F.col("b") > WHOLE * total / shards).alias("cut"))
     placed = rows.join(F.broadcast(large), "grp", "left")  # fewer than ``lots`` rows, as each has more than 1 / lots of all bytes
     piece = F.when(F.col("pieces").isNull(), F.lit(-1)).otherwise(F.pmod("spread", "pieces").cast("int"))
     lot = F.when(F.col("pieces").isNull(), F.pmod("grp", F.lit(lots))).otherwise(F.col("grp"))
-    placed = placed.select("doc_id", "size", "text_crc32", "tokens", piece.alias("piece"), lot.alias("lot"))
-    sums = placed.groupBy("lot", "piece").agg(F.sum("size"), F.sum("tokens"), F.count("*")).orderBy("lot", "piece").collect()  # at most 3 * lots rows
-    loads = np.array([r[2:] for r in sums], float).reshape(-1, 3)
-    chosen = pack(loads, shards)
+    placed = placed.select("doc_id", "size", "text_crc32", "tokens", piece.alias("piece"), lot.alias("lot"), F.coalesce("cut", F.lit(False)).alias("cut"))
+    sums = placed.groupBy("lot", "piece").agg(F.sum("size"), F.sum("tokens"), F.count("*"), F.first("cut").alias("cut")).orderBy("lot", "piece").collect()  # at most 3 * lots rows
+    items: dict[tuple, int] = {}
+    item = [items.setdefault((r.lot, r.piece if r.cut else min(r.piece, 0)), len(items)) for r in sums]
+    loads = np.zeros((len(items), 3))
+    np.add.at(loads, item, np.array([r[2:5] for r in sums], float).reshape(-1, 3))
+    chosen = pack(loads, shards)[item]
     first, at = [], [0] * shards
     for s, r in zip(chosen, sums, strict=True):
         first.append(at[s])
         at[s] += r[4]
     plan = docs.sparkSession.createDataFrame([(r[0], r[1], int(s), f) for r, s, f in zip(sums, chosen, first, strict=True)], "lot bigint, piece int, shard int, first bigint")
     order = F.row_number().over(W.partitionBy("lot", "piece").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32", "size"))
-    out = placed.withColumn("nth", order).join(F.broadcast(plan), ["lot", "piece"])
+    out = placed.drop("cut").withColumn("nth", order).join(F.broadcast(plan), ["lot", "piece"])
     return out.select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", (F.col("first") + F.col("nth") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "tokens")

@@ -245,6 +245,24 @@ def test_shards(docs, empty):
     assert shards.shard(empty).count() == 0
 
 
+def test_equal_texts_share_a_shard(spark):
+    """Copies of a small table's text, above an average lot each, and one group that fills more than a shard's half."""
+    texts = [f"text {i} " + "word " * 40 for i in range(150) for _ in range(1 + i % 5)] + ["giant " * 40] * 120
+    rows = shards.shard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    sizes, bound = Counter(), 0.5 * sum(r.size for r in rows) / shards.SHARDS
+    for r in rows:
+        sizes[texts[r.doc_id]] += r.size
+    found = {t: {r.shard for r in rows if texts[r.doc_id] == t} for t in sizes}
+    assert sum(b <= bound for b in sizes.values()) == 150 and all(len(found[t]) == 1 for t in sizes if sizes[t] <= bound)
+    assert len(found["giant " * 40]) > 1
+    loads = Counter()
+    for r in rows:
+        loads[r.shard] += r.size
+    assert max(loads.values()) < 1.1 * sum(loads.values()) / shards.SHARDS
+    for s in loads:
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+
+
 def test_packing_balances_all_measures():
     loads = np.random.default_rng(5).gamma(2, 10, (4000, 3))
     totals = np.array([loads[shards.pack(loads, 16) == s].sum(0) for s in range(16)])
