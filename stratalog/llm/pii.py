@@ -2,8 +2,9 @@
 
 The field scores whole candidate segments (their kind, boundaries and features of the span as a whole) and its
 dynamic programme picks the best set of segments that do not overlap, of at most ``MOST_TOKENS`` tokens each.
-It works on *regions*: runs of words with a digit, an at sign or an obfuscated one, with their neighbours; nothing else can hold a
-candidate. Base spans are fixed segments of the programme, so they always stay.
+It works on *regions*: runs of words with a digit or an at sign, and what may be a spelled-out address: the words that at and dot
+cues join, with or without brackets, digits or not; nothing else can hold a candidate. Without brackets, an at cue counts only beside
+a dot cue, as "look at example.com" names a site. Base spans are fixed segments of the programme, so they always stay.
 """
 
 from __future__ import annotations
@@ -27,7 +28,18 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 REGION = re.compile(r"\S*[0-9@]\S*(?:[ \t]+(?:\S*[0-9@]\S*|at|dot|\S{0,3}(?:at|dot)\S{0,3}))*")
-TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s+|.", re.S)
+#: A cue with its brackets and blanks is one token.
+CUE = r"(?i:[ \t]*[\[({<][ \t]*(?:at|dot)[ \t]*[\])}>][ \t]*|[ \t]+(?:at|dot)[ \t]+)"
+TOKEN = re.compile(rf"{CUE}|[A-Za-z]+|[0-9]+|\s+|.", re.S)
+CUES = re.compile(CUE)
+CUED, GOES_ON = re.compile(rf"(?:{CUE}|[.@])\Z"), re.compile(rf"(?:{CUE}|[.@])[A-Za-z0-9]")
+AT = re.compile(r"@|[Aa][Tt](?=[ \t\])}>])")
+DOT = r"(?i:\.|[ \t]*[\[({<][ \t]*dot[ \t]*[\])}>][ \t]*|[ \t]+dot[ \t]+)"
+NAME = r"[A-Za-z0-9_%+-]+"
+#: What stands before and after an at cue; the first is looked for in the ``MOST_BEFORE`` characters before it.
+BEFORE = re.compile(rf"{NAME}(?:{DOT}{NAME})*([ \t]*[\[({{<]?[ \t]*)\Z")
+AFTER = re.compile(rf"([ \t]*[\])}}>]?[ \t]*){NAME}(?:{DOT}{NAME})+")
+MOST_BEFORE = 160
 MOST_TOKENS = 18
 #: Bound of the training sample, and the passes over it.
 SAMPLE_REGIONS, PASSES, RATE = 600, 6, 0.3
@@ -78,17 +90,19 @@ def features(text: str, begin: int, end: int) -> list[str]:
     """Features of a candidate as a whole; [] if it can't be one (it must start and end as an entity does)."""
     span = text[begin:end]
     digits = re.sub("[^0-9]", "", span)
-    if len(span) > 64 or not (span[0].isalnum() or span[0] in "+(") or not span[-1].isalnum():
+    if len(span) > 64 and len(CUES.sub(".", span)) > 64 or not (span[0].isalnum() or span[0] in "+(") or not span[-1].isalnum():
         return []
-    at = "@" in span or re.search(r"[\[( ]at[\]) ]", span) is not None
-    if not at and len(digits) < 4 or "\n" in span or re.search("(^|[ (\\[])(at|dot)$", span):
+    at = "@" in span or re.search(r"(?i)[\[({< \t]at[\])}> \t]", span) is not None
+    if not at and len(digits) < 4 or "\n" in span or re.search("(?i)(^|[ \\t({<\\[])(at|dot)$", span):
         return []
     shape = re.sub("[A-Za-z]+", "a", re.sub("[0-9]+", "0", span))
     before, after = text[begin - 1 : begin], text[end : end + 1]
     parts = re.split("[^0-9]+", span)
     out = [f"digits{len(digits) if len(digits) < 20 else 20}", f"at{at}", f"letters{bool(re.search('[A-Za-z]', span))}", f"plus{span[0] == '+'}", f"luhn{len(digits) >= 14 and luhn(digits)}"]
     out += [f"marks{''.join(sorted(set(re.sub('[A-Za-z0-9]', '', span))))[:6]}", f"shape{shape[:24]}", f"open{'a' if before.isalnum() else before if before and before in '.-+@_=' else ' '}", f"close{'a' if after.isalnum() else after if after and after in '@-_=' else ' '}"]  # a region's edge is a blank or an end of the text
-    out += [f"octets{len(parts) == 4 and all(p and len(p) < 4 and int(p) < 256 for p in parts)}", f"groups{min(len(parts), 6)}", f"host{bool(re.search(r'(?:[.]|[ \[(]dot[ \])])[ ]?[A-Za-z]{2,}$', span))}"]
+    out += [f"octets{len(parts) == 4 and all(p and len(p) < 4 and int(p) < 256 for p in parts)}", f"groups{min(len(parts), 6)}", f"host{bool(re.search(r'(?i:[.]|[ \t\[({<]dot[ \t\])}>])[ ]?[A-Za-z]{2,}$', span))}"]
+    # whether an address goes on before or after the candidate
+    out += [f"from{at and CUED.search(text[max(0, begin - 12) : begin]) is not None}", f"on{at and GOES_ON.match(text, end) is not None}"]
     return out
 
 
@@ -171,11 +185,41 @@ def add_logs(values: list[float]) -> float:
     return top + math.log(sum(math.exp(v - top) for v in values))
 
 
+def spelled_out(text: str) -> Iterator[tuple[int, int]]:
+    """Where a spelled-out address may stand: a name, an at cue and a host of two parts at least; dots may be cues too."""
+    end = 0
+    for m in AT.finditer(text):
+        if m.start() < max(end, 1) or not (after := AFTER.match(text, m.end())):
+            continue
+        first = max(end, m.start() - MOST_BEFORE)
+        if m[0] == "@":
+            if text[m.start() - 1].isspace() or after[1][:1].isspace():
+                continue
+        elif text[m.start() - 1] not in " \t[({<":
+            continue
+        if not (before := BEFORE.search(text[first : m.start()])):
+            continue
+        begin = first + before.start()
+        if m[0] == "@" or before[1].strip() and after[1].strip() or re.search(r"(?i)[ \t\[({<]dot[ \t\])}>]", text[begin : after.end()]):
+            end = after.end()
+            yield begin, end
+
+
+def stretches(text: str) -> list[tuple[int, int]]:
+    """Runs of words with digits or at signs, and possible spelled-out addresses; those that overlap are joined."""
+    out: list[tuple[int, int]] = []
+    for b, e in sorted([*(m.span() for m in REGION.finditer(text)), *spelled_out(text)]):
+        if out and b < out[-1][1]:
+            out[-1] = out[-1][0], max(e, out[-1][1])
+        else:
+            out.append((b, e))
+    return out
+
+
 def regions(text: str, base: list[Span]) -> Iterator[tuple[int, Region]]:
     """Stretches that can hold a candidate, with their starts; base spans lie in one each or in none (and then stay as they are)."""
     ahead = 0
-    for m in REGION.finditer(text):
-        begin, end = m.span()
+    for begin, end in stretches(text):
         while ahead < len(base) and base[ahead][0] < begin:
             ahead += 1
         inside = []
@@ -196,15 +240,25 @@ def all_spans(text: str | None, field: Field) -> tuple[list[Span], list[Span]]:
     return base, sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
+def without_digits(email: str) -> str:
+    """An email without its digits and the signs that they leave at the edges; as it is if nothing of the pattern is left."""
+    local, host = re.sub("[0-9]+", "", email).split("@")
+    made = re.sub(r"([._-])[._-]+", r"\1", f"{local.strip('._%+-')}@{host.strip('.-')}")
+    return made if [*emails(made)] == [(0, len(made), "email")] else email
+
+
 def variants(text: str, base: list[Span]) -> list[tuple[str, list[Span]]]:
-    """A region as it is, and with a phone's country code dropped, an email's signs spelled out, a card's digits grouped by dots or an
+    """A region as it is, and with a phone's country code dropped, an email's signs spelled out (plain and in brackets, with and without digits), a card's digits grouped by dots or an
     address's dots spaced: labelled examples of forms that the base patterns don't have."""
     out = [(text, base)]
     for b, e, k in base[:1]:
         span = text[b:e]
-        new = {"phone": re.sub(r"^\+[0-9]+[ .-]*", "", span), "email": span.replace("@", " at ").replace(".", " dot "), "card": re.sub("[^0-9]", "", span)[:4] + "." + ".".join(re.findall(".{1,4}", re.sub("[^0-9]", "", span)[4:])), "ip": span.replace(".", "[.]")}[k]
-        shift = len(new) - (e - b)
-        out.append((text[:b] + new + text[e:], [(b, b + len(new), k), *((x + shift, y + shift, z) for x, y, z in base[1:] if x >= e)]))
+        digits = re.sub("[^0-9]", "", span)
+        signs = ((" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" [at] ", "."))
+        forms = {"phone": [re.sub(r"^\+[0-9]+[ .-]*", "", span)], "email": [m.replace("@", x).replace(".", y) for m in dict.fromkeys((span, without_digits(span))) for x, y in signs] if k == "email" else [], "card": [digits[:4] + "." + ".".join(re.findall(".{1,4}", digits[4:]))], "ip": [span.replace(".", "[.]")]}[k]
+        for new in forms:
+            shift = len(new) - (e - b)
+            out.append((text[:b] + new + text[e:], [(b, b + len(new), k), *((x + shift, y + shift, z) for x, y, z in base[1:] if x >= e)]))
     return out
 
 

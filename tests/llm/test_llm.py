@@ -173,6 +173,26 @@ def test_semi_markov_field_finds_other_forms():
     assert found("the year 1848 and so on") == []
 
 
+@pytest.mark.parametrize(
+    ("text", "address"),
+    [
+        ("mail john at example dot com now", "john at example dot com"),
+        ("write jane [at] example [dot] org, please", "jane [at] example [dot] org"),
+        ("ask bob.42 at mail8 dot example dot com", "bob.42 at mail8 dot example dot com"),
+        ("x john(at)example(dot)com y", "john(at)example(dot)com"),
+        ("or JOHN AT EXAMPLE DOT COM.", "JOHN AT EXAMPLE DOT COM"),
+        ("see john.smith [at] mail [dot] sub [dot] example [dot] org!", "john.smith [at] mail [dot] sub [dot] example [dot] org"),
+        ("to john@example dot com then", "john@example dot com"),
+        ("arrived at home. Then we met at noon, at example.com", None),
+    ],
+)
+def test_spelled_out_addresses(text, address):
+    plain = ["call +1 (269) 555-3296 now", "mail bob.42@mail8.example.com ok", "at 55.63.178.142 x", "card 4111111111111111 x", "id AKIA99XX 1234567 x", "in 1999 or 2001", "hash 0641917ea4e9feb9 x"] * 12
+    field = pii.Field()
+    field.fit([pii.Region(t, s) for p in plain for t, s in pii.variants(p, pii.base_spans(p))])
+    assert [(text[b:e], k) for b, e, k in pii.all_spans(text, field)[1]] == ([(address, "email")] if address else [])
+
+
 def test_languages(docs, empty):
     got = language.identify(docs).collect()
     held = Counter((d, d is not None and zlib.crc32(str(d).encode()) % 3 == 1) for d in (r.doc_id for r in docs.collect()))
