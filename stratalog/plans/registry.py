@@ -57,9 +57,14 @@ def search_prefix_top(spark, d):
     return found.select("request_id", "rnk", "entity_path", "version", "depth", "last_date", "total", "has_more")
 
 
+def part_requests(spark, d):
+    """Every part's name as a path that is asked for exactly."""
+    return table(spark, d, "part").select(F.col("p_partkey").cast("bigint").alias("request_id"), F.replace("p_name", F.lit(" "), F.lit("-")).alias("q"), F.lit("1.").alias("version"))
+
+
 def exact_requests(spark, d):
-    """Every hundredth part's name as a path that is asked for exactly."""
-    return table(spark, d, "part").filter("p_partkey % 3 = 0 and p_partkey % 10 = 0").select(F.col("p_partkey").cast("bigint").alias("request_id"), F.replace("p_name", F.lit(" "), F.lit("-")).alias("q"), F.lit("1.").alias("version"))
+    """Those of every thirtieth part."""
+    return part_requests(spark, d).filter("request_id % 3 = 0 and request_id % 10 = 0")
 
 
 def search_exact(spark, d):
@@ -70,6 +75,14 @@ def search_exact_version(spark, d):
     return search.ranked(search.with_version(search.exact_join(iv(spark, d), exact_requests(spark, d))), "first_date", None).select("request_id", "rnk", "entity_path", "version", "first_date")
 
 
+def search_exact_all(spark, d):
+    return search.ranked(search.exact_join(iv(spark, d), part_requests(spark, d)), "last_date", None).select("request_id", "rnk", "entity_path", "version", "last_date")
+
+
+def search_exact_version_all(spark, d):
+    return search.ranked(search.with_version(search.exact_join(iv(spark, d), part_requests(spark, d))), "first_date", None).select("request_id", "rnk", "entity_path", "version", "first_date")
+
+
 def search_all_depths(spark, d):
     return search.all_depths(iv(spark, d), asked(spark, True), None).select("request_id", "rnk", "entity_path", "version", "depth", "first_date")
 
@@ -100,6 +113,12 @@ def tiered_lookup(spark, d):
     return search.tiered(iv(spark, d), exact_requests(spark, d).unionAll(asked(spark, True))).select("request_id", "rnk", "tier", "entity_path", "version")
 
 
+def tiered_lookup_all(spark, d):
+    """All parts by id; the other requests have negative numbers, as parts have theirs."""
+    others = asked(spark, True).withColumn("request_id", -F.col("request_id"))
+    return search.tiered(iv(spark, d), part_requests(spark, d).unionAll(others)).select("request_id", "rnk", "tier", "entity_path", "version")
+
+
 def complete_prefix(spark, d):
     return search.complete(iv(spark, d), asked(spark, False))
 
@@ -197,6 +216,14 @@ def snapshot_delta(spark, d):
     return fold.apply_delta(fold.fold(o.filter(F.col("snapshot_date") < cut)).select(*pick), new.select(*pick))
 
 
+def snapshot_delta_all(spark, d):
+    """The delta has all that came since the cut."""
+    o = obs(spark, d)
+    cut = F.lit("1996-01-01").cast("timestamp_ntz")
+    pick = ["entity_path", "version", "last_date", "last_commit"]
+    return fold.apply_delta(fold.fold(o.filter(F.col("snapshot_date") < cut)).select(*pick), fold.fold(o.filter(F.col("snapshot_date") >= cut)).select(*pick))
+
+
 def run_report(spark, d):
     """One row: ledger totals, folded figures and the lag of the newest accepted snapshot in hours at a fixed moment."""
     led = adapters.ledger(spark, d)
@@ -225,7 +252,7 @@ def activity_minutes(spark, d):
     return history.activity(table(spark, d, "events"), "ts")
 
 
-QUERIES = (fold_intervals, merge_late_batch, dedupe_intervals, dedupe_stats, search_prefix_top, search_exact, search_exact_version, search_all_depths, search_shallowest_version, search_resolution, suggest_versions, search_license_filtered, search_sorted_semver, tiered_lookup, complete_prefix, distinct_paths, version_history, first_last_occurrence, index_stats, timeline_extent, platforms_by_os, channel_coverage, unsettled_holes, retry_worklist, order_coverage, snapshot_counts, births_deaths, rolling_baseline, gate_results, gated_fold, json_array_decode, normalize_license, split_path, usage_command, history_export, snapshot_delta, run_report, phrase_search, bloom_probe, latency_percentiles, activity_minutes)
+QUERIES = (fold_intervals, merge_late_batch, dedupe_intervals, dedupe_stats, search_prefix_top, search_exact, search_exact_version, search_all_depths, search_shallowest_version, search_resolution, suggest_versions, search_license_filtered, search_sorted_semver, tiered_lookup, complete_prefix, distinct_paths, version_history, first_last_occurrence, index_stats, timeline_extent, platforms_by_os, channel_coverage, unsettled_holes, retry_worklist, order_coverage, snapshot_counts, births_deaths, rolling_baseline, gate_results, gated_fold, json_array_decode, normalize_license, split_path, usage_command, history_export, snapshot_delta, run_report, phrase_search, bloom_probe, latency_percentiles, activity_minutes, search_exact_all, search_exact_version_all, tiered_lookup_all, snapshot_delta_all)
 
 
 def queries() -> dict:
@@ -296,6 +323,14 @@ ORACLE = {
     "latency_percentiles": "WITH a AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, value DESC) AS k FROM events WHERE event_type <> 'error'), r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM a WHERE k <= 1024) SELECT event_type, max(n) AS n, max(value) FILTER (i = round((n - 1) * 0.5)) AS p50, max(value) FILTER (i = round((n - 1) * 0.95)) AS p95, max(value) FILTER (i = round((n - 1) * 0.99)) AS p99 FROM r GROUP BY event_type",
     "activity_minutes": "WITH m AS (SELECT date_trunc('minute', ts) AS minute, count(*) AS c FROM events GROUP BY 1), s AS (SELECT unnest(generate_series(max(minute) - INTERVAL 29 MINUTE, max(minute), INTERVAL 1 MINUTE)) AS minute FROM m) SELECT CAST(minute AS TIMESTAMP) AS minute, coalesce(c, 0) AS n_events FROM s LEFT JOIN m USING (minute)",
 }
+#: Twins of the queries over all parts and the whole delta; a delta that goes to the end leaves each key's last row.
+EVERY = EXACT.replace(" WHERE p_partkey % 3 = 0 AND p_partkey % 10 = 0", "")
+ORACLE |= {
+    "search_exact_all": ORACLE["search_exact"].replace(EXACT, EVERY),
+    "search_exact_version_all": ORACLE["search_exact_version"].replace(EXACT, EVERY),
+    "tiered_lookup_all": ORACLE["tiered_lookup"].replace(EXACT.replace("rq AS", "ra AS"), EVERY.replace("rq AS", "ra AS")).replace("SELECT * FROM rb", "SELECT -request_id, q, want FROM rb"),
+    "snapshot_delta_all": f"WITH {INT} SELECT entity_path, version, last_date, last_commit FROM iv",
+}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -34,3 +34,12 @@ def test_query(spark, twin, name):
     columns = [c[0] for c in want.description]
     assert sorted(df.columns) == sorted(columns)
     assert rows(df.columns, got) == rows(columns, want.fetchall())
+
+
+def test_all_parts_and_months_are_asked_for(spark):
+    part = spark.read.parquet(f"{DATA}/part.parquet")
+    assert registry.part_requests(spark, DATA).count() == part.count()
+    keys = registry.obs(spark, DATA).select("entity_path", "version").distinct()
+    assert registry.queries()["snapshot_delta_all"](spark, DATA).count() == keys.count()
+    asked, found = (registry.queries()[n](spark, DATA).select("request_id").distinct().count() for n in ("search_exact", "search_exact_all"))
+    assert found > 20 * asked
