@@ -1,7 +1,8 @@
 """Licences of files: sparse TF-IDF cosine of licence headers and licence files to templates, and inheritance by directory.
 
 Lines of a text that name a licence are its header, wherever they stand. Each template (a licence's usual notice) and each
-header is a sparse TF-IDF vector; a header takes the template of the highest cosine if that reaches ``LEAST``. A file
+header is a sparse TF-IDF vector, the header as a whole and each of its lines by itself; a header takes the template of the
+highest cosine of any of these if that reaches ``LEAST``. Reserved rights name a licence only where no other one is near enough. A file
 without a licence of its own takes that of the nearest directory above it that has one.
 """
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, materialize
 
 LEAST = 0.5
+RESERVED = "Proprietary"
 #: A line that matches is part of a licence header.
 CUE = r"(?i)licen[cs]e|licen[cs]ed|copyright|spdx|all rights reserved|permission is hereby granted"
 #: Usual notices of licences (fixed values).
@@ -27,7 +29,7 @@ TEMPLATES = (
     ("CC-BY-4.0", "Licensed under CC BY 4.0"),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
-    ("Proprietary", "Copyright all rights reserved"),
+    (RESERVED, "Copyright all rights reserved"),
 )
 
 
@@ -36,8 +38,8 @@ def templates(spark: SparkSession) -> DataFrame:
 
 
 def header(text: Column) -> Column:
-    """The text's lines that name a licence, joined by blanks; empty if there is none."""
-    return F.coalesce(F.array_join(F.filter(F.split(text, "\n"), lambda line: line.rlike(CUE)), " "), F.lit(""))
+    """The text's lines that name a licence; empty if there is none."""
+    return F.coalesce(F.array_join(F.filter(F.split(text, "\n"), lambda line: line.rlike(CUE)), "\n"), F.lit(""))
 
 
 def terms(text: Column) -> Column:
@@ -61,10 +63,13 @@ def header_licenses(headers: DataFrame, known: DataFrame, least: float = LEAST)
     df = headers.select("n", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).unionAll(known.select(F.lit(1).cast("bigint").alias("n"), F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))).groupBy("term").agg(F.sum("n").alias("df"))
     idf = df.select("term", (F.log((F.lit(total) + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
     right = vectors(known.select("template", "text"), "template", idf).withColumnRenamed("w", "tw")
-    dots = vectors(headers, "header", idf).join(F.broadcast(right), "term").groupBy("header", "template").agg(F.round(F.sum(F.col("w") * F.col("tw")), 6).alias("score"))
-    best = dots.groupBy("header").agg(F.max(F.struct("score", (-F.col("template")).alias("minus"))).alias("b"))
-    named = best.select("header", (-F.col("b.minus")).alias("template"), "b.score").filter(F.col("score") >= least)
-    return named.join(F.broadcast(known.select("template", "license")), "template").select("header", "license", "score")
+    units = headers.select("header", F.posexplode(F.array_distinct(F.array_append(F.split("text", "\n"), F.col("text")))).alias("i", "text"))
+    units = materialize(units.select(F.concat_ws(":", "header", "i").alias("unit"), "text"))
+    dots = vectors(units, "unit", idf).join(F.broadcast(right), "term").groupBy("unit", "template").agg(F.round(F.sum(F.col("w") * F.col("tw")), 6).alias("score"))
+    near = dots.filter(F.col("score") >= least).join(F.broadcast(known.select("template", "license")), "template")
+    rank = F.struct((F.col("license") != RESERVED).alias("granted"), "score", (-F.col("template")).alias("minus"), "license")
+    best = near.groupBy(F.substring_index("unit", ":", 1).alias("header")).agg(F.max(rank).alias("b"))
+    return best.select("header", "b.license", "b.score")
 
 
 def folders(path: Column) -> Column:

@@ -257,6 +257,26 @@ def test_licenses(spark):
     assert licenses.scan_licenses(files.limit(0)).count() == 0
 
 
+def test_licenses_of_single_lines(spark):
+    foo = "Copyright (c) 2021 The Foo Authors. All rights reserved."
+    mit = """MIT License
+
+Copyright (c) 2021 Foo
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+    texts = {1: f"{foo}\nReleased under the MIT License\nx", 2: mit, 3: foo, 4: "Copyright all rights reserved\nLicensed under CC BY 4.0", 5: "no notice"}
+    files = spark.createDataFrame([(i, f"d{i}/f", t) for i, t in texts.items()], "doc_id long, path string, text string")
+    others = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("text rlike '(?i)licen[cs]e|copyright'").select((-1 - F.col("doc_id")).alias("doc_id"), F.lit("o/f").alias("path"), "text")
+    assert {r.doc_id: r.own_license for r in licenses.scan_licenses(files.unionAll(others)).filter("doc_id > 0").collect()} == {1: "MIT", 2: "MIT", 3: "Proprietary", 4: "CC-BY-4.0", 5: None}
+
+
 def test_shards(docs, empty):
     rows = shards.shard(docs).collect()
     assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in docs.collect())
