@@ -1,10 +1,11 @@
 """Shards by vector bin packing of bounded lots of groups; bytes, tokens and rows are balanced together.
 
-Groups of equal texts fall by hash into ``LOTS`` lots. A group with more bytes than an average lot is an item of its
-own and is counted in pieces of about that size by rows; there are fewer than ``LOTS`` such groups and ``2 * LOTS``
-pieces whatever the input is, so what is packed has a bounded size. Only a group that exceeds ``WHOLE`` of a shard's
-capacity (all bytes / shards) is packed piece by piece, so its copies can come to different shards. Items are taken
-largest first; each goes to the shard where the dot product of its vector with the shard's residual capacity is highest.
+Groups of equal texts fall whole, by hash, into ``LOTS`` lots. A group with a larger share of all bytes or of all rows than
+1 / ``LOTS`` is an item of its own and is counted in pieces of about that share; there are fewer than ``2 * LOTS`` such
+groups and ``4 * LOTS`` pieces whatever the input is, so what is packed has a bounded size. Only a group that exceeds
+``WHOLE`` of a shard's capacity (all bytes / shards, or all rows / shards) is packed piece by piece, so its copies can come
+to different shards. Items are taken largest first; each goes to the shard where the dot product of its vector with the
+shard's residual capacity is highest. Nothing depends on where a row lies in the input, but for rows without an id.
 """
 
 from __future__ import annotations
@@ -37,31 +38,35 @@ def pack(loads: np.ndarray, shards: int) -> np.ndarray:
 
 
 def words(text: Column) -> Column:
-    """Number of words divided by white space."""
-    return F.when(F.length(F.trim(text)) > 0, F.size(F.split(F.trim(text), r"\s+"))).otherwise(0)
+    """Number of words ``[^\\x20\\x09-\\x0D]+``."""
+    inner = F.trim(text, F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(F.length(inner) > 0, F.size(F.split(inner, "[ \t-\r]+"))).otherwise(0)
 
 
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, lots: int = LOTS) -> DataFrame:
     """One row per input row: ``doc_id, size, text_crc32, law, shard, slot, grown_shard, tokens``.
 
-    ``size`` is the text's UTF-8 bytes plus one; a null text has no bytes and no words and is grouped with other nulls.
-    ``law`` is ``bytes``: sizes are near equal, and tokens and rows follow. Equal texts share a shard
-    unless they fill more than ``WHOLE`` of its capacity. ``slot`` counts from 0 in each shard without gaps: by lot and piece, then by id
-    (nulls first), text checksum and size; which of rows equal in all of these comes first does not matter. ``grown_shard`` is null. Other columns are ignored. An empty table gives an
-    empty result.
+    ``size`` is the text's UTF-8 bytes plus one; a null text has no bytes and no words and is grouped with other nulls, an
+    empty one with other empty ones; texts of any length are taken whole.
+    ``law`` is ``bytes``: sizes are near equal, and tokens and rows follow. Equal texts share a shard unless they are more
+    than ``WHOLE`` of its capacity in bytes or rows; such a group is dealt by a hash of the id, so rows that repeat an id and text
+    stay together, and rows without an id are dealt one by one. ``slot`` counts from 0 in each shard without gaps: by lot and
+    piece, then by id (nulls first), text checksum and size; which of rows equal in all of these comes first does not
+    matter. ``grown_shard`` is null. Other columns, whatever their names, are ignored. An empty table gives an empty result.
     """
-    text = F.col(text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("bigint").alias("size"), F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"), F.coalesce(words(text), F.lit(0)).cast("bigint").alias("tokens"), F.xxhash64(text).alias("grp"))
-    rows = materialize(rows.withColumn("spread", F.xxhash64(F.monotonically_increasing_id())))
-    groups = rows.groupBy("grp").agg(F.sum("size").alias("b"))
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    mean = total / lots
-    large = groups.filter(F.col("b") > mean).select("grp", F.ceil(F.col("b") / max(mean, 1)).cast("int").alias("pieces"), (F.col("b") > WHOLE * total / shards).alias("cut"))
-    placed = rows.join(F.broadcast(large), "grp", "left")  # fewer than ``lots`` rows, as each has more than 1 / lots of all bytes
+    text, one = F.col(text_col), F.col(id_col)
+    spread = F.when(one.isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64(one))
+    rows = docs.select(one.alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("bigint").alias("size"), F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"), F.coalesce(words(text), F.lit(0)).cast("bigint").alias("tokens"), F.xxhash64(text).alias("grp"), spread.alias("spread"))
+    rows = materialize(rows)
+    total = rows.agg(F.sum("size").alias("b"), F.count("*").alias("n")).first()
+    groups = rows.groupBy("grp").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
+    share = F.greatest(F.col("b") / F.lit(max(total.b or 0, 1)), F.col("n") / F.lit(max(total.n, 1)))
+    large = groups.filter(share * lots > 1).select("grp", F.ceil(share * lots).cast("int").alias("pieces"), (share * shards > WHOLE).alias("cut"))
+    placed = rows.join(F.broadcast(large), "grp", "left")  # fewer than ``2 * lots`` rows, as each has more than 1 / lots of all bytes or rows
     piece = F.when(F.col("pieces").isNull(), F.lit(-1)).otherwise(F.pmod("spread", "pieces").cast("int"))
     lot = F.when(F.col("pieces").isNull(), F.pmod("grp", F.lit(lots))).otherwise(F.col("grp"))
     placed = placed.select("doc_id", "size", "text_crc32", "tokens", piece.alias("piece"), lot.alias("lot"), F.coalesce("cut", F.lit(False)).alias("cut"))
-    sums = placed.groupBy("lot", "piece").agg(F.sum("size"), F.sum("tokens"), F.count("*"), F.first("cut").alias("cut")).orderBy("lot", "piece").collect()  # at most 3 * lots rows
+    sums = placed.groupBy("lot", "piece").agg(F.sum("size"), F.sum("tokens"), F.count("*"), F.first("cut").alias("cut")).orderBy("lot", "piece").collect()  # at most 5 * lots rows
     items: dict[tuple, int] = {}
     item = [items.setdefault((r.lot, r.piece if r.cut else min(r.piece, 0)), len(items)) for r in sums]
     loads = np.zeros((len(items), 3))
