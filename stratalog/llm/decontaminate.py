@@ -1,16 +1,17 @@
 """Benchmark items inside documents: MinHash containment search by item size, verified by exact shingles.
 
-Items are partitioned by the size of their shingle set (by powers of two). Each partition's items are indexed by
-MinHash samples: for each of its hash functions, the item's shingle with the smallest value. A document holds a
+Items are partitioned by the size of their shingle set (by powers of two). Each partition has hash functions and an
+index of its own: for each of its functions, the item's shingle with the smallest value. A document holds a
 share c of an item's shingles, so it holds a given sample with probability c, however long the document is; one held sample
-makes a candidate. With s samples a document at the threshold 0.8 is missed with probability 0.2 ** s.
-A document's shingles are looked up in this index; candidates are confirmed on the item's whole set.
+makes a candidate. With s functions a document at the threshold 0.8 is missed with probability 0.2 ** s, which is 4e-9 at
+most. A document's shingles are looked up in these indexes; candidates are confirmed on the item's whole set.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,51 +20,51 @@ from pyspark.sql import functions as F
 
 from .batches import tidy
 from .common import materialize, small_side
-from .near_dedup import layout
 from .shingles import ngrams, shingle_set, word_hashes
 
 WORDS, PERCENT = 5, 80
 #: Most hash functions that a partition (sets of 1, 2, 3-4, 5-8, ... shingles) has.
 SAMPLES = 36
-#: Most shingles of items that are broadcast to the tasks; beyond that documents' shingles are joined by shuffle.
+#: Most words of items that are broadcast to the tasks; beyond that documents' shingles are joined by shuffle, with the same result.
 MOST_BROADCAST = 2_000_000
-PLAN = (SAMPLES, 1, 1)
 
 
-def hashes_of(size: int) -> int:
-    """Hash functions of the partition of sets with this size: four more for each doubling, up to SAMPLES.
+def partition_of(size: int) -> int:
+    """The partition of sets with this size: 0 for 1, 1 for 2, 2 for 3-4, 3 for 5-8 and so on."""
+    return max(size - 1, 0).bit_length()
 
-    A larger item's samples are fewer in proportion, and a document that holds 80% of it is missed once in 10 ** 11 (16 samples) or less.
-    """
-    return min(SAMPLES, 12 + 4 * max(size - 1, 0).bit_length())
+
+@lru_cache
+def functions_of(partition: int) -> tuple[np.ndarray, np.ndarray]:
+    """A partition's own multipliers and addends: 12 hash functions and four more for each doubling, up to SAMPLES."""
+    draw, k = np.random.default_rng(20240517 + partition), min(SAMPLES, 12 + 4 * partition)
+    return draw.integers(0, 2**63, k, np.uint64) * np.uint64(2) + np.uint64(1), draw.integers(0, 2**64 - 1, k, np.uint64)
 
 
 def samples(s: np.ndarray) -> np.ndarray:
-    """An item's distinct MinHash samples; all shingles of a set that isn't larger than the number of hash functions."""
-    hashes = hashes_of(len(s))
-    if len(s) <= hashes:
-        return s
-    mul, add, _ = layout(PLAN)
-    return np.unique(s[[int(np.argmin(s * m + a)) for m, a in zip(mul[:hashes], add[:hashes], strict=True)]])
+    """A set's distinct MinHash samples by its partition's functions."""
+    return np.unique(np.array([s[np.argmin(s * m + a)] for m, a in zip(*functions_of(partition_of(len(s))), strict=True)], np.uint64))
 
 
 class Index:
-    """Items by their samples, and whole sets for confirmation; short items are met by shingles of their own length."""
+    """Per partition, items by their samples; whole sets for confirmation. Short items are met by shingles of their own length."""
 
     def __init__(self, items: list[tuple[int, str | None]], words: int, percent: int):
         self.words, self.percent = words, percent
-        self.size, self.sampled, self.full, self.lengths = {}, defaultdict(set), defaultdict(set), set()
+        sets: dict[int, set[int]] = defaultdict(set)
         for i, text in items:
-            s = shingle_set(text, words)
-            if not len(s) or i in self.size and self.size[i] == len(s) and all(i in self.full[h] for h in s.tolist()):
-                continue
-            self.size[i] = len(s)
-            self.lengths.add(min(len(word_hashes(text)), words))
-            for h in samples(s).tolist():
-                self.sampled[h].add(i)
-            for h in s.tolist():
+            sets[i].update(shingle_set(text, words).tolist())
+        self.lengths = {min(n, words) for _, text in items if (n := len(word_hashes(text)))}
+        self.size = {i: len(s) for i, s in sets.items() if s}
+        self.partitions: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
+        self.full: dict[int, set[int]] = defaultdict(set)
+        for i, n in self.size.items():
+            own = self.partitions[partition_of(n)]
+            for h in samples(np.array(sorted(sets[i]), np.uint64)).tolist():
+                own[h].add(i)
+            for h in sets[i]:
                 self.full[h].add(i)
-        self.known = np.array(sorted(self.sampled), np.uint64)
+        self.known = np.array(sorted({h for own in self.partitions.values() for h in own}), np.uint64)
         self.every = np.array(sorted(self.full), np.uint64)
 
     def find(self, text: str | None) -> list[tuple[int, int]]:
@@ -73,7 +74,8 @@ class Index:
         if not got:
             return []
         own = np.concatenate(got)
-        candidates = {i for h in held(own, self.known).tolist() for i in self.sampled[h]}
+        met = set(held(own, self.known).tolist())  # one look-up for all partitions; few shingles of a text are in any
+        candidates = {i for by_sample in self.partitions.values() for h in met for i in by_sample.get(h, ())}
         if not candidates:
             return []
         shared = Counter(i for h in np.unique(held(own, self.every)).tolist() for i in self.full[h] if i in candidates)
@@ -109,7 +111,7 @@ def sample_column(items: Column) -> Column:
     @F.arrow_udf("array<bigint>")
     def chosen(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in tidy(batches):
-            yield pa.array([samples(np.array(s.as_py(), np.int64).view(np.uint64)).view(np.int64) for s in batch], pa.list_(pa.int64()))
+            yield pa.array([samples(np.sort(np.array(s.as_py(), np.int64).view(np.uint64))).view(np.int64) for s in batch], pa.list_(pa.int64()))
 
     return chosen.asNondeterministic()(items)
 
@@ -132,15 +134,16 @@ def by_shuffle(docs: DataFrame, items: DataFrame, words: int, percent: int) -> D
 
     A document's place in the input stands for it, so repeated or null ids do no harm.
     """
-    sets = items.select("item_id", shingle_column(F.col("text"), words).alias("s"), F.size(F.filter(F.split("text", "[ \t-\r]+"), lambda x: x != "")).alias("w")).filter(F.size("s") > 0)
-    sets = materialize(sets.groupBy("item_id").agg(F.first("s").alias("s"), F.least(F.first("w"), F.lit(words)).alias("w")))
-    lengths = tuple(r.w for r in sets.select("w").distinct().collect())
+    made = materialize(items.select("item_id", shingle_column(F.col("text"), words).alias("s"), F.size(F.filter(F.split("text", "[ \t-\r]+"), lambda x: x != "")).alias("w")).filter(F.size("s") > 0))
+    lengths = tuple(r.w for r in made.select(F.least("w", F.lit(words)).alias("w")).distinct().collect())
+    sets = materialize(made.select("item_id", F.explode("s").alias("h")).groupBy("item_id").agg(F.collect_set("h").alias("s")))
     if not lengths:
         return by_broadcast(docs, items.limit(0), words, percent)
     placed = materialize(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("place")))
     rows = placed.select("doc_id", "place", F.explode(shingle_column(F.col("text"), words, lengths)).alias("h"))
     index = sets.select("item_id", F.explode(sample_column(F.col("s"))).alias("h"))
-    pairs = materialize(rows.join(index, "h").select("doc_id", "place", "item_id").distinct())
+    index = materialize(index)
+    pairs = materialize(rows.join(small_side(index, index.count()), "h").select("doc_id", "place", "item_id").distinct())
     few = pairs.select("place").distinct()
     again = placed.join(small_side(few, few.count()), "place", "left_semi").select("place", F.explode(shingle_column(F.col("text"), words, lengths)).alias("h"))
     wanted = pairs.join(sets.select("item_id", F.size("s").alias("n_item"), F.explode("s").alias("h")), "item_id")
@@ -151,10 +154,11 @@ def by_shuffle(docs: DataFrame, items: DataFrame, words: int, percent: int) -> D
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Pairs ``doc_id, item_id, shared, n_item, containment`` where a document has at least ``percent`` of an item's shingles.
 
-    A document's shingles are counted wherever they stand in the whole text. An item with fewer than
+    A document's shingles are counted wherever they stand in the whole text, however long it is. An item with fewer than
     ``words`` words is one shingle of its own length; an item without words, or with a null id or text, is
-    in no document, and a null or wordless document holds nothing. Repeated document rows give repeated pairs;
-    of items with one id the last set is taken; a null doc_id is passed on. Other columns are ignored. Empty tables give an empty result.
+    in no document, and a null or wordless document holds nothing. Repeated document rows give repeated pairs; a null doc_id is
+    passed on. Items that repeat an id stand for one item, with the shingles of all of them. Other columns, whatever their
+    names, are ignored. Empty tables give an empty result.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     asked = items.select(F.col(item_col).cast("bigint").alias("item_id"), F.col(item_text_col).alias("text")).dropna()
@@ -168,7 +172,7 @@ WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABC
 b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
 bs AS (SELECT DISTINCT item_id, least(len(w), 5) AS n, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i FROM b WHERE len(w) > 0)),
 n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id),
-ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bs) WHERE len(w) >= n)),
 met AS (SELECT doc_id, item_id, count(*) AS shared FROM ds JOIN bs USING (s) GROUP BY ALL)
 SELECT doc_id, item_id, shared, n_item, shared / n_item AS containment FROM met JOIN n USING (item_id) WHERE shared * 100 >= n_item * 80
 """
