@@ -37,7 +37,7 @@ def op3_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents stand as files ``source/lang/doc_id``."""
+    """Documents stand as files ``source/lang/doc_id``; those that are licence texts for the most part speak for their directory."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"))
     return licenses.scan_licenses(docs)
 
@@ -73,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_odd_sketch_dedup": near_dedup.SQL, "op7_url_rules": urls.SQL, "op8_containment": decontaminate.SQL, "op9_exact_dedup": exact_dedup.SQL}
+    return {"op4_license_scan": licenses.SQL, "op2_odd_sketch_dedup": near_dedup.SQL, "op7_url_rules": urls.SQL, "op8_containment": decontaminate.SQL, "op9_exact_dedup": exact_dedup.SQL}
