@@ -1,18 +1,23 @@
 """Personal data by fixed base patterns and a semi-Markov conditional random field that adds spans.
 
 The field scores whole candidate segments (their kind, boundaries and features of the span as a whole) and its
-dynamic programme picks the best set of segments that do not overlap, of at most ``MOST_TOKENS`` tokens each.
+dynamic programme picks the best set of segments that do not overlap. Segments are bounded: at most ``MOST_TOKENS`` tokens and
+``MOST_CHARS`` characters, blanks of at most ``MOST_BLANKS`` inside, no letter or digit right before or after, and without an
+at sign or cue no letters, no plus inside and at most ``MOST_DIGITS`` digits (no other kind has).
 It works on *regions*: runs of words with a digit or an at sign, and what may be a spelled-out address: the words that at and dot
 cues join, with or without brackets, digits or not; nothing else can hold a candidate. Without brackets, an at cue counts only beside
-a dot cue, as "look at example.com" names a site. Base spans are fixed segments of the programme, so they always stay.
+a dot cue, as "look at example.com" names a site. Base spans that a region touches belong to it as fixed segments, so they always
+stay and no added span overlaps one. All steps are linear in the length of the text, whatever its words are.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,20 +32,24 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-REGION = re.compile(r"\S*[0-9@]\S*(?:[ \t]+(?:\S*[0-9@]\S*|at|dot|\S{0,3}(?:at|dot)\S{0,3}))*")
+MARK, WORD, GAP = re.compile("[0-9@]"), re.compile(r"\S+"), re.compile("[ \t]+")
+MOST_TOKENS, MOST_CHARS, MOST_BLANKS, MOST_DIGITS, MOST_BEFORE = 18, 128, 8, 19, 160
+B, B1 = f"[ \t]{{0,{MOST_BLANKS}}}", f"[ \t]{{1,{MOST_BLANKS}}}"
 #: A cue with its brackets and blanks is one token.
-CUE = r"(?i:[ \t]*[\[({<][ \t]*(?:at|dot)[ \t]*[\])}>][ \t]*|[ \t]+(?:at|dot)[ \t]+)"
+CUE = rf"(?i:{B}[\[({{<]{B}(?:at|dot){B}[\])}}>]{B}|{B1}(?:at|dot){B1})"
 TOKEN = re.compile(rf"{CUE}|[A-Za-z]+|[0-9]+|\s+|.", re.S)
 CUES = re.compile(CUE)
+CUE_WORD = re.compile(r"[\[({<]?(?i:at|dot)[\])}>]?[.,;]?")
 CUED, GOES_ON = re.compile(rf"(?:{CUE}|[.@])\Z"), re.compile(rf"(?:{CUE}|[.@])[A-Za-z0-9]")
 AT = re.compile(r"@|[Aa][Tt](?=[ \t\])}>])")
-DOT = r"(?i:\.|[ \t]*[\[({<][ \t]*dot[ \t]*[\])}>][ \t]*|[ \t]+dot[ \t]+)"
+DOT = rf"(?i:\.|{B}[\[({{<]{B}dot{B}[\])}}>]{B}|{B1}dot{B1})"
 NAME = r"[A-Za-z0-9_%+-]+"
 #: What stands before and after an at cue; the first is looked for in the ``MOST_BEFORE`` characters before it.
-BEFORE = re.compile(rf"{NAME}(?:{DOT}{NAME})*([ \t]*[\[({{<]?[ \t]*)\Z")
-AFTER = re.compile(rf"([ \t]*[\])}}>]?[ \t]*){NAME}(?:{DOT}{NAME})+")
-MOST_BEFORE = 160
-MOST_TOKENS = 18
+BEFORE = re.compile(rf"{NAME}(?:{DOT}{NAME})*({B}[\[({{<]?{B})\Z")
+AFTER = re.compile(rf"({B}[\])}}>]?{B}){NAME}(?:{DOT}{NAME})+")
+NOT_DIGITS, DIGITS, LETTERS, ALNUM = re.compile("[^0-9]+"), re.compile("[0-9]+"), re.compile("[A-Za-z]+"), re.compile("[A-Za-z0-9]+")
+AT_CUE, CUE_ENDS = re.compile(r"(?i)[\[({< \t]at[\])}> \t]"), re.compile(r"(?i)(^|[ \t({<\[])(at|dot)$")
+HOST = re.compile(r"(?i:[.]|[ \t\[({<]dot[ \t\])}>])[ ]?[A-Za-z]{2,}$")
 #: Bound of the training sample, and the passes over it.
 SAMPLE_REGIONS, PASSES, RATE = 600, 6, 0.3
 
@@ -86,39 +95,67 @@ def base_spans(text: str | None) -> list[Span]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def features(text: str, begin: int, end: int) -> list[str]:
-    """Features of a candidate as a whole; [] if it can't be one (it must start and end as an entity does)."""
-    span = text[begin:end]
-    digits = re.sub("[^0-9]", "", span)
-    if len(span) > 64 and len(CUES.sub(".", span)) > 64 or not (span[0].isalnum() or span[0] in "+(") or not span[-1].isalnum():
-        return []
-    at = "@" in span or re.search(r"(?i)[\[({< \t]at[\])}> \t]", span) is not None
-    if not at and len(digits) < 4 or "\n" in span or re.search("(?i)(^|[ \\t({<\\[])(at|dot)$", span):
-        return []
-    shape = re.sub("[A-Za-z]+", "a", re.sub("[0-9]+", "0", span))
-    before, after = text[begin - 1 : begin], text[end : end + 1]
-    parts = re.split("[^0-9]+", span)
-    out = [f"digits{len(digits) if len(digits) < 20 else 20}", f"at{at}", f"letters{bool(re.search('[A-Za-z]', span))}", f"plus{span[0] == '+'}", f"luhn{len(digits) >= 14 and luhn(digits)}"]
-    out += [f"marks{''.join(sorted(set(re.sub('[A-Za-z0-9]', '', span))))[:6]}", f"shape{shape[:24]}", f"open{'a' if before.isalnum() else before if before and before in '.-+@_=' else ' '}", f"close{'a' if after.isalnum() else after if after and after in '@-_=' else ' '}"]  # a region's edge is a blank or an end of the text
-    out += [f"octets{len(parts) == 4 and all(p and len(p) < 4 and int(p) < 256 for p in parts)}", f"groups{min(len(parts), 6)}", f"host{bool(re.search(r'(?i:[.]|[ \t\[({<]dot[ \t\])}>])[ ]?[A-Za-z]{2,}$', span))}"]
+def features(text: str, begin: int, end: int) -> tuple[str, ...]:
+    """Features of a candidate as a whole; () if it can't be one (it must start and end as an entity does)."""
+    span, before, after = text[begin:end], text[begin - 1 : begin], text[end : end + 1]
+    opened = "a" if before.isalnum() else before if before and before in ".-+@_=" else " "  # a region's edge is a blank or an end of the text
+    closed = "a" if after.isalnum() else after if after and after in "@-_=" else " "
+    out = span_features(span)
+    if not out:
+        return ()
     # whether an address goes on before or after the candidate
-    out += [f"from{at and CUED.search(text[max(0, begin - 12) : begin]) is not None}", f"on{at and GOES_ON.match(text, end) is not None}"]
-    return out
+    at = out[0] == "atTrue"
+    goes = (f"from{at and CUED.search(text[max(0, begin - 12) : begin]) is not None}", f"on{at and GOES_ON.match(text, end) is not None}")
+    return (*out, f"open{opened}", f"close{closed}", *goes)
+
+
+@lru_cache(20_000)
+def span_features(span: str) -> tuple[str, ...]:
+    """Those that do not depend on what stands around the span; the first one tells whether it has an at sign or cue."""
+    digits = NOT_DIGITS.sub("", span)
+    at = "@" in span or AT_CUE.search(span) is not None
+    if not (span[0].isalnum() or span[0] in "+(") or not span[-1].isalnum() or not at and len(digits) < 4 or "\n" in span or CUE_ENDS.search(span):
+        return ()
+    parts, plain = NOT_DIGITS.split(span), LETTERS.search(span) is None
+    shape = LETTERS.sub("a", DIGITS.sub("0", span))
+    out = (f"at{at}", f"digits{min(len(digits), 20)}", f"letters{not plain}", f"plus{span[0] == '+'}", f"luhn{len(digits) >= 14 and luhn(digits)}")
+    out += (f"marks{''.join(sorted(set(ALNUM.sub('', span))))[:6]}", f"shape{shape[:24]}", f"host{not plain and HOST.search(span) is not None}")
+    return (*out, f"octets{len(parts) == 4 and all(p and len(p) < 4 and int(p) < 256 for p in parts)}", f"groups{min(len(parts), 6)}")
 
 
 class Region:
-    """A stretch of text as tokens, with its candidate segments and fixed ones."""
+    """A stretch of text as tokens, with its candidate segments and fixed ones; without ``all_candidates`` only those beside the fixed ones."""
 
-    def __init__(self, text: str, fixed: list[tuple[int, int, str]]):
+    def __init__(self, text: str, fixed: list[tuple[int, int, str]], all_candidates: bool = True):
         cuts = {0, len(text)} | {m.start() for m in TOKEN.finditer(text)} | {p for b, e, _ in fixed for p in (b, e)}
         self.text, self.at, self.fixed = text, sorted(cuts), fixed
         place = {p: i for i, p in enumerate(self.at)}
         self.kept = {(place[b], place[e], k) for b, e, k in fixed}
-        self.ending: dict[int, list[tuple[int, list[str]]]] = defaultdict(list)
-        for i in range(len(self.at) - 1):
-            for j in range(i + 1, min(i + MOST_TOKENS, len(self.at) - 1) + 1):
-                if f := features(text, self.at[i], self.at[j]):
-                    self.ending[j].append((i, f))
+        self.ending: dict[int, list[tuple[int, tuple[str, ...]]]] = defaultdict(list)
+        tokens = [text[b:e] for b, e in zip(self.at, self.at[1:], strict=False)]
+        taken = [False] * len(tokens)
+        for b, e, _ in () if all_candidates else self.kept:
+            taken[b:e] = [True] * (e - b)
+        joints = [i for i, t in enumerate(tokens) if t == "@" or CUES.fullmatch(t)]
+        for i, t in enumerate(tokens):
+            if taken[i] or not (t[0].isalnum() or t[0] in "+(") or self.at[i] and t[0].isalnum() and text[self.at[i] - 1].isalnum():
+                continue
+            near = bisect_left(joints, i)
+            joined = near < len(joints) and joints[near] < i + MOST_TOKENS
+            chars = digits = 0
+            for j in range(i, min(i + MOST_TOKENS, len(tokens))):
+                own = tokens[j]
+                if taken[j] or (own[0].isalpha() or own == "+" and j > i) and not joined:
+                    break
+                chars += len(own)
+                digits += len(own) if own[0].isdigit() else 0
+                if chars > MOST_CHARS or own.isspace() and (len(own) > MOST_BLANKS or "\n" in own) or digits > MOST_DIGITS and not joined:
+                    break
+                end = self.at[j + 1]
+                if text[end : end + 1].isalnum() or not own[-1].isalnum() or not joined and digits < 4:
+                    continue
+                if f := features(text, self.at[i], end):
+                    self.ending[j + 1].append((i, f))
 
 
 class Field:
@@ -126,13 +163,23 @@ class Field:
 
     def __init__(self, weights: dict[str, float] | None = None):
         self.weights = defaultdict(float, weights or {})
+        self.table: dict[str, list[float]] | None = None
 
-    def score(self, kind: str, found: list[str]) -> float:
+    def score(self, kind: str, found: tuple[str, ...]) -> float:
         return sum(self.weights.get(f"{kind} {f}", 0.0) for f in ["bias", *found])
 
+    def by_feature(self) -> dict[str, list[float]]:
+        """The weights of each feature for all kinds in order."""
+        out: dict[str, list[float]] = defaultdict(lambda: [0.0] * len(KINDS))
+        for name, w in self.weights.items():
+            kind, _, feature = name.partition(" ")
+            out[feature][KINDS.index(kind)] = w
+        return dict(out)
+
     def fit(self, regions: list[Region]) -> None:
         """Gradient steps on the log-likelihood of the regions' fixed segments, by forward and backward sums over segments."""
         seen: dict[str, float] = defaultdict(lambda: 1.0)
+        self.table = None
         for _ in range(PASSES):
             for r in regions:
                 n = len(r.at)
@@ -157,19 +204,17 @@ class Field:
                     self.weights[name] += RATE * g / math.sqrt(seen[name])
 
     def best(self, r: Region) -> list[Span]:
-        """The best segments; fixed ones are always among them, and no added one overlaps a fixed one."""
-        taken = [False] * len(r.at)
-        for b, e, _ in r.kept:
-            taken[b:e] = [True] * (e - b)
+        """The best segments; fixed ones are always among them, and no added one overlaps a fixed one (``r`` has only such candidates)."""
+        if self.table is None:
+            self.table = self.by_feature()
+        bias, none = self.table.get("bias", [0.0] * len(KINDS)), [0.0] * len(KINDS)
         score, back = [0.0] * len(r.at), [None] * len(r.at)
         for j in range(1, len(r.at)):
             score[j], back[j] = score[j - 1], None
             for i, f in r.ending.get(j, ()):
-                if any(taken[i:j]):
-                    continue
-                for k in KINDS:
-                    if (s := score[i] + self.score(k, f)) > score[j]:
-                        score[j], back[j] = s, (i, k)
+                for k, s in zip(KINDS, map(sum, zip(bias, *(self.table.get(x, none) for x in f), strict=True)), strict=True):
+                    if score[i] + s > score[j]:
+                        score[j], back[j] = score[i] + s, (i, k)
         out, j = [], len(r.at) - 1
         while j > 0:
             if back[j]:
@@ -205,30 +250,35 @@ def spelled_out(text: str) -> Iterator[tuple[int, int]]:
             yield begin, end
 
 
-def stretches(text: str) -> list[tuple[int, int]]:
-    """Runs of words with digits or at signs, and possible spelled-out addresses; those that overlap are joined."""
-    out: list[tuple[int, int]] = []
-    for b, e in sorted([*(m.span() for m in REGION.finditer(text)), *spelled_out(text)]):
-        if out and b < out[-1][1]:
-            out[-1] = out[-1][0], max(e, out[-1][1])
-        else:
-            out.append((b, e))
-    return out
+def marked(text: str) -> Iterator[tuple[int, int]]:
+    """Runs of words with digits or at signs, with cue words between them; found from the marks, so long words cost no more than others."""
+    end = 0
+    while m := MARK.search(text, end):
+        begin = m.start()
+        while begin > end and not text[begin - 1].isspace():
+            begin -= 1
+        end = WORD.match(text, m.start()).end()
+        while (gap := GAP.match(text, end)) and (word := WORD.match(text, gap.end())) and (MARK.search(text, word.start(), word.end()) or CUE_WORD.fullmatch(text, word.start(), word.end())):
+            end = word.end()
+        yield begin, end
 
 
 def regions(text: str, base: list[Span]) -> Iterator[tuple[int, Region]]:
-    """Stretches that can hold a candidate, with their starts; base spans lie in one each or in none (and then stay as they are)."""
+    """Stretches that can hold a candidate, with their starts; those that overlap, or share a base span, are one."""
+    out: list[list[int]] = []
+    for b, e in sorted([*marked(text), *spelled_out(text), *((b, e) for b, e, _ in base)]):
+        if out and b < out[-1][1]:
+            out[-1][1] = max(e, out[-1][1])
+        else:
+            out.append([b, e])
     ahead = 0
-    for begin, end in stretches(text):
-        while ahead < len(base) and base[ahead][0] < begin:
-            ahead += 1
+    for begin, end in out:
         inside = []
-        for b in base[ahead:]:
-            if b[0] >= end:
-                break
-            inside.append(b)
-        wide = max([end, *(b[1] for b in inside)])
-        yield begin, Region(text[begin:wide], [(b - begin, e - begin, k) for b, e, k in inside])
+        while ahead < len(base) and base[ahead][0] < end:
+            b, e, k = base[ahead]
+            inside.append((b - begin, e - begin, k))
+            ahead += 1
+        yield begin, Region(text[begin:end], inside, all_candidates=False)
 
 
 def all_spans(text: str | None, field: Field) -> tuple[list[Span], list[Span]]:
@@ -248,17 +298,23 @@ def without_digits(email: str) -> str:
 
 
 def variants(text: str, base: list[Span]) -> list[tuple[str, list[Span]]]:
-    """A region as it is, and with a phone's country code dropped, an email's signs spelled out (plain and in brackets, with and without digits), a card's digits grouped by dots or an
-    address's dots spaced: labelled examples of forms that the base patterns don't have."""
+    """A region as it is, and rewritten: labelled examples of forms that the base patterns don't have.
+
+    A phone loses its country code, and then its brackets for hyphens or dots; an email's signs are spelled out, plain and in brackets,
+    with and without digits; a card's digits are grouped by dots, and with its last digit changed it is no card; an address's dots are bracketed.
+    """
     out = [(text, base)]
     for b, e, k in base[:1]:
-        span = text[b:e]
+        span, rest = text[b:e], base[1:]
         digits = re.sub("[^0-9]", "", span)
         signs = ((" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" [at] ", "."))
-        forms = {"phone": [re.sub(r"^\+[0-9]+[ .-]*", "", span)], "email": [m.replace("@", x).replace(".", y) for m in dict.fromkeys((span, without_digits(span))) for x, y in signs] if k == "email" else [], "card": [digits[:4] + "." + ".".join(re.findall(".{1,4}", digits[4:]))], "ip": [span.replace(".", "[.]")]}[k]
-        for new in forms:
+        local = re.sub(r"^\+[0-9]+[ .-]*", "", span)
+        groups = re.findall("[0-9]+", local)
+        forms = {"phone": [local, *(m.join(groups) for m in "-." if len(groups) > 2)], "email": [m.replace("@", x).replace(".", y) for m in dict.fromkeys((span, without_digits(span))) for x, y in signs] if k == "email" else [], "card": [digits[:4] + "." + ".".join(re.findall(".{1,4}", digits[4:])), digits[:-1] + str((int(digits[-1]) + 1) % 10)], "ip": [span.replace(".", "[.]")]}[k]
+        for i, new in enumerate(forms):
             shift = len(new) - (e - b)
-            out.append((text[:b] + new + text[e:], [(b, b + len(new), k), *((x + shift, y + shift, z) for x, y, z in base[1:] if x >= e)]))
+            own = [] if k == "card" and i else [(b, b + len(new), k)]
+            out.append((text[:b] + new + text[e:], [*own, *((x + shift, y + shift, z) for x, y, z in rest if x >= e)]))
     return out
 
 
@@ -301,8 +357,10 @@ def span_column(text: Column, shared) -> Column:
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, base, spans`` for every row: arrays of (kind, begin, end) over the whole text.
 
-    A null text counts as empty and has no spans. Repeated rows and null ids pass through; other columns are
-    ignored; an empty table gives an empty result. The field is trained on a bounded sample of the same table.
+    A null text counts as empty and has no spans. Texts of any length are read whole. Repeated rows and null ids pass through; other
+    columns, whatever their names, are ignored; an empty table gives an empty result. The field is trained on a bounded sample of
+    the same table; where that has no base span, nothing is added. Of overlapping candidates with equal scores the one that ends first,
+    then the one that starts first, then the kind listed first is taken.
     """
     shared = docs.sparkSession.sparkContext.broadcast(dict(fit(docs, id_col, text_col).weights))
     return docs.select(F.col(id_col).alias("doc_id"), span_column(F.col(text_col), shared).alias("s")).select("doc_id", "s.base", "s.spans")

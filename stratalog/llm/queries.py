@@ -33,7 +33,7 @@ def counted(kind: str) -> Column:
 def op3_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(table(spark, sf_dir, "documents"))
     counts = [counted(k).alias(f"n_{k}") for k in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"), F.size("spans").cast("bigint").alias("n_spans"))
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
