@@ -34,6 +34,8 @@ from .shingles import STEP, blocks, mix, shingle_set
 
 #: Most nodes of a bucket that gives all its pairs.
 SMALL = 16
+#: Shingles and buckets with more nodes than this are joined apart, dealt over ``SALTS`` keys.
+HOT, SALTS = 500, 16
 #: Number of MinHash values, rows a band, permutations that deal the values to bands.
 FIRST = (128, 5, 2)
 SKETCH_BITS = 512
@@ -163,29 +165,45 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
     return links
 
 
+def with_counts(rows: DataFrame) -> DataFrame:
+    """Add ``df``, the number of rows with the same ``h``; frequent values do not meet in one task."""
+    often = materialize(rows.groupBy("h").agg(F.count("*").alias("df")))
+    hot = materialize(often.filter(F.col("df") > HOT))  # at most one for HOT rows
+    known = small_side(hot, hot.count())
+    return rows.join(known, "h").unionByName(rows.join(known, "h", "left_anti").join(often.filter(F.col("df") <= HOT), "h"))
+
+
 def again(stuck: DataFrame, nodes: DataFrame, roots: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
     """Candidate pairs across classes among ``stuck`` nodes, by an exact prefix filter.
 
     A node's shingles are ordered by how many stuck nodes have them, rarest first. Two sets that reach the threshold share
     one of the first ``size - ceil(percent * size) + 1`` of both; where the first one shared stands tells how many can follow, and
-    pairs for which that is too few are left out in the join. Copies with many edits of their own have prefixes that no
-    other has, so a dense group gives few pairs.
+    pairs for which that is too few are left out. Classes that share a shingle are paired first, by the best that any of their nodes could
+    reach, and only pairs of classes that could reach the threshold are expanded to nodes: a dense class and a stranger cost one
+    pair per node of the class. Nodes of a frequent shingle are dealt over several keys.
     """
     wanted = stuck.join(nodes.select("node", "doc"), "node")
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(small_side(wanted.select(F.col("doc").alias("w")).distinct(), wanted.count()), F.col("doc_id").eqNullSafe(F.col("w")), "left_semi")
     sets = source.select(hashed_set(F.col("text"), n).alias("s")).select("s.node", "s.items").dropDuplicates(["node"]).join(stuck, "node")
     rows = materialize(sets.select("node", F.size("items").alias("n"), F.explode("items").alias("h")))
-    often = rows.groupBy("h").agg(F.count("*").alias("df"))
     place = F.row_number().over(W.partitionBy("node").orderBy("df", "h"))
-    first = rows.join(often, "h").withColumn("at", place).filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).filter("df > 1")
-    first = materialize(first.join(roots.withColumnRenamed("root", "found"), "node", "left").select("h", "node", "n", "at", F.coalesce("found", "node").alias("root")))
-    mixed = first.groupBy("h").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("h")
-    left = materialize(first.join(mixed, "h"))
-    side = lambda x: left.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "at", "root")])
+    first = with_counts(rows).withColumn("at", place).filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).filter("df > 1")
+    salt = F.when(F.col("df") > HOT, F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(0).cast("int")
+    first = materialize(first.join(roots.withColumnRenamed("root", "found"), "node", "left").select("h", "node", "n", "at", F.coalesce("found", "node").alias("root"), salt.alias("salt"), (F.col("df") > HOT).alias("hot")))
+    classes = first.groupBy("h", "root").agg(F.min("n").alias("n"), F.max(F.col("n") - F.col("at")).alias("rest"), F.first("hot").alias("hot"))
+    classes = materialize(classes.withColumn("classes", F.count("*").over(W.partitionBy("h"))).filter("classes > 1").drop("classes"))
+    side = lambda x: classes.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("root", "n", "rest", "hot")])
+    may = (1 + F.least("rest_a", "rest_b")) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+    couples = side("a").join(side("b"), "h").filter((F.col("root_a") < F.col("root_b")) & may)
+    salts = F.when(F.col("hot_a"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    couples = materialize(couples.select("h", "root_a", "root_b", salts.alias("salts")))
+    member = lambda x: first.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("root", "salt", "node", "n", "at")])
+    half = couples.select("h", "root_a", "root_b", "salts", F.explode("salts").alias("salt_a")).join(member("a"), ["h", "root_a", "salt_a"])
+    both = half.select("h", "root_b", F.explode("salts").alias("salt_b"), "node_a", "n_a", "at_a").join(member("b"), ["h", "root_b", "salt_b"])
     most = 1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    enough = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & (most * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
-    pairs = materialize(side("a").join(side("b"), "h").filter(enough).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
-    for done in (rows, first, left):
+    enough = most * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+    pairs = materialize(both.filter(enough).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
+    for done in (rows, first, classes, couples):
         release(done)
     return pairs
 
@@ -195,9 +213,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Returns one row per input row: ``doc_id, n_shingles, component_id, kept``. ``component_id`` is the smallest
     id reachable by links, the row's own included; ``kept`` says that the row has that id.
-    A null or wordless text has ``n_shingles`` 0, is linked with nothing and is kept. Repeated rows are in
+    Texts of any length are read whole. A null or wordless text has ``n_shingles`` 0, is linked with nothing and is kept. Repeated rows are in
     one class; those with the class's id are all kept. A null id counts as larger than any other: such a row takes its class's
-    id, and where the class has none, ``component_id`` is null and the row is kept. Other columns are ignored.
+    id, and where the class has none, ``component_id`` is null and the row is kept. Other columns, whatever their names, are ignored.
     An empty table gives an empty result.
     """
     signs = materialize(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), signature(F.col(text_col), n, FIRST).alias("s")).select("doc_id", "s.*"))
@@ -209,12 +227,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     large = members.filter(F.col("m") > SMALL)
     weight = large.groupBy("node").agg(F.sum("m").alias("weight"))
     pivots = large.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("p")).select("key", "p.node").withColumnRenamed("node", "pivot")
-    star = large.join(pivots, "key").filter("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+    pivots = materialize(pivots)  # one for SMALL members at most
+    star = large.join(small_side(pivots, pivots.count()), "key").filter("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
     links = confirmed(within_small(buckets, members).unionAll(star), nodes, docs, id_col, text_col, n, percent)
     roots = components(links)
     of = large.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = of.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("key")
-    stuck = materialize(large.join(mixed, "key", "left_semi").select("node").distinct())
+    mixed = materialize(of.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("key"))
+    stuck = materialize(large.join(small_side(mixed, mixed.count()), "key", "left_semi").select("node").distinct())
     if not stuck.isEmpty():
         found = confirmed(again(stuck, nodes, roots, docs, id_col, text_col, n, percent), nodes, docs, id_col, text_col, n, percent)
         roots = components(links.unionAll(found))
