@@ -1,11 +1,11 @@
-"""Exact duplicates: groups by a 128-bit content hash, with the bytes compared inside each group."""
+"""Exact duplicates: groups by a 128-bit content hash, with the texts compared inside each group of several rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, materialize, small_side
 
 #: Rules for the row that stays: the smallest or the largest id.
 KEEPERS = {"smallest": F.min, "largest": F.max}
@@ -16,39 +16,62 @@ def normalized(text: Column) -> Column:
     return F.coalesce(ascii_lower(text), F.lit(""))
 
 
-def with_groups(rows: DataFrame, keep: str = "smallest") -> DataFrame:
-    """Add ``digest, keep_id, group_size, text_sha256`` to rows of (doc_id, text, ...).
+def keys_of(text: Column) -> list[Column]:
+    norm = normalized(text)
+    return [F.md5(norm).alias("own"), F.sha2(norm, 256).alias("own_sha")]
 
-    The text is a grouping key beside its MD5, so equal hashes of unlike texts make two groups. Each task
-    sends one row per text it has, whatever the number of copies. The rows find their group by MD5 and SHA-256.
+
+def repeated_texts(rows: DataFrame, keyed: DataFrame, keep: str) -> DataFrame:
+    """``digest, sha, keep_id, group_size`` of the groups whose MD5 several rows have, from rows (doc_id, text) and their keys.
+
+    Only the texts of such rows are sent, as a grouping key beside their MD5, so equal hashes of unlike texts make two
+    groups; each task sends one row per text that it has, whatever the number of copies.
     """
+    many = materialize(keyed.groupBy("own").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("own").alias("digest")))
     norm = normalized(F.col("text"))
-    keys = [F.md5(norm).alias("digest"), F.sha2(norm, 256).alias("text_sha256")]
-    groups = rows.select(F.md5(norm).alias("digest"), norm.alias("norm"), "doc_id").groupBy("digest", "norm").agg(KEEPERS[keep]("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    named = groups.select("digest", F.sha2("norm", 256).alias("sha"), "keep_id", "group_size")
-    keyed = rows.select("*", *keys).withColumnRenamed("digest", "own_digest")
-    return keyed.join(named, (F.col("own_digest") == F.col("digest")) & (F.col("text_sha256") == F.col("sha"))).drop("own_digest", "sha")
+    texts = rows.select("doc_id", norm.alias("norm"), F.md5(norm).alias("digest")).join(small_side(many, many.count()), "digest", "left_semi")
+    groups = texts.groupBy("digest", "norm").agg(KEEPERS[keep]("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    return materialize(groups.select("digest", F.sha2("norm", 256).alias("sha"), "keep_id", "group_size"))
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``; other columns are ignored.
+    """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``; other columns, whatever their names, are ignored.
 
-    Texts are equal when identical after lower-casing A-Z; a null text counts as empty. The row with the
-    smallest (or largest) id of a group stays. Repeated rows with that id are all marked kept. A null id never
+    Texts of any length are read whole and are equal when identical after lower-casing A-Z; a null text counts as empty. The row
+    with the smallest (or largest) id of a group stays. Repeated rows with that id are all marked kept. A null id never
     wins against another; in a group without ids ``keep_id`` is null and its rows are kept. An empty table
-    gives an empty result.
+    gives an empty result. A row whose MD5 no other row has needs no group and is not shuffled where the groups can be broadcast.
     """
-    rows = with_groups(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), keep)
-    return rows.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    keyed = materialize(rows.select("doc_id", *keys_of(F.col("text"))))
+    groups = repeated_texts(rows, keyed, keep)
+    found = keyed.join(small_side(groups, groups.count()), (F.col("own") == F.col("digest")) & (F.col("own_sha") == F.col("sha")), "left")
+    alone = F.col("digest").isNull()
+    found = found.withColumn("keep_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))).withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("bigint")))
+    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("own_sha").alias("text_sha256"))
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """The rows of ``docs`` with all their columns, one for each group of equal texts, as in ``exact_duplicates``."""
-    groups = docs.select(F.md5(normalized(F.col(text_col))).alias("_digest"), normalized(F.col(text_col)).alias("_norm"), F.col(id_col).alias("_id")).groupBy("_digest", "_norm").agg(KEEPERS[keep]("_id").alias("_keep"))
-    groups = groups.select(F.col("_digest").alias("_d"), F.sha2("_norm", 256).alias("_s"), "_keep")
-    keyed = docs.withColumns({"_digest": F.md5(normalized(F.col(text_col))), "_sha": F.sha2(normalized(F.col(text_col)), 256)})
-    kept = keyed.join(groups, (F.col("_digest") == F.col("_d")) & (F.col("_sha") == F.col("_s")) & F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
-    return kept.dropDuplicates(["_digest", "_sha"]).drop("_digest", "_sha")
+    """The rows of ``docs`` with all their columns, one for each group of equal texts, as in ``exact_duplicates``.
+
+    Of rows that repeat the id which stays, one is kept, whichever comes first; only such rows are shuffled with all their columns.
+    Columns may have any names. An empty table gives an empty result.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    keyed = materialize(rows.select("doc_id", *keys_of(F.col("text"))))
+    groups = repeated_texts(rows, keyed, keep)
+    groups = small_side(groups.drop("group_size"), groups.count())
+    same = (F.col("own") == F.col("digest")) & (F.col("own_sha") == F.col("sha"))
+    twice = keyed.groupBy("own", "own_sha", "doc_id").agg(F.count("*").alias("n")).filter("n > 1").join(groups, same & F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
+    twice = materialize(twice.select(F.col("own").alias("twice"), F.col("own_sha").alias("twice_sha")))
+    whole = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), *keys_of(F.col(text_col)))
+    kept = whole.join(groups, same, "left").filter(F.col("digest").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("row", "own", "own_sha")
+    n = twice.count()
+    if not n:
+        return kept.select("row.*")
+    repeats, is_repeat = small_side(twice, n), (F.col("own") == F.col("twice")) & (F.col("own_sha") == F.col("twice_sha"))
+    one_each = kept.join(repeats, is_repeat, "left_semi").dropDuplicates(["own", "own_sha"])
+    return kept.join(repeats, is_repeat, "left_anti").unionAll(one_each).select("row.*")
 
 
 SQL = """
