@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import json
+import math
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -18,8 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .batches import tidy
+from .common import materialize, small_side
 from .shingles import STEP, mix
 
 BUCKETS = 1 << 15
@@ -313,16 +316,20 @@ def train(rows: list[tuple[str, list[str]]]) -> Model:
 def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, n_docs: int, n_words: int) -> list[tuple[str, list[str]]]:
     """At most ``n_docs`` labelled documents, chosen by a hash, with ``n_words`` consecutive words of each from a hashed place.
 
-    The labelled rows are counted first; only about twice as many rows as wanted leave the tasks.
+    Each language gives an equal part of the sample, or all its rows if they are fewer, so rare languages are learned too. The labelled rows are
+    counted by language first; only about twice as many rows as wanted leave the tasks.
     """
-    words = F.split(F.trim(F.col(text_col)), r"\s+")
-    order = F.xxhash64(F.col(text_col), F.col(id_col))
-    labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    share = min(1.0, 2 * n_docs / max(labelled.count(), 1))
-    chosen = labelled.select(order.alias("o"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col)).filter(F.col("o") <= min(int(share * 2**64) - 2**63, 2**63 - 1))
-    chosen = chosen.select("o", "lang", words.alias("w"))
+    words = F.split(F.trim(F.col("t")), r"\s+")
+    labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.xxhash64(F.col(text_col), F.col(id_col)).alias("o"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("t"))
+    counts = materialize(docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("n")))
+    n_langs = counts.count()
+    part = math.ceil(n_docs / max(n_langs, 1))
+    share = F.least(F.lit(1.0), F.lit(2.0 * part) / F.col("n"))
+    chosen = labelled.join(small_side(counts, n_langs), "lang").filter(F.col("o") / 2.0**64 + 0.5 <= share).select("o", "lang", words.alias("w"))
     place = F.pmod("o", F.greatest(F.size("w") - n_words + 1, F.lit(1))).cast("int") + 1
-    rows = chosen.select("o", "lang", F.slice("w", place, F.lit(n_words)).alias("w")).orderBy("o", "lang").limit(n_docs)
+    rows = chosen.select("o", "lang", F.slice("w", place, F.lit(n_words)).alias("w"))
+    nth = F.row_number().over(W.partitionBy("lang").orderBy("o", "w"))
+    rows = rows.withColumn("nth", nth).filter(F.col("nth") <= part).orderBy("o", "lang", "w").limit(n_docs)
     return [(r.lang, r.w) for r in rows.collect()]
 
 
@@ -360,11 +367,34 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per input row: ``doc_id, held_out, lang_pred, score``; other columns are ignored.
+    """One row per input row: ``doc_id, held_out, lang_pred, score``; other columns, whatever their names, are ignored.
 
-    ``und`` with score 0 for a null text or one without a letter. Whole texts are labelled. Repeated rows get the same result each; an empty
+    ``und`` with score 0 for a null text or one without a letter. Whole texts of any length are labelled; of equally likely
+    languages the first by name is taken. Null ids are never held out. Repeated rows get the same result each; an empty
     table gives an empty result.
     """
     model = fit(docs, id_col, text_col, lang_col)
     out = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), predict(F.col(text_col), model, docs.sparkSession).alias("p"))
     return out.select("doc_id", "held_out", "p.lang_pred", "p.score")
+
+
+def word_labels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``doc_id, words``: for each row the words with letters in order, as array<struct<word, lang, p>>; empty for a null text.
+
+    For texts that switch languages: each word has the label of the highest marginal probability, given the whole text.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col, text_col, lang_col).dump())
+    one = pa.struct([("word", pa.string()), ("lang", pa.string()), ("p", pa.float64())])
+
+    @F.arrow_udf("array<struct<word: string, lang: string, p: double>>")
+    def label(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        held = load(shared.value)
+        for batch in tidy(batches):
+            out = []
+            for t in batch:
+                words, likely = held.words(t.as_py() or "")
+                best = likely.argmax(1) if len(words) else []
+                out.append([{"word": w, "lang": held.labels[b], "p": min(1.0, float(m[b]))} for w, b, m in zip(words, best, likely, strict=True)])
+            yield pa.array(out, pa.list_(one))
+
+    return docs.select(F.col(id_col).alias("doc_id"), label.asNondeterministic()(F.col(text_col)).alias("words"))
