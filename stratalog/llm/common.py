@@ -51,6 +51,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def latest() -> list[str]:
+    """The path of the table that was made last."""
+    return list(MADE)[-1:]
+
+
 def delete(path: str) -> None:
     made = MADE.pop(path)
     folder = made[0](made[1])
