@@ -7,7 +7,10 @@ import string
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The date from which commands have the newer form, and the parts of the older form around commit and path (fixed values).
 PRE_EPOCH = "2020-03-26 00:00:00"
+LEGACY = "nix-shell -p '(import (builtins.fetchTarball \"https://github.com/NixOS/nixpkgs/archive/", '.tar.gz") {}).'
+ALLOW = "NIXPKGS_ALLOW_INSECURE=1 "
 #: Words that cannot stand as plain identifiers (fixed values).
 KEYWORDS = ("assert", "else", "if", "in", "inherit", "let", "or", "rec", "then", "with")
 
@@ -138,12 +141,14 @@ def semver_key(version: Column) -> Column:
 
 def snapshot_name_part(name: Column, part: str) -> Column:
     """``count`` or ``rev`` of ``(nixpkgs|nixos)-VER(pre|beta|.)COUNT.REV``; else null."""
-    pattern = r"^(?:nixpkgs|nixos)-[0-9]+\.[0-9]+(?:pre|beta|\.)([0-9]+)\.([0-9a-f]+)$"
+    pattern = r"^(?:nixpkgs|nixos)-[0-9]*\.[0-9]*(?:pre|beta|\.)([0-9]+)\.([0-9a-fA-F]+)$"
     return F.nullif(F.regexp_extract(name, pattern, {"count": 1, "rev": 2}[part]), F.lit(""))
 
 
 def channel_prefix(channel: Column) -> Column:
-    return F.when(channel.startswith("nixos-"), F.concat(F.lit("nixos/"), F.substring(channel, 7, 1000), F.lit("/"))).when(channel.startswith("nixpkgs-"), F.concat(F.lit("nixpkgs/"), F.substring(channel, 9, 1000), F.lit("/")))
+    """Where a channel's snapshots are stored; the query fails at a channel that has no known place."""
+    known = F.when(channel == "nixpkgs-unstable", F.lit("nixpkgs/")).when(channel.startswith("nixos-"), F.concat(F.lit("nixos/"), F.substring(channel, 7, 1000), F.lit("/")))
+    return F.coalesce(known, F.raise_error(F.concat(F.lit("unknown channel "), channel)))
 
 
 def backoff_seconds(attempts: Column) -> Column:
@@ -152,7 +157,46 @@ def backoff_seconds(attempts: Column) -> Column:
 
 
 def date_arg(s: Column) -> Column:
-    return F.coalesce(F.try_to_timestamp(s), F.try_to_timestamp(s, F.lit("yyyy-MM-dd")))
+    """A date argument: RFC 3339, or ``yyyy-MM-dd`` at midnight UTC; null stays null and anything else fails the query."""
+    full = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"), F.try_to_timestamp(s))
+    found = F.coalesce(full, F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_timestamp(s, F.lit("yyyy-MM-dd"))))
+    return F.when(s.isNotNull(), F.coalesce(found, F.raise_error(F.concat(F.lit("not a date: "), s)))).cast("timestamp_ntz")
+
+
+def upper_bound(prefix: Column) -> Column:
+    """The least text above all with this prefix: its last character plus one; null if there is none (empty, or the last code point before a gap or the end)."""
+    last = F.right(prefix, F.lit(1))
+    code = F.conv(F.hex(F.encode(last, "UTF-32")), 16, 10).cast("int")
+    # the code point as UTF-8 bytes, as SQL's char() stops at 255
+    def octets(c: Column) -> Column:
+        six = lambda shift: F.lit(0x80).bitwiseOR(F.shiftright(c, shift).bitwiseAND(F.lit(0x3F)))
+        byte = lambda x: F.lpad(F.hex(x), 2, "0")
+        return F.when(c < 0x80, byte(c)).when(c < 0x800, F.concat(byte(F.shiftright(c, 6) + 0xC0), byte(six(0)))).when(c < 0x10000, F.concat(byte(F.shiftright(c, 12) + 0xE0), byte(six(6)), byte(six(0)))).otherwise(F.concat(byte(F.shiftright(c, 18) + 0xF0), byte(six(12)), byte(six(6)), byte(six(0))))
+
+    next_one = F.decode(F.unhex(octets(code + 1)), "UTF-8")
+    return F.when((F.length(prefix) > 0) & ~code.isin(0xD7FF, 0x10FFFF), F.concat(F.left(prefix, F.length(prefix) - 1), next_one))
+
+
+def commit_label(sha: Column) -> Column:
+    """Name of a snapshot that was taken from a commit itself."""
+    return F.concat(F.lit("master-"), F.substring(sha, 1, 12))
+
+
+def micros_to_millis(micros: Column) -> Column:
+    """Milliseconds of microseconds that saturate at 32 bits."""
+    return F.least(micros, F.lit(4294967295)) / 1000.0
+
+
+def encode_array(c: Column) -> Column:
+    """JSON array of texts; a null or empty array is null."""
+    return F.when(F.size(c) > 0, F.to_json(c))
+
+
+def shared_prefix(a: Column, b: Column) -> Column:
+    """Number of leading characters that two texts share, A-Z regardless of case."""
+    letters = lambda c: F.split(ascii_lower(c), "")
+    stop = F.array_position(F.zip_with(letters(a), letters(b), lambda x, y: F.when(x == y, 1).otherwise(0)), 0)
+    return F.when((F.length(a) == 0) | (F.length(b) == 0), 0).when(stop > 0, stop - 1).otherwise(F.least(F.length(a), F.length(b))).cast("bigint")
 
 
 def quoted_path(path: Column) -> Column:
@@ -162,19 +206,21 @@ def quoted_path(path: Column) -> Column:
     return F.array_join(F.transform(F.split(path, r"\."), lambda s: F.when(plain(s), s).otherwise(quote(s))), ".")
 
 
-def usage_command(path: Column, commit: Column, last: Column, is_insecure: Column) -> Column:
-    """How to get a version: the older form before the epoch date, the newer one after it."""
+def usage_command(path: Column, commit: Column, last: Column, is_insecure: Column, run: bool = False) -> Column:
+    """How to get (or ``run``) a version: the older form before the epoch date, the newer one after it."""
     old = last < F.lit(PRE_EPOCH).cast("timestamp_ntz")
     quoted = quoted_path(path)
-    ref = F.when(quoted.contains('"'), F.concat(F.lit("'"), quoted, F.lit("'"))).otherwise(quoted)
-    allow = F.when(is_insecure, "NIXPKGS_ALLOW_INSECURE=1 ").otherwise("")
-    legacy = F.concat(allow, F.lit("nix-shell -p "), ref, F.lit(" -I nixpkgs="), commit)
-    modern = F.concat(allow, F.lit("nix shell nixpkgs/"), commit, F.lit("#"), ref, F.when(is_insecure, " --impure").otherwise(""))
+    allow = F.when(is_insecure, ALLOW).otherwise("")
+    legacy = F.concat(allow, F.lit(LEGACY[0]), commit, F.lit(LEGACY[1]), quoted, F.lit("'"), *([F.lit(" --run "), path] if run else []))
+    ref = F.concat(F.lit("nixpkgs/"), commit, F.lit("#"), quoted)
+    ref = F.when(quoted.contains('"'), F.concat(F.lit("'"), ref, F.lit("'"))).otherwise(ref)
+    modern = F.concat(allow, F.lit("nix run" if run else "nix shell"), F.when(is_insecure, " --impure").otherwise(""), F.lit(" "), ref)
     return F.when(old, legacy).otherwise(modern)
 
 
 def request_parts(q: Column) -> tuple[Column, Column]:
-    """Free text as (name, version): a last word ``v?digit...`` is a version unless the name before it ends in a digit."""
-    pattern = r"^(.*[^0-9\s])\s+v?([0-9]\S*)$"
+    """Free text as (name, version): a last word ``v?digit...`` is a version unless what stands before it ends in a digit."""
+    pattern = r"(?i)^(.+?)\s+(v?[0-9][0-9.]*[A-Za-z0-9_.-]*)$"
     name = F.regexp_extract(F.trim(q), pattern, 1)
-    return F.when(name != "", F.trim(name)).otherwise(F.trim(q)), F.nullif(F.regexp_extract(F.trim(q), pattern, 2), F.lit(""))
+    split = (name != "") & ~name.rlike("[0-9]$")
+    return F.when(split, F.trim(name)).otherwise(F.trim(q)), F.when(split, F.regexp_replace(F.regexp_extract(F.trim(q), pattern, 2), "^[vV]", ""))

@@ -22,12 +22,11 @@ def merge(bounds: DataFrame) -> DataFrame:
 
     Associative and commutative, so partial sums on the map side, batches in any order and late data all give the same result.
     """
-    return bounds.groupBy(*KEY).agg(
-        *[F.max_by(c, "last_ord").alias(c) for c in META],
-        F.max_by("source_path", "source_ord").alias("source_path"),
-        F.min_by("first_commit", "first_ord").alias("first_commit"), F.max_by("last_commit", "last_ord").alias("last_commit"),
-        F.min("first_ord").alias("first_ord"), F.max("last_ord").alias("last_ord"), F.max("source_ord").alias("source_ord"),
-    )
+    last = F.max(F.struct("last_ord", *META, "last_commit"))  # the order keys decide, as no two observations share them
+    first = F.min(F.struct("first_ord", "first_commit"))
+    source = F.max(F.when(F.col("source_ord").isNotNull(), F.struct("source_ord", "source_path")))
+    packed = bounds.groupBy(*KEY).agg(last.alias("l"), first.alias("f"), source.alias("s"))
+    return packed.select(*KEY, *[F.col(f"l.{c}").alias(c) for c in META], "s.source_path", "f.first_commit", "l.last_commit", "f.first_ord", "l.last_ord", "s.source_ord")
 
 
 def intervals(bounds: DataFrame) -> DataFrame:
@@ -43,13 +42,22 @@ def merge_late(stored: DataFrame, batch: DataFrame) -> DataFrame:
     return merge(stored.unionByName(as_bounds(batch)))
 
 
-def dedupe(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Collapse repeated (path, version) intervals: the earliest first end's row survives, the latest last end is taken. Second: figures."""
+def dedupe(rows: DataFrame, dry_run: bool = False) -> tuple[DataFrame, DataFrame] | DataFrame:
+    """Collapse repeated (path, version) intervals: the earliest first end's row survives, the latest last end is taken. Second: figures.
+
+    A dry run gives the figures alone, with nothing updated or deleted.
+    """
+    if dry_run:
+        sizes = rows.groupBy(*KEY).agg(F.count("*").alias("n_rows"))
+        return figures(sizes).withColumns({"rows_after": F.col("rows_before"), "rows_updated": F.lit(0).cast("bigint"), "rows_deleted": F.lit(0).cast("bigint")})
     first, last = F.struct("first_date", "channel"), F.struct("last_date", "channel")
     out = rows.groupBy(*KEY).agg(F.min("first_date").alias("first_date"), F.min_by("first_commit", first).alias("first_commit"), F.max("last_date").alias("last_date"), F.max_by("last_commit", last).alias("last_commit"), F.min_by("description", first).alias("description"), F.count("*").alias("n_rows"))
+    return out, figures(out)
+
+
+def figures(sizes: DataFrame) -> DataFrame:
     many = F.col("n_rows") > 1
-    stats = out.agg(F.count("*").alias("n_groups"), F.count_if(many).alias("groups_with_duplicates"), F.sum("n_rows").alias("rows_before"), F.count("*").alias("rows_after"), F.count_if(many).alias("rows_updated"), (F.sum("n_rows") - F.count("*")).alias("rows_deleted"))
-    return out, stats
+    return sizes.agg(F.count("*").alias("n_groups"), F.count_if(many).alias("groups_with_duplicates"), F.sum("n_rows").alias("rows_before"), F.count("*").alias("rows_after"), F.count_if(many).alias("rows_updated"), (F.sum("n_rows") - F.count("*")).alias("rows_deleted"))
 
 
 def apply_delta(base: DataFrame, delta: DataFrame) -> DataFrame:

@@ -1,77 +1,148 @@
-"""Completeness gates of snapshots: floors, rolling baseline, sentinels, births and deaths."""
+"""Completeness gates of snapshots: floors, rolling baseline, sentinels, births and deaths.
+
+A snapshot is (channel, era, snapshot_date); its era names the form of its source. Tables of floors and sentinels are short
+dimension tables; ``floor_ladder`` and ``sentinels`` make the usual ones.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections import deque
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..session import small_side, stored
+
 #: Shares of the baseline under which a snapshot fails or warns, length of the baseline, share and number of deaths that warn.
 FAIL, WARN, LAST, DEATH_SHARE, DEATHS = 0.70, 0.90, 10, 0.05, 50
+#: Least number of entries by era and, up to a year (None: from then on), and paths that must be there from a date on (fixed values).
+FLOORS = {
+    "bare": ((2016, 8_000), (2017, 10_000), (2018, 12_000), (2019, 15_000), (None, 18_000)),
+    "envelope": ((2020, 50_000), (2021, 60_000), (2022, 75_000), (2023, 90_000), (2024, 100_000), (2025, 115_000), (None, 130_000)),
+}
+SENTINELS = (("firefox", "^firefox$", None), ("thunderbird", "^thunderbird$", None), ("python*Packages.requests", "^python[0-9]+Packages[.]requests$", None), ("nh", "^nh$", "2024-01-15"))
+SNAPSHOT = ["channel", "era", "snapshot_date"]
 
 
-def counts(obs: DataFrame) -> DataFrame:
-    """Per snapshot: distinct (path, version) entries and distinct paths."""
-    return obs.groupBy("channel", "snapshot_date").agg(F.count_distinct("entity_path", "version").alias("n_entries"), F.count_distinct("entity_path").alias("n_paths"))
+def floor_ladder(spark: SparkSession, floors: dict = FLOORS) -> DataFrame:
+    """(era, from_year, to_year, floor): one row for each step."""
+    rows = []
+    for era, steps in floors.items():
+        start = 0
+        for year, floor in steps:
+            rows.append((era, start, 9999 if year is None else year, floor))
+            start = (year or 0) + 1
+    return spark.createDataFrame(rows, "era string, from_year int, to_year int, floor bigint")
 
 
-def judged(snapshots: DataFrame, floor: int = 0) -> DataFrame:
-    """Verdict of each snapshot: ``baseline`` is the largest of the last ten *accepted* counts of its channel.
+def sentinels(spark: SparkSession, listed=SENTINELS, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(label, pattern, active_from, era): a null date or era holds for all; ``extra`` are exact paths."""
+    rows = [(label, pattern, since, None) for label, pattern, since in listed] + [(p, "^" + "".join(c if c.isalnum() else f"\\x{ord(c):02x}" for c in p) + "$", None, None) for p in extra]
+    return spark.createDataFrame(rows, "label string, pattern string, since string, era string").select("label", "pattern", F.col("since").cast("timestamp_ntz").alias("active_from"), "era")
 
-    A verdict changes later baselines, so each channel is folded in date order. A channel has one short row per
-    snapshot (daily for a century is under 40,000), which bounds the list that is folded.
-    """
-    state = "struct<recent: array<bigint>, out: array<struct<snapshot_date: timestamp_ntz, n_entries: bigint, baseline: bigint, verdict: string>>>"
-    start = F.struct(F.array().cast("array<bigint>").alias("recent"), F.array().cast("array<struct<snapshot_date: timestamp_ntz, n_entries: bigint, baseline: bigint, verdict: string>>").alias("out")).cast(state)
-
-    def step(acc: Column, x: Column) -> Column:
-        base = F.array_max(acc["recent"])
-        n = x["n_entries"]
-        verdict = F.when(n < floor, "fail: floor").when(n < (base * FAIL).cast("bigint"), "fail: baseline").when(n < (base * WARN).cast("bigint"), "warn").otherwise("pass")
-        kept = F.concat(acc["recent"], F.array(n))
-        recent = F.when(F.startswith(verdict, F.lit("fail")), acc["recent"]).otherwise(F.slice(kept, F.greatest(F.size(kept) - LAST + 1, F.lit(1)), F.lit(LAST)))
-        return F.struct(recent.alias("recent"), F.concat(acc["out"], F.array(F.struct(x["snapshot_date"].alias("snapshot_date"), n.alias("n_entries"), base.alias("baseline"), verdict.alias("verdict")))).alias("out")).cast(state)
 
-    series = snapshots.groupBy("channel").agg(F.array_sort(F.collect_list(F.struct("snapshot_date", "n_entries"))).alias("s"))
-    return series.select("channel", F.explode(F.aggregate("s", start, step)["out"]).alias("o")).select("channel", "o.*")
+def counts(obs: DataFrame) -> DataFrame:
+    """Per snapshot: rows, distinct (path, version) entries and distinct paths."""
+    return obs.groupBy(*[c for c in SNAPSHOT if c in obs.columns]).agg(F.count("*").alias("n_rows"), F.count_distinct("entity_path", "version").alias("n_entries"), F.count_distinct("entity_path").alias("n_paths"))
 
 
 def rolling_baseline(snapshots: DataFrame) -> DataFrame:
-    """The same baseline without feedback: over all of the last ten snapshots."""
+    """The baseline without feedback: the largest of all of the last ten counts of a channel."""
     w = W.partitionBy("channel").orderBy("snapshot_date").rowsBetween(-LAST, -1)
     return snapshots.select("channel", "snapshot_date", "n_entries", F.max("n_entries").over(w).alias("baseline"))
 
 
-def missing_sentinels(obs: DataFrame, sentinels: DataFrame) -> DataFrame:
-    """(channel, snapshot_date, pattern) of sentinels that no path of a snapshot matches from their start on."""
-    snaps = obs.select("channel", "snapshot_date").distinct()
-    due = snaps.join(F.broadcast(sentinels), F.col("snapshot_date") >= F.col("active_from"))
-    paths = obs.select("channel", "snapshot_date", "entity_path").distinct().join(F.broadcast(sentinels.select("pattern")), F.expr("rlike(entity_path, pattern)"))
-    met = paths.select("channel", "snapshot_date", "pattern").distinct()
-    return due.join(met, ["channel", "snapshot_date", "pattern"], "left_anti").select("channel", "snapshot_date", "pattern")
+def missing_sentinels(obs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``channel, era, snapshot_date, label`` of the sentinels due in a snapshot that none of its paths matches.
 
+    Paths are tested once each, however many snapshots have them; only the few that match any pattern are joined with the snapshots.
+    """
+    wanted = small_side(wanted)
+    patterns = wanted.select("label", "pattern").distinct()
+    hits = stored(obs.select("entity_path").distinct().join(small_side(patterns), F.expr("rlike(entity_path, pattern)")).select("entity_path", "label"))
+    met = obs.select(*SNAPSHOT, "entity_path").join(small_side(hits), "entity_path").select(*SNAPSHOT, "label").distinct()
+    snaps = obs.select(*SNAPSHOT).distinct()
+    w = wanted.withColumnRenamed("era", "only")
+    due = snaps.join(small_side(w), (F.col("active_from").isNull() | (F.col("snapshot_date") >= F.col("active_from"))) & (F.col("only").isNull() | (F.col("only") == F.col("era"))))
+    return due.select(*SNAPSHOT, "label").join(met, [*SNAPSHOT, "label"], "left_anti")
+
+
+def verdicts(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One channel and era in date order: each count against the largest of the last ten accepted ones."""
+    recent: deque[int] = deque(maxlen=LAST)
+    out = []
+    for r in pdf.sort_values("snapshot_date").itertuples():
+        base = max(recent) if recent else None
+        failures, warnings = list(r.failures), []
+        if base is not None and r.n_entries < int(base * FAIL):
+            failures.append(f"count {r.n_entries} under 70% of {base}")
+        elif base is not None and r.n_entries < int(base * WARN):
+            warnings.append(f"count {r.n_entries} under 90% of {base}")
+        if not failures:
+            recent.append(r.n_entries)
+        out.append((r.channel, r.era, r.snapshot_date, r.n_entries, base, sorted(failures), warnings))
+    made = pd.DataFrame(out, columns=[*SNAPSHOT, "n_entries", "baseline", "failures", "warnings"])
+    return made.astype({"baseline": "Int64"})
+
+
+def judged(snapshots: DataFrame, floors: DataFrame | None = None, missing: DataFrame | None = None) -> DataFrame:
+    """``channel, era, snapshot_date, n_entries, baseline, failures, warnings, verdict`` of each snapshot.
+
+    Fails: fewer entries than its era's and year's floor, a sentinel missing, or under 70% of the baseline, which is the largest of the last
+    ten *accepted* counts of its channel and era before it; under 90% warns. A verdict changes later baselines, so each channel and era is
+    judged in date order by one task. It has one short row per snapshot (daily for a century is under 40,000).
+    """
+    rows = snapshots.select(*SNAPSHOT, "n_entries").withColumn("failures", F.array().cast("array<string>"))
+    if floors is not None:
+        low = rows.join(small_side(floors), "era").filter((F.year("snapshot_date").between(F.col("from_year"), F.col("to_year"))) & (F.col("n_entries") < F.col("floor")))
+        rows = failing(rows, low.select(*SNAPSHOT, F.concat(F.lit("count "), F.col("n_entries").cast("string"), F.lit(" under floor "), F.col("floor").cast("string")).alias("why")))
+    if missing is not None:
+        rows = failing(rows, missing.select(*SNAPSHOT, F.concat(F.lit("sentinel missing: "), "label").alias("why")))
+    schema = "channel string, era string, snapshot_date timestamp_ntz, n_entries bigint, baseline bigint, failures array<string>, warnings array<string>"
+    out = rows.groupBy("channel", "era").applyInPandas(verdicts, schema)
+    return out.withColumn("verdict", F.when(F.size("failures") > 0, "fail").when(F.size("warnings") > 0, "warn").otherwise("pass"))
+
+
+def failing(rows: DataFrame, reasons: DataFrame) -> DataFrame:
+    more = reasons.groupBy(*SNAPSHOT).agg(F.collect_list("why").alias("more"))
+    return rows.join(more, SNAPSHOT, "left").withColumn("failures", F.concat("failures", F.coalesce("more", F.array().cast("array<string>")))).drop("more")
 
-def births_deaths(obs: DataFrame) -> DataFrame:
+
+def births_deaths(obs: DataFrame, accepted_only: DataFrame | None = None) -> DataFrame:
     """Paths that appear or vanish from one snapshot of a channel to the next, with the eight smallest of each as samples.
 
-    Each path's presence is joined with the next snapshot's by rank, so no snapshot's paths are gathered anywhere.
+    With verdicts only accepted snapshots are compared, each with the accepted one before it; across eras nothing is told. More deaths
+    than 5% of the previous paths (at least 50) warn. Each path's presence is joined with the next snapshot's by rank, so no snapshot's paths are gathered anywhere.
     """
-    paths = obs.select("channel", "snapshot_date", "entity_path").distinct()
-    order = paths.select("channel", "snapshot_date").distinct().withColumn("n", F.row_number().over(W.partitionBy("channel").orderBy("snapshot_date")))
-    p = paths.join(F.broadcast(order), ["channel", "snapshot_date"]).select("channel", "n", "entity_path")
+    if accepted_only is not None:
+        obs = accepted(obs, accepted_only)
+    paths = stored(obs.select(*SNAPSHOT, "entity_path").distinct())
+    by_date = W.partitionBy("channel").orderBy("snapshot_date")
+    order = paths.select(*SNAPSHOT).distinct().withColumns({"n": F.row_number().over(by_date), "same": F.lag("era").over(by_date) == F.col("era")})
+    p = paths.join(small_side(order), SNAPSHOT).select("channel", "n", "entity_path")
     sides = p.select("channel", "n", "entity_path", F.lit(1).alias("now"), F.lit(0).alias("was")).unionAll(p.select("channel", F.col("n") + 1, "entity_path", F.lit(0), F.lit(1)))
     change = sides.groupBy("channel", "n", "entity_path").agg(F.max("now").alias("now"), F.max("was").alias("was")).filter("now <> was")
-    nth = F.row_number().over(W.partitionBy("channel", "n", "now").orderBy("entity_path"))
-    change = change.withColumn("nth", nth)
-    sample = lambda now: F.array_join(F.array_sort(F.collect_list(F.when((F.col("now") == now) & (F.col("nth") <= 8), F.col("entity_path")))), ",")
-    sums = change.groupBy("channel", "n").agg(F.sum("now").alias("births"), F.sum(1 - F.col("now")).alias("deaths"), sample(1).alias("born"), sample(0).alias("died"))
-    sizes = p.groupBy("channel", F.col("n") + 1).agg(F.count("*").alias("previous")).toDF("channel", "n", "previous")
-    out = order.filter("n > 1").join(sums, ["channel", "n"], "left").join(sizes, ["channel", "n"])
+    # the eight smallest of each half of 64, then of all: no task sorts a whole snapshot
+    part = F.pmod(F.xxhash64("entity_path"), F.lit(64))
+    few = change.withColumn("k", F.row_number().over(W.partitionBy("channel", "n", "now", part).orderBy("entity_path"))).filter("k <= 8")
+    few = few.withColumn("k", F.row_number().over(W.partitionBy("channel", "n", "now").orderBy("entity_path"))).filter("k <= 8")
+    sample = lambda now: F.array_join(F.array_sort(F.collect_list(F.when(F.col("now") == now, F.col("entity_path")))), ",")
+    samples = few.groupBy("channel", "n").agg(sample(1).alias("born"), sample(0).alias("died"))
+    sums = change.groupBy("channel", "n").agg(F.sum("now").alias("births"), F.sum(1 - F.col("now")).alias("deaths"))
+    sizes = p.groupBy("channel", (F.col("n") + 1).alias("n")).agg(F.count("*").alias("previous"))
+    out = order.filter("n > 1 and same").join(sums, ["channel", "n"], "left").join(samples, ["channel", "n"], "left").join(sizes, ["channel", "n"])
     warn = F.coalesce("deaths", F.lit(0)) > F.greatest((F.col("previous") * DEATH_SHARE).cast("bigint"), F.lit(DEATHS))
-    return out.select("channel", "snapshot_date", F.coalesce("births", F.lit(0)).alias("births"), F.coalesce("deaths", F.lit(0)).alias("deaths"), F.coalesce("born", F.lit("")).alias("born"), F.coalesce("died", F.lit("")).alias("died"), warn.alias("warn"))
+    return out.select(*SNAPSHOT, F.coalesce("births", F.lit(0)).alias("births"), F.coalesce("deaths", F.lit(0)).alias("deaths"), F.coalesce("born", F.lit("")).alias("born"), F.coalesce("died", F.lit("")).alias("died"), warn.alias("warn"))
 
 
 def accepted(obs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Observations of snapshots that did not fail; a failed snapshot contributes nothing."""
-    good = verdicts.filter(~F.startswith("verdict", F.lit("fail"))).select("channel", "snapshot_date")
-    return obs.join(good, ["channel", "snapshot_date"], "left_semi")
+    good = verdicts.filter("verdict <> 'fail'").select(*SNAPSHOT)
+    return obs.join(small_side(good), SNAPSHOT, "left_semi")
+
+
+def health(failed: Column, warnings: Column, lag_hours: Column, strict: bool = False, most_lag: int = 72) -> Column:
+    """A run is healthy without failures and with a newest snapshot of at most 72 hours (or none); in ``strict`` mode also without warnings."""
+    return (failed == 0) & (lag_hours.isNull() | (lag_hours <= most_lag)) & ((warnings == 0) if strict else F.lit(True))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import exprs as E
+from ..session import small_side, stored
 
 #: Candidates per request that are ranked before licence filter, sort and paging.
 CAP = 5000
@@ -27,18 +28,38 @@ def prefix_join(rows: DataFrame, requests: DataFrame, column: str = "entity_path
     low = rows.withColumn("_low", E.ascii_lower(F.col(column)))
     lengths = [r.n for r in asked.select(F.length("_k").alias("n")).distinct().collect()]  # at most KEY_LENGTH + 1 numbers
     keyed = low.withColumn("_key", F.explode(F.array_distinct(F.array(*[F.substring("_low", 1, n) for n in sorted(lengths)]))) if lengths else F.lit(None).cast("string"))
-    return keyed.join(asked, (F.col("_key") == F.col("_k")) & F.startswith("_low", "_q")).drop("_low", "_key", "_k", "_q")
+    return keyed.join(small_side(asked), (F.col("_key") == F.col("_k")) & F.startswith("_low", "_q")).drop("_low", "_key", "_k", "_q")
 
 
 def exact_join(rows: DataFrame, requests: DataFrame) -> DataFrame:
-    return rows.join(requests.withColumnRenamed("version", "want"), F.col("entity_path") == F.col("q"))
+    return rows.join(small_side(requests.withColumnRenamed("version", "want")), F.col("entity_path") == F.col("q"))
+
+
+def numbered(found: DataFrame, order: list[Column], group: str = "request_id", to: str = "rnk") -> DataFrame:
+    """Number the rows of each group from 1 in a total order, however many rows a group has.
+
+    Rows are dealt over tasks by ranges of (group, order); each range is numbered by itself and moved on by the counts of the ranges before it.
+    """
+    n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(found.repartitionByRange(n, F.col(group), *order).withColumn("_range", F.spark_partition_id()))
+    local = dealt.withColumn("_local", F.row_number().over(W.partitionBy("_range", group).orderBy(*order)))
+    counts = dealt.groupBy(group, "_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = stored(counts.select(group, "_range", before.alias("_before")))  # at most one row per range more than groups
+    return local.join(small_side(offsets), [group, "_range"]).withColumn(to, (F.col("_before") + F.col("_local")).cast("bigint")).drop("_range", "_local", "_before")
+
+
+def best(found: DataFrame, order: list[Column], most: int, parts: int = 32) -> DataFrame:
+    """The first ``most`` rows of each request with their rank; a request's rows are dealt over ``parts`` tasks, each of which keeps its first ones."""
+    part = F.pmod(F.xxhash64("entity_path", "version"), F.lit(parts))
+    few = found.withColumn("_part", part).withColumn("_n", F.row_number().over(W.partitionBy("request_id", "_part").orderBy(*order))).filter(F.col("_n") <= most)
+    return few.withColumn("rnk", F.row_number().over(W.partitionBy("request_id").orderBy(*order)).cast("bigint")).filter(F.col("rnk") <= most).drop("_part", "_n")
 
 
 def ranked(found: DataFrame, date: str, cap: int | None = CAP) -> DataFrame:
     """Relevance rank per request; ``cap`` keeps that many best ones (None keeps all)."""
-    order = W.partitionBy("request_id").orderBy("depth", F.col(date).desc(), "entity_path", "version")
-    out = found.withColumn("rnk", F.row_number().over(order).cast("bigint"))
-    return out if cap is None else out.filter(F.col("rnk") <= cap)
+    order = [F.col("depth"), F.col(date).desc(), F.col("entity_path"), F.col("version")]
+    return numbered(found, order) if cap is None else best(found, order, cap)
 
 
 def licensed(found: DataFrame, part: Column) -> DataFrame:
@@ -86,7 +107,7 @@ def shallowest(rows: DataFrame, requests: DataFrame, cap: int | None = CAP) -> D
     """Version search in the shallowest depth that any path with the prefix has, whatever its versions."""
     found = prefix_join(rows, requests.withColumnRenamed("version", "want"))
     least = found.groupBy("request_id").agg(F.min("depth").alias("least"))
-    at = found.join(F.broadcast(least), "request_id").filter(F.col("depth") == F.col("least")).drop("least")
+    at = found.join(small_side(least), "request_id").filter(F.col("depth") == F.col("least")).drop("least")
     return ranked(with_version(at), "first_date", cap)
 
 
@@ -94,7 +115,7 @@ def resolution(rows: DataFrame, requests: DataFrame) -> DataFrame:
     """Per request: least depth of the prefix, hits there, whether deeper paths have the version, and the outcome."""
     found = prefix_join(rows, requests.withColumnRenamed("version", "want")).withColumn("hit", E.has_prefix(F.col("version"), F.col("want")))
     least = found.groupBy("request_id").agg(F.min("depth").alias("scope_depth"))
-    both = found.join(F.broadcast(least), "request_id")
+    both = found.join(small_side(least), "request_id")
     sums = both.groupBy("request_id").agg(F.first("scope_depth").alias("scope_depth"), F.count_if(F.col("hit") & (F.col("depth") == F.col("scope_depth"))).alias("hits"), F.bool_or(F.col("hit") & (F.col("depth") > F.col("scope_depth"))).alias("deeper"))
     out = requests.select("request_id").join(sums, "request_id", "left")
     kind = F.when(F.col("hits") > 0, "found").when(F.col("deeper"), "deeper only").when(F.col("scope_depth").isNotNull(), "version missing").otherwise("unknown")
@@ -108,26 +129,41 @@ def common_parts(a: Column, b: Column) -> Column:
     return F.when(stop > 0, stop - 1).otherwise(F.least(F.size(a), F.size(b))).cast("bigint")
 
 
-def suggest(rows: DataFrame, requests: DataFrame) -> DataFrame:
-    """Nearby versions for requests: among the shallowest paths of the prefix, most leading numbers in common first, then the
-    smaller difference at the first other number, then exact paths, shorter ones, newer ones; five per request.
+def nearest_versions(at: DataFrame) -> DataFrame:
+    """The SUGGESTIONS best of each request's candidates (with ``q`` and ``want``): most leading numbers in common first, then the
+    smaller difference at the first other number (or in their number), or without numbers the longer common beginning; then exact paths, shorter ones, newer ones.
 
-    Candidates are the NEARBY best by version family and date. Versions without numbers come last.
+    Versions with numbers come before those without, so the order is total.
     """
-    found = prefix_join(rows, requests.withColumnRenamed("version", "want"))
-    least = found.groupBy("request_id").agg(F.min("depth").alias("least"))
-    at = found.join(F.broadcast(least), "request_id").filter(F.col("depth") == F.col("least"))
-    near = F.when(E.has_prefix(F.col("version"), E.family(F.col("want"))), 0).otherwise(1)
-    pick = W.partitionBy("request_id").orderBy(near, F.col("last_date").desc(), "entity_path", "version")
-    at = at.withColumn("_n", F.row_number().over(pick)).filter(F.col("_n") <= NEARBY)
     at = at.withColumns({"_a": E.numeric_parts(F.col("version")), "_b": E.numeric_parts(F.col("want"))})
-    shared = common_parts(F.col("_a"), F.col("_b"))
+    told = (F.size("_a") > 0) & (F.size("_b") > 0)
+    at = at.withColumn("shared", F.when(told, common_parts(F.col("_a"), F.col("_b"))).otherwise(F.lit(0)).cast("bigint"))
     nth = lambda c: F.coalesce(F.try_element_at(c, (F.col("shared") + 1).cast("int")), F.lit(0))
-    at = at.withColumn("shared", shared)
-    at = at.withColumn("gap", F.when(F.least(F.size("_a"), F.size("_b")) > F.col("shared"), F.abs(nth(F.col("_a")) - nth(F.col("_b")))).otherwise(F.abs(F.size("_a") - F.size("_b"))).cast("bigint"))
-    order = [F.when(F.size("_a") > 0, 0).otherwise(1), F.col("shared").desc(), F.col("gap"), F.when(F.col("entity_path") == F.col("q"), 0).otherwise(1), F.length("entity_path"), F.col("last_date").desc(), F.col("version").desc(), F.col("entity_path")]
-    out = at.withColumn("rnk", F.row_number().over(W.partitionBy("request_id").orderBy(*order)).cast("bigint")).filter(F.col("rnk") <= SUGGESTIONS)
-    return out.select("request_id", "rnk", "entity_path", "version", "shared", "gap")
+    gap = F.when(F.least(F.size("_a"), F.size("_b")) > F.col("shared"), F.abs(nth(F.col("_a")) - nth(F.col("_b")))).otherwise(F.abs(F.size("_a") - F.size("_b")))
+    at = at.withColumns({"told": told, "gap": F.when(told, gap).otherwise(F.lit(0)).cast("bigint"), "alike": F.when(told, F.lit(0)).otherwise(E.shared_prefix(F.col("version"), F.col("want"))).cast("bigint")})
+    order = [F.col("told").desc(), F.col("shared").desc(), F.col("gap"), F.col("alike").desc(), F.when(F.col("entity_path") == F.col("q"), 0).otherwise(1), F.length("entity_path"), F.col("last_date").desc(), F.col("entity_path"), F.col("version").desc()]
+    return best(at, order, SUGGESTIONS).select("request_id", "rnk", "entity_path", "version", "shared", "gap", "alike")
+
+
+def suggest(rows: DataFrame, requests: DataFrame, nearby: int | None = NEARBY) -> DataFrame:
+    """Nearby versions for requests, among the shallowest paths of the prefix.
+
+    Candidates are the ``nearby`` best by version family, exact path, date, path and version; None takes all.
+    """
+    found = prefix_join(rows.select(*NARROW), requests.select("request_id", "q", F.col("version").alias("want")))
+    least = found.groupBy("request_id").agg(F.min("depth").alias("least"))
+    at = found.join(small_side(least), "request_id").filter(F.col("depth") == F.col("least")).drop("least")
+    near = F.when(E.has_prefix(F.col("version"), E.family(F.col("want"))), 0).otherwise(1)
+    if nearby is not None:
+        at = best(at, [near, F.when(F.col("entity_path") == F.col("q"), 0).otherwise(1), F.col("last_date").desc(), F.col("entity_path"), F.col("version")], nearby).drop("rnk")
+    return nearest_versions(at)
+
+
+def suggest_exact(rows: DataFrame, requests: DataFrame) -> DataFrame:
+    """For exact requests that find their path but not their version: the nearest of all versions of that path."""
+    exact = exact_join(rows.select(*NARROW), requests.select("request_id", "q", "version"))
+    hit = exact.filter(E.has_prefix(F.col("version"), F.col("want"))).select("request_id").distinct()
+    return nearest_versions(exact.join(hit, "request_id", "left_anti"))
 
 
 def tiered(rows: DataFrame, requests: DataFrame) -> DataFrame:
@@ -145,4 +181,62 @@ def tiered(rows: DataFrame, requests: DataFrame) -> DataFrame:
 def complete(rows: DataFrame, requests: DataFrame, limit: int = 20) -> DataFrame:
     """Distinct paths by prefix, in alphabetical order."""
     found = prefix_join(rows.select("entity_path").distinct(), requests.select("request_id", "q"))
-    return found.withColumn("rnk", F.row_number().over(W.partitionBy("request_id").orderBy("entity_path")).cast("bigint")).filter(F.col("rnk") <= limit).select("request_id", "rnk", "entity_path")
+    return best(found.withColumn("version", F.lit("")), [F.col("entity_path")], limit).select("request_id", "rnk", "entity_path")
+
+
+def named(rows: DataFrame, requests: DataFrame, exact: bool, cap: int | None = CAP) -> DataFrame:
+    """Rows whose name is the request's ``q``, or starts with it; the newest first."""
+    found = rows.join(small_side(requests.select("request_id", "q")), F.col("name") == F.col("q")) if exact else prefix_join(rows, requests.select("request_id", "q"), "name")
+    return ranked(found, "last_date", cap)
+
+
+#: What a search asks for, with what holds where a request says nothing.
+OPTIONS = {"version": "string", "exact": "boolean", "all_depths": "boolean", "license": "string", "sort": "string", "reverse": "boolean", "full": "boolean", "page_limit": "int", "page_offset": "int", "arch": "string", "hide_insecure": "boolean"}
+NARROW = ["entity_path", "version", "depth", "first_date", "last_date"]
+
+
+def prepared(requests: DataFrame) -> DataFrame:
+    """Requests with all options filled in, and why one is ``refused`` (null: it is not)."""
+    for c, kind in OPTIONS.items():
+        if c not in requests.columns:
+            requests = requests.withColumn(c, F.lit(None).cast(kind))
+    none = {"exact": F.lit(False), "all_depths": F.lit(False), "sort": F.lit("relevance"), "reverse": F.lit(False), "full": F.lit(False), "page_limit": F.lit(50), "page_offset": F.lit(0), "hide_insecure": F.lit(False)}
+    out = requests.withColumns({c: F.coalesce(c, v) for c, v in none.items()}).withColumnRenamed("version", "want")
+    refused = F.when(F.col("all_depths") & F.col("want").isNull(), "all depths need a version").when(F.col("all_depths") & F.col("exact"), "all depths and exact exclude each other").when(~F.col("sort").isin("relevance", "date", "version", "name"), "unknown order").when((F.col("page_limit") < 0) | (F.col("page_offset") < 0), "negative page")
+    return out.withColumns({"refused": refused, "page_limit": F.least("page_limit", F.lit(PAGE_CAP))})
+
+
+def search(rows: DataFrame, requests: DataFrame, cap: int | None = CAP) -> DataFrame:
+    """Answers a table of requests: source, licence and facets, order, first of each (path, version), page; in this order.
+
+    Requests have ``request_id``, ``q`` and any of OPTIONS; refused ones (``prepared``) give nothing. Without ``exact`` the path starts with ``q``; with a
+    version only the shallowest depth that the prefix has is searched, or all of them with ``all_depths``. Exact searches have no cap. A page
+    limit of 0 is unlimited, larger ones than PAGE_CAP are cut; ``total`` counts before paging. Only keys, dates and flags are ranked;
+    the rows of the pages take their other columns at the end.
+    """
+    asked = stored(prepared(requests).filter("refused is null"))
+    flags = {"_license": F.lower("license_raw"), "_insecure": E.insecure(F.col("advisories_raw")), "_platforms": E.decode_array(F.col("platforms_raw"))}
+    slim = rows.select(*NARROW, "name", *[v.alias(k) for k, v in flags.items()])
+    wide = ["request_id", "q", *[c if c != "version" else "want" for c in OPTIONS]]
+    fits = F.col("want").isNull() | E.has_prefix(F.col("version"), F.col("want"))
+    exact = slim.join(small_side(asked.filter("exact").select(*wide)), F.col("entity_path") == F.col("q")).filter(fits)
+    prefix = stored(prefix_join(slim, asked.filter("not exact").select(*wide)))
+    least = small_side(stored(prefix.filter("want is not null and not all_depths").groupBy("request_id").agg(F.min("depth").alias("least"))))
+    scoped = prefix.join(least, "request_id", "left").filter(F.col("least").isNull() | (F.col("depth") == F.col("least"))).drop("least").filter(fits)
+    date = F.when(F.col("want").isNull() | F.col("exact"), F.col("last_date")).otherwise(F.col("first_date"))
+    order = [F.col("depth"), F.col("_date").desc(), F.col("entity_path"), F.col("version")]
+    capped = ranked(scoped.withColumn("_date", date), "_date", cap)
+    found = capped.unionByName(numbered(exact.withColumn("_date", date), order))
+    found = found.filter(F.col("license").isNull() | F.contains("_license", F.lower("license"))).filter(F.col("arch").isNull() | F.array_contains("_platforms", F.col("arch"))).filter(~(F.col("hide_insecure") & F.col("_insecure")))
+    newest = F.when(F.col("sort") == "date", -F.unix_micros(F.col("last_date").cast("timestamp")))
+    by = [newest, F.when(F.col("sort") == "version", E.semver_key(F.col("version"))), F.when(F.col("sort") == "name", F.col("name")), F.col("rnk")]
+    sign = numbered(found.withColumns({f"_k{i}": c for i, c in enumerate(by)}), [F.col(f"_k{i}").asc_nulls_first() for i in range(4)], to="_nth")
+    total = sign.groupBy("request_id").agg(F.count("*").alias("_all"))
+    sign = sign.join(small_side(stored(total)), "request_id").withColumn("_nth", F.when(F.col("reverse"), F.col("_all") + 1 - F.col("_nth")).otherwise(F.col("_nth")))
+    once = sign.withColumn("_copy", F.when(F.col("full"), F.lit(1)).otherwise(F.row_number().over(W.partitionBy("request_id", "entity_path", "version").orderBy("_nth")))).filter("_copy = 1")
+    once = stored(numbered(once.drop("rnk"), [F.col("_nth")]))
+    totals = small_side(stored(once.groupBy("request_id").agg(F.count("*").alias("total"))))
+    page = once.filter((F.col("rnk") > F.col("page_offset")) & ((F.col("page_limit") == 0) | (F.col("rnk") <= F.col("page_offset") + F.col("page_limit")))).join(totals, "request_id")
+    page = page.withColumn("has_more", (F.col("page_limit") > 0) & (F.col("total") > F.col("page_offset") + F.col("page_limit")))
+    page = stored(page.select("request_id", "rnk", "entity_path", "version", "total", "has_more"))
+    return small_side(page).join(rows, ["entity_path", "version"])

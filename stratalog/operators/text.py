@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Accented letters and their plain ones (fixed values).
-ACCENTED, PLAIN = "àâäáãåçéèêëíìîïñóòôöõúùûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+from ..session import small_side
+
+#: Letters with a mark and without, of Latin script (fixed values).
+ACCENTED = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżž"
+PLAIN = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzz"
 
 
 def folded(text: Column) -> Column:
@@ -15,6 +18,19 @@ def folded(text: Column) -> Column:
     return F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
 
 
+def description_search(rows: DataFrame, requests: DataFrame, columns: tuple[str, ...] = ("name", "description")) -> DataFrame:
+    """``request_id`` and the rows of which one column holds the request's ``phrase``: consecutive words, accents and case aside.
+
+    Requests meet rows by the phrase's first word, so each text gives one row per distinct word; the rest of the phrase is checked in the join. A phrase without words matches nothing.
+    """
+    asked = requests.select("request_id", folded(F.col("phrase")).alias("_f")).filter(F.length("_f") > 2).withColumn("_w", F.split("_f", " ")[1])
+    texts = F.array(*[folded(F.coalesce(c, F.lit(""))) for c in columns])
+    named = rows.withColumn("_t", texts)
+    words = F.array_distinct(F.filter(F.split(F.array_join("_t", " "), " +"), lambda w: w != ""))
+    hits = named.withColumn("_key", F.explode(words)).join(small_side(asked), (F.col("_key") == F.col("_w")) & F.exists("_t", lambda t: F.contains(t, F.col("_f"))))
+    return hits.drop("_t", "_key", "_w", "_f")
+
+
 def phrase_search(docs: DataFrame, phrases: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(phrase, doc_id) of documents with the phrase, for a list of phrases in one pass. A phrase without words matches nothing."""
     norm = docs.select(F.col(id_col).alias("doc_id"), folded(F.col(text_col)).alias("t"))

@@ -6,31 +6,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
-from ..operators import bloom, fold, gate, history, ledger, search, text
+from ..operators import fold, gate, history, ledger, search, text
 from ..sources import adapters
 from ..sources.adapters import INT, LEDGER, OBS, observations, table
+from ..session import stored
+from . import ingest, searches
+from .searches import iv
 
 ENDS = ["entity_path", "version", "first_date", "first_commit", "last_date", "last_commit", "source_path"]
 REQUESTS = [(1, "blue", None), (2, "small", "2."), (3, "standard", "1.2"), (4, "ECONOMY", "0.3.1"), (5, "nosuch", "1"), (6, "medium", "3.9")]
 PHRASES = ["the of", "le la", "de la", "Été", "und die"]
 NOW = "2002-01-15 00:00:00"
-BITS, HASHES = bloom.shape(2000)
 
 
 def obs(spark: SparkSession, d: str) -> DataFrame:
     return observations(spark, d)
 
 
-def iv(spark: SparkSession, d: str) -> DataFrame:
-    return fold.fold(observations(spark, d))
-
-
 def asked(spark: SparkSession, versions: bool) -> DataFrame:
     return spark.createDataFrame([r for r in REQUESTS if bool(r[2]) == versions or not versions], "request_id bigint, q string, version string")
 
 
 def fold_intervals(spark, d):
-    return iv(spark, d).select(*ENDS, "description", "license_raw", "advisories_raw", "depth")
+    return fold.fold(obs(spark, d)).select(*ENDS, "description", "license_raw", "advisories_raw", "depth")
 
 
 def merge_late_batch(spark, d):
@@ -63,7 +61,7 @@ def part_requests(spark, d):
 
 
 def exact_requests(spark, d):
-    """Those of every thirtieth part."""
+    """Those of every thirtieth part; the queries that end in ``_all`` ask for all parts."""
     return part_requests(spark, d).filter("request_id % 3 = 0 and request_id % 10 = 0")
 
 
@@ -72,7 +70,7 @@ def search_exact(spark, d):
 
 
 def search_exact_version(spark, d):
-    return search.ranked(search.with_version(search.exact_join(iv(spark, d), exact_requests(spark, d))), "first_date", None).select("request_id", "rnk", "entity_path", "version", "first_date")
+    return search.ranked(search.with_version(search.exact_join(iv(spark, d), exact_requests(spark, d))), "last_date", None).select("request_id", "rnk", "entity_path", "version", "last_date")
 
 
 def search_exact_all(spark, d):
@@ -80,7 +78,7 @@ def search_exact_all(spark, d):
 
 
 def search_exact_version_all(spark, d):
-    return search.ranked(search.with_version(search.exact_join(iv(spark, d), part_requests(spark, d))), "first_date", None).select("request_id", "rnk", "entity_path", "version", "first_date")
+    return search.ranked(search.with_version(search.exact_join(iv(spark, d), part_requests(spark, d))), "last_date", None).select("request_id", "rnk", "entity_path", "version", "last_date")
 
 
 def search_all_depths(spark, d):
@@ -95,10 +93,6 @@ def search_resolution(spark, d):
     return search.resolution(iv(spark, d), asked(spark, True))
 
 
-def suggest_versions(spark, d):
-    return search.suggest(iv(spark, d), asked(spark, True))
-
-
 def search_license_filtered(spark, d):
     found = search.licensed(search.prefix_search(iv(spark, d), asked(spark, False).filter("request_id = 1")), F.lit("mit"))
     return search.page(search.sorted_by(found, "date"), 100, 20).select("rnk", "entity_path", "version", "last_date", "total", "has_more")
@@ -170,8 +164,25 @@ def snapshot_counts(spark, d):
     return gate.counts(obs(spark, d))
 
 
+def gate_tables(spark):
+    """Floors and sentinels that fit the sizes and paths of the given tables."""
+    floors = gate.floor_ladder(spark, {"bare": ((1993, 20), (None, 30)), "envelope": ((1999, 30), (2000, 40), (None, 60))})
+    return floors, gate.sentinels(spark, (("blue", "^blue", None), ("brand", "^economy.*[.]Brand_11[.]", "1997-03-01"), ("never", "^nowhere$", "2001-10-15")))
+
+
+def verdicts(spark, d):
+    o = obs(spark, d)
+    floors, due = gate_tables(spark)
+    return gate.judged(gate.counts(o), floors, gate.missing_sentinels(o, due))
+
+
+def missing_sentinels(spark, d):
+    return gate.missing_sentinels(obs(spark, d), gate_tables(spark)[1])
+
+
 def births_deaths(spark, d):
-    return gate.births_deaths(obs(spark, d))
+    """Between accepted snapshots of one era."""
+    return gate.births_deaths(obs(spark, d), stored(verdicts(spark, d)))
 
 
 def rolling_baseline(spark, d):
@@ -179,12 +190,11 @@ def rolling_baseline(spark, d):
 
 
 def gate_results(spark, d):
-    return gate.judged(gate.counts(obs(spark, d)))
+    return verdicts(spark, d).withColumns({c: F.array_join(c, "; ") for c in ("failures", "warnings")})
 
 
 def gated_fold(spark, d):
-    o = obs(spark, d)
-    return fold.fold(gate.accepted(o, gate.judged(gate.counts(o)))).select(*ENDS)
+    return fold.fold(gate.accepted(obs(spark, d), verdicts(spark, d))).select(*ENDS)
 
 
 def json_array_decode(spark, d):
@@ -199,11 +209,6 @@ def split_path(spark, d):
     return obs(spark, d).select("entity_path").distinct().select("entity_path", E.depth(F.col("entity_path")).alias("depth"), F.array_join(E.path_segments(F.col("entity_path")), "/").alias("segments"), E.leaf(F.col("entity_path")).alias("leaf"))
 
 
-def usage_command(spark, d):
-    bad = E.insecure(F.col("advisories_raw"))
-    return iv(spark, d).select("entity_path", "version", bad.alias("insecure"), E.usage_command(F.col("entity_path"), F.col("last_commit"), F.col("last_date"), bad).alias("command"))
-
-
 def history_export(spark, d):
     return iv(spark, d).select("entity_path", "version", F.date_format("first_date", "yyyy-MM-dd").alias("first_seen"), F.date_format("last_date", "yyyy-MM-dd").alias("last_seen"), E.short_hash(F.col("first_commit")).alias("first_hash"), E.short_hash(F.col("last_commit")).alias("last_hash"), F.coalesce("source_path", F.lit("-")).alias("source"))
 
@@ -238,12 +243,6 @@ def phrase_search(spark, d):
     return text.phrase_search(table(spark, d, "documents"), PHRASES)
 
 
-def bloom_probe(spark, d):
-    paths = obs(spark, d).select("entity_path").distinct()
-    names = table(spark, d, "part").select(F.replace("p_name", F.lit(" "), F.lit("-")).alias("n"))
-    return bloom.probe(bloom.build(paths, "entity_path", BITS, HASHES), names, "n", BITS, HASHES)
-
-
 def latency_percentiles(spark, d):
     return history.latency_percentiles(table(spark, d, "events").filter("event_type <> 'error'"), "event_type", "value", "ts")
 
@@ -252,11 +251,11 @@ def activity_minutes(spark, d):
     return history.activity(table(spark, d, "events"), "ts")
 
 
-QUERIES = (fold_intervals, merge_late_batch, dedupe_intervals, dedupe_stats, search_prefix_top, search_exact, search_exact_version, search_all_depths, search_shallowest_version, search_resolution, suggest_versions, search_license_filtered, search_sorted_semver, tiered_lookup, complete_prefix, distinct_paths, version_history, first_last_occurrence, index_stats, timeline_extent, platforms_by_os, channel_coverage, unsettled_holes, retry_worklist, order_coverage, snapshot_counts, births_deaths, rolling_baseline, gate_results, gated_fold, json_array_decode, normalize_license, split_path, usage_command, history_export, snapshot_delta, run_report, phrase_search, bloom_probe, latency_percentiles, activity_minutes, search_exact_all, search_exact_version_all, tiered_lookup_all, snapshot_delta_all)
+QUERIES = (fold_intervals, merge_late_batch, dedupe_intervals, dedupe_stats, search_prefix_top, search_exact, search_exact_version, search_all_depths, search_shallowest_version, search_resolution, search_license_filtered, search_sorted_semver, tiered_lookup, complete_prefix, distinct_paths, version_history, first_last_occurrence, index_stats, timeline_extent, platforms_by_os, channel_coverage, unsettled_holes, retry_worklist, order_coverage, snapshot_counts, missing_sentinels, births_deaths, rolling_baseline, gate_results, gated_fold, json_array_decode, normalize_license, split_path, history_export, snapshot_delta, run_report, phrase_search, latency_percentiles, activity_minutes, search_exact_all, search_exact_version_all, tiered_lookup_all, snapshot_delta_all)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in QUERIES}
+    return {f.__name__: f for f in (*QUERIES, *searches.QUERIES, *ingest.QUERIES)}
 
 
 LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -266,16 +265,22 @@ EXACT = "rq AS (SELECT p_partkey AS request_id, replace(p_name, ' ', '-') AS q,
 RANK = "CAST(row_number() OVER (PARTITION BY request_id ORDER BY depth, {} DESC, entity_path, version) AS BIGINT) AS rnk"
 BLUE = f"b AS (SELECT 1 AS request_id, * FROM iv WHERE starts_with({LOW.format('entity_path')}, 'blue')), r AS (SELECT *, {RANK.format('last_date')} FROM b), top AS (SELECT * FROM r WHERE rnk <= 5000)"
 PER = OBS + ", pc AS (SELECT channel, entity_path, version, min(snapshot_date) AS first_date, arg_min(commit_hash, ord) AS first_commit, max(snapshot_date) AS last_date, arg_max(commit_hash, ord) AS last_commit, min(description) AS description FROM obs GROUP BY ALL), dd AS (SELECT entity_path, version, min(first_date) AS first_date, arg_min(first_commit, row(first_date, channel)) AS first_commit, max(last_date) AS last_date, arg_max(last_commit, row(last_date, channel)) AS last_commit, arg_min(description, row(first_date, channel)) AS description, count(*) AS n_rows FROM pc GROUP BY ALL)"
-COUNTS = OBS + ", cnt AS (SELECT channel, snapshot_date, count(DISTINCT (entity_path, version)) AS n_entries, count(DISTINCT entity_path) AS n_paths FROM obs GROUP BY ALL)"
-JUDGED = COUNTS.replace("j AS", "RECURSIVE j AS", 1) + """, sn AS (SELECT channel, snapshot_date, n_entries, row_number() OVER (PARTITION BY channel ORDER BY snapshot_date) AS n FROM cnt),
-st AS (SELECT channel, snapshot_date, n_entries, n, CAST(NULL AS BIGINT) AS baseline, 'pass' AS verdict, [n_entries] AS recent FROM sn WHERE n = 1
-  UNION ALL SELECT channel, snapshot_date, n_entries, n, base, verdict, CASE WHEN verdict LIKE 'fail%' THEN recent ELSE list_append(recent, n_entries)[-10:] END FROM (
-    SELECT *, CASE WHEN n_entries < CAST(trunc(base * 0.70) AS BIGINT) THEN 'fail: baseline' WHEN n_entries < CAST(trunc(base * 0.90) AS BIGINT) THEN 'warn' ELSE 'pass' END AS verdict
-    FROM (SELECT sn.channel, sn.snapshot_date, sn.n_entries, sn.n, list_max(st.recent) AS base, st.recent FROM st JOIN sn ON sn.channel = st.channel AND sn.n = st.n + 1)))"""
+COUNTS = OBS + ", cnt AS (SELECT channel, era, snapshot_date, count(*) AS n_rows, count(DISTINCT (entity_path, version)) AS n_entries, count(DISTINCT entity_path) AS n_paths FROM obs GROUP BY ALL)"
+MISSED = """due(label, pattern, since) AS (VALUES ('blue', '^blue', NULL), ('brand', '^economy.*[.]Brand_11[.]', DATE '1997-03-01'), ('never', '^nowhere$', DATE '2001-10-15')),
+missed AS (SELECT channel, era, snapshot_date, label FROM (SELECT DISTINCT channel, era, snapshot_date FROM obs) o, due WHERE (since IS NULL OR snapshot_date >= since)
+  AND NOT EXISTS (SELECT 1 FROM obs b WHERE b.channel = o.channel AND b.snapshot_date = o.snapshot_date AND regexp_matches(b.entity_path, pattern)))"""
+STEPS = """floors(era, y1, y2, floor) AS (VALUES ('bare', 0, 1993, 20), ('bare', 1994, 9999, 30), ('envelope', 0, 1999, 30), ('envelope', 2000, 2000, 40), ('envelope', 2001, 9999, 60)),
+why AS (SELECT channel, cnt.era, snapshot_date, 'count ' || n_entries || ' under floor ' || floor AS why FROM cnt JOIN floors ON cnt.era = floors.era AND year(snapshot_date) BETWEEN y1 AND y2 AND n_entries < floor UNION ALL SELECT channel, era, snapshot_date, 'sentinel missing: ' || label FROM missed),
+sn AS (SELECT cnt.channel, cnt.era, cnt.snapshot_date, n_entries, coalesce(pre, []) AS pre, row_number() OVER (PARTITION BY cnt.channel, cnt.era ORDER BY cnt.snapshot_date) AS n FROM cnt LEFT JOIN (SELECT channel, era, snapshot_date, list(why) AS pre FROM why GROUP BY ALL) USING (channel, era, snapshot_date)),
+st AS (SELECT channel, era, snapshot_date, n_entries, n, CAST(NULL AS BIGINT) AS baseline, list_sort(pre) AS failures, CAST([] AS VARCHAR[]) AS warnings, CASE WHEN len(pre) > 0 THEN CAST([] AS BIGINT[]) ELSE [n_entries] END AS recent FROM sn WHERE n = 1
+  UNION ALL SELECT channel, era, snapshot_date, n_entries, n, base, failures, CASE WHEN NOT low AND n_entries < CAST(trunc(base * 0.90::DOUBLE) AS BIGINT) THEN ['count ' || n_entries || ' under 90% of ' || base] ELSE [] END, CASE WHEN len(failures) > 0 THEN recent ELSE list_append(recent, n_entries)[-10:] END FROM (
+    SELECT *, list_sort(CASE WHEN low THEN list_append(pre, 'count ' || n_entries || ' under 70% of ' || base) ELSE pre END) AS failures FROM (
+      SELECT *, coalesce(n_entries < CAST(trunc(base * 0.70::DOUBLE) AS BIGINT), false) AS low
+      FROM (SELECT sn.channel, sn.era, sn.snapshot_date, sn.n_entries, sn.pre, sn.n, list_max(st.recent) AS base, st.recent FROM st JOIN sn ON sn.channel = st.channel AND sn.era = st.era AND sn.n = st.n + 1))))"""
+JUDGED = COUNTS.replace("j AS", "RECURSIVE j AS", 1) + ", " + MISSED + ", " + STEPS
 OUT = "entity_path, version, first_date, first_commit, last_date, last_commit, source_path"
 FOLD = "SELECT entity_path, version, min(snapshot_date) AS first_date, arg_min(commit_hash, ord) AS first_commit, max(snapshot_date) AS last_date, arg_max(commit_hash, ord) AS last_commit, arg_max(source_path, ord) FILTER (source_path IS NOT NULL) AS source_path FROM {} GROUP BY entity_path, version"
 PLAIN = "' ' || array_to_string(list_filter(regexp_split_to_array(strip_accents(lower({})), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''), ' ') || ' '"
-BIT = f"CAST(CAST('0x' || substr(md5(i || '|' || {{}}), 1, 7) AS BIGINT) % {BITS} AS BIGINT)"
 ORACLE = {
     "fold_intervals": f"WITH {INT} SELECT {OUT}, description, license_raw, advisories_raw, depth FROM iv",
     "merge_late_batch": f"WITH {INT} SELECT {OUT} FROM iv",
@@ -283,7 +288,7 @@ ORACLE = {
     "dedupe_stats": f"WITH {PER} SELECT count(*) AS n_groups, count(*) FILTER (n_rows > 1) AS groups_with_duplicates, CAST(sum(n_rows) AS BIGINT) AS rows_before, count(*) AS rows_after, count(*) FILTER (n_rows > 1) AS rows_updated, CAST(sum(n_rows) - count(*) AS BIGINT) AS rows_deleted FROM dd",
     "search_prefix_top": f"WITH {INT}, {BLUE} SELECT CAST(1 AS BIGINT) AS request_id, rnk, entity_path, version, depth, last_date, (SELECT count(*) FROM top) AS total, (SELECT count(*) FROM top) > 50 AS has_more FROM top WHERE rnk <= 50",
     "search_exact": f"WITH {INT}, {EXACT} SELECT request_id, {RANK.format('last_date')}, entity_path, version, last_date FROM iv JOIN rq ON entity_path = q",
-    "search_exact_version": f"WITH {INT}, {EXACT} SELECT request_id, {RANK.format('first_date')}, entity_path, version, first_date FROM iv JOIN rq ON entity_path = q WHERE starts_with(version, want)",
+    "search_exact_version": f"WITH {INT}, {EXACT} SELECT request_id, {RANK.format('last_date')}, entity_path, version, last_date FROM iv JOIN rq ON entity_path = q WHERE starts_with(version, want)",
     "search_all_depths": f"WITH {INT}, {ASKED}, {MATCH} SELECT CAST(request_id AS BIGINT) AS request_id, {RANK.format('first_date')}, entity_path, version, depth, first_date FROM found WHERE starts_with(version, want)",
     "search_shallowest_version": f"WITH {INT}, {ASKED}, {MATCH}, s AS (SELECT *, min(depth) OVER (PARTITION BY request_id) AS least FROM found) SELECT CAST(request_id AS BIGINT) AS request_id, {RANK.format('first_date')}, entity_path, version, depth, first_date FROM s WHERE depth = least AND starts_with(version, want)",
     "search_resolution": f"WITH {INT}, {ASKED}, {MATCH}, s AS (SELECT *, min(depth) OVER (PARTITION BY request_id) AS least, starts_with(version, want) AS hit FROM found), g AS (SELECT request_id, min(least) AS scope_depth, count(*) FILTER (hit AND depth = least) AS hits, bool_or(hit AND depth > least) AS deeper FROM s GROUP BY request_id) SELECT CAST(rq.request_id AS BIGINT) AS request_id, scope_depth, coalesce(hits, 0) AS hits, coalesce(deeper, false) AS deeper, CASE WHEN hits > 0 THEN 'found' WHEN deeper THEN 'deeper only' WHEN scope_depth IS NOT NULL THEN 'version missing' ELSE 'unknown' END AS outcome FROM rq LEFT JOIN g USING (request_id)",
@@ -302,16 +307,17 @@ ORACLE = {
     "retry_worklist": f"WITH {LEDGER} SELECT channel, release_name, status, attempts FROM ledger WHERE status = 'pending' OR status = 'failed' AND last_attempt_at + to_seconds(3600 * CAST(pow(2, least(greatest(attempts - 1, 0), 16)) AS INT)) <= TIMESTAMP '{NOW}'",
     "order_coverage": "WITH o AS (SELECT o_orderpriority AS channel, lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS release_name, o_orderdate AS release_date, CASE o_orderstatus WHEN 'F' THEN 'ingested' WHEN 'O' THEN 'failed' ELSE 'pending' END AS status FROM orders) SELECT channel, count(*) FILTER (status = 'pending') AS n_pending, count(*) FILTER (status = 'ingested') AS n_ingested, count(*) FILTER (status = 'failed') AS n_failed, count(*) FILTER (status = 'skipped') AS n_skipped, arg_max(release_name, row(release_date, release_name)) FILTER (status = 'ingested') AS newest_name, max(release_date) FILTER (status = 'ingested') AS newest_date FROM o GROUP BY channel",
     "snapshot_counts": f"WITH {COUNTS} SELECT * FROM cnt",
-    "births_deaths": f"""WITH {OBS}, p AS (SELECT DISTINCT channel, snapshot_date, entity_path FROM obs), o AS (SELECT channel, snapshot_date, row_number() OVER (PARTITION BY channel ORDER BY snapshot_date) AS n FROM (SELECT DISTINCT channel, snapshot_date FROM p)),
-      pn AS (SELECT channel, n, entity_path FROM p JOIN o USING (channel, snapshot_date)),
+    "births_deaths": f"""WITH {JUDGED}, ok AS (SELECT channel, era, snapshot_date, row_number() OVER (PARTITION BY channel ORDER BY snapshot_date) AS n, lag(era) OVER (PARTITION BY channel ORDER BY snapshot_date) = era AS same FROM st WHERE len(failures) = 0),
+      pn AS (SELECT DISTINCT channel, n, entity_path FROM obs JOIN ok USING (channel, era, snapshot_date)),
       born AS (SELECT channel, n, count(*) AS births, array_to_string(list_sort(list(entity_path))[1:8], ',') AS born FROM pn a WHERE n > 1 AND NOT EXISTS (SELECT 1 FROM pn b WHERE b.channel = a.channel AND b.n = a.n - 1 AND b.entity_path = a.entity_path) GROUP BY ALL),
       died AS (SELECT channel, n + 1 AS n, count(*) AS deaths, array_to_string(list_sort(list(entity_path))[1:8], ',') AS died FROM pn a WHERE NOT EXISTS (SELECT 1 FROM pn b WHERE b.channel = a.channel AND b.n = a.n + 1 AND b.entity_path = a.entity_path) GROUP BY channel, n),
       prev AS (SELECT channel, n + 1 AS n, count(*) AS previous FROM pn GROUP BY channel, n)
-      SELECT channel, snapshot_date, coalesce(births, 0) AS births, coalesce(deaths, 0) AS deaths, coalesce(born, '') AS born, coalesce(died, '') AS died, coalesce(deaths, 0) > greatest(CAST(trunc(previous * 0.05) AS BIGINT), 50) AS warn
-      FROM o LEFT JOIN born USING (channel, n) LEFT JOIN died USING (channel, n) JOIN prev USING (channel, n) WHERE n > 1""",
+      SELECT channel, era, snapshot_date, coalesce(births, 0) AS births, coalesce(deaths, 0) AS deaths, coalesce(born, '') AS born, coalesce(died, '') AS died, coalesce(deaths, 0) > greatest(CAST(trunc(previous * 0.05::DOUBLE) AS BIGINT), 50) AS warn
+      FROM ok LEFT JOIN born USING (channel, n) LEFT JOIN died USING (channel, n) JOIN prev USING (channel, n) WHERE n > 1 AND same""",
+    "missing_sentinels": f"WITH {OBS}, {MISSED} SELECT * FROM missed",
     "rolling_baseline": f"WITH {COUNTS} SELECT channel, snapshot_date, n_entries, max(n_entries) OVER (PARTITION BY channel ORDER BY snapshot_date ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS baseline FROM cnt",
-    "gate_results": f"WITH {JUDGED} SELECT channel, snapshot_date, n_entries, baseline, verdict FROM st",
-    "gated_fold": f"WITH {JUDGED}, ok AS (SELECT obs.* FROM obs JOIN st USING (channel, snapshot_date) WHERE verdict NOT LIKE 'fail%') {FOLD.format('ok')}",
+    "gate_results": f"WITH {JUDGED} SELECT channel, era, snapshot_date, n_entries, baseline, array_to_string(failures, '; ') AS failures, array_to_string(warnings, '; ') AS warnings, CASE WHEN len(failures) > 0 THEN 'fail' WHEN len(warnings) > 0 THEN 'warn' ELSE 'pass' END AS verdict FROM st",
+    "gated_fold": f"WITH {JUDGED}, ok AS (SELECT obs.* FROM obs JOIN st USING (channel, era, snapshot_date) WHERE len(failures) = 0) {FOLD.format('ok')}",
     "json_array_decode": f"WITH {OBS}, d AS (SELECT DISTINCT advisories_raw, platforms_raw FROM obs) SELECT advisories_raw, coalesce(platforms_raw, '') AS platforms_raw, CASE WHEN advisories_raw = '[]' THEN '-' ELSE regexp_extract(advisories_raw, '\"(.*)\"', 1) END AS advisories, CASE WHEN platforms_raw IS NULL THEN '-' WHEN platforms_raw LIKE '%darwin%' THEN 'x86_64-linux, aarch64-darwin' ELSE 'x86_64-linux' END AS platforms, advisories_raw <> '[]' AS insecure FROM d",
     "normalize_license": f"WITH {OBS} SELECT license_raw, count(*) AS n, CASE license_raw WHEN '{{\"spdxId\":\"MIT\"}}' THEN 'MIT' WHEN '\"Apache-2.0\"' THEN 'Apache-2.0' WHEN '[]' THEN NULL ELSE 'BSD+mpl' END AS license FROM obs GROUP BY license_raw",
     "split_path": f"WITH {OBS}, p AS (SELECT DISTINCT entity_path FROM obs) SELECT entity_path, length(entity_path) - length(replace(entity_path, '.', '')) AS depth, replace(entity_path, '.', '/') AS segments, string_split(entity_path, '.')[-1] AS leaf FROM p",
@@ -319,7 +325,6 @@ ORACLE = {
     "snapshot_delta": f"WITH {OBS}, a AS ({FOLD.format('(SELECT * FROM obs WHERE snapshot_date < DATE ' + chr(39) + '1996-01-01' + chr(39) + ')')}), b AS ({FOLD.format('(SELECT * FROM obs WHERE snapshot_date >= DATE ' + chr(39) + '1996-01-01' + chr(39) + ' AND snapshot_date < DATE ' + chr(39) + '1996-04-01' + chr(39) + ')')}) SELECT entity_path, version, coalesce(b.last_date, a.last_date) AS last_date, coalesce(b.last_commit, a.last_commit) AS last_commit FROM a FULL JOIN b USING (entity_path, version)",
     "run_report": f"WITH {OBS}, {LEDGER}, s AS (SELECT count(*) AS planned, count(*) FILTER (status = 'ingested') AS ingested, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped, max(release_date) FILTER (status = 'ingested') AS newest FROM ledger), t AS (SELECT *, (SELECT count(DISTINCT entity_path) FROM obs) AS n_paths, (SELECT count(DISTINCT (entity_path, version)) FROM obs) AS n_intervals, date_diff('hour', newest, TIMESTAMP '{NOW}') AS lag_hours FROM s) SELECT *, failed = 0 AND lag_hours <= 72 AS healthy FROM t",
     "phrase_search": "WITH p(phrase) AS (VALUES ('the of'), ('le la'), ('de la'), ('Été'), ('und die')) SELECT phrase, doc_id FROM (SELECT doc_id, " + PLAIN.format("text") + " AS t FROM documents) JOIN (SELECT phrase, " + PLAIN.format("phrase") + " AS f FROM p) ON contains(t, f)",
-    "bloom_probe": f"WITH {OBS}, p AS (SELECT DISTINCT entity_path FROM obs), h AS (SELECT unnest(range(0, {HASHES})) AS i), bits AS (SELECT DISTINCT {BIT.format('entity_path')} AS bit FROM p, h), k AS (SELECT DISTINCT replace(p_name, ' ', '-') AS key FROM part) SELECT key, bool_and({BIT.format('key')} IN (SELECT bit FROM bits)) AS maybe FROM k, h GROUP BY key",
     "latency_percentiles": "WITH a AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, value DESC) AS k FROM events WHERE event_type <> 'error'), r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM a WHERE k <= 1024) SELECT event_type, max(n) AS n, max(value) FILTER (i = round((n - 1) * 0.5)) AS p50, max(value) FILTER (i = round((n - 1) * 0.95)) AS p95, max(value) FILTER (i = round((n - 1) * 0.99)) AS p99 FROM r GROUP BY event_type",
     "activity_minutes": "WITH m AS (SELECT date_trunc('minute', ts) AS minute, count(*) AS c FROM events GROUP BY 1), s AS (SELECT unnest(generate_series(max(minute) - INTERVAL 29 MINUTE, max(minute), INTERVAL 1 MINUTE)) AS minute FROM m) SELECT CAST(minute AS TIMESTAMP) AS minute, coalesce(c, 0) AS n_events FROM s LEFT JOIN m USING (minute)",
 }
@@ -334,4 +339,4 @@ ORACLE |= {
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return ORACLE | searches.ORACLE | ingest.ORACLE

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SHIPPED: set[str] = set()
 #: Bytes of an Arrow batch: texts have any length, so a number of rows alone doesn't bound what a Python worker holds.
@@ -31,3 +33,26 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(path)
         SHIPPED.add(app)
     return spark
+
+
+def small_side(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """Broadcast a short dimension or request table after counting its rows; beyond ``most`` Spark joins by shuffle, with the same result."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share; a local one is made only where none is set and all tasks run in this process."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` once in the shared folder and read it back, where several steps or lost executors would compute it anew."""
+    path = f"{shared_dir(df.sparkSession)}/stratalog-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

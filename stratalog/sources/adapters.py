@@ -10,6 +10,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The month from which snapshots stand for the newer form.
+ENVELOPES = "1996-01-01"
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per line item: a dotted path seen at a version in a channel's monthly snapshot; ``ord`` is a total order."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand", "p_size")
@@ -20,7 +24,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.select("*", path.alias("entity_path"), F.concat_ws(".", F.col("p_size") % 4, F.col("l_suppkey") % 7, "l_linenumber").alias("version"), F.col("l_linestatus").alias("channel"), month.alias("snapshot_date"))
     quarter, third = F.col("l_partkey") % 4, F.col("p_size") % 3
     return rows.select(
-        "entity_path", "version", "channel", "snapshot_date",
+        "entity_path", "version", "channel", "snapshot_date", F.when(F.col("snapshot_date") < F.lit(ENVELOPES).cast("timestamp_ntz"), "bare").otherwise("envelope").alias("era"),
         F.md5(F.concat("channel", F.lit("|"), F.date_format("snapshot_date", "yyyy-MM"))).alias("commit_hash"),
         F.element_at(F.split("entity_path", r"\."), -1).alias("name"),
         F.concat("p_name", F.lit(" "), F.lower("p_type")).alias("description"),
@@ -45,7 +49,7 @@ j AS (SELECT *, CASE l_partkey % 3 WHEN 0 THEN replace(p_name, ' ', '-') WHEN 1
     ELSE lower(p_type) || 'Packages.' || replace(p_brand, '#', '_') || '.' || replace(p_name, ' ', '-') END AS entity_path,
     concat_ws('.', p_size % 4, l_suppkey % 7, l_linenumber) AS version, l_linestatus AS channel, CAST(date_trunc('month', l_shipdate) AS TIMESTAMP) AS snapshot_date
   FROM lineitem JOIN part ON l_partkey = p_partkey),
-obs AS (SELECT entity_path, version, channel, snapshot_date, md5(channel || '|' || strftime(snapshot_date, '%Y-%m')) AS commit_hash, string_split(entity_path, '.')[-1] AS name,
+obs AS (SELECT entity_path, version, channel, snapshot_date, md5(channel || '|' || strftime(snapshot_date, '%Y-%m')) AS commit_hash, string_split(entity_path, '.')[-1] AS name, CASE WHEN snapshot_date < TIMESTAMP '1996-01-01' THEN 'bare' ELSE 'envelope' END AS era,
     p_name || ' ' || lower(p_type) AS description,
     CASE l_partkey % 4 WHEN 0 THEN '{"spdxId":"MIT"}' WHEN 1 THEN '["BSD",{"shortName":"mpl"}]' WHEN 2 THEN '"Apache-2.0"' ELSE '[]' END AS license_raw,
     CASE WHEN l_suppkey % 10 = 0 THEN '["ADV-' || l_suppkey || '"]' ELSE '[]' END AS advisories_raw,

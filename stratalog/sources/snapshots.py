@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
+from ..operators.history import index_stats
 
 SCHEMA_VERSION, LEAST_READABLE = 4, 4
 
 
-def read_envelopes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_envelopes(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
     """Documents ``{"version": 2, "packages": {path: entry}}``: (file, raw_path, entry) rows, and rejected files.
 
     A document that is malformed or of another version gives no rows at all. One document is one row, so files should be of modest size.
@@ -21,10 +24,10 @@ def read_envelopes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return rows, docs.filter(~F.coalesce(good, F.lit(False))).select("file")
 
 
-def read_bare(spark: SparkSession, path: str) -> DataFrame:
-    """Documents ``{path: entry}`` of the older form."""
-    docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", "map<string,variant>").alias("d"))
-    return docs.select("file", F.explode("d").alias("raw_path", "entry"))
+def read_bare(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """Documents ``{path: entry}`` of the older form: rows and rejected files, as above."""
+    docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.try_variant_get(F.try_parse_json("value"), "$", "map<string,variant>").alias("d"))
+    return docs.filter("d is not null").select("file", F.explode("d").alias("raw_path", "entry")), docs.filter("d is null").select("file")
 
 
 def normalize(entries: DataFrame) -> DataFrame:
@@ -34,34 +37,122 @@ def normalize(entries: DataFrame) -> DataFrame:
     parts = E.path_segments(F.col("raw_path"))
     derived = F.nullif(F.regexp_extract(s("name"), r"^(.*?)-[0-9]", 1), F.lit(""))
     name = F.when(F.size(parts) > 1, F.element_at(parts, -1)).otherwise(F.coalesce(s("pname"), derived, F.element_at(parts, -1)))
-    out = entries.select("file", F.array_join(parts, ".").alias("entity_path"), name.alias("name"), E.version_of(s("name"), s("version")).alias("version"), s("meta.description").alias("description"), E.homepage(at("meta.homepage")).alias("homepage"), E.licenses(at("meta.license")).alias("license"), E.maintainers(at("meta.maintainers")).alias("maintainers"), E.platforms(at("meta.platforms")).alias("platforms"), E.source_path(s("meta.position")).alias("source_path"), F.try_variant_get("entry", "$.meta.knownVulnerabilities", "array<string>").alias("advisories"))
+    out = entries.select("file", F.array_join(parts, ".").alias("entity_path"), name.alias("name"), E.version_of(s("name"), s("version")).alias("version"), s("meta.description").alias("description"), E.homepage(at("meta.homepage")).alias("homepage"), E.licenses(at("meta.license")).alias("license"), E.maintainers(at("meta.maintainers")).alias("maintainers"), E.platforms(at("meta.platforms")).alias("platforms"), E.source_path(s("meta.position")).alias("source_path"), F.when(F.size(F.try_variant_get("entry", "$.meta.knownVulnerabilities", "array<string>")) > 0, F.try_variant_get("entry", "$.meta.knownVulnerabilities", "array<string>")).alias("advisories"))
     return out.filter("version is not null")
 
 
-def list_releases(spark: SparkSession, path: str) -> DataFrame:
-    """Names in an XML listing's common prefixes, without the prefix and the last slash; nested and empty ones are left out."""
+def list_releases(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
+    """Names in an XML listing's common prefixes, without the listing's prefix and the last slash; nested and empty ones are left out.
+
+    ``path`` may name many documents, one for each page of a listing.
+    """
     rows = spark.read.format("xml").option("rowTag", "CommonPrefixes").schema("Prefix string").load(path)
-    name = F.regexp_extract("Prefix", r"([^/]+)/$", 1)
-    return rows.select("Prefix", name.alias("release_name")).filter("release_name <> ''")
+    return under(rows.select("Prefix"), prefix).distinct()
 
 
-def publish(df: DataFrame, path: str, latest: str, least_readable: int = LEAST_READABLE) -> DataFrame:
-    """Write a dataset, and then its manifest of (file, size, sha256, schema_version, min_schema_version, latest)."""
-    if not LEAST_READABLE <= least_readable <= SCHEMA_VERSION:
-        raise ValueError(f"readers of schema {least_readable} can't be served by schema {SCHEMA_VERSION}")
-    df.write.mode("overwrite").parquet(f"{path}/data")
-    files = df.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{path}/data")
-    manifest = files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(least_readable).alias("min_schema_version"), F.lit(latest).alias("latest"))
-    manifest.write.mode("overwrite").json(f"{path}/manifest")
-    return df.sparkSession.read.json(f"{path}/manifest")
+def list_directory(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
+    """The same from a folder that is listed: the first folder below ``path/prefix`` of each file in it; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    inner = F.regexp_replace("path", r"^.*?" + re.escape(path.rstrip("/").rsplit("/", 1)[-1]) + "/", "")
+    first = F.concat(F.lit(prefix), F.split(F.substring(inner, len(prefix) + 1, 10_000), "/")[0], F.lit("/"))
+    return under(files.filter(F.startswith(inner, F.lit(prefix))).select(first.alias("Prefix")), prefix).distinct()
+
+
+def under(rows: DataFrame, prefix: str) -> DataFrame:
+    name = F.regexp_replace(F.substring("Prefix", len(prefix) + 1, 10_000), "/$", "")
+    return rows.filter(F.startswith("Prefix", F.lit(prefix))).select("Prefix", name.alias("release_name")).filter("release_name <> '' and not contains(release_name, '/')")
 
 
-def read_published(spark: SparkSession, path: str) -> DataFrame:
-    """The data of a published dataset; raises if it needs a newer reader."""
-    needs = spark.read.json(f"{path}/manifest").agg(F.max("min_schema_version")).first()[0]
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the published versions under ``path``, in order; a version counts once its manifest is complete."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v=*/manifest/_SUCCESS"))
+    return sorted(int(f.getPath().getParent().getParent().getName()[2:]) for f in found)
+
+
+def publish(tables: dict[str, DataFrame], path: str, latest: str, least_readable: int = LEAST_READABLE) -> DataFrame:
+    """Write a new version of a dataset: its tables first, and at last the manifest by which readers find it.
+
+    Nothing that is published is overwritten, so readers see the old version or the new one, whole; a run that ends early leaves a
+    version without manifest, which nobody reads. The manifest has (table, file, size, sha256, schema_version, min_schema_version, latest).
+    """
+    if not LEAST_READABLE <= least_readable <= SCHEMA_VERSION:
+        raise ValueError(f"readers of schema {least_readable} can't be served by schema {SCHEMA_VERSION}")
+    spark = next(iter(tables.values())).sparkSession
+    place = f"{path}/v={max(versions(spark, path), default=-1) + 1}"
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{place}/{name}")
+    files = None
+    for name in tables:
+        one = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{place}/{name}").select(F.lit(name).alias("table"), F.col("path").alias("file"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+        files = one if files is None else files.unionAll(one)
+    manifest = files.select("*", F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(least_readable).alias("min_schema_version"), F.lit(latest).alias("latest"))
+    manifest.write.mode("overwrite").json(f"{place}/manifest")
+    return spark.read.json(f"{place}/manifest")
+
+
+def drop_versions(spark: SparkSession, path: str, keep: int) -> None:
+    """Delete all but the newest ``keep`` versions."""
+    for n in versions(spark, path)[:-keep]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={n}")
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def newest(spark: SparkSession, path: str) -> str:
+    """The folder of the newest published version; raises if there is none, or if it needs a newer reader."""
+    found = versions(spark, path)
+    if not found:
+        raise ValueError(f"nothing is published under {path}")
+    place = f"{path}/v={found[-1]}"
+    needs = spark.read.json(f"{place}/manifest").agg(F.max("min_schema_version")).first()[0]
     if needs is None or needs > SCHEMA_VERSION:
         raise ValueError(f"dataset needs schema {needs}, this reader has {SCHEMA_VERSION}")
-    return spark.read.parquet(f"{path}/data")
+    return place
+
+
+#: Columns of stored intervals; those of OPTIONAL need not be there and are null then.
+INTERVALS = "entity_path string, version string, first_date timestamp_ntz, first_commit string, last_date timestamp_ntz, last_commit string, name string, description string, license_raw string, depth bigint"
+OPTIONAL = "advisories_raw string, platforms_raw string, source_path string"
+
+
+def read_published(spark: SparkSession, path: str, name: str = "intervals") -> DataFrame:
+    """A table of the newest published version."""
+    return spark.read.parquet(f"{newest(spark, path)}/{name}")
+
+
+def read_intervals(spark: SparkSession, path: str) -> DataFrame:
+    """Stored intervals with a fixed schema: optional columns that are not stored are null, dates in epoch seconds become UTC timestamps."""
+    rows = read_published(spark, path)
+    kinds = dict(rows.dtypes)
+    for one in INTERVALS.split(", "):
+        if one.split()[0] not in kinds:
+            raise ValueError(f"stored intervals have no column {one.split()[0]}")
+    date = lambda c: F.timestamp_seconds(c).cast("timestamp_ntz") if kinds[c] in ("bigint", "int") else F.col(c)
+    out = []
+    for one in f"{INTERVALS}, {OPTIONAL}".split(", "):
+        c, kind = one.split()
+        out.append((date(c) if kind == "timestamp_ntz" else F.col(c) if c in kinds else F.lit(None)).cast(kind).alias(c))
+    return rows.select(*out)
+
+
+def lookup(pairs: DataFrame, key: str) -> str | None:
+    """The value of a key in a stored (key, value) table; null if it isn't there."""
+    found = pairs.filter(F.col("key") == key).select("value").first()
+    return found[0] if found else None
+
+
+def statistics(spark: SparkSession, path: str) -> DataFrame:
+    """Index statistics of the newest version: as stored with it, if its marker is the manifest's and no figure is missing; else counted anew."""
+    place = newest(spark, path)
+    marker = spark.read.json(f"{place}/manifest").agg(F.max("latest")).first()[0]
+    with_stats = [r.table for r in spark.read.json(f"{place}/manifest").select("table").distinct().collect()]
+    if "stats" in with_stats:
+        kept = spark.read.parquet(f"{place}/stats")
+        row = kept.first()
+        if row and row.marker == marker and None not in tuple(row):
+            return kept.drop("marker")
+    return index_stats(read_intervals(spark, path))
 
 
 def write_tsv(df: DataFrame, path: str) -> None:

@@ -1,38 +1,91 @@
-"""Incremental forms: fold of late data, per-minute counts, sliding latency percentiles."""
+"""Incremental forms: fold of late data, snapshot documents as they arrive, per-minute counts, sliding latency percentiles."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import fold
+from ..operators import fold, gate
+from ..plans import index_run
+from ..session import stored
+from ..sources import snapshots
 
 LAST = 1024
+MARKS = "channel string, era string, snapshot_date timestamp_ntz, n_entries bigint, status string, batch bigint"
 
 
-def fold_stream(obs: DataFrame, store: str, checkpoint: str):
-    """Fold a stream of observations into versioned bounds under ``store``; late rows are never dropped.
+def fold_stream(obs: DataFrame, store: str, checkpoint: str, gated: bool = False, floors: DataFrame | None = None):
+    """Fold a stream of observations into the bounds published under ``store``, together with a ledger of the snapshots seen.
 
-    Batch n writes ``store/v=n`` from the newest older version, so a repeated batch writes the same again.
+    Late rows are never dropped: bounds only widen. Each batch publishes bounds and ledger at once as a new version that names the batch, so a batch
+    that is repeated after a failure finds itself done. ``gated``: a batch's snapshots are judged in date order, with what
+    earlier batches accepted as baseline, whatever order their rows come in; a failed one writes no rows. A snapshot must lie in one batch whole then.
     """
 
     def merge(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        done = snapshots.versions(spark, store)
+        at = f"{store}/v={done[-1]}" if done else None
+        if at and int(spark.read.json(f"{at}/manifest").agg(F.max("latest")).first()[0]) >= n:
+            return
+        batch = stored(batch)
+        seen = spark.read.parquet(f"{at}/ledger") if at else spark.createDataFrame([], MARKS)
+        counts = batch.groupBy(*gate.SNAPSHOT).agg(F.count("*").alias("n_entries"))
+        status = F.lit("ingested")
+        if gated:
+            before = seen.filter("status = 'ingested'").select(*gate.SNAPSHOT, "n_entries")
+            judged = stored(gate.judged(before.unionByName(counts), floors).join(counts.select(*gate.SNAPSHOT), gate.SNAPSHOT, "left_semi"))
+            batch = gate.accepted(batch, judged)
+            counts, status = judged.select(*gate.SNAPSHOT, "n_entries", "verdict"), F.when(F.col("verdict") == "fail", "failed").otherwise("ingested")
+        marks = counts.select(*gate.SNAPSHOT, "n_entries", status.alias("status"), F.lit(n).cast("bigint").alias("batch"))
         new = fold.merge(fold.as_bounds(batch))
-        if n > 0:
-            new = fold.merge(batch.sparkSession.read.schema(new.schema).parquet(f"{store}/v={n - 1}").unionByName(new))
-        new.write.mode("overwrite").parquet(f"{store}/v={n}")
+        if at:
+            new = fold.merge(spark.read.parquet(f"{at}/bounds").unionByName(new))
+        snapshots.publish({"bounds": new, "ledger": seen.unionByName(marks)}, store, str(n))
+        snapshots.drop_versions(spark, store, keep=2)
 
     return obs.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def index_stream(spark: SparkSession, documents: str, listing: Callable[[], DataFrame], store: str, checkpoint: str, now: Column, **gates):
+    """Run the index for snapshot documents as they arrive in a folder; the ledger decides what is still to be done.
+
+    ``listing()`` gives the rows known at that time (see ``index_run.run``); of them a batch takes those whose documents have come.
+    """
+
+    def ingest(batch: DataFrame, n: int) -> None:
+        came = batch.select(F.regexp_extract("file", index_run.NAME, 1).alias("release_name")).distinct()
+        rows = listing().join(came, "release_name", "left_semi")
+        index_run.run(batch.sparkSession, rows, documents, store, now, **gates)
+
+    files = spark.readStream.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").load(documents).select(F.col("_metadata.file_path").alias("file"))
+    return files.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def activity_stream(events: DataFrame, ts: str = "ts", delay: str = "10 minutes") -> DataFrame:
     """Events per minute, complete once the watermark has passed."""
     timed = events.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", delay)
-    return timed.groupBy(F.window("_ts", "1 minute").alias("w")).agg(F.count("*").alias("n_events")).select(F.col("w.start").alias("minute"), "n_events")
+    return timed.groupBy(F.window("_ts", "1 minute").alias("w")).agg(F.count("*").alias("n_events")).select(F.col("w.start").cast("timestamp_ntz").alias("minute"), "n_events")
+
+
+def keep_counts(counts: DataFrame, store: str, checkpoint: str):
+    """Keep the counts of ``activity_stream`` under ``store``, a new version for each batch, with every minute's latest count."""
+
+    def write(batch: DataFrame, n: int) -> None:
+        snapshots.publish({"minutes": batch}, store, str(n))
+        snapshots.drop_versions(batch.sparkSession, store, keep=2)
+
+    return counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def dense(counts: DataFrame, minutes: int = 30) -> DataFrame:
+    """The last ``minutes`` minutes of per-minute counts up to the newest one, none left out."""
+    spine = counts.agg(F.max("minute").alias("end")).filter("end is not null").select(F.explode(F.sequence(F.col("end") - F.make_interval(mins=F.lit(minutes - 1)), F.col("end"), F.expr("interval 1 minute"))).alias("minute"))
+    return spine.join(counts, "minute", "left").select("minute", F.coalesce("n_events", F.lit(0)).alias("n_events"))
 
 
 def percentile(values: list[float], q: float) -> float:
@@ -40,15 +93,16 @@ def percentile(values: list[float], q: float) -> float:
     return sorted(values)[int((len(values) - 1) * q + 0.5)] if values else 0.0
 
 
-def latency_stream(events: DataFrame, key: str = "event_type", value: str = "value") -> DataFrame:
-    """Percentiles of each key's last LAST values, updated with every batch."""
+def latency_stream(events: DataFrame, key: str = "event_type", value: str = "value", ts: str = "ts") -> DataFrame:
+    """Percentiles of the LAST values of each key by time, updated with every batch."""
 
     def update(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
+        held = sorted(zip(*state.get, strict=True)) if state.exists else []
         for b in batches:
-            held = (held + b["value"].tolist())[-LAST:]
-        state.update((held,))
-        yield pd.DataFrame({"key": [k[0]], "n": [len(held)], "p50": [percentile(held, 0.5)], "p95": [percentile(held, 0.95)], "p99": [percentile(held, 0.99)]})
+            held = sorted([*held, *zip(b["at"].tolist(), b["value"].tolist(), strict=True)])[-LAST:]
+        state.update(([t for t, _ in held], [v for _, v in held]))
+        values = [v for _, v in held]
+        yield pd.DataFrame({"key": [k[0]], "n": [len(values)], "p50": [percentile(values, 0.5)], "p95": [percentile(values, 0.95)], "p99": [percentile(values, 0.99)]})
 
-    rows = events.select(F.col(key).alias("key"), F.col(value).cast("double").alias("value"))
-    return rows.groupBy("key").applyInPandasWithState(update, "key string, n long, p50 double, p95 double, p99 double", "held array<double>", "update", GroupStateTimeout.NoTimeout)
+    rows = events.select(F.col(key).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), F.col(value).cast("double").alias("value"))
+    return rows.groupBy("key").applyInPandasWithState(update, "key string, n long, p50 double, p95 double, p99 double", "at array<bigint>, held array<double>", "update", GroupStateTimeout.NoTimeout)
