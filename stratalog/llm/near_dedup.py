@@ -34,7 +34,7 @@ from .shingles import STEP, blocks, mix, shingle_set
 
 #: Most nodes of a bucket that gives all its pairs.
 SMALL = 16
-#: Shingles and buckets with more nodes than this are joined apart, dealt over ``SALTS`` keys.
+#: Shingles of more nodes than this are joined apart, and classes with more nodes of a shingle are dealt over ``SALTS`` keys.
 HOT, SALTS = 500, 16
 #: Number of MinHash values, rows a band, permutations that deal the values to bands.
 FIRST = (128, 5, 2)
@@ -180,7 +180,7 @@ def again(stuck: DataFrame, nodes: DataFrame, roots: DataFrame, docs: DataFrame,
     one of the first ``size - ceil(percent * size) + 1`` of both; where the first one shared stands tells how many can follow, and
     pairs for which that is too few are left out. Classes that share a shingle are paired first, by the best that any of their nodes could
     reach, and only pairs of classes that could reach the threshold are expanded to nodes: a dense class and a stranger cost one
-    pair per node of the class. Nodes of a frequent shingle are dealt over several keys.
+    pair per node of the class. Nodes of a class that has a shingle often are dealt over several keys.
     """
     wanted = stuck.join(nodes.select("node", "doc"), "node")
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(small_side(wanted.select(F.col("doc").alias("w")).distinct(), wanted.count()), F.col("doc_id").eqNullSafe(F.col("w")), "left_semi")
@@ -188,22 +188,24 @@ def again(stuck: DataFrame, nodes: DataFrame, roots: DataFrame, docs: DataFrame,
     rows = materialize(sets.select("node", F.size("items").alias("n"), F.explode("items").alias("h")))
     place = F.row_number().over(W.partitionBy("node").orderBy("df", "h"))
     first = with_counts(rows).withColumn("at", place).filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).filter("df > 1")
-    salt = F.when(F.col("df") > HOT, F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(0).cast("int")
-    first = materialize(first.join(roots.withColumnRenamed("root", "found"), "node", "left").select("h", "node", "n", "at", F.coalesce("found", "node").alias("root"), salt.alias("salt"), (F.col("df") > HOT).alias("hot")))
-    classes = first.groupBy("h", "root").agg(F.min("n").alias("n"), F.max(F.col("n") - F.col("at")).alias("rest"), F.first("hot").alias("hot"))
-    classes = materialize(classes.withColumn("classes", F.count("*").over(W.partitionBy("h"))).filter("classes > 1").drop("classes"))
+    first = materialize(first.join(roots.withColumnRenamed("root", "found"), "node", "left").select("h", "node", "n", "at", F.coalesce("found", "node").alias("root")))
+    classes = materialize(first.groupBy("h", "root").agg(F.min("n").alias("n"), F.max(F.col("n") - F.col("at")).alias("rest"), (F.count("*") > HOT).alias("hot")))
+    several = materialize(classes.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1").select("h"))
+    classes = classes.join(small_side(several, several.count()), "h")
     side = lambda x: classes.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("root", "n", "rest", "hot")])
     may = (1 + F.least("rest_a", "rest_b")) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
-    couples = side("a").join(side("b"), "h").filter((F.col("root_a") < F.col("root_b")) & may)
-    salts = F.when(F.col("hot_a"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    couples = materialize(couples.select("h", "root_a", "root_b", salts.alias("salts")))
-    member = lambda x: first.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("root", "salt", "node", "n", "at")])
-    half = couples.select("h", "root_a", "root_b", "salts", F.explode("salts").alias("salt_a")).join(member("a"), ["h", "root_a", "salt_a"])
-    both = half.select("h", "root_b", F.explode("salts").alias("salt_b"), "node_a", "n_a", "at_a").join(member("b"), ["h", "root_b", "salt_b"])
+    couples = materialize(side("a").join(side("b"), "h").filter((F.col("root_a") < F.col("root_b")) & may).select("h", "root_a", "root_b", "hot_a", "hot_b"))
+    large = materialize(classes.filter("hot").select("h", "root", "hot"))  # at most one for HOT rows
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(0).cast("int")
+    dealt = first.join(small_side(large, large.count()), ["h", "root"], "left").withColumn("salt", salt)
+    salts = lambda x: F.explode(F.when(F.col(f"hot_{x}"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias(f"salt_{x}")
+    member = lambda x: dealt.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("root", "salt", "node", "n", "at")])
+    half = couples.select("*", salts("a")).join(member("a"), ["h", "root_a", "salt_a"])
+    both = half.select("h", "root_b", salts("b"), "node_a", "n_a", "at_a").join(member("b"), ["h", "root_b", "salt_b"])
     most = 1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
     enough = most * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
     pairs = materialize(both.filter(enough).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
-    for done in (rows, first, classes, couples):
+    for done in (rows, first, couples):
         release(done)
     return pairs
 
