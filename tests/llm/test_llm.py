@@ -8,6 +8,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -45,7 +46,8 @@ def empty(spark):
 @pytest.fixture(scope="module")
 def encoding():
     v = bpe.Vocabulary(open(queries.TOKENIZER, "rb").read())
-    return tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=v.rank, special_tokens={})
+    assert bpe.PATTERN == public_tokenizers.PATTERN
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=v.rank, special_tokens={})
 
 
 def grams(text, n):
@@ -75,7 +77,8 @@ def classes(rows, n, percent):
 
 @pytest.mark.parametrize("n, percent", [(3, 85), (5, 80)])
 def test_near_duplicates(docs, empty, n, percent, monkeypatch):
-    monkeypatch.setattr(near_dedup, "SMALL", 4)  # so that large buckets and the prefix filter are met
+    monkeypatch.setattr(near_dedup, "SMALL", 4)  # so that large buckets, the prefix filter and salted classes are met
+    monkeypatch.setattr(near_dedup, "HOT", 3)
     got = near_dedup.near_duplicates(docs, n=n, percent=percent).collect()
     want = classes([(r.doc_id, r.text) for r in docs.collect()], n, percent)
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
