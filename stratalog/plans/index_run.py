@@ -66,7 +66,7 @@ def observations(spark: SparkSession, documents: str, work: DataFrame) -> tuple[
     return obs.withColumns({**texts, "ord": order}), why
 
 
-def run(spark: SparkSession, listing: DataFrame, documents: str, store: str, now: Column, floors: DataFrame | None = None, sentinels: DataFrame | None = None, denylist: DataFrame | None = None, fallback: DataFrame | None = None, parse: bool = True, options: Options | None = None) -> DataFrame:
+def run(spark: SparkSession, listing: DataFrame, documents: str, store: str, now: Column | str, floors: DataFrame | None = None, sentinels: DataFrame | None = None, denylist: DataFrame | None = None, fallback: DataFrame | None = None, parse: bool = True, options: Options | None = None) -> DataFrame:
     """Ingest what is new and return the report, one row per run.
 
     ``listing``: channel, release_name, commit_hash, release_date, era; names are checked unless ``parse`` is off. ``fallback``: commit_hash, release_date, era of
@@ -76,6 +76,8 @@ def run(spark: SparkSession, listing: DataFrame, documents: str, store: str, now
     repeated run finds nothing to do.
     """
     o = options or Options()
+    now = F.lit(now).cast("timestamp_ntz") if isinstance(now, str) else now
+    since, until = (None if d is None else F.lit(spark.range(1).select(E.date_arg(F.lit(d))).first()[0]) for d in (o.since, o.until))  # a bad date fails at once
     old = snapshots.versions(spark, store)
     at = f"{store}/v={old[-1]}" if old else None
     book = spark.read.parquet(f"{at}/ledger") if at else spark.createDataFrame([], LEDGER)
@@ -91,8 +93,7 @@ def run(spark: SparkSession, listing: DataFrame, documents: str, store: str, now
     if denylist is not None:
         book = ledger.deny(book, denylist)
     book = stored(book)
-    as_date = lambda d: None if d is None else E.date_arg(F.lit(d))
-    work = stored(ledger.windowed(ledger.worklist(book, now, o.retry_failed), as_date(o.since), as_date(o.until), o.channels, o.eras, o.most))
+    work = stored(ledger.windowed(ledger.worklist(book, now, o.retry_failed), since, until, o.channels, o.eras, o.most))
     obs, broken = observations(spark, documents, work)
     obs = stored(obs)
     broken = stored(broken)

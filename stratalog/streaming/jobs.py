@@ -51,7 +51,7 @@ def fold_stream(obs: DataFrame, store: str, checkpoint: str, gated: bool = False
     return obs.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def index_stream(spark: SparkSession, documents: str, listing: Callable[[], DataFrame], store: str, checkpoint: str, now: Column, **gates):
+def index_stream(spark: SparkSession, documents: str, listing: Callable[[], DataFrame], store: str, checkpoint: str, now: Column | str, **gates):
     """Run the index for snapshot documents as they arrive in a folder; the ledger decides what is still to be done.
 
     ``listing()`` gives the rows known at that time (see ``index_run.run``); of them a batch takes those whose documents have come.
