@@ -6,6 +6,9 @@ literally. Rank order: shallower paths first, then newer, then by path and versi
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -16,18 +19,23 @@ from ..session import small_side, stored
 #: Candidates per request that are ranked before licence filter, sort and paging.
 CAP = 5000
 NEARBY, SUGGESTIONS, PAGE_CAP = 512, 5, 100
-KEY_LENGTH = 3
+KEY_LENGTH, FILTERS = 3, 64
 
 
 def prefix_join(rows: DataFrame, requests: DataFrame, column: str = "entity_path") -> DataFrame:
     """Rows whose path starts with a request's ``q``: an equi-join on the first characters with the rest as residual.
 
-    A request shorter than the key joins on its own length, so keys of all lengths up to KEY_LENGTH are made for each row.
+    A request shorter than the key joins on its own length, so keys of all lengths up to KEY_LENGTH are made for each row. Up to FILTERS requests
+    are also put to the rows as a filter, which reaches the scan of stored intervals (``path_lc``) and skips the parts of sorted files that no request starts with.
     """
     asked = requests.withColumn("_q", E.ascii_lower(F.col("q"))).withColumn("_k", F.substring("_q", 1, KEY_LENGTH))
-    low = rows.withColumn("_low", E.ascii_lower(F.col(column)))
+    stored_low = column == "entity_path" and "path_lc" in rows.columns
+    prefixes = [r[0] for r in asked.filter("_q is not null").select("_q").distinct().limit(FILTERS + 1).collect()]
+    if stored_low and 0 < len(prefixes) <= FILTERS:
+        rows = rows.filter(reduce(or_, [F.startswith("path_lc", F.lit(p)) for p in prefixes]))
+    low = rows.withColumn("_low", F.col("path_lc") if stored_low else E.ascii_lower(F.col(column)))
     lengths = [r.n for r in asked.select(F.length("_k").alias("n")).distinct().collect()]  # at most KEY_LENGTH + 1 numbers
-    keyed = low.withColumn("_key", F.explode(F.array_distinct(F.array(*[F.substring("_low", 1, n) for n in sorted(lengths)]))) if lengths else F.lit(None).cast("string"))
+    keyed = low.withColumn("_key", F.explode(F.array_distinct(F.array(*[F.substring("_low", 1, n) for n in sorted(n for n in lengths if n is not None)]))) if lengths else F.lit(None).cast("string"))
     return keyed.join(small_side(asked), (F.col("_key") == F.col("_k")) & F.startswith("_low", "_q")).drop("_low", "_key", "_k", "_q")
 
 
@@ -150,7 +158,7 @@ def suggest(rows: DataFrame, requests: DataFrame, nearby: int | None = NEARBY) -
 
     Candidates are the ``nearby`` best by version family, exact path, date, path and version; None takes all.
     """
-    found = prefix_join(rows.select(*NARROW), requests.select("request_id", "q", F.col("version").alias("want")))
+    found = prefix_join(narrow(rows), requests.select("request_id", "q", F.col("version").alias("want")))
     least = found.groupBy("request_id").agg(F.min("depth").alias("least"))
     at = found.join(small_side(least), "request_id").filter(F.col("depth") == F.col("least")).drop("least")
     near = F.when(E.has_prefix(F.col("version"), E.family(F.col("want"))), 0).otherwise(1)
@@ -161,7 +169,7 @@ def suggest(rows: DataFrame, requests: DataFrame, nearby: int | None = NEARBY) -
 
 def suggest_exact(rows: DataFrame, requests: DataFrame) -> DataFrame:
     """For exact requests that find their path but not their version: the nearest of all versions of that path."""
-    exact = exact_join(rows.select(*NARROW), requests.select("request_id", "q", "version"))
+    exact = exact_join(narrow(rows), requests.select("request_id", "q", "version"))
     hit = exact.filter(E.has_prefix(F.col("version"), F.col("want"))).select("request_id").distinct()
     return nearest_versions(exact.join(hit, "request_id", "left_anti"))
 
@@ -195,6 +203,10 @@ OPTIONS = {"version": "string", "exact": "boolean", "all_depths": "boolean", "li
 NARROW = ["entity_path", "version", "depth", "first_date", "last_date"]
 
 
+def narrow(rows: DataFrame, *more) -> DataFrame:
+    return rows.select(*NARROW, *[c for c in ("path_lc",) if c in rows.columns], *more)
+
+
 def prepared(requests: DataFrame) -> DataFrame:
     """Requests with all options filled in, and why one is ``refused`` (null: it is not)."""
     for c, kind in OPTIONS.items():
@@ -216,7 +228,7 @@ def search(rows: DataFrame, requests: DataFrame, cap: int | None = CAP) -> DataF
     """
     asked = stored(prepared(requests).filter("refused is null"))
     flags = {"_license": F.lower("license_raw"), "_insecure": E.insecure(F.col("advisories_raw")), "_platforms": E.decode_array(F.col("platforms_raw"))}
-    slim = rows.select(*NARROW, "name", *[v.alias(k) for k, v in flags.items()])
+    slim = narrow(rows, "name", *[v.alias(k) for k, v in flags.items()])
     wide = ["request_id", "q", *[c if c != "version" else "want" for c in OPTIONS]]
     fits = F.col("want").isNull() | E.has_prefix(F.col("version"), F.col("want"))
     exact = slim.join(small_side(asked.filter("exact").select(*wide)), F.col("entity_path") == F.col("q")).filter(fits)

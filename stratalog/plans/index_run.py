@@ -30,6 +30,8 @@ class Options:
     retry_failed: bool = False
     requeue: bool = False
     strict: bool = False
+    #: Where the report goes as JSON; None: nowhere.
+    report: str | None = None
 
 
 class Unhealthy(ValueError):
@@ -104,7 +106,7 @@ def run(spark: SparkSession, listing: DataFrame, documents: str, store: str, now
     judged = stored(gate.judged(before.unionByName(counts), floors, missing).join(counts.select(*gate.SNAPSHOT), gate.SNAPSHOT, "left_semi"))
     good = fold.merge(fold.as_bounds(gate.accepted(obs, judged)))
     bounds = stored(fold.merge(spark.read.parquet(f"{at}/bounds").unionByName(good)) if at else good)
-    intervals = fold.intervals(bounds).withColumn("path_lc", E.ascii_lower(F.col("entity_path")))
+    intervals = fold.intervals(bounds)
     verdict = judged.select("channel", F.col("snapshot_date").alias("release_date"), "era", "n_entries", F.when(F.size("failures") > 0, F.array_join("failures", "; ")).alias("error"))
     told = work.select("channel", "release_name", "release_date", "era").join(verdict, ["channel", "release_date", "era"], "left").join(broken, "release_name", "left")
     empty = F.when(F.col("n_entries").isNull(), F.lit("no entries"))
@@ -112,8 +114,10 @@ def run(spark: SparkSession, listing: DataFrame, documents: str, store: str, now
     book = stored(ledger.settled(book, told, now))
     latest = book.filter("status = 'ingested'").agg(F.max(F.struct("release_date", "release_name")).alias("m")).select("m.release_name").first()[0] or ""
     stats = history.index_stats(intervals).withColumn("marker", F.lit(latest))
-    snapshots.publish({"bounds": bounds, "intervals": intervals.sortWithinPartitions("path_lc"), "ledger": book, "paths": intervals.select("entity_path", "path_lc").distinct(), "stats": stats}, store, latest)
+    snapshots.publish({"bounds": bounds, "intervals": snapshots.laid_out(intervals), "ledger": book, "paths": intervals.select("entity_path", E.ascii_lower(F.col("entity_path")).alias("path_lc")).distinct(), "stats": stats}, store, latest)
     report = stored(report_of(book, work, judged, snapshots.read_intervals(spark, store), now, o.strict))
+    if o.report:
+        snapshots.write_json(report, o.report)
     if o.strict and not report.first().healthy:
         raise Unhealthy("index run is unhealthy under strict")
     return report

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as E
 from ..operators import fold, history, search, text
-from ..session import shared_dir
+from ..session import shared_dir, stored
 from ..sources import snapshots
 from ..sources.adapters import INT, observations, table
 
@@ -21,12 +21,10 @@ def store(spark: SparkSession, d: str) -> str:
     """Where the intervals of a folder's tables are published; done once per application, sorted by lower-case path within files."""
     key = spark.sparkContext.applicationId, d
     if key not in STORES:
-        rows = fold.fold(observations(spark, d)).withColumn("path_lc", E.ascii_lower(F.col("entity_path"))).sortWithinPartitions("path_lc")
+        rows = stored(fold.fold(observations(spark, d)))
         path = f"{shared_dir(spark)}/stratalog-store-{abs(hash(key)):x}"
         if not snapshots.versions(spark, path):
-            snapshots.publish({"intervals": rows}, path, d)
-            stats = history.index_stats(snapshots.read_intervals(spark, path)).withColumn("marker", F.lit(d))
-            snapshots.publish({"intervals": snapshots.read_published(spark, path), "stats": stats}, path, d)
+            snapshots.publish({"intervals": snapshots.laid_out(rows), "stats": history.index_stats(rows).withColumn("marker", F.lit(d))}, path, d)
         STORES[key] = path
     return STORES[key]
 

@@ -63,6 +63,12 @@ def under(rows: DataFrame, prefix: str) -> DataFrame:
     return rows.filter(F.startswith("Prefix", F.lit(prefix))).select("Prefix", name.alias("release_name")).filter("release_name <> '' and not contains(release_name, '/')")
 
 
+def laid_out(intervals: DataFrame) -> DataFrame:
+    """Intervals as they are stored: files of disjoint ranges of lower-case paths, sorted, so that a prefix is in few parts of few files."""
+    low = intervals.withColumn("path_lc", E.ascii_lower(F.col("entity_path")))
+    return low.repartitionByRange("path_lc").sortWithinPartitions("path_lc")
+
+
 def versions(spark: SparkSession, path: str) -> list[int]:
     """Numbers of the published versions under ``path``, in order; a version counts once its manifest is complete."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -113,7 +119,7 @@ def newest(spark: SparkSession, path: str) -> str:
 
 #: Columns of stored intervals; those of OPTIONAL need not be there and are null then.
 INTERVALS = "entity_path string, version string, first_date timestamp_ntz, first_commit string, last_date timestamp_ntz, last_commit string, name string, description string, license_raw string, depth bigint"
-OPTIONAL = "advisories_raw string, platforms_raw string, source_path string"
+OPTIONAL = "advisories_raw string, platforms_raw string, source_path string, path_lc string"
 
 
 def read_published(spark: SparkSession, path: str, name: str = "intervals") -> DataFrame:
@@ -122,7 +128,7 @@ def read_published(spark: SparkSession, path: str, name: str = "intervals") -> D
 
 
 def read_intervals(spark: SparkSession, path: str) -> DataFrame:
-    """Stored intervals with a fixed schema: optional columns that are not stored are null, dates in epoch seconds become UTC timestamps."""
+    """Stored intervals with a fixed schema: optional columns that are not stored are null (``path_lc``: made), dates in epoch seconds become UTC timestamps."""
     rows = read_published(spark, path)
     kinds = dict(rows.dtypes)
     for one in INTERVALS.split(", "):
@@ -132,7 +138,7 @@ def read_intervals(spark: SparkSession, path: str) -> DataFrame:
     out = []
     for one in f"{INTERVALS}, {OPTIONAL}".split(", "):
         c, kind = one.split()
-        out.append((date(c) if kind == "timestamp_ntz" else F.col(c) if c in kinds else F.lit(None)).cast(kind).alias(c))
+        out.append(E.ascii_lower(F.col("entity_path")).alias(c) if c == "path_lc" and c not in kinds else (date(c) if kind == "timestamp_ntz" else F.col(c) if c in kinds else F.lit(None)).cast(kind).alias(c))
     return rows.select(*out)
 
 

@@ -235,7 +235,8 @@ def test_strict_runs_and_options(spark, tmp_path):
     put(docs, a, [f"p{i}" for i in range(100)])
     put(docs, b, [f"p{i}" for i in range(80)])
     listing = spark.createDataFrame([a, b], LISTING)
-    assert index_run.run(spark, listing, str(docs), store, NOW, options=index_run.Options(until="2024-03-08T12:00:00Z", strict=True)).first().healthy
+    assert index_run.run(spark, listing, str(docs), store, NOW, options=index_run.Options(until="2024-03-08T12:00:00Z", strict=True, report=str(tmp_path / "report"))).first().healthy
+    assert spark.read.json(str(tmp_path / "report")).first().ingested == 1
     assert index_run.run(spark, listing, str(docs), store, NOW, options=index_run.Options(since="2024-03-09", channels=("other",))).first().planned == 0
     with pytest.raises(index_run.Unhealthy):  # 80 of 100 is a warning, which strict runs don't accept
         index_run.run(spark, listing, str(docs), store, NOW, options=index_run.Options(strict=True))
