@@ -6,6 +6,7 @@ Listing -> ledger -> snapshot documents -> gate -> fold -> intervals, ledger, pa
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,8 +39,8 @@ class Unhealthy(ValueError):
     """A strict run that is not healthy; what it published stays published."""
 
 
-#: The release's name in the path of its document, which is a file or a folder of one file: ``.../<name>.json``, ``.../doc=<name>.json/part-0``.
-NAME = r"([^/=]+)[.]json(?:/[^/]+)?$"
+#: A snapshot's document in a path, and the release's name in that: a file or a folder, ``.../<name>.json`` or, one entity per line, ``.../doc=<name>.jsonl/part-0``.
+DOCUMENT, NAME = r"^(.*?[.]jsonl?)(?:/.*)?$", r"([^/=]+)[.]jsonl?(?:/[^/]*)?$"
 
 
 def observations(spark: SparkSession, documents: str, work: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -47,22 +48,24 @@ def observations(spark: SparkSession, documents: str, work: DataFrame) -> tuple[
 
     Only the documents of ``work`` are read, each whole or not at all.
     """
-    there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(documents).select("path", F.regexp_extract("path", NAME, 1).alias("release_name")).filter("release_name <> ''")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(documents).select(F.regexp_extract("path", DOCUMENT, 1).alias("doc")).distinct()
+    there = listed.select("doc", F.regexp_extract("doc", NAME, 1).alias("release_name")).filter("release_name <> ''")
     todo = stored(work.select("channel", "release_name", "era", "commit_hash", F.col("release_date").alias("snapshot_date")).join(there, "release_name", "left"))
-    why = todo.filter("path is null").select("release_name", F.lit("no document").alias("why"))
+    why = todo.filter("doc is null").select("release_name", F.lit("no document").alias("why"))
     parts = []
-    for era, read in (("envelope", snapshots.read_envelopes), ("bare", snapshots.read_bare)):
-        own = todo.filter((F.col("era") == era) & F.col("path").isNotNull())
-        paths = [r.path for r in own.select("path").collect()]  # one for each snapshot of the run
+    by_line = F.col("doc").endswith("l")
+    for these, read in ((by_line, snapshots.read_lines), (~by_line & (F.col("era") == "envelope"), snapshots.read_envelopes), (~by_line & (F.col("era") == "bare"), snapshots.read_bare)):
+        own = todo.filter(these)
+        paths = [r.doc for r in own.select("doc").collect()]  # one for each snapshot of the run
         if paths:
             rows, bad = read(spark, paths)
             named = F.regexp_extract("file", NAME, 1).alias("release_name")
-            parts.append(snapshots.normalize(rows).select("*", named).join(small_side(own.drop("path")), "release_name"))
+            parts.append(snapshots.normalize(rows).select("*", named).join(small_side(own.drop("doc")), "release_name"))
             why = why.unionByName(bad.select(named, F.lit("malformed document").alias("why")))
     if not parts:
         nothing = spark.createDataFrame([], "file string, raw_path string, entry variant")
-        parts = [snapshots.normalize(nothing).withColumn("release_name", F.lit("")).join(todo.drop("path"), "release_name")]
-    obs = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        parts = [snapshots.normalize(nothing).withColumn("release_name", F.lit("")).join(todo.drop("doc"), "release_name")]
+    obs = reduce(DataFrame.unionByName, parts)
     order = F.struct("snapshot_date", "channel", F.col("release_name"), F.lit(0).cast("bigint").alias("a"))
     texts = {"license_raw": E.encode_array(F.col("license")), "advisories_raw": E.encode_array(F.col("advisories")), "platforms_raw": E.encode_array(F.col("platforms"))}
     return obs.withColumns({**texts, "ord": order}), why

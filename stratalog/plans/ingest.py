@@ -17,7 +17,7 @@ from . import index_run
 
 NOW = "2002-01-15 00:00:00"
 FLOORS = {"bare": ((1993, 20), (None, 30)), "envelope": ((1999, 30), (2000, 40), (None, 60))}
-DENIED, BROKEN = "F-1994-05", "O-1998-02"
+DENIED, BROKEN, LINES = "F-1994-05", ("O-1998-02", "F-2000-05"), "1999-01-01"
 RUNS: dict[tuple[str, str], tuple[str, list[DataFrame]]] = {}
 
 
@@ -121,27 +121,32 @@ def column_helpers(spark, d):
 
 
 def documents(spark: SparkSession, d: str) -> tuple[str, DataFrame]:
-    """Snapshot documents of both eras from the observations (one version per path, the greatest), one of them cut short; and their listing."""
+    """Snapshot documents from the observations (one version per path, the greatest), and their listing.
+
+    Those before 1996 are bare maps, those before 1999 envelopes, each one row as in its source, and the later ones have one entity per line, dealt over several files. Two are cut short.
+    """
     rows = observations(spark, d).groupBy("channel", "era", "snapshot_date", "entity_path").agg(F.max("version").alias("version"))
-    entry = F.struct(F.lit(None).cast("string").alias("name"), "version", F.struct(F.concat(F.lit("/b/pkgs/"), F.col("entity_path"), F.lit(":1")).alias("position")).alias("meta"))
-    maps = rows.groupBy("channel", "era", "snapshot_date").agg(F.map_from_entries(F.collect_list(F.struct("entity_path", entry.alias("e")))).alias("packages"))  # one document is one row, as in its source
+    entry = F.struct(F.lit(None).cast("string").alias("name"), "version", F.struct(F.concat(F.lit("/b/pkgs/"), F.col("entity_path"), F.lit(":1")).alias("position")).alias("meta")).alias("entry")
     name = F.concat("channel", F.lit("-"), F.date_format("snapshot_date", "yyyy-MM"))
+    rows = stored(rows.select("*", entry, name.alias("release_name")))
+    path, by_line = folder(spark, "documents"), F.col("snapshot_date") >= ntz(LINES)
+    maps = rows.filter(~by_line).groupBy("release_name", "era").agg(F.map_from_entries(F.collect_list(F.struct("entity_path", "entry"))).alias("packages"))
     text = F.when(F.col("era") == "bare", F.to_json("packages")).otherwise(F.to_json(F.struct("packages", F.lit("2").alias("version"))))
-    text = F.when(name == BROKEN, F.left(text, F.length(text) - 20)).otherwise(text)
-    path = folder(spark, "documents")
-    maps.select(F.concat(name, F.lit(".json")).alias("doc"), text.alias("text")).repartition("doc").write.partitionBy("doc").text(path)
-    sha = F.sha1(name)
-    count = F.year("snapshot_date") * 12 + F.month("snapshot_date")
-    listing = rows.select("channel", "era", "snapshot_date").distinct().select("channel", name.alias("doc"), sha.alias("commit_hash"), F.col("snapshot_date").alias("release_date"), "era", count.alias("n"))
-    return path, stored(listing)
+    text = F.when(F.col("release_name") == BROKEN[0], F.left(text, F.length(text) - 20)).otherwise(text)
+    maps.select(F.concat("release_name", F.lit(".json")).alias("doc"), text.alias("text")).repartition("doc").write.partitionBy("doc").text(path)
+    lines = rows.filter(by_line).select("release_name", F.to_json(F.struct(F.col("entity_path").alias("path"), "entry")).alias("text"))
+    ends = rows.filter(by_line & (F.col("release_name") != BROKEN[1])).groupBy("release_name").agg(F.to_json(F.struct(F.count("*").alias("entries"))).alias("text"))
+    part = F.pmod(F.xxhash64("text"), F.lit(3))
+    lines.unionByName(ends).select(F.concat("release_name", F.lit(".jsonl")).alias("doc"), "text").repartition("doc", part).write.mode("append").partitionBy("doc").text(path)
+    listing = rows.select("channel", "era", "snapshot_date", "release_name").distinct()
+    return path, stored(listing.select("channel", "release_name", F.sha1("release_name").alias("commit_hash"), F.col("snapshot_date").alias("release_date"), "era"))
 
 
 def indexed(spark: SparkSession, d: str) -> tuple[str, list[DataFrame]]:
     """Two runs of the index over all snapshots, the first up to 1996, once per application: where it is published, and the reports."""
     key = spark.sparkContext.applicationId, d
     if key not in RUNS:
-        path, rows = documents(spark, d)
-        listing = rows.select("channel", F.col("doc").alias("release_name"), "commit_hash", "release_date", "era")
+        path, listing = documents(spark, d)
         store, now = folder(spark, "index"), ntz(NOW)
         floors, denylist = gate.floor_ladder(spark, FLOORS), spark.createDataFrame([(DENIED, "known to be malformed")], "release_name string, reason string")
         given = {"floors": floors, "denylist": denylist, "parse": False}
@@ -196,15 +201,15 @@ FULL = "SELECT entity_path, version, min(snapshot_date) AS first_date, arg_min(c
 #: Observations of the documents, the gate over them with feedback, and the ledger that follows.
 RUN = OBS.replace("j AS", "RECURSIVE j AS", 1) + f""",
 dv AS (SELECT channel, era, snapshot_date, entity_path, max(version) AS version, channel || '-' || strftime(snapshot_date, '%Y-%m') AS release_name FROM obs GROUP BY ALL),
-cnt AS (SELECT channel, era, snapshot_date, release_name, count(*) AS n_entries FROM dv WHERE release_name NOT IN ('{DENIED}', '{BROKEN}') GROUP BY ALL),
+cnt AS (SELECT channel, era, snapshot_date, release_name, count(*) AS n_entries FROM dv WHERE release_name NOT IN ('{DENIED}', '{BROKEN[0]}', '{BROKEN[1]}') GROUP BY ALL),
 floors(era, y1, y2, floor) AS (VALUES ('bare', 0, 1993, 20), ('bare', 1994, 9999, 30), ('envelope', 0, 1999, 30), ('envelope', 2000, 2000, 40), ('envelope', 2001, 9999, 60)),
 sn AS (SELECT cnt.*, CASE WHEN n_entries < floor THEN ['count ' || n_entries || ' under floor ' || floor] ELSE CAST([] AS VARCHAR[]) END AS pre, row_number() OVER (PARTITION BY channel, cnt.era ORDER BY snapshot_date) AS n FROM cnt JOIN floors ON cnt.era = floors.era AND year(snapshot_date) BETWEEN y1 AND y2),
 st AS (SELECT channel, era, snapshot_date, release_name, n_entries, n, list_sort(pre) AS failures, CASE WHEN len(pre) > 0 THEN CAST([] AS BIGINT[]) ELSE [n_entries] END AS recent FROM sn WHERE n = 1
   UNION ALL SELECT channel, era, snapshot_date, release_name, n_entries, n, failures, CASE WHEN len(failures) > 0 THEN recent ELSE list_append(recent, n_entries)[-10:] END FROM (
     SELECT *, list_sort(CASE WHEN coalesce(n_entries < CAST(trunc(base * 0.70::DOUBLE) AS BIGINT), false) THEN list_append(pre, 'count ' || n_entries || ' under 70% of ' || base) ELSE pre END) AS failures
     FROM (SELECT sn.*, list_max(st.recent) AS base, st.recent FROM st JOIN sn ON sn.channel = st.channel AND sn.era = st.era AND sn.n = st.n + 1))),
-lb AS (SELECT DISTINCT dv.channel, dv.release_name, dv.era, dv.snapshot_date, CASE WHEN dv.release_name = '{DENIED}' THEN 'skipped' WHEN dv.release_name = '{BROKEN}' OR len(failures) > 0 THEN 'failed' ELSE 'ingested' END AS status,
-  st.n_entries, CASE WHEN dv.release_name = '{DENIED}' THEN 'known to be malformed' WHEN dv.release_name = '{BROKEN}' THEN 'malformed document' WHEN len(failures) > 0 THEN array_to_string(failures, '; ') END AS error FROM dv LEFT JOIN st USING (channel, release_name)),
+lb AS (SELECT DISTINCT dv.channel, dv.release_name, dv.era, dv.snapshot_date, CASE WHEN dv.release_name = '{DENIED}' THEN 'skipped' WHEN dv.release_name IN ('{BROKEN[0]}', '{BROKEN[1]}') OR len(failures) > 0 THEN 'failed' ELSE 'ingested' END AS status,
+  st.n_entries, CASE WHEN dv.release_name = '{DENIED}' THEN 'known to be malformed' WHEN dv.release_name IN ('{BROKEN[0]}', '{BROKEN[1]}') THEN 'malformed document' WHEN len(failures) > 0 THEN array_to_string(failures, '; ') END AS error FROM dv LEFT JOIN st USING (channel, release_name)),
 iv2 AS (SELECT entity_path, version, min(snapshot_date) AS first_date, sha1(arg_min(release_name, row(snapshot_date, channel))) AS first_commit, max(snapshot_date) AS last_date, sha1(arg_max(release_name, row(snapshot_date, channel))) AS last_commit, 'pkgs/' || entity_path AS source_path FROM dv JOIN (SELECT release_name FROM lb WHERE status = 'ingested') USING (release_name) GROUP BY entity_path, version)"""
 ORACLE = {
     "discover_releases": f"WITH {LISTED} SELECT channel, release_name, o_orderkey AS commit_count, rev FROM l WHERE refused IS NULL AND o_orderkey % 11 <> 0",

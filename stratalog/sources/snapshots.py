@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as E
 from ..operators.history import index_stats
+from ..session import small_side
 
 SCHEMA_VERSION, LEAST_READABLE = 4, 4
 
@@ -30,6 +31,22 @@ def read_bare(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, Da
     return docs.filter("d is not null").select("file", F.explode("d").alias("raw_path", "entry")), docs.filter("d is null").select("file")
 
 
+def read_lines(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """Documents of one entity per line, ``{"path": ..., "entry": ...}``, with a last line ``{"entries": number}``: rows and rejected documents, as above.
+
+    For large snapshots: a document, a file or a folder of files, is read by many tasks. It is rejected if a line is malformed or the number differs.
+    """
+    v = F.try_parse_json("value")
+    get = lambda p, kind: F.try_variant_get(v, p, kind)
+    document = F.regexp_extract(F.col("_metadata.file_path"), r"^(.*?[.]jsonl)(?:/.*)?$", 1)
+    lines = spark.read.text(path).filter("trim(value) <> ''").select(document.alias("file"), get("$.path", "string").alias("raw_path"), get("$.entry", "variant").alias("entry"), get("$.entries", "bigint").alias("total"))
+    entry = F.col("raw_path").isNotNull() & F.col("entry").isNotNull()
+    sums = lines.groupBy("file").agg(F.count_if(entry).alias("n"), F.count_if(~entry & F.col("total").isNull()).alias("bad"), F.max("total").alias("total"))
+    sums = sums.select("file", F.coalesce((F.col("bad") == 0) & (F.col("n") == F.col("total")), F.lit(False)).alias("whole"))
+    rows = lines.filter(entry).join(small_side(sums.filter("whole")), "file", "left_semi").select("file", "raw_path", "entry")
+    return rows, sums.filter("not whole").select("file")
+
+
 def normalize(entries: DataFrame) -> DataFrame:
     """Clean observation columns of raw entries; an entry without a version is dropped."""
     at = lambda p: F.try_variant_get("entry", f"$.{p}", "variant")

@@ -116,6 +116,22 @@ def test_bare_documents(spark, tmp_path):
     assert [r.file.rsplit("/", 1)[-1] for r in rejected.collect()] == ["b.json"]
 
 
+def test_documents_by_line(spark, tmp_path):
+    line = lambda p, v: json.dumps({"path": p, "entry": {"version": v}})
+    put_lines = lambda name, *lines: (tmp_path / f"{name}.jsonl").write_text("\n".join(lines) + "\n")
+    put_lines("good", line("a", "1"), line("b", "2"), '{"entries": 2}')
+    put_lines("short", line("a", "1"), '{"entries": 2}')
+    put_lines("open", line("a", "1"))
+    put_lines("broken", line("a", "1"), '{"path": "b", "ent', '{"entries": 2}')
+    put_lines("none", '{"entries": 0}')
+    (tmp_path / "doc=parts.jsonl").mkdir()
+    (tmp_path / "doc=parts.jsonl" / "part-0.txt").write_text(line("c", "3") + "\n")
+    (tmp_path / "doc=parts.jsonl" / "part-1.txt").write_text('{"entries": 2}\n' + line("d", "4") + "\n")
+    rows, rejected = snapshots.read_lines(spark, [str(p) for p in tmp_path.iterdir()])
+    assert sorted(values(snapshots.normalize(rows), "entity_path", "version")) == [("a", "1"), ("b", "2"), ("c", "3"), ("d", "4")]
+    assert sorted(r.file.rsplit("/", 1)[-1] for r in rejected.collect()) == ["broken.jsonl", "open.jsonl", "short.jsonl"]
+
+
 def test_listings(spark, tmp_path):
     page = lambda *names: '<?xml version="1.0"?><List><Name>b</Name><Odd x="1"/>' + "".join(f"<CommonPrefixes><Prefix>{n}</Prefix><Else/></CommonPrefixes>" for n in names) + "</List>"
     (tmp_path / "p1.xml").write_text(page("chan/r-1/", "chan/r-2/", "chan/", "chan/deep/er/"))
