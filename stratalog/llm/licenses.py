@@ -2,7 +2,7 @@
 
 A file's *units* are its lines with a cue word, each by itself and all together, the comment that it begins with and the
 paragraphs around cue lines. A *licence file* is one whose name says so, or at least half of which is made of cue
-paragraphs; its whole text is a unit too. Units and templates (usual notices, identifiers and whole short licences) are sparse
+lines; its whole text is a unit too. Units and templates (usual notices, identifiers and whole short licences) are sparse
 TF-IDF vectors; a file takes the template of the highest cosine of any of its units if that reaches ``LEAST``. Reserved
 rights name a licence only where no other one is near enough. A file without a licence of its own takes that of the nearest
 directory above it which has a licence file.
@@ -86,8 +86,8 @@ def units_of(text: Column, whole: Column) -> Column:
 
 
 def is_license_file(path: Column, text: Column) -> Column:
-    """Whether a file speaks for its directory: by name, or as at least half of it stands in cue paragraphs."""
-    told = F.aggregate(cue_paragraphs(text), F.lit(0), lambda n, p: n + F.length(p))
+    """Whether a file speaks for its directory: by name, or as at least half of its characters stand in cue lines."""
+    told = F.aggregate(cue_lines(text), F.lit(0), lambda n, line: n + F.length(line))
     return F.coalesce(path.rlike(FILE_NAME) | (text.rlike(CUE) & (told * 2 >= F.length(text))), F.lit(False))
 
 
@@ -169,7 +169,7 @@ d AS (SELECT doc_id, concat_ws('/', source, lang, doc_id) AS path, coalesce(text
 l AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{CUE}')) AS lines, list_filter(regexp_split_to_array(text, '\n[ \t\r]*\n'), lambda x: regexp_matches(x, '{CUE}')) AS paras,
   regexp_extract(text, '{COMMENT}') AS comment FROM d WHERE cue),
 f AS (SELECT d.doc_id, CASE WHEN contains(d.path, '/') THEN regexp_extract(d.path, '^(.*)/[^/]*$', 1, 's') ELSE '' END AS folder, array_to_string(lines, chr(10)) AS head,
-  regexp_matches(d.path, '{FILE_NAME}') OR coalesce(d.cue AND coalesce(list_sum(list_transform(paras, lambda p: length(p))), 0) * 2 >= length(d.text), false) AS license_file, d.text, d.cue, lines, paras, comment FROM d LEFT JOIN l USING (doc_id)),
+  regexp_matches(d.path, '{FILE_NAME}') OR coalesce(d.cue AND coalesce(list_sum(list_transform(lines, lambda p: length(p))), 0) * 2 >= length(d.text), false) AS license_file, d.text, d.cue, lines, paras, comment FROM d LEFT JOIN l USING (doc_id)),
 un AS (SELECT doc_id, unnest(list_distinct(list_concat(CASE WHEN cue THEN list_concat(lines, paras, [head], CASE WHEN regexp_matches(comment, '{CUE}') THEN [comment] ELSE [] END) ELSE [] END, CASE WHEN license_file THEN [text] ELSE [] END))) AS u FROM f),
 voc AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+|[0-9]+')) AS term FROM k),
 df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(head), '[a-z]+|[0-9]+'))) AS term FROM f WHERE cue UNION ALL SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+|[0-9]+'))) FROM k) WHERE term IN (SELECT term FROM voc) GROUP BY term),
