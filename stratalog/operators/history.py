@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import exprs as E
+from ..session import small_side, stored
 
 
 def version_history(rows: DataFrame) -> DataFrame:
     """Per path and version its span, and whether that version string is insecure in any path at all."""
-    bad = rows.filter(E.insecure(F.col("advisories_raw"))).select("version").distinct().withColumn("bad", F.lit(True))
+    bad = stored(rows.filter(E.insecure(F.col("advisories_raw"))).select("version").distinct().withColumn("bad", F.lit(True)))
     spans = rows.groupBy("entity_path", "version").agg(F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date"))
-    return spans.join(bad, "version", "left").select("entity_path", "version", "first_date", "last_date", F.coalesce("bad", F.lit(False)).alias("insecure"))
+    return spans.join(small_side(bad), "version", "left").select("entity_path", "version", "first_date", "last_date", F.coalesce("bad", F.lit(False)).alias("insecure"))
 
 
 def first_last(rows: DataFrame) -> DataFrame:

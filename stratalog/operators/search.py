@@ -178,7 +178,7 @@ def tiered(rows: DataFrame, requests: DataFrame) -> DataFrame:
     """Exact path (and version prefix) first; a known path without the version is a miss; else prefix, with the version if there is one."""
     asked = requests.withColumnRenamed("version", "want")
     fits = F.col("want").isNull() | E.has_prefix(F.col("version"), F.col("want"))
-    exact = rows.join(asked, F.col("entity_path") == F.col("q"))
+    exact = rows.join(small_side(asked), F.col("entity_path") == F.col("q"))
     hits = exact.filter(fits).withColumn("tier", F.lit("exact"))
     known = exact.select("request_id").distinct()
     rest = asked.join(known, "request_id", "left_anti")
