@@ -310,8 +310,10 @@ def variants(text: str, base: list[Span]) -> list[tuple[str, list[Span]]]:
         signs = ((" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" [at] ", "."))
         local = re.sub(r"^\+[0-9]+[ .-]*", "", span)
         groups = re.findall("[0-9]+", local)
-        forms = {"phone": [local, *(m.join(groups) for m in "-." if len(groups) > 2)], "email": [m.replace("@", x).replace(".", y) for m in dict.fromkeys((span, without_digits(span))) for x, y in signs] if k == "email" else [], "card": [digits[:4] + "." + ".".join(re.findall(".{1,4}", digits[4:])), digits[:-1] + str((int(digits[-1]) + 1) % 10)], "ip": [span.replace(".", "[.]")]}[k]
+        forms = {"phone": [local, *(m.join(groups) for m in "-." if len(groups) > 2)], "email": [m.replace("@", x).replace(".", y) for m in dict.fromkeys((span, without_digits(span))) for x, y in signs] if k == "email" else [], "card": [digits[:4] + "." + ".".join(re.findall(".{1,4}", digits[4:])), digits[:-1] + str((int(digits[-1:] or 0) + 1) % 10)], "ip": [span.replace(".", "[.]")]}[k]
         for i, new in enumerate(forms):
+            if not new:  # a phone that is all country code
+                continue
             shift = len(new) - (e - b)
             own = [] if k == "card" and i else [(b, b + len(new), k)]
             out.append((text[:b] + new + text[e:], [*own, *((x + shift, y + shift, z) for x, y, z in rest if x >= e)]))
