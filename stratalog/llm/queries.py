@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, language, licenses, near_dedup, pii, shards, token_counts, urls
+from . import bpe, decontaminate, exact_dedup, language, licenses, near_dedup, pii, piece_bpe, shards, token_counts, urls
 from .common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,8 +68,14 @@ def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(table(spark, sf_dir, "documents"))
 
 
+def op13_piece_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = piece_bpe.round_trip(table(spark, sf_dir, "documents"), PIECES)
+    numbers = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
+    return back.select("doc_id", "n_tokens", F.sha2(numbers, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_token_histogram, op2_odd_sketch_dedup, op3_semi_markov_pii, op4_license_scan, op5_prefix_bpe, op6_language_crf, op7_url_rules, op8_containment, op9_exact_dedup, op10_vector_packing)
+    ops = (op1_token_histogram, op2_odd_sketch_dedup, op3_semi_markov_pii, op4_license_scan, op5_prefix_bpe, op6_language_crf, op7_url_rules, op8_containment, op9_exact_dedup, op10_vector_packing, op13_piece_agenda)
     return {f.__name__: f for f in ops}
 
 
