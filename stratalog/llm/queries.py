@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, language, licenses, near_dedup, pii, piece_bpe, shards, token_counts, urls
+from . import bpe, decontaminate, exact_dedup, language, licenses, near_dedup, pii, piece_bpe, shards, token_counts, turn_trie, urls, whitening
 from .common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -68,6 +68,14 @@ def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(table(spark, sf_dir, "documents"))
 
 
+def op11_rank_one_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_tour_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_piece_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = piece_bpe.round_trip(table(spark, sf_dir, "documents"), PIECES)
     numbers = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
@@ -75,9 +83,9 @@ def op13_piece_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_token_histogram, op2_odd_sketch_dedup, op3_semi_markov_pii, op4_license_scan, op5_prefix_bpe, op6_language_crf, op7_url_rules, op8_containment, op9_exact_dedup, op10_vector_packing, op13_piece_agenda)
+    ops = (op1_token_histogram, op2_odd_sketch_dedup, op3_semi_markov_pii, op4_license_scan, op5_prefix_bpe, op6_language_crf, op7_url_rules, op8_containment, op9_exact_dedup, op10_vector_packing, op11_rank_one_whitening, op12_tour_trie, op13_piece_agenda)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_license_scan": licenses.SQL, "op2_odd_sketch_dedup": near_dedup.SQL, "op7_url_rules": urls.SQL, "op8_containment": decontaminate.SQL, "op9_exact_dedup": exact_dedup.SQL}
+    return {"op4_license_scan": licenses.SQL, "op2_odd_sketch_dedup": near_dedup.SQL, "op7_url_rules": urls.SQL, "op8_containment": decontaminate.SQL, "op9_exact_dedup": exact_dedup.SQL, "op12_tour_trie": turn_trie.SQL}
