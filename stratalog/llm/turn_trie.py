@@ -139,7 +139,7 @@ def list_ranks(arcs: DataFrame, most: int = MOST_ARCS) -> DataFrame:
         step = materialize(low.join(high, "at", "full").select(F.when(met, one).otherwise(F.coalesce("p", "e")).alias("live"), F.when(met, F.col("e")).alias("gone")))
         steps.append(step)
         live = step.select("live.*")
-    found = [materialize(live.groupBy(F.lit(1)).applyInPandas(ranked_few, "a bigint, leaves bigint, saved bigint"))]
+    found = [materialize(live.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(ranked_few, "a bigint, leaves bigint, saved bigint"))]
     for step in reversed(steps):
         known = reduce(DataFrame.unionAll, found).select(F.col("a").alias("nxt"), F.col("leaves").alias("l"), F.col("saved").alias("s"))
         back = step.filter("gone is not null").select("gone.*").join(known, "nxt", "left")
