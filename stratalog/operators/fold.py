@@ -29,8 +29,8 @@ def merge(bounds: DataFrame) -> DataFrame:
     return packed.select(*KEY, *[F.col(f"l.{c}").alias(c) for c in META], "s.source_path", "f.first_commit", "l.last_commit", "f.first_ord", "l.last_ord", "s.source_ord")
 
 
-def intervals(bounds: DataFrame) -> DataFrame:
-    return bounds.select(*KEY, F.col("first_ord.snapshot_date").alias("first_date"), "first_commit", F.col("last_ord.snapshot_date").alias("last_date"), "last_commit", *META, "source_path", depth(F.col("entity_path")).alias("depth"))
+def intervals(bounds: DataFrame, *more: str) -> DataFrame:
+    return bounds.select(*more, *KEY, F.col("first_ord.snapshot_date").alias("first_date"), "first_commit", F.col("last_ord.snapshot_date").alias("last_date"), "last_commit", *META, "source_path", depth(F.col("entity_path")).alias("depth"))
 
 
 def fold(obs: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Completeness gates of snapshots: floors, rolling baseline, sentinels, births and deaths.
 
-A snapshot is (channel, era, snapshot_date); its era names the form of its source. Tables of floors and sentinels are short
+A snapshot is (channel, era, snapshot_date) and, where rows have one, its ``release_name``: a channel can have several releases of one date, each of
+which is judged by itself, in the order of their names. The era names the form of its source. Tables of floors and sentinels are short
 dimension tables; ``floor_ladder`` and ``sentinels`` make the usual ones.
 """
 
@@ -26,6 +27,11 @@ SENTINELS = (("firefox", "^firefox$", None), ("thunderbird", "^thunderbird$", No
 SNAPSHOT = ["channel", "era", "snapshot_date"]
 
 
+def key_of(df: DataFrame) -> list[str]:
+    """The columns that name a snapshot."""
+    return [*SNAPSHOT, *[c for c in ("release_name",) if c in df.columns]]
+
+
 def floor_ladder(spark: SparkSession, floors: dict = FLOORS) -> DataFrame:
     """(era, from_year, to_year, floor): one row for each step."""
     rows = []
@@ -45,85 +51,116 @@ def sentinels(spark: SparkSession, listed=SENTINELS, extra: tuple[str, ...] = ()
 
 def counts(obs: DataFrame) -> DataFrame:
     """Per snapshot: rows, distinct (path, version) entries and distinct paths."""
-    return obs.groupBy(*[c for c in SNAPSHOT if c in obs.columns]).agg(F.count("*").alias("n_rows"), F.count_distinct("entity_path", "version").alias("n_entries"), F.count_distinct("entity_path").alias("n_paths"))
+    return obs.groupBy(*[c for c in key_of(obs) if c in obs.columns]).agg(F.count("*").alias("n_rows"), F.count_distinct("entity_path", "version").alias("n_entries"), F.count_distinct("entity_path").alias("n_paths"))
 
 
 def rolling_baseline(snapshots: DataFrame) -> DataFrame:
     """The baseline without feedback: the largest of all of the last ten counts of a channel."""
-    w = W.partitionBy("channel").orderBy("snapshot_date").rowsBetween(-LAST, -1)
-    return snapshots.select("channel", "snapshot_date", "n_entries", F.max("n_entries").over(w).alias("baseline"))
+    order = [c for c in key_of(snapshots) if c not in ("channel", "era")]
+    w = W.partitionBy("channel").orderBy(*order).rowsBetween(-LAST, -1)
+    return snapshots.select("channel", *order, "n_entries", F.max("n_entries").over(w).alias("baseline"))
 
 
 def missing_sentinels(obs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``channel, era, snapshot_date, label`` of the sentinels due in a snapshot that none of its paths matches.
+    """A snapshot's columns and ``label`` of the sentinels due in a snapshot that none of its paths matches.
 
     Paths are tested once each, however many snapshots have them; only the few that match any pattern are joined with the snapshots.
     """
+    key = key_of(obs)
     wanted = small_side(wanted)
     patterns = wanted.select("label", "pattern").distinct()
     hits = stored(obs.select("entity_path").distinct().join(small_side(patterns), F.expr("rlike(entity_path, pattern)")).select("entity_path", "label"))
-    met = obs.select(*SNAPSHOT, "entity_path").join(small_side(hits), "entity_path").select(*SNAPSHOT, "label").distinct()
-    snaps = obs.select(*SNAPSHOT).distinct()
+    met = obs.select(*key, "entity_path").join(small_side(hits), "entity_path").select(*key, "label").distinct()
+    snaps = obs.select(*key).distinct()
     w = wanted.withColumnRenamed("era", "only")
     due = snaps.join(small_side(w), (F.col("active_from").isNull() | (F.col("snapshot_date") >= F.col("active_from"))) & (F.col("only").isNull() | (F.col("only") == F.col("era"))))
-    return due.select(*SNAPSHOT, "label").join(met, [*SNAPSHOT, "label"], "left_anti")
+    return due.select(*key, "label").join(met, [*key, "label"], "left_anti")
+
+
+def step(recent: deque[int], n_entries: int, failures: list[str]) -> tuple[int | None, list[str], list[str]]:
+    """Judge one count against the largest of the ``recent`` accepted ones: baseline, failures, warnings. An accepted count joins ``recent``."""
+    base = max(recent) if recent else None
+    failures, warnings = list(failures), []
+    if base is not None and n_entries < int(base * FAIL):
+        failures.append(f"count {n_entries} under 70% of {base}")
+    elif base is not None and n_entries < int(base * WARN):
+        warnings.append(f"count {n_entries} under 90% of {base}")
+    if not failures:
+        recent.append(n_entries)
+    return base, sorted(failures), warnings
 
 
 def verdicts(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One channel and era in date order: each count against the largest of the last ten accepted ones."""
+    """One channel and era in order: each count against the largest of the last ten accepted ones."""
     recent: deque[int] = deque(maxlen=LAST)
-    out = []
-    for r in pdf.sort_values("snapshot_date").itertuples():
-        base = max(recent) if recent else None
-        failures, warnings = list(r.failures), []
-        if base is not None and r.n_entries < int(base * FAIL):
-            failures.append(f"count {r.n_entries} under 70% of {base}")
-        elif base is not None and r.n_entries < int(base * WARN):
-            warnings.append(f"count {r.n_entries} under 90% of {base}")
-        if not failures:
-            recent.append(r.n_entries)
-        out.append((r.channel, r.era, r.snapshot_date, r.n_entries, base, sorted(failures), warnings))
-    made = pd.DataFrame(out, columns=[*SNAPSHOT, "n_entries", "baseline", "failures", "warnings"])
+    key = [c for c in [*SNAPSHOT, "release_name"] if c in pdf.columns]
+    pdf = pdf.sort_values(key)
+    told = [step(recent, n, f) for n, f in zip(pdf["n_entries"].tolist(), pdf["failures"], strict=True)]
+    made = pdf[[*key, "n_entries"]].reset_index(drop=True)
+    made[["baseline", "failures", "warnings"]] = pd.DataFrame(told, columns=["baseline", "failures", "warnings"], dtype=object)
     return made.astype({"baseline": "Int64"})
 
 
+def verdict(failures: Column, warnings: Column) -> Column:
+    return F.when(F.size(failures) > 0, "fail").when(F.size(warnings) > 0, "warn").otherwise("pass")
+
+
+def unready(snapshots: DataFrame, floors: DataFrame | None = None, missing: DataFrame | None = None) -> DataFrame:
+    """Snapshots with ``n_entries`` and the ``failures`` that don't depend on others: under the floor, a sentinel missing."""
+    key = key_of(snapshots)
+    rows = snapshots.select(*key, "n_entries").withColumn("failures", F.array().cast("array<string>"))
+    if floors is not None:
+        low = rows.join(small_side(floors), "era").filter((F.year("snapshot_date").between(F.col("from_year"), F.col("to_year"))) & (F.col("n_entries") < F.col("floor")))
+        rows = failing(rows, low.select(*key, F.concat(F.lit("count "), F.col("n_entries").cast("string"), F.lit(" under floor "), F.col("floor").cast("string")).alias("why")))
+    if missing is not None:
+        rows = failing(rows, missing.select(*key, F.concat(F.lit("sentinel missing: "), "label").alias("why")))
+    return rows
+
+
+JUDGED = "n_entries bigint, baseline bigint, failures array<string>, warnings array<string>"
+
+
 def judged(snapshots: DataFrame, floors: DataFrame | None = None, missing: DataFrame | None = None) -> DataFrame:
-    """``channel, era, snapshot_date, n_entries, baseline, failures, warnings, verdict`` of each snapshot.
+    """A snapshot's columns and ``n_entries, baseline, failures, warnings, verdict``.
 
     Fails: fewer entries than its era's and year's floor, a sentinel missing, or under 70% of the baseline, which is the largest of the last
     ten *accepted* counts of its channel and era before it; under 90% warns. A verdict changes later baselines, so each channel and era is
-    judged in date order by one task. It has one short row per snapshot (daily for a century is under 40,000).
+    judged in order of date and release name by one task. It has one short row per snapshot (daily for a century is under 40,000).
     """
-    rows = snapshots.select(*SNAPSHOT, "n_entries").withColumn("failures", F.array().cast("array<string>"))
-    if floors is not None:
-        low = rows.join(small_side(floors), "era").filter((F.year("snapshot_date").between(F.col("from_year"), F.col("to_year"))) & (F.col("n_entries") < F.col("floor")))
-        rows = failing(rows, low.select(*SNAPSHOT, F.concat(F.lit("count "), F.col("n_entries").cast("string"), F.lit(" under floor "), F.col("floor").cast("string")).alias("why")))
-    if missing is not None:
-        rows = failing(rows, missing.select(*SNAPSHOT, F.concat(F.lit("sentinel missing: "), "label").alias("why")))
-    schema = "channel string, era string, snapshot_date timestamp_ntz, n_entries bigint, baseline bigint, failures array<string>, warnings array<string>"
+    rows = unready(snapshots, floors, missing)
+    kinds = {"snapshot_date": "timestamp_ntz"}
+    schema = ", ".join(f"{c} {kinds.get(c, 'string')}" for c in key_of(rows)) + f", {JUDGED}"
     out = rows.groupBy("channel", "era").applyInPandas(verdicts, schema)
-    return out.withColumn("verdict", F.when(F.size("failures") > 0, "fail").when(F.size("warnings") > 0, "warn").otherwise("pass"))
+    return out.withColumn("verdict", verdict(F.col("failures"), F.col("warnings")))
 
 
 def failing(rows: DataFrame, reasons: DataFrame) -> DataFrame:
-    more = reasons.groupBy(*SNAPSHOT).agg(F.collect_list("why").alias("more"))
-    return rows.join(more, SNAPSHOT, "left").withColumn("failures", F.concat("failures", F.coalesce("more", F.array().cast("array<string>")))).drop("more")
+    key = key_of(rows)
+    more = reasons.groupBy(*key).agg(F.collect_list("why").alias("more"))
+    return rows.join(more, key, "left").withColumn("failures", F.concat("failures", F.coalesce("more", F.array().cast("array<string>")))).drop("more")
 
 
 def births_deaths(obs: DataFrame, accepted_only: DataFrame | None = None) -> DataFrame:
     """Paths that appear or vanish from one snapshot of a channel to the next, with the eight smallest of each as samples.
 
     With verdicts only accepted snapshots are compared, each with the accepted one before it; across eras nothing is told. More deaths
-    than 5% of the previous paths (at least 50) warn. Each path's presence is joined with the next snapshot's by rank, so no snapshot's paths are gathered anywhere.
+    than 5% of the previous paths (at least 50) warn. Each path's snapshots are looked through in turn, one short row for each, so no snapshot's paths are gathered anywhere.
     """
     if accepted_only is not None:
         obs = accepted(obs, accepted_only)
-    paths = stored(obs.select(*SNAPSHOT, "entity_path").distinct())
-    by_date = W.partitionBy("channel").orderBy("snapshot_date")
-    order = paths.select(*SNAPSHOT).distinct().withColumns({"n": F.row_number().over(by_date), "same": F.lag("era").over(by_date) == F.col("era")})
-    p = paths.join(small_side(order), SNAPSHOT).select("channel", "n", "entity_path")
-    sides = p.select("channel", "n", "entity_path", F.lit(1).alias("now"), F.lit(0).alias("was")).unionAll(p.select("channel", F.col("n") + 1, "entity_path", F.lit(0), F.lit(1)))
-    change = sides.groupBy("channel", "n", "entity_path").agg(F.max("now").alias("now"), F.max("was").alias("was")).filter("now <> was")
+    key = key_of(obs)
+    paths = stored(obs.select(*key, "entity_path").distinct())
+    in_turn = W.partitionBy("channel").orderBy(*[c for c in key if c not in ("channel", "era")])
+    order = stored(paths.select(*key).distinct().withColumns({"n": F.row_number().over(in_turn), "same": F.lag("era").over(in_turn) == F.col("era")}))
+    p = paths.join(small_side(order), key).select("channel", "n", "entity_path")
+    # of a path's snapshots in turn, one without the one before it is a birth, and one without the one after it a death in that
+    last = order.groupBy("channel").agg(F.max("n").alias("last"))
+    by_path = W.partitionBy("channel", "entity_path").orderBy("n")
+    ends = p.join(small_side(last), "channel").withColumns({"was": F.lag("n").over(by_path), "next": F.lead("n").over(by_path)})
+    born = F.when((F.col("n") > 1) & (F.coalesce("was", F.lit(0)) < F.col("n") - 1), F.struct(F.col("n").alias("n"), F.lit(1).alias("now")))
+    died = F.when((F.col("n") < F.col("last")) & (F.coalesce("next", F.lit(0)) != F.col("n") + 1), F.struct((F.col("n") + 1).alias("n"), F.lit(0).alias("now")))
+    change = ends.select("channel", "entity_path", F.explode(F.array_compact(F.array(born, died))).alias("e")).select("channel", "entity_path", "e.n", "e.now")
+    change = stored(change)
     # the eight smallest of each half of 64, then of all: no task sorts a whole snapshot
     part = F.pmod(F.xxhash64("entity_path"), F.lit(64))
     few = change.withColumn("k", F.row_number().over(W.partitionBy("channel", "n", "now", part).orderBy("entity_path"))).filter("k <= 8")
@@ -134,13 +171,14 @@ def births_deaths(obs: DataFrame, accepted_only: DataFrame | None = None) -> Dat
     sizes = p.groupBy("channel", (F.col("n") + 1).alias("n")).agg(F.count("*").alias("previous"))
     out = order.filter("n > 1 and same").join(sums, ["channel", "n"], "left").join(samples, ["channel", "n"], "left").join(sizes, ["channel", "n"])
     warn = F.coalesce("deaths", F.lit(0)) > F.greatest((F.col("previous") * DEATH_SHARE).cast("bigint"), F.lit(DEATHS))
-    return out.select(*SNAPSHOT, F.coalesce("births", F.lit(0)).alias("births"), F.coalesce("deaths", F.lit(0)).alias("deaths"), F.coalesce("born", F.lit("")).alias("born"), F.coalesce("died", F.lit("")).alias("died"), warn.alias("warn"))
+    return out.select(*key, F.coalesce("births", F.lit(0)).alias("births"), F.coalesce("deaths", F.lit(0)).alias("deaths"), F.coalesce("born", F.lit("")).alias("born"), F.coalesce("died", F.lit("")).alias("died"), warn.alias("warn"))
 
 
 def accepted(obs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Observations of snapshots that did not fail; a failed snapshot contributes nothing."""
-    good = verdicts.filter("verdict <> 'fail'").select(*SNAPSHOT)
-    return obs.join(small_side(good), SNAPSHOT, "left_semi")
+    key = key_of(verdicts)
+    good = stored(verdicts.filter("verdict <> 'fail'").select(*key))
+    return obs.join(small_side(good), key, "left_semi")
 
 
 def health(failed: Column, warnings: Column, lag_hours: Column, strict: bool = False, most_lag: int = 72) -> Column:

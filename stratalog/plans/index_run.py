@@ -1,6 +1,8 @@
 """The index run: new snapshots into a published dataset, in one job.
 
-Listing -> ledger -> snapshot documents -> gate -> fold -> intervals, ledger, paths and statistics, published together.
+Listing -> ledger -> snapshot documents -> gate -> fold -> bounds, ledger, paths and statistics, published together. A release is named by its channel and
+name: several of one date, or one name in several channels, are judged and folded each by itself. Bounds and paths are stored in buckets of paths, of which a run
+reads and writes those alone that its observations touch.
 """
 
 from __future__ import annotations
@@ -13,9 +15,12 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as E
 from ..operators import fold, gate, history, ledger
-from ..session import small_side, stored
+from ..session import scratch, small_side, stored
 from ..sources import snapshots
+from ..sources.versions import BUCKETS, Bucketed, bucket_count, bucket_of, read_table, table_names, versions
 
+#: Versions back from which a run publishes deltas.
+DELTA_STEPS = (1, 8)
 LEDGER = "channel string, release_name string, commit_hash string, release_date timestamp_ntz, era string, status string, attempts int, last_attempt_at timestamp_ntz, n_entries bigint, error string"
 
 
@@ -33,59 +38,96 @@ class Options:
     strict: bool = False
     #: Where the report goes as JSON; None: nowhere.
     report: str | None = None
+    #: Buckets of a dataset that is published for the first time: so many that one is rewritten in little time.
+    buckets: int = BUCKETS
 
 
 class Unhealthy(ValueError):
     """A strict run that is not healthy; what it published stays published."""
 
 
-#: A snapshot's document in a path, and the release's name in that: a file or a folder, ``.../<name>.json`` or, one entity per line, ``.../doc=<name>.jsonl/part-0``.
-DOCUMENT, NAME = r"^(.*?[.]jsonl?)(?:/.*)?$", r"([^/=]+)[.]jsonl?(?:/[^/]*)?$"
+#: A snapshot's document in a path, the release's name in that (a file or a folder, ``.../<name>.json`` or, one entity per line, ``.../doc=<name>.jsonl/part-0``), and
+#: the folder that says which channel's it is; without one it is that of any channel with such a release.
+DOCUMENT, NAME, CHANNEL = r"^(.*?[.]jsonl?)(?:/.*)?$", r"([^/=]+)[.]jsonl?(?:/[^/]*)?$", r"/channel=([^/]+)/"
 
 
-def observations(spark: SparkSession, documents: str, work: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Observations of the snapshots in ``work`` from their documents, and (release_name, why) of those that can't be read.
+def of_path(path: str) -> list[Column]:
+    """``release_name`` and ``folder``, the channel that a document's path names (null: none)."""
+    return [F.regexp_extract(path, NAME, 1).alias("release_name"), F.nullif(F.regexp_extract(path, CHANNEL, 1), F.lit("")).alias("folder")]
+
+
+def placed(spark: SparkSession, documents: str | list[str], work: DataFrame) -> DataFrame:
+    """``work`` with the path of each release's document (null: there is none); one in the channel's own folder goes before others."""
+    if isinstance(documents, str):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(documents).select("path")
+    else:
+        files = spark.createDataFrame([(d,) for d in documents], "path string")
+    there = files.select(F.regexp_extract("path", DOCUMENT, 1).alias("doc")).distinct().select("doc", *of_path("doc")).filter("release_name <> ''")
+    rows = work.select("channel", "release_name", "era", "commit_hash", F.col("release_date").alias("snapshot_date"))
+    met = rows.join(there, "release_name", "left").filter(F.col("folder").isNull() | (F.col("folder") == F.col("channel")))
+    first = met.groupBy("channel", "release_name").agg(F.min(F.struct(F.col("folder").isNull().alias("any"), "doc", "folder")).alias("d"))
+    return rows.join(first, ["channel", "release_name"], "left").select(*rows.columns, "d.doc", "d.folder")
+
+
+def observations(spark: SparkSession, documents: str | list[str], work: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Observations of the snapshots in ``work`` from their documents, and (channel, release_name, why) of those that can't be read.
 
     Only the documents of ``work`` are read, each whole or not at all.
     """
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(documents).select(F.regexp_extract("path", DOCUMENT, 1).alias("doc")).distinct()
-    there = listed.select("doc", F.regexp_extract("doc", NAME, 1).alias("release_name")).filter("release_name <> ''")
-    todo = stored(work.select("channel", "release_name", "era", "commit_hash", F.col("release_date").alias("snapshot_date")).join(there, "release_name", "left"))
-    why = todo.filter("doc is null").select("release_name", F.lit("no document").alias("why"))
+    todo = stored(placed(spark, documents, work))
+    why = todo.filter("doc is null").select("channel", "release_name", F.lit("no document").alias("why"))
     parts = []
     by_line = F.col("doc").endswith("l")
     for these, read in ((by_line, snapshots.read_lines), (~by_line & (F.col("era") == "envelope"), snapshots.read_envelopes), (~by_line & (F.col("era") == "bare"), snapshots.read_bare)):
-        own = todo.filter(these)
-        paths = [r.doc for r in own.select("doc").collect()]  # one for each snapshot of the run
+        own = stored(todo.filter(these))
+        paths = [r.doc for r in own.select("doc").distinct().collect()]  # one for each snapshot of the run
         if paths:
             rows, bad = read(spark, paths)
-            named = F.regexp_extract("file", NAME, 1).alias("release_name")
-            parts.append(snapshots.normalize(rows).select("*", named).join(small_side(own.drop("doc")), "release_name"))
-            why = why.unionByName(bad.select(named, F.lit("malformed document").alias("why")))
+            mine = F.broadcast(own.drop("doc").withColumnsRenamed({"release_name": "_name", "folder": "_folder"}))  # one for each path just collected
+            named = lambda df: df.select("*", *of_path("file")).join(mine, (F.col("release_name") == F.col("_name")) & F.col("folder").eqNullSafe(F.col("_folder")))  # noqa: B023, E731
+            parts.append(named(snapshots.normalize(rows)).drop("_name", "_folder", "folder"))
+            why = why.unionByName(named(bad).select("channel", "release_name", F.lit("malformed document").alias("why")))
     if not parts:
         nothing = spark.createDataFrame([], "file string, raw_path string, entry variant")
-        parts = [snapshots.normalize(nothing).withColumn("release_name", F.lit("")).join(todo.drop("doc"), "release_name")]
+        parts = [snapshots.normalize(nothing).withColumn("release_name", F.lit("")).join(todo.drop("doc", "folder"), "release_name")]
     obs = reduce(DataFrame.unionByName, parts)
     order = F.struct("snapshot_date", "channel", F.col("release_name"), F.lit(0).cast("bigint").alias("a"))
     texts = {"license_raw": E.encode_array(F.col("license")), "advisories_raw": E.encode_array(F.col("advisories")), "platforms_raw": E.encode_array(F.col("platforms"))}
     return obs.withColumns({**texts, "ord": order}), why
 
 
-def run(spark: SparkSession, listing: DataFrame, documents: str, store: str, now: Column | str, floors: DataFrame | None = None, sentinels: DataFrame | None = None, denylist: DataFrame | None = None, fallback: DataFrame | None = None, parse: bool = True, options: Options | None = None) -> DataFrame:
+def merged_buckets(spark: SparkSession, store: str, new: DataFrame, buckets: int = BUCKETS) -> tuple[dict[str, Bucketed], DataFrame]:
+    """Bounds and paths with ``new`` bounds merged in, as buckets to be published; and all bounds, of which the untouched buckets are not read before they are asked for."""
+    new, parts = stored(new), bucket_count(spark, store, "bounds", buckets)
+    path = F.col("entity_path")
+    touched = sorted(r[0] for r in new.select(bucket_of(path, parts).alias("b")).distinct().collect())  # at most ``parts``
+    there = bool(versions(spark, store)) and "bounds" in table_names(spark, store)
+    rows = fold.merge(read_table(spark, store, "bounds", buckets=touched).drop("path_lc").unionByName(new)) if there else new
+    rows = stored(rows.withColumn("path_lc", E.ascii_lower(path)))
+    whole = rows.unionByName(read_table(spark, store, "bounds", buckets=sorted(set(range(parts)) - set(touched)))) if there else rows
+    paths = rows.select("entity_path", "path_lc").distinct()
+    return {"bounds": Bucketed(rows, touched, fold.KEY, "path_lc", parts), "paths": Bucketed(paths, touched, ["entity_path"], "path_lc", parts)}, whole
+
+
+def run(spark: SparkSession, listing: DataFrame, documents: str | list[str], store: str, now: Column | str, floors: DataFrame | None = None, sentinels: DataFrame | None = None, denylist: DataFrame | None = None, fallback: DataFrame | None = None, parse: bool = True, options: Options | None = None) -> DataFrame:
     """Ingest what is new and return the report, one row per run.
 
     ``listing``: channel, release_name, commit_hash, release_date, era; names are checked unless ``parse`` is off. ``fallback``: commit_hash, release_date, era of
     a source that is taken, as channel ``master``, only where the newest accepted snapshot is a day old or there is none. A snapshot that fails the gate, or whose document can't be read whole, writes no
     observation and is failed in the ledger, to be tried again later; accepted ones widen the stored bounds, in whatever order they
-    come. The new bounds, intervals, ledger, paths and statistics become visible together, by the manifest, so a run that ends early leaves everything pending and a
-    repeated run finds nothing to do.
+    come. The new bounds, ledger, paths and statistics become visible together, by the manifest, so a run that ends early leaves everything pending and a
+    repeated run finds nothing to do. ``documents`` is a folder, or a list of documents, to which the run keeps then. Tables that it needs on its way are deleted.
     """
-    o = options or Options()
+    with scratch():
+        report = ran(spark, listing, documents, store, now, floors, sentinels, denylist, fallback, parse, options or Options())
+        return spark.createDataFrame(report.collect(), report.schema)  # one row
+
+
+def ran(spark: SparkSession, listing: DataFrame, documents: str | list[str], store: str, now: Column | str, floors: DataFrame | None, sentinels: DataFrame | None, denylist: DataFrame | None, fallback: DataFrame | None, parse: bool, o: Options) -> DataFrame:
     now = F.lit(now).cast("timestamp_ntz") if isinstance(now, str) else now
     since, until = (None if d is None else F.lit(spark.range(1).select(E.date_arg(F.lit(d))).first()[0]) for d in (o.since, o.until))  # a bad date fails at once
     old = snapshots.versions(spark, store)
-    at = f"{store}/v={old[-1]}" if old else None
-    book = spark.read.parquet(f"{at}/ledger") if at else spark.createDataFrame([], LEDGER)
+    book = read_table(spark, store, "ledger") if old else spark.createDataFrame([], LEDGER)
     if o.requeue:
         book = ledger.requeue(book)
     listing = listing.select("channel", "release_name", "commit_hash", "release_date", "era")
@@ -99,25 +141,26 @@ def run(spark: SparkSession, listing: DataFrame, documents: str, store: str, now
         book = ledger.deny(book, denylist)
     book = stored(book)
     work = stored(ledger.windowed(ledger.worklist(book, now, o.retry_failed), since, until, o.channels, o.eras, o.most))
+    if not isinstance(documents, str):
+        work = stored(work.join(placed(spark, documents, work).filter("doc is not null").select("channel", "release_name"), ["channel", "release_name"], "left_semi"))
     obs, broken = observations(spark, documents, work)
     obs = stored(obs)
     broken = stored(broken)
     missing = gate.missing_sentinels(obs, sentinels) if sentinels is not None else None
     # what earlier runs accepted stands in the baseline
-    before = book.filter("status = 'ingested'").select("channel", "era", F.col("release_date").alias("snapshot_date"), "n_entries")
-    counts = obs.groupBy(*gate.SNAPSHOT).agg(F.count("*").alias("n_entries"))
-    judged = stored(gate.judged(before.unionByName(counts), floors, missing).join(counts.select(*gate.SNAPSHOT), gate.SNAPSHOT, "left_semi"))
-    good = fold.merge(fold.as_bounds(gate.accepted(obs, judged)))
-    bounds = stored(fold.merge(spark.read.parquet(f"{at}/bounds").unionByName(good)) if at else good)
-    intervals = fold.intervals(bounds)
-    verdict = judged.select("channel", F.col("snapshot_date").alias("release_date"), "era", "n_entries", F.when(F.size("failures") > 0, F.array_join("failures", "; ")).alias("error"))
-    told = work.select("channel", "release_name", "release_date", "era").join(verdict, ["channel", "release_date", "era"], "left").join(broken, "release_name", "left")
+    key = gate.key_of(obs)
+    before = book.filter("status = 'ingested'").select("channel", "era", F.col("release_date").alias("snapshot_date"), "release_name", "n_entries")
+    counts = stored(obs.groupBy(*key).agg(F.count("*").alias("n_entries")))
+    judged = stored(gate.judged(before.unionByName(counts), floors, missing).join(counts.select(*key), key, "left_semi"))
+    buckets, bounds = merged_buckets(spark, store, fold.merge(fold.as_bounds(gate.accepted(obs, judged))), o.buckets)
+    verdict = judged.select("channel", "release_name", "n_entries", F.when(F.size("failures") > 0, F.array_join("failures", "; ")).alias("error"))
+    told = work.select("channel", "release_name").join(verdict, ["channel", "release_name"], "left").join(broken, ["channel", "release_name"], "left")
     empty = F.when(F.col("n_entries").isNull(), F.lit("no entries"))
     told = told.select("channel", "release_name", "n_entries", F.coalesce("why", "error", empty).alias("error"))
     book = stored(ledger.settled(book, told, now))
     latest = book.filter("status = 'ingested'").agg(F.max(F.struct("release_date", "release_name")).alias("m")).select("m.release_name").first()[0] or ""
-    stats = history.index_stats(intervals).withColumn("marker", F.lit(latest))
-    snapshots.publish({"bounds": bounds, "intervals": snapshots.laid_out(intervals), "ledger": book, "paths": intervals.select("entity_path", E.ascii_lower(F.col("entity_path")).alias("path_lc")).distinct(), "stats": stats}, store, latest)
+    stats = history.index_stats(fold.intervals(bounds)).withColumn("marker", F.lit(latest))
+    snapshots.publish({"ledger": book, "stats": stats}, store, latest, bucketed=buckets, delta_steps=DELTA_STEPS)
     report = stored(report_of(book, work, judged, snapshots.read_intervals(spark, store), now, o.strict))
     if o.report:
         snapshots.write_json(report, o.report)
@@ -132,7 +175,7 @@ def report_of(book: DataFrame, work: DataFrame, judged: DataFrame, intervals: Da
     tried = work.select("channel", "release_name").join(book.select("channel", "release_name", "status"), ["channel", "release_name"])
     sums = tried.agg(F.count("*").alias("planned"), *[F.count_if(F.col("status") == s).alias(s) for s in ("ingested", "failed", "skipped")])
     odd = F.size("failures") + F.size("warnings") > 0
-    anomalies = judged.agg(F.count_if(F.size("warnings") > 0).alias("warned"), F.array_sort(F.collect_list(F.when(odd, F.struct("channel", "snapshot_date", "failures", "warnings")))).alias("anomalies"))
+    anomalies = judged.agg(F.count_if(F.size("warnings") > 0).alias("warned"), F.array_sort(F.collect_list(F.when(odd, F.struct("channel", "release_name", "snapshot_date", "failures", "warnings")))).alias("anomalies"))
     channels = ledger.coverage(book).agg(F.array_sort(F.collect_list(F.struct("channel", "n_ingested", "n_pending", "n_failed", "n_skipped", "newest_name", "newest_date"))).alias("channels"))
     mark = book.agg(F.max(F.when(F.col("status") == "ingested", F.col("release_date")))).first()[0]
     holes = book.filter(F.col("status").isin("pending", "failed") & (F.col("release_date") < F.lit(mark))).agg(F.count("*").alias("unsettled"))

@@ -10,14 +10,16 @@ from pyspark.sql import functions as F
 from ..functions import exprs as E
 from ..operators import fold, gate, ledger
 from ..session import shared_dir, stored
-from ..sources import snapshots
+from ..sources import snapshots, versions
 from ..sources.adapters import INT, OBS, observations, table
 from ..streaming import jobs
 from . import index_run
 
 NOW = "2002-01-15 00:00:00"
 FLOORS = {"bare": ((1993, 20), (None, 30)), "envelope": ((1999, 30), (2000, 40), (None, 60))}
-DENIED, BROKEN, LINES = "F-1994-05", ("O-1998-02", "F-2000-05"), "1999-01-01"
+DENIED, BROKEN, LINES, SHARED = "F-1994-05", ("O-1998-02", "F-2000-05"), "1999-01-01", "R-1995-06"
+#: Where the first of the two index runs ends.
+CUT = "1996-12-31"
 RUNS: dict[tuple[str, str], tuple[str, list[DataFrame]]] = {}
 
 
@@ -124,20 +126,25 @@ def documents(spark: SparkSession, d: str) -> tuple[str, DataFrame]:
     """Snapshot documents from the observations (one version per path, the greatest), and their listing.
 
     Those before 1996 are bare maps, those before 1999 envelopes, each one row as in its source, and the later ones have one entity per line, dealt over several files. Two are cut short.
+    Septembers have a second release of the same date (``-c``, the least versions), and Junes from 1996 on one that lacks paths of odd length (``-b``); one name stands for a
+    release of either channel.
     """
-    rows = observations(spark, d).groupBy("channel", "era", "snapshot_date", "entity_path").agg(F.max("version").alias("version"))
+    month, year = F.month("snapshot_date"), F.year("snapshot_date")
+    rows = observations(spark, d).groupBy("channel", "era", "snapshot_date", "entity_path").agg(F.max("version").alias("version"), F.min("version").alias("low"))
+    also = F.when(month == 9, F.array(F.lit(""), F.lit("-c"))).when((month == 6) & (year >= 1996) & (F.length("entity_path") % 2 == 0), F.array(F.lit(""), F.lit("-b"))).otherwise(F.array(F.lit("")))
+    rows = rows.withColumn("again", F.explode(also)).withColumn("version", F.when(F.col("again") == "-c", F.col("low")).otherwise(F.col("version")))
     entry = F.struct(F.lit(None).cast("string").alias("name"), "version", F.struct(F.concat(F.lit("/b/pkgs/"), F.col("entity_path"), F.lit(":1")).alias("position")).alias("meta")).alias("entry")
-    name = F.concat("channel", F.lit("-"), F.date_format("snapshot_date", "yyyy-MM"))
-    rows = stored(rows.select("*", entry, name.alias("release_name")))
+    base = F.when(F.date_format("snapshot_date", "yyyy-MM") == SHARED[2:], SHARED).otherwise(F.concat("channel", F.lit("-"), F.date_format("snapshot_date", "yyyy-MM")))
+    rows = stored(rows.select("*", entry, F.concat(base, "again").alias("release_name")))
     path, by_line = folder(spark, "documents"), F.col("snapshot_date") >= ntz(LINES)
-    maps = rows.filter(~by_line).groupBy("release_name", "era").agg(F.map_from_entries(F.collect_list(F.struct("entity_path", "entry"))).alias("packages"))
+    maps = rows.filter(~by_line).groupBy("channel", "release_name", "era").agg(F.map_from_entries(F.collect_list(F.struct("entity_path", "entry"))).alias("packages"))
     text = F.when(F.col("era") == "bare", F.to_json("packages")).otherwise(F.to_json(F.struct("packages", F.lit("2").alias("version"))))
     text = F.when(F.col("release_name") == BROKEN[0], F.left(text, F.length(text) - 20)).otherwise(text)
-    maps.select(F.concat("release_name", F.lit(".json")).alias("doc"), text.alias("text")).repartition("doc").write.partitionBy("doc").text(path)
-    lines = rows.filter(by_line).select("release_name", F.to_json(F.struct(F.col("entity_path").alias("path"), "entry")).alias("text"))
-    ends = rows.filter(by_line & (F.col("release_name") != BROKEN[1])).groupBy("release_name").agg(F.to_json(F.struct(F.count("*").alias("entries"))).alias("text"))
+    maps.select("channel", F.concat("release_name", F.lit(".json")).alias("doc"), text.alias("text")).repartition("channel", "doc").write.partitionBy("channel", "doc").text(path)
+    lines = rows.filter(by_line).select("channel", "release_name", F.to_json(F.struct(F.col("entity_path").alias("path"), "entry")).alias("text"))
+    ends = rows.filter(by_line & (F.col("release_name") != BROKEN[1])).groupBy("channel", "release_name").agg(F.to_json(F.struct(F.count("*").alias("entries"))).alias("text"))
     part = F.pmod(F.xxhash64("text"), F.lit(3))
-    lines.unionByName(ends).select(F.concat("release_name", F.lit(".jsonl")).alias("doc"), "text").repartition("doc", part).write.mode("append").partitionBy("doc").text(path)
+    lines.unionByName(ends).select("channel", F.concat("release_name", F.lit(".jsonl")).alias("doc"), "text").repartition("channel", "doc", part).write.mode("append").partitionBy("channel", "doc").text(path)
     listing = rows.select("channel", "era", "snapshot_date", "release_name").distinct()
     return path, stored(listing.select("channel", "release_name", F.sha1("release_name").alias("commit_hash"), F.col("snapshot_date").alias("release_date"), "era"))
 
@@ -150,7 +157,7 @@ def indexed(spark: SparkSession, d: str) -> tuple[str, list[DataFrame]]:
         store, now = folder(spark, "index"), ntz(NOW)
         floors, denylist = gate.floor_ladder(spark, FLOORS), spark.createDataFrame([(DENIED, "known to be malformed")], "release_name string, reason string")
         given = {"floors": floors, "denylist": denylist, "parse": False}
-        reports = [index_run.run(spark, listing, path, store, now, **given, options=index_run.Options(until=until)) for until in ("1996-12-31", None)]
+        reports = [index_run.run(spark, listing, path, store, now, **given, options=index_run.Options(until=until, buckets=4)) for until in (CUT, None)]
         RUNS[key] = store, reports
     return RUNS[key]
 
@@ -159,6 +166,29 @@ def index_intervals(spark, d):
     return snapshots.read_intervals(spark, indexed(spark, d)[0]).select("entity_path", "version", "first_date", "first_commit", "last_date", "last_commit", "source_path")
 
 
+def index_caught_up(spark, d):
+    """A reader of the first version, brought up to the newest by the published deltas."""
+    store = indexed(spark, d)[0]
+    first = versions.versions(spark, store)[0]
+    have = versions.read_table(spark, store, "bounds", first)
+    return fold.intervals(versions.catch_up(spark, store, "bounds", have, first, fold.KEY)).select("entity_path", "version", "first_date", "first_commit", "last_date", "last_commit", "source_path")
+
+
+def index_changes(spark, d):
+    """What the deltas from the first version on say."""
+    store = indexed(spark, d)[0]
+    steps = versions.deltas(spark, store, "bounds", versions.versions(spark, store)[0])
+    return versions.composed(steps, fold.KEY).select("op", "entity_path", "version", F.col("last_ord.snapshot_date").alias("last_date"))
+
+
+def index_damage(spark, d):
+    """Files of the newest version by table, as listed and as they are: none is missing, changed or extra."""
+    store = indexed(spark, d)[0]
+    bad = versions.verify(spark, store).groupBy(F.split("file", "/")[1].alias("table")).agg(F.count("*").alias("n_bad"))
+    listed = versions.manifest(spark, store, versions.newest_version(spark, store)).filter("file is not null and `from` is null").select("table").distinct()
+    return listed.join(bad, "table", "left").select("table", F.coalesce("n_bad", F.lit(0)).alias("n_bad"))
+
+
 def index_ledger(spark, d):
     return snapshots.read_published(spark, indexed(spark, d)[0], "ledger").select("channel", "release_name", "era", "status", "attempts", F.coalesce("n_entries", F.lit(-1)).alias("n_entries"), F.coalesce("error", F.lit("-")).alias("error"))
 
@@ -177,40 +207,57 @@ def stream_fold(spark, d):
     rows = observations(spark, d)
     path, store = folder(spark, "obs"), folder(spark, "bounds")
     rows.repartition(6).write.parquet(path)
-    jobs.fold_stream(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path), store, folder(spark, "checkpoint")).awaitTermination()
+    jobs.fold_stream(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path), store, folder(spark, "checkpoint"), buckets=4).awaitTermination()
     return fold.intervals(snapshots.read_published(spark, store, "bounds")).select("entity_path", "version", "first_date", "first_commit", "last_date", "last_commit", "source_path")
 
 
+def stream_gate(spark, d):
+    """All snapshots as a stream in no order, each held until those listed before it have come, and judged then."""
+    rows = observations(spark, d)
+    path, store = folder(spark, "snapshots"), folder(spark, "gated")
+    rows.repartition(6, "snapshot_date", "channel").write.parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    expected = stored(rows.select(*gate.SNAPSHOT).distinct())
+    jobs.fold_stream(stream, store, folder(spark, "checkpoint"), gated=True, floors=gate.floor_ladder(spark, FLOORS), expected=expected, buckets=4).awaitTermination()
+    return snapshots.read_published(spark, store, "ledger").select(*gate.SNAPSHOT, "n_entries", "status")
+
+
 def stream_activity(spark, d):
     """Events as a stream of files, counted per minute."""
     rows = table(spark, d, "events").select("ts")
     path, store = folder(spark, "events"), folder(spark, "minutes")
     rows.repartition(4).write.parquet(path)
     counts = jobs.activity_stream(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path), delay="100 days")
-    jobs.keep_counts(counts, store, folder(spark, "checkpoint")).awaitTermination()
+    jobs.keep_counts(counts, store, folder(spark, "checkpoint"), buckets=4).awaitTermination()
     return snapshots.read_published(spark, store, "minutes")
 
 
-QUERIES = (discover_releases, refused_releases, ledger_window, denied_releases, requeued_releases, settled_releases, dedupe_dry_run, normalize_entries, column_helpers, index_intervals, index_ledger, index_report, index_paths, stream_fold, stream_activity)
+QUERIES = (discover_releases, refused_releases, ledger_window, denied_releases, requeued_releases, settled_releases, dedupe_dry_run, normalize_entries, column_helpers, index_intervals, index_caught_up, index_changes, index_damage, index_ledger, index_report, index_paths, stream_fold, stream_gate, stream_activity)
 
 LISTED = """o AS (SELECT *, sha1(CAST(o_orderkey AS VARCHAR)) AS sha, CAST(o_orderkey AS VARCHAR) AS key FROM orders),
 l AS (SELECT o_orderkey, o_orderpriority AS channel, CASE o_orderkey % 6 WHEN 0 THEN 'nixos-20.03pre' || key || '.' || left(sha, 7) WHEN 1 THEN 'nixpkgs-21.11.' || key || '.' || left(sha, 12) WHEN 2 THEN 'nixos-19.09beta' || key || '.' || left(sha, 9) WHEN 3 THEN 'nixpkgs-1.0pre' || key || '_' || left(sha, 7) WHEN 4 THEN 'nixos-20.03pre' || key || '.zz' ELSE 'nixos-20.03pre' || key || '.abcdef1' END AS release_name,
   left(sha, CASE o_orderkey % 6 WHEN 0 THEN 7 WHEN 1 THEN 12 ELSE 9 END) AS rev, CASE WHEN o_orderkey % 6 IN (3, 4) THEN 'name' WHEN o_orderkey % 7 = 0 THEN 'commit' WHEN o_orderkey % 6 = 5 THEN 'revision' END AS refused FROM o)"""
 BOOK = "b AS (SELECT o_orderkey AS key, o_orderpriority AS channel, lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS release_name, o_orderdate AS release_date, CASE WHEN o_custkey % 2 = 0 THEN 'bare' ELSE 'envelope' END AS era, CASE o_orderstatus WHEN 'F' THEN 'ingested' WHEN 'O' THEN 'failed' ELSE 'pending' END AS status, CAST(CASE WHEN o_orderstatus = 'O' THEN o_custkey % 5 ELSE 0 END AS INT) AS attempts FROM orders)"
 FULL = "SELECT entity_path, version, min(snapshot_date) AS first_date, arg_min(commit_hash, ord) AS first_commit, max(snapshot_date) AS last_date, arg_max(commit_hash, ord) AS last_commit, arg_max(source_path, ord) FILTER (source_path IS NOT NULL) AS source_path FROM {} GROUP BY entity_path, version"
-#: Observations of the documents, the gate over them with feedback, and the ledger that follows.
-RUN = OBS.replace("j AS", "RECURSIVE j AS", 1) + f""",
-dv AS (SELECT channel, era, snapshot_date, entity_path, max(version) AS version, channel || '-' || strftime(snapshot_date, '%Y-%m') AS release_name FROM obs GROUP BY ALL),
-cnt AS (SELECT channel, era, snapshot_date, release_name, count(*) AS n_entries FROM dv WHERE release_name NOT IN ('{DENIED}', '{BROKEN[0]}', '{BROKEN[1]}') GROUP BY ALL),
-floors(era, y1, y2, floor) AS (VALUES ('bare', 0, 1993, 20), ('bare', 1994, 9999, 30), ('envelope', 0, 1999, 30), ('envelope', 2000, 2000, 40), ('envelope', 2001, 9999, 60)),
-sn AS (SELECT cnt.*, CASE WHEN n_entries < floor THEN ['count ' || n_entries || ' under floor ' || floor] ELSE CAST([] AS VARCHAR[]) END AS pre, row_number() OVER (PARTITION BY channel, cnt.era ORDER BY snapshot_date) AS n FROM cnt JOIN floors ON cnt.era = floors.era AND year(snapshot_date) BETWEEN y1 AND y2),
+#: The gate with feedback over snapshots ``cnt``: ``st`` has each one's failures.
+GATE = """floors(era, y1, y2, floor) AS (VALUES ('bare', 0, 1993, 20), ('bare', 1994, 9999, 30), ('envelope', 0, 1999, 30), ('envelope', 2000, 2000, 40), ('envelope', 2001, 9999, 60)),
+sn AS (SELECT cnt.*, CASE WHEN n_entries < floor THEN ['count ' || n_entries || ' under floor ' || floor] ELSE CAST([] AS VARCHAR[]) END AS pre, row_number() OVER (PARTITION BY channel, cnt.era ORDER BY snapshot_date, release_name) AS n FROM cnt JOIN floors ON cnt.era = floors.era AND year(snapshot_date) BETWEEN y1 AND y2),
 st AS (SELECT channel, era, snapshot_date, release_name, n_entries, n, list_sort(pre) AS failures, CASE WHEN len(pre) > 0 THEN CAST([] AS BIGINT[]) ELSE [n_entries] END AS recent FROM sn WHERE n = 1
   UNION ALL SELECT channel, era, snapshot_date, release_name, n_entries, n, failures, CASE WHEN len(failures) > 0 THEN recent ELSE list_append(recent, n_entries)[-10:] END FROM (
     SELECT *, list_sort(CASE WHEN coalesce(n_entries < CAST(trunc(base * 0.70::DOUBLE) AS BIGINT), false) THEN list_append(pre, 'count ' || n_entries || ' under 70% of ' || base) ELSE pre END) AS failures
-    FROM (SELECT sn.*, list_max(st.recent) AS base, st.recent FROM st JOIN sn ON sn.channel = st.channel AND sn.era = st.era AND sn.n = st.n + 1))),
+    FROM (SELECT sn.*, list_max(st.recent) AS base, st.recent FROM st JOIN sn ON sn.channel = st.channel AND sn.era = st.era AND sn.n = st.n + 1)))"""
+RECURSIVE = OBS.replace("j AS", "RECURSIVE j AS", 1)
+#: Observations of the documents, the gate over them, and the ledger that follows.
+RUN = RECURSIVE + f""",
+nm AS (SELECT channel, era, snapshot_date, entity_path, max(version) AS version, min(version) AS low, CASE WHEN strftime(snapshot_date, '%Y-%m') = '{SHARED[2:]}' THEN '{SHARED}' ELSE channel || '-' || strftime(snapshot_date, '%Y-%m') END AS base FROM obs GROUP BY ALL),
+dv AS (SELECT channel, era, snapshot_date, entity_path, version, base AS release_name FROM nm UNION ALL SELECT channel, era, snapshot_date, entity_path, low, base || '-c' FROM nm WHERE month(snapshot_date) = 9
+  UNION ALL SELECT channel, era, snapshot_date, entity_path, version, base || '-b' FROM nm WHERE month(snapshot_date) = 6 AND year(snapshot_date) >= 1996 AND length(entity_path) % 2 = 0),
+cnt AS (SELECT channel, era, snapshot_date, release_name, count(*) AS n_entries FROM dv WHERE release_name NOT IN ('{DENIED}', '{BROKEN[0]}', '{BROKEN[1]}') GROUP BY ALL),
+{GATE},
 lb AS (SELECT DISTINCT dv.channel, dv.release_name, dv.era, dv.snapshot_date, CASE WHEN dv.release_name = '{DENIED}' THEN 'skipped' WHEN dv.release_name IN ('{BROKEN[0]}', '{BROKEN[1]}') OR len(failures) > 0 THEN 'failed' ELSE 'ingested' END AS status,
   st.n_entries, CASE WHEN dv.release_name = '{DENIED}' THEN 'known to be malformed' WHEN dv.release_name IN ('{BROKEN[0]}', '{BROKEN[1]}') THEN 'malformed document' WHEN len(failures) > 0 THEN array_to_string(failures, '; ') END AS error FROM dv LEFT JOIN st USING (channel, release_name)),
-iv2 AS (SELECT entity_path, version, min(snapshot_date) AS first_date, sha1(arg_min(release_name, row(snapshot_date, channel))) AS first_commit, max(snapshot_date) AS last_date, sha1(arg_max(release_name, row(snapshot_date, channel))) AS last_commit, 'pkgs/' || entity_path AS source_path FROM dv JOIN (SELECT release_name FROM lb WHERE status = 'ingested') USING (release_name) GROUP BY entity_path, version)"""
+ok AS (SELECT dv.* FROM dv JOIN (SELECT channel, release_name FROM lb WHERE status = 'ingested') USING (channel, release_name)),
+iv2 AS (SELECT entity_path, version, min(snapshot_date) AS first_date, sha1(arg_min(release_name, row(snapshot_date, channel, release_name))) AS first_commit, max(snapshot_date) AS last_date, sha1(arg_max(release_name, row(snapshot_date, channel, release_name))) AS last_commit, 'pkgs/' || entity_path AS source_path FROM ok GROUP BY entity_path, version)"""
 ORACLE = {
     "discover_releases": f"WITH {LISTED} SELECT channel, release_name, o_orderkey AS commit_count, rev FROM l WHERE refused IS NULL AND o_orderkey % 11 <> 0",
     "refused_releases": f"WITH {LISTED} SELECT channel, refused, count(*) AS n_rows FROM l WHERE refused IS NOT NULL GROUP BY ALL",
@@ -231,11 +278,15 @@ ORACLE = {
       CASE WHEN o_orderkey % 3 = 0 THEN '-' ELSE '["' || replace(replace(o_orderpriority, ' ', '-'), '-', '","') || '"]' END AS words, least(o_orderkey * 999983, 4294967295) / 1000.0::DOUBLE AS millis,
       CAST(CASE WHEN left(o_orderpriority, 2) <> '4-' THEN 0 WHEN o_orderstatus = 'S' THEN 7 ELSE 6 END AS BIGINT) AS shared FROM orders""",
     "index_intervals": f"WITH {RUN} SELECT * FROM iv2",
+    "index_caught_up": f"WITH {RUN} SELECT * FROM iv2",
+    "index_changes": f"WITH {RUN} SELECT CASE WHEN min(snapshot_date) > DATE '{CUT}' THEN 'insert' ELSE 'change' END AS op, entity_path, version, max(snapshot_date) AS last_date FROM ok GROUP BY entity_path, version HAVING max(snapshot_date) > DATE '{CUT}'",
+    "index_damage": "SELECT unnest(['bounds', 'paths', 'ledger', 'stats']) AS \"table\", CAST(0 AS BIGINT) AS n_bad",
     "index_ledger": f"WITH {RUN} SELECT channel, release_name, era, status, CAST(CASE WHEN status = 'skipped' THEN 0 ELSE 1 END AS INT) AS attempts, coalesce(n_entries, -1) AS n_entries, coalesce(error, '-') AS error FROM lb",
     "index_report": f"""WITH {RUN}, p AS (SELECT * FROM lb WHERE snapshot_date > DATE '1996-12-31' AND status <> 'skipped'), m AS (SELECT max(snapshot_date) AS mark FROM lb WHERE status = 'ingested')
       SELECT count(*) AS planned, count(*) FILTER (status = 'ingested') AS ingested, count(*) FILTER (status = 'failed') AS failed, CAST(0 AS BIGINT) AS skipped, (SELECT count(*) FROM lb, m WHERE status = 'failed' AND snapshot_date < mark) AS unsettled,
       (SELECT count(DISTINCT entity_path) FROM iv2) AS n_paths, (SELECT count(*) FROM iv2) AS n_intervals, (SELECT date_diff('hour', mark, TIMESTAMP '{NOW}') FROM m) AS lag_hours, false AS healthy FROM p""",
     "index_paths": f"WITH {RUN} SELECT DISTINCT entity_path, translate(entity_path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS path_lc FROM iv2",
     "stream_fold": f"WITH {INT} SELECT entity_path, version, first_date, first_commit, last_date, last_commit, source_path FROM iv",
+    "stream_gate": f"WITH {RECURSIVE}, cnt AS (SELECT channel, era, snapshot_date, '' AS release_name, count(*) AS n_entries FROM obs GROUP BY ALL), {GATE} SELECT channel, era, snapshot_date, n_entries, CASE WHEN len(failures) > 0 THEN 'failed' ELSE 'ingested' END AS status FROM st",
     "stream_activity": "SELECT CAST(date_trunc('minute', ts) AS TIMESTAMP) AS minute, count(*) AS n_events FROM events GROUP BY ALL",
 }

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,8 +54,38 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Tables of this process that ``stored`` made and nobody deleted: path -> what it takes to delete them.
+KEPT: dict[str, tuple] = {}
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` once in the shared folder and read it back, where several steps or lost executors would compute it anew."""
-    path = f"{shared_dir(df.sparkSession)}/stratalog-{uuid.uuid4().hex}"
+    """Write ``df`` once in the shared folder and read it back, where several steps or lost executors would compute it anew.
+
+    The table goes at the end of the surrounding ``scratch``, or else of the process.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/stratalog-{uuid.uuid4().hex}"
+    if not KEPT:
+        atexit.register(discard, KEPT)
+    KEPT[path] = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(paths) -> None:
+    """Delete tables that ``stored`` made; at the end of the process a closed connection is no error."""
+    with contextlib.suppress(ConnectionError, OSError):
+        for path in list(paths):
+            of, conf = KEPT.pop(path)
+            folder = of(path)
+            folder.getFileSystem(conf).delete(folder, True)
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes at its end the tables that were stored within it: what is computed from them must be written or collected by then."""
+    before = set(KEPT)
+    try:
+        yield
+    finally:
+        discard([p for p in KEPT if p not in before])

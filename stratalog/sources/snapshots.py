@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
+from ..operators import fold
 from ..operators.history import index_stats
 from ..session import small_side
+from .versions import drop_versions, latest_of, publish, read_table, table_names, versions
 
-SCHEMA_VERSION, LEAST_READABLE = 4, 4
+__all__ = ["drop_versions", "publish", "versions"]
 
 
 def read_envelopes(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
@@ -48,14 +50,14 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, D
 
 
 def normalize(entries: DataFrame) -> DataFrame:
-    """Clean observation columns of raw entries; an entry without a version is dropped."""
+    """Clean observation columns of raw entries; an entry without a version or with an empty path is dropped."""
     at = lambda p: F.try_variant_get("entry", f"$.{p}", "variant")
     s = lambda p: E.text_of(F.col("entry"), f"$.{p}")
     parts = E.path_segments(F.col("raw_path"))
     derived = F.nullif(F.regexp_extract(s("name"), r"^(.*?)-[0-9]", 1), F.lit(""))
     name = F.when(F.size(parts) > 1, F.element_at(parts, -1)).otherwise(F.coalesce(s("pname"), derived, F.element_at(parts, -1)))
     out = entries.select("file", F.array_join(parts, ".").alias("entity_path"), name.alias("name"), E.version_of(s("name"), s("version")).alias("version"), s("meta.description").alias("description"), E.homepage(at("meta.homepage")).alias("homepage"), E.licenses(at("meta.license")).alias("license"), E.maintainers(at("meta.maintainers")).alias("maintainers"), E.platforms(at("meta.platforms")).alias("platforms"), E.source_path(s("meta.position")).alias("source_path"), F.when(F.size(F.try_variant_get("entry", "$.meta.knownVulnerabilities", "array<string>")) > 0, F.try_variant_get("entry", "$.meta.knownVulnerabilities", "array<string>")).alias("advisories"))
-    return out.filter("version is not null")
+    return out.filter("version is not null and entity_path <> ''")
 
 
 def list_releases(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
@@ -86,54 +88,6 @@ def laid_out(intervals: DataFrame) -> DataFrame:
     return low.repartitionByRange("path_lc").sortWithinPartitions("path_lc")
 
 
-def versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the published versions under ``path``, in order; a version counts once its manifest is complete."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v=*/manifest/_SUCCESS"))
-    return sorted(int(f.getPath().getParent().getParent().getName()[2:]) for f in found)
-
-
-def publish(tables: dict[str, DataFrame], path: str, latest: str, least_readable: int = LEAST_READABLE) -> DataFrame:
-    """Write a new version of a dataset: its tables first, and at last the manifest by which readers find it.
-
-    Nothing that is published is overwritten, so readers see the old version or the new one, whole; a run that ends early leaves a
-    version without manifest, which nobody reads. The manifest has (table, file, size, sha256, schema_version, min_schema_version, latest).
-    """
-    if not LEAST_READABLE <= least_readable <= SCHEMA_VERSION:
-        raise ValueError(f"readers of schema {least_readable} can't be served by schema {SCHEMA_VERSION}")
-    spark = next(iter(tables.values())).sparkSession
-    place = f"{path}/v={max(versions(spark, path), default=-1) + 1}"
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{place}/{name}")
-    files = None
-    for name in tables:
-        one = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{place}/{name}").select(F.lit(name).alias("table"), F.col("path").alias("file"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
-        files = one if files is None else files.unionAll(one)
-    manifest = files.select("*", F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(least_readable).alias("min_schema_version"), F.lit(latest).alias("latest"))
-    manifest.write.mode("overwrite").json(f"{place}/manifest")
-    return spark.read.json(f"{place}/manifest")
-
-
-def drop_versions(spark: SparkSession, path: str, keep: int) -> None:
-    """Delete all but the newest ``keep`` versions."""
-    for n in versions(spark, path)[:-keep]:
-        place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={n}")
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
-def newest(spark: SparkSession, path: str) -> str:
-    """The folder of the newest published version; raises if there is none, or if it needs a newer reader."""
-    found = versions(spark, path)
-    if not found:
-        raise ValueError(f"nothing is published under {path}")
-    place = f"{path}/v={found[-1]}"
-    needs = spark.read.json(f"{place}/manifest").agg(F.max("min_schema_version")).first()[0]
-    if needs is None or needs > SCHEMA_VERSION:
-        raise ValueError(f"dataset needs schema {needs}, this reader has {SCHEMA_VERSION}")
-    return place
-
-
 #: Columns of stored intervals; those of OPTIONAL need not be there and are null then.
 INTERVALS = "entity_path string, version string, first_date timestamp_ntz, first_commit string, last_date timestamp_ntz, last_commit string, name string, description string, license_raw string, depth bigint"
 OPTIONAL = "advisories_raw string, platforms_raw string, source_path string, path_lc string"
@@ -141,12 +95,12 @@ OPTIONAL = "advisories_raw string, platforms_raw string, source_path string, pat
 
 def read_published(spark: SparkSession, path: str, name: str = "intervals") -> DataFrame:
     """A table of the newest published version."""
-    return spark.read.parquet(f"{newest(spark, path)}/{name}")
+    return read_table(spark, path, name)
 
 
 def read_intervals(spark: SparkSession, path: str) -> DataFrame:
     """Stored intervals with a fixed schema: optional columns that are not stored are null (``path_lc``: made), dates in epoch seconds become UTC timestamps."""
-    rows = read_published(spark, path)
+    rows = read_published(spark, path) if "intervals" in table_names(spark, path) else of_bounds(read_published(spark, path, "bounds"))
     kinds = dict(rows.dtypes)
     for one in INTERVALS.split(", "):
         if one.split()[0] not in kinds:
@@ -159,6 +113,11 @@ def read_intervals(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*out)
 
 
+def of_bounds(bounds: DataFrame) -> DataFrame:
+    """Intervals of stored bounds: the same rows without their order keys, so nothing is moved."""
+    return fold.intervals(bounds, "path_lc")
+
+
 def lookup(pairs: DataFrame, key: str) -> str | None:
     """The value of a key in a stored (key, value) table; null if it isn't there."""
     found = pairs.filter(F.col("key") == key).select("value").first()
@@ -167,11 +126,9 @@ def lookup(pairs: DataFrame, key: str) -> str | None:
 
 def statistics(spark: SparkSession, path: str) -> DataFrame:
     """Index statistics of the newest version: as stored with it, if its marker is the manifest's and no figure is missing; else counted anew."""
-    place = newest(spark, path)
-    marker = spark.read.json(f"{place}/manifest").agg(F.max("latest")).first()[0]
-    with_stats = [r.table for r in spark.read.json(f"{place}/manifest").select("table").distinct().collect()]
-    if "stats" in with_stats:
-        kept = spark.read.parquet(f"{place}/stats")
+    marker = latest_of(spark, path)
+    if "stats" in table_names(spark, path):
+        kept = read_table(spark, path, "stats")
         row = kept.first()
         if row and row.marker == marker and None not in tuple(row):
             return kept.drop("marker")

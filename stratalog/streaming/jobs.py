@@ -11,42 +11,72 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import fold, gate
 from ..plans import index_run
-from ..session import stored
-from ..sources import snapshots
+from ..session import scratch, small_side, stored
+from ..sources.versions import BUCKETS, Bucketed, bucket_count, bucket_of, drop_versions, latest_of, publish, read_table, versions
 
 LAST = 1024
-MARKS = "channel string, era string, snapshot_date timestamp_ntz, n_entries bigint, status string, batch bigint"
+MARKS = "n_entries bigint, status string, batch bigint"
 
 
-def fold_stream(obs: DataFrame, store: str, checkpoint: str, gated: bool = False, floors: DataFrame | None = None):
+def done(spark: SparkSession, store: str, n: int) -> bool:
+    """Batch ``n`` is published already: it is repeated after a failure."""
+    return bool(versions(spark, store)) and int(latest_of(spark, store)) >= n
+
+
+def ready(batch: DataFrame, seen: DataFrame, expected: DataFrame, patience: str | None) -> DataFrame:
+    """The snapshots of ``batch`` that no expected one goes before which has not come yet (in ``batch`` or ``seen``), by channel and era.
+
+    With ``patience``, an interval, one that is missing is waited for no longer once its channel and era has one newer by that.
+    """
+    key = gate.key_of(batch)
+    turn = F.struct(*[c for c in key if c not in ("channel", "era")])
+    mine = batch.select(*key).distinct()
+    come = mine.unionByName(seen.select(*key)).distinct()
+    missing = expected.select(*key).distinct().join(come, key, "left_anti")
+    if patience:
+        newest = come.groupBy("channel", "era").agg(F.max("snapshot_date").alias("newest"))
+        missing = missing.join(newest, ["channel", "era"]).filter(F.col("snapshot_date") >= F.col("newest") - F.expr(f"interval {patience}"))
+    gap = missing.groupBy("channel", "era").agg(F.min(turn).alias("gap"))
+    return mine.withColumn("turn", turn).join(gap, ["channel", "era"], "left").filter(F.col("gap").isNull() | (F.col("turn") < F.col("gap"))).select(*key)
+
+
+def fold_stream(obs: DataFrame, store: str, checkpoint: str, gated: bool = False, floors: DataFrame | None = None, expected: DataFrame | None = None, patience: str | None = None, buckets: int = BUCKETS):
     """Fold a stream of observations into the bounds published under ``store``, together with a ledger of the snapshots seen.
 
-    Late rows are never dropped: bounds only widen. Each batch publishes bounds and ledger at once as a new version that names the batch, so a batch
+    Late rows are never dropped: bounds only widen. Each batch publishes bounds (the buckets that it touches) and ledger at once as a new version that names the batch, so a batch
     that is repeated after a failure finds itself done. ``gated``: a batch's snapshots are judged in date order, with what
     earlier batches accepted as baseline, whatever order their rows come in; a failed one writes no rows. A snapshot must lie in one batch whole then.
+    ``expected`` lists the snapshots (their columns as in observations) that are to come: one that comes before its predecessors waits in the table ``held``, published
+    with the rest, until these have come or ``patience`` is over (see ``ready``); so any split into batches gives the same verdicts.
     """
 
     def merge(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        done = snapshots.versions(spark, store)
-        at = f"{store}/v={done[-1]}" if done else None
-        if at and int(spark.read.json(f"{at}/manifest").agg(F.max("latest")).first()[0]) >= n:
+        if done(spark, store, n):
             return
-        batch = stored(batch)
-        seen = spark.read.parquet(f"{at}/ledger") if at else spark.createDataFrame([], MARKS)
-        counts = batch.groupBy(*gate.SNAPSHOT).agg(F.count("*").alias("n_entries"))
-        status = F.lit("ingested")
-        if gated:
-            before = seen.filter("status = 'ingested'").select(*gate.SNAPSHOT, "n_entries")
-            judged = stored(gate.judged(before.unionByName(counts), floors).join(counts.select(*gate.SNAPSHOT), gate.SNAPSHOT, "left_semi"))
-            batch = gate.accepted(batch, judged)
-            counts, status = judged.select(*gate.SNAPSHOT, "n_entries", "verdict"), F.when(F.col("verdict") == "fail", "failed").otherwise("ingested")
-        marks = counts.select(*gate.SNAPSHOT, "n_entries", status.alias("status"), F.lit(n).cast("bigint").alias("batch"))
-        new = fold.merge(fold.as_bounds(batch))
-        if at:
-            new = fold.merge(spark.read.parquet(f"{at}/bounds").unionByName(new))
-        snapshots.publish({"bounds": new, "ledger": seen.unionByName(marks)}, store, str(n))
-        snapshots.drop_versions(spark, store, keep=2)
+        with scratch():
+            there = versions(spark, store)
+            key = gate.key_of(batch)
+            kinds = dict(batch.dtypes)
+            seen = read_table(spark, store, "ledger") if there else spark.createDataFrame([], ", ".join(f"{c} {kinds[c]}" for c in key) + f", {MARKS}")
+            tables = {}
+            if expected is not None:
+                batch = stored(batch.unionByName(read_table(spark, store, "held")) if there else batch)
+                now = small_side(stored(ready(batch, seen, expected, patience)))
+                tables["held"] = batch.join(now, key, "left_anti")
+                batch = batch.join(now, key, "left_semi")
+            batch = stored(batch)
+            counts = stored(batch.groupBy(*key).agg(F.count("*").alias("n_entries")))
+            status = F.lit("ingested")
+            if gated:
+                before = seen.filter("status = 'ingested'").select(*key, "n_entries")
+                judged = stored(gate.judged(before.unionByName(counts), floors).join(counts.select(*key), key, "left_semi"))
+                batch = gate.accepted(batch, judged)
+                counts, status = judged.select(*key, "n_entries", "verdict"), F.when(F.col("verdict") == "fail", "failed").otherwise("ingested")
+            marks = counts.select(*key, "n_entries", status.alias("status"), F.lit(n).cast("bigint").alias("batch"))
+            merged, _ = index_run.merged_buckets(spark, store, fold.merge(fold.as_bounds(batch)), buckets)
+            publish({**tables, "ledger": seen.unionByName(marks)}, store, str(n), bucketed=merged)
+            drop_versions(spark, store, keep=2)
 
     return obs.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -54,32 +84,41 @@ def fold_stream(obs: DataFrame, store: str, checkpoint: str, gated: bool = False
 def index_stream(spark: SparkSession, documents: str, listing: Callable[[], DataFrame], store: str, checkpoint: str, now: Column | str, **gates):
     """Run the index for snapshot documents as they arrive in a folder; the ledger decides what is still to be done.
 
-    ``listing()`` gives the rows known at that time (see ``index_run.run``); of them a batch takes those whose documents have come.
+    ``listing()`` gives the rows known at that time (see ``index_run.run``); a batch takes those whose documents have come with it, and lists no folder.
     """
 
     def ingest(batch: DataFrame, n: int) -> None:
-        came = batch.select(F.regexp_extract("file", index_run.NAME, 1).alias("release_name")).distinct()
-        rows = listing().join(came, "release_name", "left_semi")
-        index_run.run(batch.sparkSession, rows, documents, store, now, **gates)
+        paths = [r.path for r in batch.select("path").distinct().collect()]  # one for each document file of the batch
+        came = batch.sparkSession.createDataFrame([(p,) for p in paths], "path string").select(index_run.of_path("path")[0]).distinct()
+        index_run.run(batch.sparkSession, listing().join(came, "release_name", "left_semi"), paths, store, now, **gates)
 
-    files = spark.readStream.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").load(documents).select(F.col("_metadata.file_path").alias("file"))
+    kinds = "path string, modificationTime timestamp, length bigint, content binary"
+    files = spark.readStream.format("binaryFile").schema(kinds).option("recursiveFileLookup", "true").load(documents).select("path")  # contents are not read
     return files.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def activity_stream(events: DataFrame, ts: str = "ts", delay: str = "10 minutes") -> DataFrame:
-    """Events per minute, complete once the watermark has passed."""
+    """Events per minute. A minute's state is dropped ``delay`` after it, by the events' own time; later events of it are not counted."""
     timed = events.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", delay)
     return timed.groupBy(F.window("_ts", "1 minute").alias("w")).agg(F.count("*").alias("n_events")).select(F.col("w.start").cast("timestamp_ntz").alias("minute"), "n_events")
 
 
-def keep_counts(counts: DataFrame, store: str, checkpoint: str):
-    """Keep the counts of ``activity_stream`` under ``store``, a new version for each batch, with every minute's latest count."""
+def keep_counts(counts: DataFrame, store: str, checkpoint: str, buckets: int = BUCKETS):
+    """Keep the counts of ``activity_stream`` under ``store``: each batch puts in the minutes that it changed, and publishes the buckets that have them."""
 
     def write(batch: DataFrame, n: int) -> None:
-        snapshots.publish({"minutes": batch}, store, str(n))
-        snapshots.drop_versions(batch.sparkSession, store, keep=2)
-
-    return counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        spark = batch.sparkSession
+        if done(spark, store, n):
+            return
+        with scratch():
+            new, parts = stored(batch), bucket_count(spark, store, "minutes", buckets)
+            touched = sorted(r[0] for r in new.select(bucket_of(F.col("minute"), parts).alias("b")).distinct().collect())  # at most ``parts``
+            if versions(spark, store):
+                new = new.unionByName(read_table(spark, store, "minutes", buckets=touched).join(new, "minute", "left_anti"))
+            publish({}, store, str(n), bucketed={"minutes": Bucketed(new, touched, ["minute"], "minute", parts)})
+            drop_versions(spark, store, keep=2)
+
+    return counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def dense(counts: DataFrame, minutes: int = 30) -> DataFrame:
