@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+from public_tokenizers import PATTERN
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,14 +29,14 @@ from .batches import tidy
 
 #: The tokenizer's published pattern with its classes of letters and numbers in the standard library's terms. They are the
 #: same for texts without the characters of ``ODD``; other texts are matched by the pattern itself.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: White space as Unicode has it, which is what the tokenizer's pattern means by \s.
 SPACE = r"\t-\r \x85\xa0  -     　"
 FULL = regex.compile(PATTERN.replace(r"[^\s", rf"[^{SPACE}").replace(r"\S", rf"[^{SPACE}]").replace(r"\s", rf"[{SPACE}]"))
 ODD = re.compile("[\x1c-\x1f\x85" + "".join(re.escape(c) for c in map(chr, range(0x80, 0x10000)) if unicodedata.category(c) in ("Nl", "No", "Cn")) + "\U00010000-\U0010ffff]")
 ODD_ASCII = re.compile("[\x1c-\x1f]")
-MOST_PIECES = MOST_PAIRS = 150_000
+#: Pieces and pairs that a Python worker keeps, from task to task.
+MOST_PIECES = MOST_PAIRS = 250_000
 #: Rows, and characters unless one text is longer, that a task holds as Python objects at once.
 SLICE, SLICE_CHARS = 256, 1_000_000
 #: Longer pieces are not kept.
@@ -56,8 +57,9 @@ class Vocabulary:
         self.token = {i: t for t, i in self.rank.items()}
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.edges: dict[int, list[tuple[bytes, int, int]]] = {}
-        self.stable: dict[int, bool] = {}
+        self.stable: dict[tuple[int, int], bool] = {}
         self.sizes = {i: len(t) for i, t in self.token.items()}
+        self.packed = {i: struct.pack("<I", i) for i in self.token}
         self.known = Pieces(self)
 
     @functools.cached_property
@@ -106,7 +108,7 @@ class Vocabulary:
         return True
 
     def can_follow(self, left: int, right: int) -> bool:
-        pair = left << 32 | right
+        pair = left, right
         out = self.stable.get(pair)
         if out is None:
             if len(self.stable) >= MOST_PAIRS:
@@ -123,7 +125,7 @@ def extend(v: Vocabulary, data: bytes, last: list[int]) -> list[int]:
         while begin >= 0 and (t := suffixes.get(data[begin:end])) is not None:
             if t >= 0:
                 if begin:
-                    fits = stable.get(last[begin - 1] << 32 | t)
+                    fits = stable.get((last[begin - 1], t))
                     if fits is None:
                         fits = v.can_follow(last[begin - 1], t)
                 else:
@@ -188,23 +190,51 @@ class Pieces(dict):
         return out
 
     def learn(self, found: set[str]) -> None:
-        """Keep the short ones of these pieces. In order, each takes over the entries of the prefix that it shares with the one before."""
-        new = {p for p in found if p not in self}
+        """Keep the short ones of these pieces. In order, each takes over the entries of the prefix that it shares with the one before.
+
+        Beside each prefix's last token stands its whole encoding, which is that of the prefix before this token and the token.
+        """
+        new = found - self.keys()
         if len(self) + len(new) > MOST_PIECES:
             self.clear()
             new = found
-        v, before, last = self.vocabulary, "", []
-        for piece in sorted(p for p in new if len(p) <= SHORT):
+        v = self.vocabulary
+        rank, suffixes, stable, packed = v.rank, v.suffixes, v.stable, v.packed
+        before, last, ids = b"", [], []
+        for piece in sorted(new):
+            if len(piece) > SHORT:
+                continue
+            data = piece.encode()
+            if (whole := rank.get(data)) is not None:
+                self[piece] = packed[whole]
+                continue
             same = 0
-            for a, b in zip(before, piece):
+            for a, b in zip(before, data):
                 if a != b:
                     break
                 same += 1
-            data = piece.encode()
-            del last[same if piece.isascii() else len(piece[:same].encode()) :]
-            ids = walk(v, data, extend(v, data, last))
-            self[piece] = struct.pack(f"<{len(ids)}I", *ids)
-            before = piece
+            del last[same:], ids[same:]
+            for end in range(same + 1, len(data) + 1):
+                begin = end - 1
+                while True:
+                    t = suffixes[data[begin:end]]  # each byte is a token, so one of the suffixes follows
+                    if t >= 0:
+                        if not begin:
+                            if v.made(t):
+                                ids.append(packed[t])
+                                break
+                        else:
+                            left = last[begin - 1]
+                            fits = stable.get((left, t))
+                            if fits is None:
+                                fits = v.can_follow(left, t)
+                            if fits:
+                                ids.append(ids[begin - 1] + packed[t])
+                                break
+                    begin -= 1
+                last.append(t)
+            self[piece] = ids[-1]
+            before = data
 
 
 class TokenizedText:
@@ -320,7 +350,6 @@ def both_ways(text: Column, shared) -> Column:
         v = vocabulary(shared.value)
         for batch in tidy(batches):
             yield pa.array(({"ids": i, "decoded": decode(i, v)} for part in slices(batch) for i in encode(part, v)), kinds)
-        v.known.clear()  # the worker stays for other tasks
 
     return coded.asNondeterministic()(text)
 
