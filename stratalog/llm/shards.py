@@ -3,9 +3,9 @@
 Groups of equal texts fall whole, by hash, into ``LOTS`` lots. A group with a larger share of all bytes or of all rows than
 1 / ``LOTS`` is an item of its own and is counted in pieces of about that share; there are fewer than ``2 * LOTS`` such
 groups and ``4 * LOTS`` pieces whatever the input is, so what is packed has a bounded size. Only a group that exceeds
-``WHOLE`` of a shard's capacity (all bytes / shards, or all rows / shards) is packed piece by piece, so its copies can come
+a shard's capacity (all bytes / shards, or all rows / shards), and so fits in none, is packed piece by piece, so its copies come
 to different shards. Items are taken largest first; each goes to the shard where the dot product of its vector with the
-shard's residual capacity is highest. Nothing depends on where a row lies in the input, but for rows without an id.
+shard's residual capacity is highest. Bytes weigh most in it, as the law says; tokens and rows decide where bytes hardly differ. Nothing depends on where a row lies in the input, but for rows without an id.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from pyspark.sql import Window as W
 from .common import materialize
 
 SHARDS, LOTS = 16, 4096
-#: Equal texts stay together up to this part of a shard's capacity.
-WHOLE = 0.5
+#: Weights of bytes, tokens and rows in the dot product.
+WEIGHTS = (1.0, 0.01, 0.01)
 LAW = "bytes"
 
 
@@ -32,7 +32,7 @@ def pack(loads: np.ndarray, shards: int) -> np.ndarray:
     left = np.full((shards, loads.shape[1]), 1 / shards)
     out = np.empty(len(loads), np.int64)
     for i in np.lexsort((np.arange(len(loads)), -share.sum(1), -share[:, 0])):
-        out[i] = s = np.argmax(left @ share[i])
+        out[i] = s = np.argmax(left @ (share[i] * WEIGHTS))
         left[s] -= share[i]
     return out
 
@@ -49,7 +49,7 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     ``size`` is the text's UTF-8 bytes plus one; a null text has no bytes and no words and is grouped with other nulls, an
     empty one with other empty ones; texts of any length are taken whole.
     ``law`` is ``bytes``: sizes are near equal, and tokens and rows follow. Equal texts share a shard unless they are more
-    than ``WHOLE`` of its capacity in bytes or rows; such a group is dealt by a hash of the id, so rows that repeat an id and text
+    than its capacity in bytes or rows; such a group is dealt by a hash of the id, so rows that repeat an id and text
     stay together, and rows without an id are dealt one by one. ``slot`` counts from 0 in each shard without gaps: by lot and
     piece, then by id (nulls first), text checksum and size; which of rows equal in all of these comes first does not
     matter. ``grown_shard`` is null. Other columns, whatever their names, are ignored. An empty table gives an empty result.
@@ -61,7 +61,7 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     total = rows.agg(F.sum("size").alias("b"), F.count("*").alias("n")).first()
     groups = rows.groupBy("grp").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
     share = F.greatest(F.col("b") / F.lit(max(total.b or 0, 1)), F.col("n") / F.lit(max(total.n, 1)))
-    large = groups.filter(share * lots > 1).select("grp", F.ceil(share * lots).cast("int").alias("pieces"), (share * shards > WHOLE).alias("cut"))
+    large = groups.filter(share * lots > 1).select("grp", F.ceil(share * lots).cast("int").alias("pieces"), (share * shards > 1).alias("cut"))
     placed = rows.join(F.broadcast(large), "grp", "left")  # fewer than ``2 * lots`` rows, as each has more than 1 / lots of all bytes or rows
     piece = F.when(F.col("pieces").isNull(), F.lit(-1)).otherwise(F.pmod("spread", "pieces").cast("int"))
     lot = F.when(F.col("pieces").isNull(), F.pmod("grp", F.lit(lots))).otherwise(F.col("grp"))

@@ -99,7 +99,7 @@ def law_of_bytes(rows, texts):
     assert all(sorted(p) == list(range(len(p))) for p in places.values())
     share, total = Counter(texts), sum(loads.values())
     for t, shards_of in groups.items():
-        if max(share[t] * (len((t or "").encode()) + 1) / total, share[t] / len(texts)) * 16 <= shards.WHOLE:
+        if max(share[t] * (len((t or "").encode()) + 1) / total, share[t] / len(texts)) * 16 <= 1:
             assert len(shards_of) == 1
     return loads
 
