@@ -57,7 +57,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     hits = made.join(small_side(listed, listed.count()), F.col("own_short") == F.col("short"))
     sure = F.when(F.col("own") == F.col("digest"), F.struct(F.length("rule").alias("n"), "rule", "rule_verdict"))
     best = hits.groupBy("host", "path").agg(F.max(sure).alias("best"))
-    out = rows.join(best, ["host", "path"], "left")
+    told = rows.filter("host <> ''").join(best, ["host", "path"], "left")
+    none = rows.filter("host = ''").withColumn("best", F.lit(None).cast(best.schema["best"].dataType))  # all alike, and no rule fits them
+    out = told.unionByName(none)
     return out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"))
 
 
