@@ -180,7 +180,7 @@ def again(stuck: DataFrame, nodes: DataFrame, roots: DataFrame, docs: DataFrame,
     one of the first ``size - ceil(percent * size) + 1`` of both; where the first one shared stands tells how many can follow, and
     pairs for which that is too few are left out. Classes that share a shingle are paired first, by the best that any of their nodes could
     reach, and only pairs of classes that could reach the threshold are expanded to nodes: a dense class and a stranger cost one
-    pair per node of the class. Nodes of a class that has a shingle often are dealt over several keys.
+    pair per node of the class. Nodes of a class that has a shingle often, and classes of a shingle that many have, are dealt over several keys.
     """
     wanted = stuck.join(nodes.select("node", "doc"), "node")
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(small_side(wanted.select(F.col("doc").alias("w")).distinct(), wanted.count()), F.col("doc_id").eqNullSafe(F.col("w")), "left_semi")
@@ -190,11 +190,13 @@ def again(stuck: DataFrame, nodes: DataFrame, roots: DataFrame, docs: DataFrame,
     first = with_counts(rows).withColumn("at", place).filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).filter("df > 1")
     first = materialize(first.join(roots.withColumnRenamed("root", "found"), "node", "left").select("h", "node", "n", "at", F.coalesce("found", "node").alias("root")))
     classes = materialize(first.groupBy("h", "root").agg(F.min("n").alias("n"), F.max(F.col("n") - F.col("at")).alias("rest"), (F.count("*") > HOT).alias("hot")))
-    several = materialize(classes.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1").select("h"))
-    classes = classes.join(small_side(several, several.count()), "h")
-    side = lambda x: classes.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("root", "n", "rest", "hot")])
+    several = materialize(classes.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1").select("h", F.when(F.col("k") > HOT, SALTS).otherwise(1).alias("keys")))
+    classes = materialize(classes.join(small_side(several, several.count()), "h"))
+    # a shingle of many classes is dealt over several keys: one side by the class, the other to all of them
+    keyed = {"a": F.array(F.pmod(F.xxhash64("root"), F.col("keys")).cast("int")), "b": F.sequence(F.lit(0), F.col("keys") - 1)}
+    side = lambda x: classes.select("h", F.explode(keyed[x]).alias("key"), *[F.col(c).alias(f"{c}_{x}") for c in ("root", "n", "rest", "hot")])
     may = (1 + F.least("rest_a", "rest_b")) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
-    couples = materialize(side("a").join(side("b"), "h").filter((F.col("root_a") < F.col("root_b")) & may).select("h", "root_a", "root_b", "hot_a", "hot_b"))
+    couples = materialize(side("a").join(side("b"), ["h", "key"]).filter((F.col("root_a") < F.col("root_b")) & may).select("h", "root_a", "root_b", "hot_a", "hot_b"))
     large = materialize(classes.filter("hot").select("h", "root", "hot"))  # at most one for HOT rows
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(0).cast("int")
     dealt = first.join(small_side(large, large.count()), ["h", "root"], "left").withColumn("salt", salt)
