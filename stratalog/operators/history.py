@@ -56,6 +56,43 @@ def latency_percentiles(events: DataFrame, key: str, value: str, ts: str, last:
     return r.groupBy(key).agg(F.max("n").alias("n"), *[at(q).alias(f"p{int(q * 100)}") for q in (0.5, 0.95, 0.99)])
 
 
+def latency_sketches(events: DataFrame, key: str, value: str, ts: str, k: int = 200) -> DataFrame:
+    """``key, minute, n, sketch``: a mergeable sketch of the values of each key and minute, whose size doesn't depend on their number."""
+    minute = F.date_trunc("minute", ts).cast("timestamp_ntz").alias("minute")
+    return events.filter(F.col(value).isNotNull()).groupBy(F.col(key).alias("key"), minute).agg(F.count("*").alias("n"), F.kll_sketch_agg_double(F.col(value).cast("double"), k).alias("sketch"))
+
+
+def merged_percentiles(sketches: DataFrame, by: list[str], quantiles: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """Approximate percentiles over any window of ``latency_sketches``, from the merged sketches alone; ranks are within about 1.7 % (99 % of cases, ``k`` 200)."""
+    merged = sketches.groupBy(*by).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("_s"))
+    return merged.select(*by, "n", *[F.kll_sketch_get_quantile_double("_s", F.lit(float(q))).alias(f"p{int(q * 100)}") for q in quantiles])
+
+
+def key_counts(rows: DataFrame) -> DataFrame:
+    """``kind, key, n``: in how many rows each name and each version stands. Such counts add up, so distinct numbers follow from what changes."""
+    kinds = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("key")) for c in ("name", "version")])
+    return rows.select(F.explode(kinds).alias("x")).select("x.*").filter("key is not null").groupBy("kind", "key").agg(F.count("*").alias("n"))
+
+
+def moved_counts(old: DataFrame, new: DataFrame) -> DataFrame:
+    """What ``key_counts`` change by when rows ``old`` become rows ``new``; unchanged ones are left out."""
+    minus = key_counts(old).withColumn("n", -F.col("n"))
+    return key_counts(new).unionAll(minus).groupBy("kind", "key").agg(F.sum("n").alias("n")).filter("n <> 0")
+
+
+def added_counts(counts: DataFrame, moved: DataFrame) -> DataFrame:
+    """Counts after a change; keys that no row has any more go."""
+    return counts.unionByName(moved).groupBy("kind", "key").agg(F.sum("n").alias("n")).filter("n <> 0")
+
+
+def counted_stats(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """``index_stats`` of ``rows`` with the distinct numbers from their ``key_counts``: no key is shuffled."""
+    sums = counts.agg(F.count_if(F.col("kind") == "name").alias("n_names"), F.count_if(F.col("kind") == "version").alias("n_versions"))
+    ends = rows.agg(F.count("*").alias("n_rows"), F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date"))
+    one = lambda df: df.withColumn("_k", F.lit(1))
+    return one(ends).join(one(sums), "_k").select("n_rows", "n_names", "n_versions", "first_date", "last_date")
+
+
 def activity(events: DataFrame, ts: str, minutes: int = 30) -> DataFrame:
     """Events in each of the last ``minutes`` minutes up to the newest event, none left out."""
     minute = events.select(F.date_trunc("minute", ts).cast("timestamp_ntz").alias("minute"))

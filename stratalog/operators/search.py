@@ -19,24 +19,25 @@ from ..session import small_side, stored
 #: Candidates per request that are ranked before licence filter, sort and paging.
 CAP = 5000
 NEARBY, SUGGESTIONS, PAGE_CAP = 512, 5, 100
-KEY_LENGTH, FILTERS = 3, 64
+FILTERS = 64
 
 
 def prefix_join(rows: DataFrame, requests: DataFrame, column: str = "entity_path") -> DataFrame:
-    """Rows whose path starts with a request's ``q``: an equi-join on the first characters with the rest as residual.
+    """Rows whose path starts with a request's ``q``: an equi-join on the whole prefix, of as many lengths as requests have.
 
-    A request shorter than the key joins on its own length, so keys of all lengths up to KEY_LENGTH are made for each row. Up to FILTERS requests
-    are also put to the rows as a filter, which reaches the scan of stored intervals (``path_lc``) and skips the parts of sorted files that no request starts with.
+    Up to FILTERS requests are also put to the rows as a filter, which reaches the scan of stored intervals (``path_lc``) and skips the parts of sorted files that no request
+    starts with; of any number of requests, ``snapshots.read_intervals`` reads only the files that one can hit.
     """
-    asked = requests.withColumn("_q", E.ascii_lower(F.col("q"))).withColumn("_k", F.substring("_q", 1, KEY_LENGTH))
+    asked = requests.withColumn("_q", E.ascii_lower(F.col("q")))
     stored_low = column == "entity_path" and "path_lc" in rows.columns
     prefixes = [r[0] for r in asked.filter("_q is not null").select("_q").distinct().limit(FILTERS + 1).collect()]
     if stored_low and 0 < len(prefixes) <= FILTERS:
         rows = rows.filter(reduce(or_, [F.startswith("path_lc", F.lit(p)) for p in prefixes]))
     low = rows.withColumn("_low", F.col("path_lc") if stored_low else E.ascii_lower(F.col(column)))
-    lengths = [r.n for r in asked.select(F.length("_k").alias("n")).distinct().collect()]  # at most KEY_LENGTH + 1 numbers
-    keyed = low.withColumn("_key", F.explode(F.array_distinct(F.array(*[F.substring("_low", 1, n) for n in sorted(n for n in lengths if n is not None)]))) if lengths else F.lit(None).cast("string"))
-    return keyed.join(small_side(asked), (F.col("_key") == F.col("_k")) & F.startswith("_low", "_q")).drop("_low", "_key", "_k", "_q")
+    lengths = sorted(r.n for r in asked.select(F.length("_q").alias("n")).filter("n is not null").distinct().collect())  # as many as the longest prefix has characters at most
+    own = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("_low"))
+    keyed = low.withColumn("_key", F.explode(F.transform(own, lambda n: F.substring("_low", F.lit(1), n))))
+    return keyed.join(small_side(asked), F.col("_key") == F.col("_q")).drop("_low", "_key", "_q")
 
 
 def exact_join(rows: DataFrame, requests: DataFrame) -> DataFrame:
@@ -114,7 +115,7 @@ def all_depths(rows: DataFrame, requests: DataFrame, cap: int | None = CAP) -> D
 def shallowest(rows: DataFrame, requests: DataFrame, cap: int | None = CAP) -> DataFrame:
     """Version search in the shallowest depth that any path with the prefix has, whatever its versions."""
     found = prefix_join(rows, requests.withColumnRenamed("version", "want"))
-    least = found.groupBy("request_id").agg(F.min("depth").alias("least"))
+    least = stored(found.groupBy("request_id").agg(F.min("depth").alias("least")))
     at = found.join(small_side(least), "request_id").filter(F.col("depth") == F.col("least")).drop("least")
     return ranked(with_version(at), "first_date", cap)
 
@@ -122,7 +123,7 @@ def shallowest(rows: DataFrame, requests: DataFrame, cap: int | None = CAP) -> D
 def resolution(rows: DataFrame, requests: DataFrame) -> DataFrame:
     """Per request: least depth of the prefix, hits there, whether deeper paths have the version, and the outcome."""
     found = prefix_join(rows, requests.withColumnRenamed("version", "want")).withColumn("hit", E.has_prefix(F.col("version"), F.col("want")))
-    least = found.groupBy("request_id").agg(F.min("depth").alias("scope_depth"))
+    least = stored(found.groupBy("request_id").agg(F.min("depth").alias("scope_depth")))
     both = found.join(small_side(least), "request_id")
     sums = both.groupBy("request_id").agg(F.first("scope_depth").alias("scope_depth"), F.count_if(F.col("hit") & (F.col("depth") == F.col("scope_depth"))).alias("hits"), F.bool_or(F.col("hit") & (F.col("depth") > F.col("scope_depth"))).alias("deeper"))
     out = requests.select("request_id").join(sums, "request_id", "left")
@@ -159,7 +160,7 @@ def suggest(rows: DataFrame, requests: DataFrame, nearby: int | None = NEARBY) -
     Candidates are the ``nearby`` best by version family, exact path, date, path and version; None takes all.
     """
     found = prefix_join(narrow(rows), requests.select("request_id", "q", F.col("version").alias("want")))
-    least = found.groupBy("request_id").agg(F.min("depth").alias("least"))
+    least = stored(found.groupBy("request_id").agg(F.min("depth").alias("least")))
     at = found.join(small_side(least), "request_id").filter(F.col("depth") == F.col("least")).drop("least")
     near = F.when(E.has_prefix(F.col("version"), E.family(F.col("want"))), 0).otherwise(1)
     if nearby is not None:

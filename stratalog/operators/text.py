@@ -1,11 +1,14 @@
-"""Phrase search: consecutive words of a phrase within one text, accents and case aside."""
+"""Phrase search: consecutive words of a phrase within one text, accents and case aside.
+
+Accents are those of the Latin letters listed here; other scripts and letters with several marks are compared as they are.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import small_side
+from ..session import small_side, stored
 
 #: Letters with a mark and without, of Latin script (fixed values).
 ACCENTED = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżž"
@@ -31,6 +34,33 @@ def description_search(rows: DataFrame, requests: DataFrame, columns: tuple[str,
     return hits.drop("_t", "_key", "_w", "_f")
 
 
+def token_rows(rows: DataFrame, keys: tuple[str, ...] = ("entity_path", "version"), columns: tuple[str, ...] = ("name", "description")) -> DataFrame:
+    """``keys, column, pos, token``: each word of the folded texts with its place, to be stored once and asked often."""
+    words = lambda c: F.filter(F.split(folded(F.coalesce(c, F.lit(""))), " "), lambda w: w != "")
+    texts = F.array(*[F.struct(F.lit(c).alias("column"), words(c).alias("words")) for c in columns])
+    return rows.select(*keys, F.explode(texts).alias("_t")).select(*keys, "_t.column", F.posexplode("_t.words").alias("pos", "token"))
+
+
+def phrase_hits(tokens: DataFrame, requests: DataFrame, keys: tuple[str, ...] = ("entity_path", "version")) -> DataFrame:
+    """``request_id`` and the keys of rows that hold the request's ``phrase``, from stored ``token_rows``.
+
+    A phrase's rarest word gives the places where it could begin; every other word is joined at its own distance from there, and where all are found the phrase stands.
+    So a frequent word costs no more rows than the rarest one has. A phrase without words matches nothing.
+    """
+    words = F.filter(F.split(folded(F.col("phrase")), " "), lambda w: w != "")
+    asked = stored(requests.select("request_id", words.alias("words")).filter(F.size("words") > 0))
+    each = asked.select("request_id", F.posexplode("words").alias("at", "token"))
+    hits = tokens.join(small_side(each.select("token").distinct()), "token")
+    often = stored(hits.groupBy("token").agg(F.count("*").alias("n")))
+    each = stored(each.join(small_side(often), "token", "left").withColumn("n", F.coalesce("n", F.lit(0))))
+    rarest = each.groupBy("request_id").agg(F.min(F.struct("n", "at", "token")).alias("r"), F.count("*").alias("words")).select("request_id", "words", F.col("r.at").alias("from"), "r.token")
+    place = ["request_id", *keys, "column", "start"]
+    starts = hits.join(small_side(stored(rarest)), "token").withColumn("start", F.col("pos") - F.col("from")).filter("start >= 0").select(*place, "words", "from")
+    others = starts.join(small_side(each), "request_id").filter(F.col("at") != F.col("from")).select(*place, "words", "token", (F.col("start") + F.col("at")).alias("pos"))
+    met = others.join(hits, ["token", *keys, "column", "pos"]).groupBy(*place).agg(F.count("*").alias("met"), F.first("words").alias("words")).filter("met = words - 1")
+    return starts.filter("words = 1").select("request_id", *keys).unionByName(met.select("request_id", *keys)).distinct()
+
+
 def phrase_search(docs: DataFrame, phrases: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(phrase, doc_id) of documents with the phrase, for a list of phrases in one pass. A phrase without words matches nothing."""
     norm = docs.select(F.col(id_col).alias("doc_id"), folded(F.col(text_col)).alias("t"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
-from ..operators import fold, gate, history, ledger
+from ..operators import fold, gate, history, ledger, text
 from ..session import scratch, small_side, stored
 from ..sources import snapshots
 from ..sources.versions import BUCKETS, Bucketed, bucket_count, bucket_of, read_table, table_names, versions
@@ -40,6 +40,8 @@ class Options:
     report: str | None = None
     #: Buckets of a dataset that is published for the first time: so many that one is rewritten in little time.
     buckets: int = BUCKETS
+    #: Also keep the words of names and descriptions with their places, for phrase searches; kept up to date from then on.
+    tokens: bool = False
 
 
 class Unhealthy(ValueError):
@@ -96,17 +98,43 @@ def observations(spark: SparkSession, documents: str | list[str], work: DataFram
     return obs.withColumns({**texts, "ord": order}), why
 
 
-def merged_buckets(spark: SparkSession, store: str, new: DataFrame, buckets: int = BUCKETS) -> tuple[dict[str, Bucketed], DataFrame]:
-    """Bounds and paths with ``new`` bounds merged in, as buckets to be published; and all bounds, of which the untouched buckets are not read before they are asked for."""
+TOKEN = [*fold.KEY, "column", "pos"]
+
+
+def touched_by(keys: DataFrame, column: str, parts: int) -> list[int]:
+    return sorted(r[0] for r in keys.select(bucket_of(F.col(column), parts).alias("b")).distinct().collect())  # at most ``parts``
+
+
+def merged_buckets(spark: SparkSession, store: str, new: DataFrame, buckets: int = BUCKETS, tokens: bool = False) -> tuple[dict[str, Bucketed], DataFrame, DataFrame]:
+    """Tables with ``new`` bounds merged in, as buckets to be published: bounds, paths, counts of names and versions and, once asked for, words with their places.
+
+    Also all bounds, of which the untouched buckets are not read before they are asked for, and all counts.
+    """
     new, parts = stored(new), bucket_count(spark, store, "bounds", buckets)
-    path = F.col("entity_path")
-    touched = sorted(r[0] for r in new.select(bucket_of(path, parts).alias("b")).distinct().collect())  # at most ``parts``
-    there = bool(versions(spark, store)) and "bounds" in table_names(spark, store)
-    rows = fold.merge(read_table(spark, store, "bounds", buckets=touched).drop("path_lc").unionByName(new)) if there else new
-    rows = stored(rows.withColumn("path_lc", E.ascii_lower(path)))
-    whole = rows.unionByName(read_table(spark, store, "bounds", buckets=sorted(set(range(parts)) - set(touched)))) if there else rows
+    there = table_names(spark, store) if versions(spark, store) else set()
+    touched = touched_by(new, "entity_path", parts)
+    low = lambda df: df.withColumn("path_lc", E.ascii_lower(F.col("entity_path")))
+    if "bounds" in there:
+        old = read_table(spark, store, "bounds", buckets=touched)
+        rows = stored(low(fold.merge(old.drop("path_lc").unionByName(new))))
+        rest = read_table(spark, store, "bounds", buckets=sorted(set(range(parts)) - set(touched)))
+        whole = rows.unionByName(rest)
+    else:
+        rows = whole = stored(low(new))
+        old = rows.limit(0)
     paths = rows.select("entity_path", "path_lc").distinct()
-    return {"bounds": Bucketed(rows, touched, fold.KEY, "path_lc", parts), "paths": Bucketed(paths, touched, ["entity_path"], "path_lc", parts)}, whole
+    out = {"bounds": Bucketed(rows, touched, fold.KEY, "path_lc", parts), "paths": Bucketed(paths, touched, ["entity_path"], "path_lc", parts, False)}
+    # counts move by what the touched rows were and are
+    moved = stored(history.moved_counts(old, rows) if "counts" in there or not there else history.key_counts(whole))
+    here = touched_by(moved, "key", parts)
+    was = lambda only: read_table(spark, store, "counts", buckets=only) if "counts" in there else moved.limit(0)
+    now = stored(history.added_counts(was(here), moved))
+    counts = now.unionByName(was(sorted(set(range(parts)) - set(here))))
+    out["counts"] = Bucketed(now, here, ["key", "kind"], "key", parts, False)
+    if tokens or "tokens" in there:
+        every = "tokens" in there or not there
+        out["tokens"] = Bucketed(text.token_rows(rows if every else whole), touched if every else list(range(parts)), TOKEN, "token", parts, False)
+    return out, whole, counts
 
 
 def run(spark: SparkSession, listing: DataFrame, documents: str | list[str], store: str, now: Column | str, floors: DataFrame | None = None, sentinels: DataFrame | None = None, denylist: DataFrame | None = None, fallback: DataFrame | None = None, parse: bool = True, options: Options | None = None) -> DataFrame:
@@ -152,14 +180,14 @@ def ran(spark: SparkSession, listing: DataFrame, documents: str | list[str], sto
     before = book.filter("status = 'ingested'").select("channel", "era", F.col("release_date").alias("snapshot_date"), "release_name", "n_entries")
     counts = stored(obs.groupBy(*key).agg(F.count("*").alias("n_entries")))
     judged = stored(gate.judged(before.unionByName(counts), floors, missing).join(counts.select(*key), key, "left_semi"))
-    buckets, bounds = merged_buckets(spark, store, fold.merge(fold.as_bounds(gate.accepted(obs, judged))), o.buckets)
+    buckets, bounds, counted = merged_buckets(spark, store, fold.merge(fold.as_bounds(gate.accepted(obs, judged))), o.buckets, o.tokens)
     verdict = judged.select("channel", "release_name", "n_entries", F.when(F.size("failures") > 0, F.array_join("failures", "; ")).alias("error"))
     told = work.select("channel", "release_name").join(verdict, ["channel", "release_name"], "left").join(broken, ["channel", "release_name"], "left")
     empty = F.when(F.col("n_entries").isNull(), F.lit("no entries"))
     told = told.select("channel", "release_name", "n_entries", F.coalesce("why", "error", empty).alias("error"))
     book = stored(ledger.settled(book, told, now))
     latest = book.filter("status = 'ingested'").agg(F.max(F.struct("release_date", "release_name")).alias("m")).select("m.release_name").first()[0] or ""
-    stats = history.index_stats(fold.intervals(bounds)).withColumn("marker", F.lit(latest))
+    stats = history.counted_stats(fold.intervals(bounds), counted).withColumn("marker", F.lit(latest))
     snapshots.publish({"ledger": book, "stats": stats}, store, latest, bucketed=buckets, delta_steps=DELTA_STEPS)
     report = stored(report_of(book, work, judged, snapshots.read_intervals(spark, store), now, o.strict))
     if o.report:

@@ -60,19 +60,6 @@ def part_requests(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").cast("bigint").alias("request_id"), F.replace("p_name", F.lit(" "), F.lit("-")).alias("q"), F.lit("1.").alias("version"))
 
 
-def exact_requests(spark, d):
-    """Those of every thirtieth part; the queries that end in ``_all`` ask for all parts."""
-    return part_requests(spark, d).filter("request_id % 3 = 0 and request_id % 10 = 0")
-
-
-def search_exact(spark, d):
-    return search.ranked(search.exact_join(iv(spark, d), exact_requests(spark, d)), "last_date", None).select("request_id", "rnk", "entity_path", "version", "last_date")
-
-
-def search_exact_version(spark, d):
-    return search.ranked(search.with_version(search.exact_join(iv(spark, d), exact_requests(spark, d))), "last_date", None).select("request_id", "rnk", "entity_path", "version", "last_date")
-
-
 def search_exact_all(spark, d):
     return search.ranked(search.exact_join(iv(spark, d), part_requests(spark, d)), "last_date", None).select("request_id", "rnk", "entity_path", "version", "last_date")
 
@@ -103,10 +90,6 @@ def search_sorted_semver(spark, d):
     return search.sorted_by(found, "version", reverse=True).select("rnk", "entity_path", "version")
 
 
-def tiered_lookup(spark, d):
-    return search.tiered(iv(spark, d), exact_requests(spark, d).unionAll(asked(spark, True))).select("request_id", "rnk", "tier", "entity_path", "version")
-
-
 def tiered_lookup_all(spark, d):
     """All parts by id; the other requests have negative numbers, as parts have theirs."""
     others = asked(spark, True).withColumn("request_id", -F.col("request_id"))
@@ -213,14 +196,6 @@ def history_export(spark, d):
     return iv(spark, d).select("entity_path", "version", F.date_format("first_date", "yyyy-MM-dd").alias("first_seen"), F.date_format("last_date", "yyyy-MM-dd").alias("last_seen"), E.short_hash(F.col("first_commit")).alias("first_hash"), E.short_hash(F.col("last_commit")).alias("last_hash"), F.coalesce("source_path", F.lit("-")).alias("source"))
 
 
-def snapshot_delta(spark, d):
-    o = obs(spark, d)
-    cut = F.lit("1996-01-01").cast("timestamp_ntz")
-    pick = ["entity_path", "version", "last_date", "last_commit"]
-    new = fold.fold(o.filter((F.col("snapshot_date") >= cut) & (F.col("snapshot_date") < F.lit("1996-04-01").cast("timestamp_ntz"))))
-    return fold.apply_delta(fold.fold(o.filter(F.col("snapshot_date") < cut)).select(*pick), new.select(*pick))
-
-
 def snapshot_delta_all(spark, d):
     """The delta has all that came since the cut."""
     o = obs(spark, d)
@@ -247,11 +222,22 @@ def latency_percentiles(spark, d):
     return history.latency_percentiles(table(spark, d, "events").filter("event_type <> 'error'"), "event_type", "value", "ts")
 
 
+def latency_sketches(spark, d):
+    """Percentiles of each event type from sketches by minute, merged over all time: whether each one's exact rank is as close as the sketch says."""
+    e = table(spark, d, "events")
+    approx = history.merged_percentiles(history.latency_sketches(e, "event_type", "value", "ts"), ["key"])
+    few = approx.select(F.col("key").alias("event_type"), F.col("n").alias("n_sketched"), F.array("p50", "p95", "p99").alias("p"))
+    at = [F.avg((F.col("value") <= F.col("p")[i]).cast("double")).alias(f"r{i}") for i in range(3)]
+    ranks = e.join(F.broadcast(few), "event_type").groupBy("event_type").agg(F.count("value").alias("n"), F.first("n_sketched").alias("n_sketched"), *at)  # a row for each type
+    near = [(F.abs(F.col(f"r{i}") - q) <= 0.03).alias(f"p{int(q * 100)}_near") for i, q in enumerate((0.5, 0.95, 0.99))]
+    return ranks.select("event_type", "n", "n_sketched", *near)
+
+
 def activity_minutes(spark, d):
     return history.activity(table(spark, d, "events"), "ts")
 
 
-QUERIES = (fold_intervals, merge_late_batch, dedupe_intervals, dedupe_stats, search_prefix_top, search_exact, search_exact_version, search_all_depths, search_shallowest_version, search_resolution, search_license_filtered, search_sorted_semver, tiered_lookup, complete_prefix, distinct_paths, version_history, first_last_occurrence, index_stats, timeline_extent, platforms_by_os, channel_coverage, unsettled_holes, retry_worklist, order_coverage, snapshot_counts, missing_sentinels, births_deaths, rolling_baseline, gate_results, gated_fold, json_array_decode, normalize_license, split_path, history_export, snapshot_delta, run_report, phrase_search, latency_percentiles, activity_minutes, search_exact_all, search_exact_version_all, tiered_lookup_all, snapshot_delta_all)
+QUERIES = (fold_intervals, merge_late_batch, dedupe_intervals, dedupe_stats, search_prefix_top, search_all_depths, search_shallowest_version, search_resolution, search_license_filtered, search_sorted_semver, complete_prefix, distinct_paths, version_history, first_last_occurrence, index_stats, timeline_extent, platforms_by_os, channel_coverage, unsettled_holes, retry_worklist, order_coverage, snapshot_counts, missing_sentinels, births_deaths, rolling_baseline, gate_results, gated_fold, json_array_decode, normalize_license, split_path, history_export, run_report, phrase_search, latency_percentiles, latency_sketches, activity_minutes, search_exact_all, search_exact_version_all, tiered_lookup_all, snapshot_delta_all)
 
 
 def queries() -> dict:
@@ -261,7 +247,7 @@ def queries() -> dict:
 LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ASKED = "rq(request_id, q, want) AS (VALUES (2, 'small', '2.'), (3, 'standard', '1.2'), (4, 'ECONOMY', '0.3.1'), (5, 'nosuch', '1'), (6, 'medium', '3.9'))"
 MATCH = f"found AS (SELECT request_id, q, want, iv.* FROM iv JOIN rq ON starts_with({LOW.format('entity_path')}, {LOW.format('q')}))"
-EXACT = "rq AS (SELECT p_partkey AS request_id, replace(p_name, ' ', '-') AS q, '1.' AS want FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 10 = 0)"
+EXACT = "rq AS (SELECT p_partkey AS request_id, replace(p_name, ' ', '-') AS q, '1.' AS want FROM part)"
 RANK = "CAST(row_number() OVER (PARTITION BY request_id ORDER BY depth, {} DESC, entity_path, version) AS BIGINT) AS rnk"
 BLUE = f"b AS (SELECT 1 AS request_id, * FROM iv WHERE starts_with({LOW.format('entity_path')}, 'blue')), r AS (SELECT *, {RANK.format('last_date')} FROM b), top AS (SELECT * FROM r WHERE rnk <= 5000)"
 PER = OBS + ", pc AS (SELECT channel, entity_path, version, min(snapshot_date) AS first_date, arg_min(commit_hash, ord) AS first_commit, max(snapshot_date) AS last_date, arg_max(commit_hash, ord) AS last_commit, min(description) AS description FROM obs GROUP BY ALL), dd AS (SELECT entity_path, version, min(first_date) AS first_date, arg_min(first_commit, row(first_date, channel)) AS first_commit, max(last_date) AS last_date, arg_max(last_commit, row(last_date, channel)) AS last_commit, arg_min(description, row(first_date, channel)) AS description, count(*) AS n_rows FROM pc GROUP BY ALL)"
@@ -287,14 +273,14 @@ ORACLE = {
     "dedupe_intervals": f"WITH {PER} SELECT * FROM dd",
     "dedupe_stats": f"WITH {PER} SELECT count(*) AS n_groups, count(*) FILTER (n_rows > 1) AS groups_with_duplicates, CAST(sum(n_rows) AS BIGINT) AS rows_before, count(*) AS rows_after, count(*) FILTER (n_rows > 1) AS rows_updated, CAST(sum(n_rows) - count(*) AS BIGINT) AS rows_deleted FROM dd",
     "search_prefix_top": f"WITH {INT}, {BLUE} SELECT CAST(1 AS BIGINT) AS request_id, rnk, entity_path, version, depth, last_date, (SELECT count(*) FROM top) AS total, (SELECT count(*) FROM top) > 50 AS has_more FROM top WHERE rnk <= 50",
-    "search_exact": f"WITH {INT}, {EXACT} SELECT request_id, {RANK.format('last_date')}, entity_path, version, last_date FROM iv JOIN rq ON entity_path = q",
-    "search_exact_version": f"WITH {INT}, {EXACT} SELECT request_id, {RANK.format('last_date')}, entity_path, version, last_date FROM iv JOIN rq ON entity_path = q WHERE starts_with(version, want)",
+    "search_exact_all": f"WITH {INT}, {EXACT} SELECT request_id, {RANK.format('last_date')}, entity_path, version, last_date FROM iv JOIN rq ON entity_path = q",
+    "search_exact_version_all": f"WITH {INT}, {EXACT} SELECT request_id, {RANK.format('last_date')}, entity_path, version, last_date FROM iv JOIN rq ON entity_path = q WHERE starts_with(version, want)",
     "search_all_depths": f"WITH {INT}, {ASKED}, {MATCH} SELECT CAST(request_id AS BIGINT) AS request_id, {RANK.format('first_date')}, entity_path, version, depth, first_date FROM found WHERE starts_with(version, want)",
     "search_shallowest_version": f"WITH {INT}, {ASKED}, {MATCH}, s AS (SELECT *, min(depth) OVER (PARTITION BY request_id) AS least FROM found) SELECT CAST(request_id AS BIGINT) AS request_id, {RANK.format('first_date')}, entity_path, version, depth, first_date FROM s WHERE depth = least AND starts_with(version, want)",
     "search_resolution": f"WITH {INT}, {ASKED}, {MATCH}, s AS (SELECT *, min(depth) OVER (PARTITION BY request_id) AS least, starts_with(version, want) AS hit FROM found), g AS (SELECT request_id, min(least) AS scope_depth, count(*) FILTER (hit AND depth = least) AS hits, bool_or(hit AND depth > least) AS deeper FROM s GROUP BY request_id) SELECT CAST(rq.request_id AS BIGINT) AS request_id, scope_depth, coalesce(hits, 0) AS hits, coalesce(deeper, false) AS deeper, CASE WHEN hits > 0 THEN 'found' WHEN deeper THEN 'deeper only' WHEN scope_depth IS NOT NULL THEN 'version missing' ELSE 'unknown' END AS outcome FROM rq LEFT JOIN g USING (request_id)",
     "search_license_filtered": f"WITH {INT}, {BLUE}, l AS (SELECT *, CAST(row_number() OVER (ORDER BY last_date DESC, rnk) AS BIGINT) AS k FROM top WHERE contains(lower(license_raw), 'mit')) SELECT k AS rnk, entity_path, version, last_date, (SELECT count(*) FROM l) AS total, (SELECT count(*) FROM l) > 120 AS has_more FROM l WHERE k BETWEEN 21 AND 120",
     "search_sorted_semver": f"WITH {INT}, {BLUE} SELECT CAST(row_number() OVER (ORDER BY CAST(split_part(version, '.', 1) AS INT) DESC, CAST(split_part(version, '.', 2) AS INT) DESC, CAST(split_part(version, '.', 3) AS INT) DESC, rnk DESC) AS BIGINT) AS rnk, entity_path, version FROM top",
-    "tiered_lookup": f"WITH {INT}, {EXACT.replace('rq AS', 'ra AS')}, {ASKED.replace('rq(', 'rb(')}, rq AS (SELECT * FROM ra UNION ALL SELECT * FROM rb), ex AS (SELECT request_id, want, iv.* FROM iv JOIN rq ON entity_path = q), pf AS (SELECT request_id, want, iv.* FROM iv JOIN rq ON starts_with({LOW.format('entity_path')}, {LOW.format('q')}) WHERE request_id NOT IN (SELECT request_id FROM ex)), u AS (SELECT *, 'exact' AS tier FROM ex UNION ALL SELECT *, 'prefix' AS tier FROM pf) SELECT CAST(request_id AS BIGINT) AS request_id, {RANK.format('last_date')}, tier, entity_path, version FROM u WHERE starts_with(version, want)",
+    "tiered_lookup_all": f"WITH {INT}, {EXACT.replace('rq AS', 'ra AS')}, {ASKED.replace('rq(', 'rb(')}, rq AS (SELECT * FROM ra UNION ALL SELECT -request_id, q, want FROM rb), ex AS (SELECT request_id, want, iv.* FROM iv JOIN rq ON entity_path = q), pf AS (SELECT request_id, want, iv.* FROM iv JOIN rq ON starts_with({LOW.format('entity_path')}, {LOW.format('q')}) WHERE request_id NOT IN (SELECT request_id FROM ex)), u AS (SELECT *, 'exact' AS tier FROM ex UNION ALL SELECT *, 'prefix' AS tier FROM pf) SELECT CAST(request_id AS BIGINT) AS request_id, {RANK.format('last_date')}, tier, entity_path, version FROM u WHERE starts_with(version, want)",
     "complete_prefix": f"WITH {OBS}, {ASKED.replace('VALUES', 'VALUES (1, ' + chr(39) + 'blue' + chr(39) + ', NULL),')}, p AS (SELECT DISTINCT entity_path FROM obs), c AS (SELECT CAST(request_id AS BIGINT) AS request_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY entity_path) AS BIGINT) AS rnk, entity_path FROM p JOIN rq ON starts_with({LOW.format('entity_path')}, {LOW.format('q')})) SELECT * FROM c WHERE rnk <= 20",
     "distinct_paths": f"WITH {INT} SELECT DISTINCT entity_path, depth FROM iv",
     "version_history": f"WITH {INT} SELECT entity_path, version, first_date, last_date, version IN (SELECT version FROM iv WHERE advisories_raw NOT IN ('', '[]', 'null')) AS insecure FROM iv",
@@ -322,18 +308,14 @@ ORACLE = {
     "normalize_license": f"WITH {OBS} SELECT license_raw, count(*) AS n, CASE license_raw WHEN '{{\"spdxId\":\"MIT\"}}' THEN 'MIT' WHEN '\"Apache-2.0\"' THEN 'Apache-2.0' WHEN '[]' THEN NULL ELSE 'BSD+mpl' END AS license FROM obs GROUP BY license_raw",
     "split_path": f"WITH {OBS}, p AS (SELECT DISTINCT entity_path FROM obs) SELECT entity_path, length(entity_path) - length(replace(entity_path, '.', '')) AS depth, replace(entity_path, '.', '/') AS segments, string_split(entity_path, '.')[-1] AS leaf FROM p",
     "history_export": f"WITH {INT} SELECT entity_path, version, strftime(first_date, '%Y-%m-%d') AS first_seen, strftime(last_date, '%Y-%m-%d') AS last_seen, left(first_commit, 7) AS first_hash, left(last_commit, 7) AS last_hash, coalesce(source_path, '-') AS source FROM iv",
-    "snapshot_delta": f"WITH {OBS}, a AS ({FOLD.format('(SELECT * FROM obs WHERE snapshot_date < DATE ' + chr(39) + '1996-01-01' + chr(39) + ')')}), b AS ({FOLD.format('(SELECT * FROM obs WHERE snapshot_date >= DATE ' + chr(39) + '1996-01-01' + chr(39) + ' AND snapshot_date < DATE ' + chr(39) + '1996-04-01' + chr(39) + ')')}) SELECT entity_path, version, coalesce(b.last_date, a.last_date) AS last_date, coalesce(b.last_commit, a.last_commit) AS last_commit FROM a FULL JOIN b USING (entity_path, version)",
     "run_report": f"WITH {OBS}, {LEDGER}, s AS (SELECT count(*) AS planned, count(*) FILTER (status = 'ingested') AS ingested, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped, max(release_date) FILTER (status = 'ingested') AS newest FROM ledger), t AS (SELECT *, (SELECT count(DISTINCT entity_path) FROM obs) AS n_paths, (SELECT count(DISTINCT (entity_path, version)) FROM obs) AS n_intervals, date_diff('hour', newest, TIMESTAMP '{NOW}') AS lag_hours FROM s) SELECT *, failed = 0 AND lag_hours <= 72 AS healthy FROM t",
     "phrase_search": "WITH p(phrase) AS (VALUES ('the of'), ('le la'), ('de la'), ('Été'), ('und die')) SELECT phrase, doc_id FROM (SELECT doc_id, " + PLAIN.format("text") + " AS t FROM documents) JOIN (SELECT phrase, " + PLAIN.format("phrase") + " AS f FROM p) ON contains(t, f)",
+    "latency_sketches": "SELECT event_type, count(value) AS n, count(value) AS n_sketched, true AS p50_near, true AS p95_near, true AS p99_near FROM events GROUP BY ALL",
     "latency_percentiles": "WITH a AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, value DESC) AS k FROM events WHERE event_type <> 'error'), r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM a WHERE k <= 1024) SELECT event_type, max(n) AS n, max(value) FILTER (i = round((n - 1) * 0.5)) AS p50, max(value) FILTER (i = round((n - 1) * 0.95)) AS p95, max(value) FILTER (i = round((n - 1) * 0.99)) AS p99 FROM r GROUP BY event_type",
     "activity_minutes": "WITH m AS (SELECT date_trunc('minute', ts) AS minute, count(*) AS c FROM events GROUP BY 1), s AS (SELECT unnest(generate_series(max(minute) - INTERVAL 29 MINUTE, max(minute), INTERVAL 1 MINUTE)) AS minute FROM m) SELECT CAST(minute AS TIMESTAMP) AS minute, coalesce(c, 0) AS n_events FROM s LEFT JOIN m USING (minute)",
 }
 #: Twins of the queries over all parts and the whole delta; a delta that goes to the end leaves each key's last row.
-EVERY = EXACT.replace(" WHERE p_partkey % 3 = 0 AND p_partkey % 10 = 0", "")
 ORACLE |= {
-    "search_exact_all": ORACLE["search_exact"].replace(EXACT, EVERY),
-    "search_exact_version_all": ORACLE["search_exact_version"].replace(EXACT, EVERY),
-    "tiered_lookup_all": ORACLE["tiered_lookup"].replace(EXACT.replace("rq AS", "ra AS"), EVERY.replace("rq AS", "ra AS")).replace("SELECT * FROM rb", "SELECT -request_id, q, want FROM rb"),
     "snapshot_delta_all": f"WITH {INT} SELECT entity_path, version, last_date, last_commit FROM iv",
 }
 

@@ -24,7 +24,7 @@ def store(spark: SparkSession, d: str) -> str:
         rows = stored(fold.fold(observations(spark, d)))
         path = f"{shared_dir(spark)}/stratalog-store-{abs(hash(key)):x}"
         if not snapshots.versions(spark, path):
-            snapshots.publish({"intervals": snapshots.laid_out(rows), "stats": history.index_stats(rows).withColumn("marker", F.lit(d))}, path, d)
+            snapshots.publish({"intervals": snapshots.laid_out(rows), "stats": history.index_stats(rows).withColumn("marker", F.lit(d))}, path, d, orders={"intervals": "path_lc"})
         STORES[key] = path
     return STORES[key]
 
@@ -61,6 +61,15 @@ def refused_requests(spark, d):
     return search.prepared(a).select("request_id", F.coalesce("refused", F.lit("-")).alias("refused"), "page_limit", "page_offset", "sort")
 
 
+def prefix_paths(spark, d):
+    """For every part, the intervals whose path starts with the first word of its name and a dash and a part of the next: many prefixes, of files that they can hit."""
+    p = table(spark, d, "part")
+    words = F.split("p_name", " ")
+    asked = p.select(F.col("p_partkey").cast("bigint").alias("request_id"), F.upper(F.concat(words[0], F.lit("-"), F.substring(words[1], 1, 3))).alias("q"))
+    rows = snapshots.read_intervals(spark, store(spark, d), asked)
+    return search.prefix_join(rows, asked).groupBy("request_id").agg(F.count("*").alias("n_intervals"), F.min("entity_path").alias("first_path"))
+
+
 def wanted(spark, d, exact: bool):
     a = asking(spark, d)
     version = F.lit("9.9.9") if exact else F.when(F.col("k") == 7, "zz1").otherwise(F.concat_ws(".", (F.col("request_id") / 100 % 4).cast("int"), (F.col("request_id") / 100 % 9).cast("int"), F.lit(9)))
@@ -133,7 +142,7 @@ def stored_statistics(spark, d):
     return snapshots.statistics(spark, store(spark, d))
 
 
-QUERIES = (search_requests, refused_requests, suggest_versions, suggest_on_exact_miss, name_lookup, name_prefix_lookup, known_names, description_requests, request_split, version_parts, usage_command, prefix_bounds, stored_statistics)
+QUERIES = (search_requests, prefix_paths, refused_requests, suggest_versions, suggest_on_exact_miss, name_lookup, name_prefix_lookup, known_names, description_requests, request_split, version_parts, usage_command, prefix_bounds, stored_statistics)
 
 LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 A = "a AS (SELECT CAST(p_partkey AS BIGINT) AS request_id, CAST((p_partkey // 100) % 8 AS INT) AS k, string_split(p_name, ' ')[1] AS first, replace(p_name, ' ', '-') AS path, lower(string_split(p_type, ' ')[1]) AS kind, p_name FROM part WHERE p_partkey % 100 = 0)"
@@ -156,6 +165,9 @@ ORACLE = {
       s AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY CASE WHEN sort = 'date' THEN -epoch_us(last_date) END NULLS FIRST, CASE WHEN sort = 'version' THEN list_transform(string_split(version, '.'), lambda x: CAST(x AS INT)) END NULLS FIRST, CASE WHEN sort = 'name' THEN name END NULLS FIRST, r0) AS k, count(*) OVER (PARTITION BY request_id) AS total FROM f),
       t AS (SELECT *, CASE WHEN rev THEN total + 1 - k ELSE k END AS rnk FROM s)
       SELECT request_id, rnk, entity_path, version, last_date, description, total, lim > 0 AND total > off + lim AS has_more FROM t WHERE rnk > off AND (lim = 0 OR rnk <= off + lim)""",
+    "prefix_paths": f"""WITH {INT}, rq AS (SELECT CAST(p_partkey AS BIGINT) AS request_id, {LOW.format("string_split(p_name, ' ')[1] || '-' || left(string_split(p_name, ' ')[2], 3)")} AS q FROM part),
+      k AS (SELECT entity_path, left({LOW.format('entity_path')}, n) AS pre FROM iv, (SELECT DISTINCT length(q) AS n FROM rq))
+      SELECT request_id, count(*) AS n_intervals, min(entity_path) AS first_path FROM k JOIN rq ON pre = q GROUP BY request_id""",
     "refused_requests": f"WITH {A} SELECT request_id, CASE WHEN k % 3 = 0 AND k >= 5 THEN 'all depths need a version' WHEN k % 3 = 0 AND k % 2 = 0 THEN 'all depths and exact exclude each other' WHEN k = 7 THEN 'unknown order' ELSE '-' END AS refused, CAST(CASE WHEN k = 1 THEN 100 ELSE 50 END AS INT) AS page_limit, CAST(0 AS INT) AS page_offset, CASE WHEN k = 7 THEN 'size' ELSE 'relevance' END AS sort FROM a",
     "suggest_versions": f"""WITH {INT}, {A}, rq AS (SELECT request_id, first AS q, CASE WHEN k = 7 THEN 'zz1' ELSE concat_ws('.', (request_id // 100) % 4, (request_id // 100) % 9, 9) END AS want FROM a),
       m AS (SELECT rq.*, iv.*, min(depth) OVER (PARTITION BY request_id) AS least_depth FROM iv JOIN rq ON starts_with({LOW.format('entity_path')}, {LOW.format('q')})),

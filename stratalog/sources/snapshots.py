@@ -82,10 +82,10 @@ def under(rows: DataFrame, prefix: str) -> DataFrame:
     return rows.filter(F.startswith("Prefix", F.lit(prefix))).select("Prefix", name.alias("release_name")).filter("release_name <> '' and not contains(release_name, '/')")
 
 
-def laid_out(intervals: DataFrame) -> DataFrame:
-    """Intervals as they are stored: files of disjoint ranges of lower-case paths, sorted, so that a prefix is in few parts of few files."""
+def laid_out(intervals: DataFrame, files: int | None = None) -> DataFrame:
+    """Intervals as they are stored: files of disjoint ranges of lower-case paths, sorted, so that a prefix is in few parts of few files; as many as their size asks for, or ``files``."""
     low = intervals.withColumn("path_lc", E.ascii_lower(F.col("entity_path")))
-    return low.repartitionByRange("path_lc").sortWithinPartitions("path_lc")
+    return low.repartitionByRange(*([files] if files else []), "path_lc").sortWithinPartitions("path_lc")
 
 
 #: Columns of stored intervals; those of OPTIONAL need not be there and are null then.
@@ -93,14 +93,15 @@ INTERVALS = "entity_path string, version string, first_date timestamp_ntz, first
 OPTIONAL = "advisories_raw string, platforms_raw string, source_path string, path_lc string"
 
 
-def read_published(spark: SparkSession, path: str, name: str = "intervals") -> DataFrame:
-    """A table of the newest published version."""
-    return read_table(spark, path, name)
+def read_published(spark: SparkSession, path: str, name: str = "intervals", prefixes: DataFrame | None = None) -> DataFrame:
+    """A table of the newest published version; with ``prefixes`` only files that may have a path with one of them."""
+    return read_table(spark, path, name, prefixes=prefixes)
 
 
-def read_intervals(spark: SparkSession, path: str) -> DataFrame:
-    """Stored intervals with a fixed schema: optional columns that are not stored are null (``path_lc``: made), dates in epoch seconds become UTC timestamps."""
-    rows = read_published(spark, path) if "intervals" in table_names(spark, path) else of_bounds(read_published(spark, path, "bounds"))
+def read_intervals(spark: SparkSession, path: str, requests: DataFrame | None = None) -> DataFrame:
+    """Stored intervals (with ``requests``, of files only in which a path may start with one's ``q``) with a fixed schema: optional columns that are not stored are null (``path_lc``: made), dates in epoch seconds become UTC timestamps."""
+    prefixes = None if requests is None else requests.select(E.ascii_lower(F.col("q")))
+    rows = read_published(spark, path, "intervals", prefixes) if "intervals" in table_names(spark, path) else of_bounds(read_published(spark, path, "bounds", prefixes))
     kinds = dict(rows.dtypes)
     for one in INTERVALS.split(", "):
         if one.split()[0] not in kinds:

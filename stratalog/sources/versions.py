@@ -24,7 +24,7 @@ BUCKETS = 16
 FILE_ROWS = 2_000_000
 #: Versions back to which a manifest keeps deltas.
 KEPT_DELTAS = 64
-MANIFEST = "`table` string, buckets int, bucket int, file string, size bigint, sha256 string, `from` bigint, `to` bigint, `schema` string, schema_version int, min_schema_version int, latest string"
+MANIFEST = "`table` string, buckets int, bucket int, file string, size bigint, sha256 string, low string, high string, `from` bigint, `to` bigint, `schema` string, schema_version int, min_schema_version int, latest string"
 
 
 class Outdated(ValueError):
@@ -50,6 +50,8 @@ class Bucketed:
     order: str
     #: Number of buckets; it stays what it was when the table was first published.
     buckets: int = BUCKETS
+    #: Whether deltas are published, which pays for tables that readers keep.
+    deltas: bool = True
 
 
 def bucket_of(key: Column, buckets: int = BUCKETS) -> Column:
@@ -148,13 +150,14 @@ def changes(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return both.select(op.alias("op"), *keys, "now.*").filter("op is not null")
 
 
-def publish(tables: dict[str, DataFrame], path: str, latest: str, least_readable: int = LEAST_READABLE, bucketed: dict[str, Bucketed] | None = None, delta_steps: tuple[int, ...] = (1,)) -> DataFrame:
+def publish(tables: dict[str, DataFrame], path: str, latest: str, least_readable: int = LEAST_READABLE, bucketed: dict[str, Bucketed] | None = None, delta_steps: tuple[int, ...] = (1,), orders: dict[str, str] | None = None) -> DataFrame:
     """Write a new version of a dataset: its files first, and at last the manifest by which readers find it.
 
     ``tables`` are written whole. Of ``bucketed`` ones the touched buckets are written, and the others' files carried forward; for each of ``delta_steps`` the rows that
     differ from the version so many publications back are written as a delta, for which files that both versions share are not read. Nothing that is
     published is overwritten, so readers see the old version or the new one, whole; a run that ends early leaves a version without manifest, which nobody
-    reads. Of two writers at a time one fails with ``Outdated``.
+    reads. Of two writers at a time one fails with ``Outdated``. ``orders`` names a column of a whole table; its least and greatest text in each file stand
+    in the manifest, as does that of a bucketed table's order.
     """
     if not LEAST_READABLE <= least_readable <= SCHEMA_VERSION:
         raise ValueError(f"readers of schema {least_readable} can't be served by schema {SCHEMA_VERSION}")
@@ -166,17 +169,17 @@ def publish(tables: dict[str, DataFrame], path: str, latest: str, least_readable
     rows = []
     for name, df in tables.items():
         df.write.option("maxRecordsPerFile", FILE_ROWS).parquet(f"{path}/v={n}/{name}")
-        rows += made(spark, path, n, name, df.schema)
+        rows += made(spark, path, n, name, df.schema, (orders or {}).get(name))
     for name, b in bucketed.items():
         kept = [r for r in before if r["table"] == name and r["from"] is None and r["file"] and r["bucket"] not in set(b.touched)]
         place_of = b.rows.select("*", bucket_of(F.col(b.keys[0]), b.buckets).alias("bucket"))
         # large buckets are dealt by ranges of the order, so files of a bucket are of disjoint ranges
         dealt = place_of.repartitionByRange("bucket", b.order).sortWithinPartitions("bucket", b.order)
         dealt.write.option("maxRecordsPerFile", FILE_ROWS).partitionBy("bucket").parquet(f"{path}/v={n}/{name}")
-        own = [{**r, "buckets": b.buckets} for r in made(spark, path, n, name, b.rows.schema)]
+        own = [{**r, "buckets": b.buckets} for r in made(spark, path, n, name, b.rows.schema, b.order)]
         rows += own + [r.asDict() for r in kept]
         now = files_of([*own, *kept], name)
-        for step in delta_steps:
+        for step in delta_steps if b.deltas else ():
             if len(old) >= step:
                 was = listing(spark, path, old[-step])
                 there = files_of(was, name)
@@ -196,11 +199,29 @@ def publish(tables: dict[str, DataFrame], path: str, latest: str, least_readable
     return manifest(spark, path, n)
 
 
-def made(spark: SparkSession, path: str, n: int, folder: str, schema: StructType) -> list[dict]:
+def made(spark: SparkSession, path: str, n: int, folder: str, schema: StructType, order: str | None = None) -> list[dict]:
     """Manifest rows of what was just written; one without a file where nothing was."""
     plain = {"table": folder, "from": None, "to": None, "schema": schema.json()}
     files = written(spark, path, f"v={n}/{folder}").collect()
-    return [{**plain, **r.asDict()} for r in files] or [{**plain, "bucket": None, "file": None, "size": None, "sha256": None}]
+    ends = {}
+    if files and order and schema[order].dataType.typeName() == "string":
+        at = from_dataset(F.col("_metadata.file_path")).alias("file")
+        each = spark.read.schema(schema).parquet(*[f"{path}/{r['file']}" for r in files]).select(at, order).groupBy("file").agg(F.min(order).alias("low"), F.max(order).alias("high"))
+        ends = {r["file"]: {"low": r["low"], "high": r["high"]} for r in each.collect()}  # a row for each file
+    return [{**plain, **r.asDict(), **ends.get(r["file"], {})} for r in files] or [{**plain, "bucket": None, "file": None, "size": None, "sha256": None}]
+
+
+def files_with(spark: SparkSession, path: str, name: str, prefixes: DataFrame) -> list[str]:
+    """Files of the newest version in which a text may start with one of ``prefixes`` (one column, any number of rows), by the least and greatest text in each.
+
+    Prefixes are compared with the files' ranges, not with rows.
+    """
+    listed = [r for r in listing(spark, path, newest_version(spark, path)) if r["table"] == name and r["from"] is None and r["file"]]
+    ranges = F.from_json(F.lit(json.dumps([{"i": i, "low": r["low"], "high": r["high"]} for i, r in enumerate(listed)])), "array<struct<i: int, low: string, high: string>>")
+    q = F.col("q")
+    may = F.filter(ranges, lambda f: f["low"].isNull() | ((f["high"] >= q) & ((f["low"] <= q) | F.startswith(f["low"], q))))
+    hit = prefixes.toDF("q").filter("q is not null").distinct().select(F.explode(F.transform(may, lambda f: f["i"])).alias("i")).distinct().collect()  # at most as many as files
+    return [listed[r["i"]]["file"] for r in hit]
 
 
 def newest_version(spark: SparkSession, path: str) -> int:
@@ -214,10 +235,12 @@ def newest_version(spark: SparkSession, path: str) -> int:
     return found[-1]
 
 
-def read_table(spark: SparkSession, path: str, name: str, version: int | None = None, buckets: list[int] | None = None) -> DataFrame:
-    """A table of a version (None: the newest), or of some of its buckets, whose files alone are read then."""
+def read_table(spark: SparkSession, path: str, name: str, version: int | None = None, buckets: list[int] | None = None, prefixes: DataFrame | None = None) -> DataFrame:
+    """A table of a version (None: the newest), or of some of its buckets, or of the newest version what may start with one of ``prefixes``; other files are not read."""
     listed = listing(spark, path, newest_version(spark, path) if version is None else version)
     files = files_of(listed, name)
+    if prefixes is not None:
+        return read_files(spark, path, schema_of(listed, name), files_with(spark, path, name, prefixes))
     return read_files(spark, path, schema_of(listed, name), [f for f, b in files.items() if buckets is None or b in set(buckets)])
 
 

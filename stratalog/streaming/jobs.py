@@ -74,7 +74,7 @@ def fold_stream(obs: DataFrame, store: str, checkpoint: str, gated: bool = False
                 batch = gate.accepted(batch, judged)
                 counts, status = judged.select(*key, "n_entries", "verdict"), F.when(F.col("verdict") == "fail", "failed").otherwise("ingested")
             marks = counts.select(*key, "n_entries", status.alias("status"), F.lit(n).cast("bigint").alias("batch"))
-            merged, _ = index_run.merged_buckets(spark, store, fold.merge(fold.as_bounds(batch)), buckets)
+            merged, _, _ = index_run.merged_buckets(spark, store, fold.merge(fold.as_bounds(batch)), buckets)
             publish({**tables, "ledger": seen.unionByName(marks)}, store, str(n), bucketed=merged)
             drop_versions(spark, store, keep=2)
 
@@ -115,7 +115,7 @@ def keep_counts(counts: DataFrame, store: str, checkpoint: str, buckets: int = B
             touched = sorted(r[0] for r in new.select(bucket_of(F.col("minute"), parts).alias("b")).distinct().collect())  # at most ``parts``
             if versions(spark, store):
                 new = new.unionByName(read_table(spark, store, "minutes", buckets=touched).join(new, "minute", "left_anti"))
-            publish({}, store, str(n), bucketed={"minutes": Bucketed(new, touched, ["minute"], "minute", parts)})
+            publish({}, store, str(n), bucketed={"minutes": Bucketed(new, touched, ["minute"], "minute", parts, False)})
             drop_versions(spark, store, keep=2)
 
     return counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -41,5 +41,5 @@ def test_all_parts_and_months_are_asked_for(spark):
     assert registry.part_requests(spark, DATA).count() == part.count()
     keys = registry.obs(spark, DATA).select("entity_path", "version").distinct()
     assert registry.queries()["snapshot_delta_all"](spark, DATA).count() == keys.count()
-    asked, found = (registry.queries()[n](spark, DATA).select("request_id").distinct().count() for n in ("search_exact", "search_exact_all"))
-    assert found > 20 * asked
+    paths = spark.read.parquet(f"{DATA}/part.parquet").filter("p_partkey % 3 = 0").count()  # those whose path is the name alone
+    assert registry.queries()["search_exact_all"](spark, DATA).select("request_id").distinct().count() >= paths * 0.9

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratalog import session
-from stratalog.operators import fold, gate, search
+from stratalog.operators import fold, gate, history, search, text
 from stratalog.plans import index_run
 from stratalog.sources import snapshots, versions
 from stratalog.streaming import jobs
@@ -45,13 +45,13 @@ def test_a_batch_writes_the_buckets_that_it_touches(spark, tmp_path):
     store = str(tmp_path / "set")
     first = seen(spark, [(f"p{i}", "1", "a", i % 3) for i in range(1000)])
     with session.scratch():
-        merged, whole = index_run.merged_buckets(spark, store, fold.merge(fold.as_bounds(first)), 16)
+        merged, whole, _ = index_run.merged_buckets(spark, store, fold.merge(fold.as_bounds(first)), 16)
         assert merged["bounds"].touched == list(range(16)) and whole.count() == 1000
         versions.publish({}, store, "0", bucketed=merged)
     few = [r.entity_path for r in first.filter(versions.bucket_of(F.col("entity_path"), 16).isin(3, 7)).limit(10).collect()]
     late = seen(spark, [(p, "1", "a", 9) for p in few] + [(few[0], "2", "b", 0)])
     with session.scratch():
-        merged, whole = index_run.merged_buckets(spark, store, fold.merge(fold.as_bounds(late)))  # the table keeps its 16 buckets
+        merged, whole, _ = index_run.merged_buckets(spark, store, fold.merge(fold.as_bounds(late)))  # the table keeps its 16 buckets
         assert merged["bounds"].touched == [3, 7] and merged["bounds"].buckets == 16 and whole.count() == 1001
         versions.publish({}, store, "1", bucketed=merged)
     files = [versions.files_of(versions.listing(spark, store, n), "bounds") for n in (0, 1)]
@@ -223,3 +223,68 @@ def test_activity_state_is_dropped(spark, tmp_path):
 def test_entries_with_an_empty_path_are_dropped(spark):
     raw = spark.createDataFrame([("f", "", '{"version":"1"}'), ("f", '""', '{"version":"1"}'), ("f", "a", '{"version":"1"}')], "file string, raw_path string, e string").select("file", "raw_path", F.parse_json("e").alias("entry"))
     assert [r.entity_path for r in snapshots.normalize(raw).collect()] == ["a"]
+
+
+# prefixes, words, counts
+
+
+def test_many_prefixes_read_the_files_that_they_hit(spark, tmp_path):
+    store, draw = str(tmp_path / "set"), random.Random(3)
+    paths = sorted({"".join(draw.choices("abcdefghij", k=draw.randint(3, 9))) for _ in range(4000)})
+    rows = spark.createDataFrame([(p, "1", 0) for p in paths], "entity_path string, version string, depth bigint")
+    versions.publish({"intervals": snapshots.laid_out(rows, 4)}, store, "x", orders={"intervals": "path_lc"})
+    files = versions.files_of(versions.listing(spark, store, 0), "intervals")
+    assert len(files) == 4 and len({r["low"] for r in versions.listing(spark, store, 0)}) == 4
+    asked = spark.range(100_000).select("id", F.concat(*[F.substring(F.lit("ABCDEFGHIJ"), (F.floor(F.col("id") / 10**k) % 10 + 1).cast("int"), F.lit(1)) for k in range(5)]).alias("q"))
+    requests = asked.select(F.col("id").alias("request_id"), F.left("q", (F.col("id") % 5 + 1).cast("int")).alias("q"))
+    read = lambda r: versions.read_table(spark, store, "intervals", prefixes=r.select(F.lower("q")))
+    found = search.prefix_join(read(requests), requests)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "StartsWith" not in plan
+    starts = {}
+    for p in paths:
+        for n in range(1, 6):
+            starts[p[:n]] = starts.get(p[:n], 0) + (len(p) >= n)
+    want = sum(starts.get(r.q.lower(), 0) for r in requests.collect())
+    assert found.count() == want
+    low = read(requests.filter("startswith(q, 'A')"))
+    assert len(low.inputFiles()) < 4 and search.prefix_join(low, requests.filter("startswith(q, 'A')")).select("entity_path").distinct().count() == sum(p.startswith("a") for p in paths)
+    assert read(spark.createDataFrame([("zz",)], "q string")).count() == 0 and read(requests.limit(0)).count() == 0
+
+
+def test_words_with_places_answer_phrases(spark):
+    draw = random.Random(6)
+    words = ["on", "the", "Été", "x-ray", "of", "rare1", "the of"]
+    rows = spark.createDataFrame([(f"p{i}", "1", " ".join(draw.choices(words[:5], k=3)), " ".join(draw.choices(words, k=draw.randint(0, 12))) if i % 7 else None) for i in range(200)], "entity_path string, version string, name string, description string")
+    asked = [" ".join(draw.choices(words, k=draw.randint(1, 4))) for _ in range(60)] + ["", "?!", "nowhere", "the nowhere", "the the"]
+    requests = spark.createDataFrame(list(enumerate(asked)), "request_id long, phrase string")
+    tokens = text.token_rows(rows)
+    want = {(r.request_id, r.entity_path) for r in text.description_search(rows, requests).collect()}
+    got = text.phrase_hits(tokens, requests).collect()
+    assert {(r.request_id, r.entity_path) for r in got} == want and len(got) == len(want)
+
+
+def test_words_and_counts_follow_later_runs(spark, tmp_path):
+    store = str(tmp_path / "set")
+    fresh = lambda rows: fold.merge(fold.as_bounds(seen(spark, rows).withColumns({"name": F.concat(F.lit("n "), F.substring("entity_path", 1, 2)), "description": F.concat(F.lit("seen on "), "commit_hash")})))
+    for day, rows in enumerate(([(f"p{i}", "1", "a", 0) for i in range(60)], [("p3", "1", "a", 1), ("p61", "2", "a", 1)], [("p3", "1", "b", 2)])):
+        with session.scratch():
+            merged, whole, counts = index_run.merged_buckets(spark, store, fresh(rows), 4, tokens=day == 1)
+            stats = history.counted_stats(fold.intervals(whole), counts)
+            assert content(stats) == content(history.index_stats(fold.intervals(whole)))
+            versions.publish({}, store, str(day), bucketed=merged)
+    bounds = snapshots.read_published(spark, store, "bounds")
+    assert content(snapshots.read_published(spark, store, "counts").select("kind", "key", "n")) == content(history.key_counts(bounds))
+    cols = ["entity_path", "version", "column", "pos", "token"]
+    assert content(snapshots.read_published(spark, store, "tokens").select(cols)) == content(text.token_rows(bounds).select(cols))
+    gone = history.moved_counts(bounds, bounds.filter("entity_path <> 'p61'"))
+    assert content(history.added_counts(history.key_counts(bounds), gone)) == content(history.key_counts(bounds.filter("entity_path <> 'p61'")))
+
+
+def test_sketches_merge_within_their_bound(spark):
+    rows = spark.range(60_000).select((F.col("id") % 3).cast("string").alias("k"), F.timestamp_seconds(F.col("id") / 40).alias("ts"), (F.xxhash64("id") % 1_000_000).cast("double").alias("v"))
+    got = {r.key: r for r in history.merged_percentiles(history.latency_sketches(rows, "k", "v", "ts"), ["key"]).collect()}
+    for k, r in got.items():
+        values = sorted(x.v for x in rows.filter(F.col("k") == k).collect())
+        assert r.n == len(values) == 20_000
+        assert all(abs(sum(v <= p for v in values) / r.n - q) <= 0.03 for q, p in ((0.5, r.p50), (0.95, r.p95), (0.99, r.p99)))
