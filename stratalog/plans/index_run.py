@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as E
 from ..operators import fold, gate, history, ledger, text
 from ..session import scratch, small_side, stored
-from ..sources import snapshots
+from ..sources import presence, snapshots
 from ..sources.versions import BUCKETS, Bucketed, bucket_count, bucket_of, read_table, table_names, versions
 
 #: Versions back from which a run publishes deltas.
@@ -42,6 +42,8 @@ class Options:
     buckets: int = BUCKETS
     #: Also keep the words of names and descriptions with their places, for phrase searches; kept up to date from then on.
     tokens: bool = False
+    #: Also keep which paths each snapshot has, and births and deaths from one accepted snapshot to the next.
+    turnover: bool = False
 
 
 class Unhealthy(ValueError):
@@ -186,9 +188,12 @@ def ran(spark: SparkSession, listing: DataFrame, documents: str | list[str], sto
     empty = F.when(F.col("n_entries").isNull(), F.lit("no entries"))
     told = told.select("channel", "release_name", "n_entries", F.coalesce("why", "error", empty).alias("error"))
     book = stored(ledger.settled(book, told, now))
+    tables = {"ledger": book}
+    if o.turnover:
+        tables["turnover"] = turned(spark, store, book, gate.accepted(obs, judged))
     latest = book.filter("status = 'ingested'").agg(F.max(F.struct("release_date", "release_name")).alias("m")).select("m.release_name").first()[0] or ""
     stats = history.counted_stats(fold.intervals(bounds), counted).withColumn("marker", F.lit(latest))
-    snapshots.publish({"ledger": book, "stats": stats}, store, latest, bucketed=buckets, delta_steps=DELTA_STEPS)
+    snapshots.publish({**tables, "stats": stats}, store, latest, bucketed=buckets, delta_steps=DELTA_STEPS)
     report = stored(report_of(book, work, judged, snapshots.read_intervals(spark, store), now, o.strict))
     if o.report:
         snapshots.write_json(report, o.report)
@@ -197,6 +202,21 @@ def ran(spark: SparkSession, listing: DataFrame, documents: str | list[str], sto
     return report
 
 
+def turned(spark: SparkSession, store: str, book: DataFrame, new: DataFrame) -> DataFrame:
+    """Births and deaths of all accepted snapshots, of which those are compared that ``new`` observations change.
+
+    Paths by snapshot are written beside the versions; those of a run that ends early are not seen, as the ledger doesn't accept them, and are written again.
+    """
+    place = f"{store}/presence"
+    new = stored(new.select(*presence.KEY, "entity_path"))
+    presence.put(new, place)
+    accepted = book.filter("status = 'ingested'").select("channel", "era", F.col("release_date").alias("snapshot_date"), "release_name")
+    fresh = stored(presence.turnover(spark, place, accepted, new.select(*presence.KEY)))
+    if versions(spark, store) and "turnover" in table_names(spark, store):
+        fresh = fresh.unionByName(read_table(spark, store, "turnover").join(fresh.select(*presence.KEY), presence.KEY, "left_anti").join(accepted, presence.KEY, "left_semi"))
+    return fresh
+
+
 def report_of(book: DataFrame, work: DataFrame, judged: DataFrame, intervals: DataFrame, now: Column, strict: bool) -> DataFrame:
     """One row: what was planned and became of it, anomalies, coverage of channels, the newest snapshot's lag, holes before it, figures of the intervals, health."""
     one = lambda df: df.withColumn("_k", F.lit(1))

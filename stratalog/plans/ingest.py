@@ -157,7 +157,7 @@ def indexed(spark: SparkSession, d: str) -> tuple[str, list[DataFrame]]:
         store, now = folder(spark, "index"), ntz(NOW)
         floors, denylist = gate.floor_ladder(spark, FLOORS), spark.createDataFrame([(DENIED, "known to be malformed")], "release_name string, reason string")
         given = {"floors": floors, "denylist": denylist, "parse": False}
-        reports = [index_run.run(spark, listing, path, store, now, **given, options=index_run.Options(until=until, buckets=4, tokens=True)) for until in (CUT, None)]
+        reports = [index_run.run(spark, listing, path, store, now, **given, options=index_run.Options(until=until, buckets=4, tokens=True, turnover=True)) for until in (CUT, None)]
         RUNS[key] = store, reports
     return RUNS[key]
 
@@ -174,6 +174,12 @@ def index_caught_up(spark, d):
     return fold.intervals(versions.catch_up(spark, store, "bounds", have, first, fold.KEY)).select("entity_path", "version", "first_date", "first_commit", "last_date", "last_commit", "source_path")
 
 
+def index_turnover(spark, d):
+    """Births and deaths between accepted releases, each run having compared those that it changed."""
+    out = snapshots.read_published(spark, indexed(spark, d)[0], "turnover")
+    return out.select("channel", "release_name", "births", "deaths", "warn")
+
+
 def index_statistics(spark, d):
     """Statistics as the second run left them, distinct numbers by counts that moved with the changes."""
     return snapshots.statistics(spark, indexed(spark, d)[0])
@@ -246,7 +252,7 @@ def stream_activity(spark, d):
     return snapshots.read_published(spark, store, "minutes")
 
 
-QUERIES = (discover_releases, refused_releases, ledger_window, denied_releases, requeued_releases, settled_releases, dedupe_dry_run, normalize_entries, column_helpers, index_intervals, index_caught_up, index_statistics, index_phrases, index_changes, index_damage, index_ledger, index_report, index_paths, stream_fold, stream_gate, stream_activity)
+QUERIES = (discover_releases, refused_releases, ledger_window, denied_releases, requeued_releases, settled_releases, dedupe_dry_run, normalize_entries, column_helpers, index_intervals, index_caught_up, index_turnover, index_statistics, index_phrases, index_changes, index_damage, index_ledger, index_report, index_paths, stream_fold, stream_gate, stream_activity)
 
 LISTED = """o AS (SELECT *, sha1(CAST(o_orderkey AS VARCHAR)) AS sha, CAST(o_orderkey AS VARCHAR) AS key FROM orders),
 l AS (SELECT o_orderkey, o_orderpriority AS channel, CASE o_orderkey % 6 WHEN 0 THEN 'nixos-20.03pre' || key || '.' || left(sha, 7) WHEN 1 THEN 'nixpkgs-21.11.' || key || '.' || left(sha, 12) WHEN 2 THEN 'nixos-19.09beta' || key || '.' || left(sha, 9) WHEN 3 THEN 'nixpkgs-1.0pre' || key || '_' || left(sha, 7) WHEN 4 THEN 'nixos-20.03pre' || key || '.zz' ELSE 'nixos-20.03pre' || key || '.abcdef1' END AS release_name,
@@ -293,12 +299,18 @@ ORACLE = {
       CAST(CASE WHEN left(o_orderpriority, 2) <> '4-' THEN 0 WHEN o_orderstatus = 'S' THEN 7 ELSE 6 END AS BIGINT) AS shared FROM orders""",
     "index_intervals": f"WITH {RUN} SELECT * FROM iv2",
     "index_caught_up": f"WITH {RUN} SELECT * FROM iv2",
+    "index_turnover": f"""WITH {RUN}, o AS (SELECT channel, era, release_name, row_number() OVER w AS n, lag(era) OVER w = era AS same FROM (SELECT * FROM lb WHERE status = 'ingested') WINDOW w AS (PARTITION BY channel ORDER BY snapshot_date, release_name)),
+      pr AS (SELECT DISTINCT o.channel, n, entity_path FROM ok JOIN o USING (channel, release_name)), sz AS (SELECT channel, n, count(*) AS size FROM pr GROUP BY ALL),
+      b AS (SELECT channel, n, count(*) AS births FROM pr WHERE NOT EXISTS (SELECT 1 FROM pr q WHERE q.channel = pr.channel AND q.n = pr.n - 1 AND q.entity_path = pr.entity_path) GROUP BY ALL),
+      e AS (SELECT channel, n + 1 AS n, count(*) AS deaths FROM pr WHERE NOT EXISTS (SELECT 1 FROM pr q WHERE q.channel = pr.channel AND q.n = pr.n + 1 AND q.entity_path = pr.entity_path) GROUP BY ALL)
+      SELECT o.channel, release_name, coalesce(births, 0) AS births, coalesce(deaths, 0) AS deaths, coalesce(deaths, 0) > greatest(CAST(trunc(size * 0.05::DOUBLE) AS BIGINT), 50) AS warn
+      FROM o JOIN sz ON sz.channel = o.channel AND sz.n = o.n - 1 LEFT JOIN b ON b.channel = o.channel AND b.n = o.n LEFT JOIN e ON e.channel = o.channel AND e.n = o.n WHERE same""",
     "index_statistics": f"WITH {RUN} SELECT count(*) AS n_rows, count(DISTINCT string_split(entity_path, '.')[-1]) AS n_names, count(DISTINCT version) AS n_versions, min(first_date) AS first_date, max(last_date) AS last_date FROM iv2",
     "index_phrases": f"""WITH {RUN}, t AS (SELECT entity_path, version, ' ' || replace(string_split(entity_path, '.')[-1], '-', ' ') || ' ' AS name FROM iv2),
       rq AS (SELECT CAST(p_partkey * 2 AS BIGINT) AS request_id, ' ' || p_name || ' ' AS f FROM part UNION ALL SELECT CAST(p_partkey * 2 + 1 AS BIGINT), ' ' || string_split(p_name, ' ')[1] || ' ' FROM part WHERE p_partkey % 100 = 0)
       SELECT request_id, count(*) AS n_intervals, min(entity_path) AS first_path FROM t JOIN rq ON contains(name, f) GROUP BY request_id""",
     "index_changes": f"WITH {RUN} SELECT CASE WHEN min(snapshot_date) > DATE '{CUT}' THEN 'insert' ELSE 'change' END AS op, entity_path, version, max(snapshot_date) AS last_date FROM ok GROUP BY entity_path, version HAVING max(snapshot_date) > DATE '{CUT}'",
-    "index_damage": "SELECT unnest(['bounds', 'paths', 'counts', 'tokens', 'ledger', 'stats']) AS \"table\", CAST(0 AS BIGINT) AS n_bad",
+    "index_damage": "SELECT unnest(['bounds', 'paths', 'counts', 'tokens', 'ledger', 'stats', 'turnover']) AS \"table\", CAST(0 AS BIGINT) AS n_bad",
     "index_ledger": f"WITH {RUN} SELECT channel, release_name, era, status, CAST(CASE WHEN status = 'skipped' THEN 0 ELSE 1 END AS INT) AS attempts, coalesce(n_entries, -1) AS n_entries, coalesce(error, '-') AS error FROM lb",
     "index_report": f"""WITH {RUN}, p AS (SELECT * FROM lb WHERE snapshot_date > DATE '1996-12-31' AND status <> 'skipped'), m AS (SELECT max(snapshot_date) AS mark FROM lb WHERE status = 'ingested')
       SELECT count(*) AS planned, count(*) FILTER (status = 'ingested') AS ingested, count(*) FILTER (status = 'failed') AS failed, CAST(0 AS BIGINT) AS skipped, (SELECT count(*) FROM lb, m WHERE status = 'failed' AND snapshot_date < mark) AS unsettled,

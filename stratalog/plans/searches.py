@@ -166,8 +166,8 @@ ORACLE = {
       t AS (SELECT *, CASE WHEN rev THEN total + 1 - k ELSE k END AS rnk FROM s)
       SELECT request_id, rnk, entity_path, version, last_date, description, total, lim > 0 AND total > off + lim AS has_more FROM t WHERE rnk > off AND (lim = 0 OR rnk <= off + lim)""",
     "prefix_paths": f"""WITH {INT}, rq AS (SELECT CAST(p_partkey AS BIGINT) AS request_id, {LOW.format("string_split(p_name, ' ')[1] || '-' || left(string_split(p_name, ' ')[2], 3)")} AS q FROM part),
-      k AS (SELECT entity_path, left({LOW.format('entity_path')}, n) AS pre FROM iv, (SELECT DISTINCT length(q) AS n FROM rq))
-      SELECT request_id, count(*) AS n_intervals, min(entity_path) AS first_path FROM k JOIN rq ON pre = q GROUP BY request_id""",
+      k AS (SELECT entity_path, n, left({LOW.format('entity_path')}, n) AS pre FROM iv, (SELECT DISTINCT length(q) AS n FROM rq))
+      SELECT request_id, count(*) AS n_intervals, min(entity_path) AS first_path FROM k JOIN rq ON pre = q AND n = length(q) GROUP BY request_id""",
     "refused_requests": f"WITH {A} SELECT request_id, CASE WHEN k % 3 = 0 AND k >= 5 THEN 'all depths need a version' WHEN k % 3 = 0 AND k % 2 = 0 THEN 'all depths and exact exclude each other' WHEN k = 7 THEN 'unknown order' ELSE '-' END AS refused, CAST(CASE WHEN k = 1 THEN 100 ELSE 50 END AS INT) AS page_limit, CAST(0 AS INT) AS page_offset, CASE WHEN k = 7 THEN 'size' ELSE 'relevance' END AS sort FROM a",
     "suggest_versions": f"""WITH {INT}, {A}, rq AS (SELECT request_id, first AS q, CASE WHEN k = 7 THEN 'zz1' ELSE concat_ws('.', (request_id // 100) % 4, (request_id // 100) % 9, 9) END AS want FROM a),
       m AS (SELECT rq.*, iv.*, min(depth) OVER (PARTITION BY request_id) AS least_depth FROM iv JOIN rq ON starts_with({LOW.format('entity_path')}, {LOW.format('q')})),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from stratalog import session
 from stratalog.operators import fold, gate, history, search, text
 from stratalog.plans import index_run
-from stratalog.sources import snapshots, versions
+from stratalog.sources import presence, snapshots, versions
 from stratalog.streaming import jobs
 
 OBS = "entity_path string, version string, channel string, era string, snapshot_date timestamp_ntz, commit_hash string, name string, description string, license_raw string, advisories_raw string, platforms_raw string, source_path string"
@@ -288,3 +288,23 @@ def test_sketches_merge_within_their_bound(spark):
         values = sorted(x.v for x in rows.filter(F.col("k") == k).collect())
         assert r.n == len(values) == 20_000
         assert all(abs(sum(v <= p for v in values) / r.n - q) <= 0.03 for q, p in ((0.5, r.p50), (0.95, r.p95), (0.99, r.p99)))
+
+
+def test_a_new_snapshot_reads_its_neighbours_alone(spark, tmp_path):
+    draw, store = random.Random(9), str(tmp_path / "presence")
+    obs = seen(spark, [(f"p{i}", "1", c, d) for c in "ab" for d in range(8) for i in range(40) if draw.random() < 0.7]).withColumn("release_name", F.date_format("snapshot_date", "'r'd"))
+    presence.put(obs.filter("day(snapshot_date) <> 4"), store)
+    snaps = obs.select(*presence.KEY).distinct()
+    want = content(gate.births_deaths(obs).select("channel", "snapshot_date", "births", "deaths", "born", "died"))
+    presence.put(obs.filter("day(snapshot_date) = 4"), store)
+    new = snaps.filter("channel = 'a' and day(snapshot_date) = 4")
+    due, needed = presence.neighbours(snaps, new)
+    assert sorted(r.snapshot_date.day for r in due.collect()) == [4, 5] and sorted(r.snapshot_date.day for r in needed.collect()) == [3, 4, 5]
+    rows = presence.read(spark, store, needed)
+    plan = rows._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    pruned = next(line for line in plan.splitlines() if line.startswith("PartitionFilters") and "channel" in line)  # the folders of others are not read
+    assert "2020-01-04T000000.000000" in pruned and "2020-01-06" not in pruned and "day" in pruned
+    assert {(r.channel, r.snapshot_date.day) for r in rows.collect()} == {("a", 3), ("a", 4), ("a", 5)}
+    got = content(presence.turnover(spark, store, snaps, new).select("channel", "snapshot_date", "births", "deaths", "born", "died"))
+    assert got == [r for r in want if r[0] == "a" and r[1].day in (4, 5)]
+    assert content(presence.turnover(spark, store, snaps, snaps).select("channel", "snapshot_date", "births", "deaths", "born", "died")) == want
