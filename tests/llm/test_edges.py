@@ -66,6 +66,43 @@ def test_benchmark_documents_go_and_others_stay(spark):
     assert [r.doc_id for r in p.drop_benchmark_passages(spark, docs, DATA).orderBy("doc_id").collect()] == [None, 2]
 
 
+def test_results_on_any_table(spark, tricky):
+    """Values, not only numbers of rows, on nulls, repeats and clashing names."""
+    given = Counter((r.doc_id, r.text or "") for r in tricky.collect())
+    back = bpe.round_trip(tricky, queries.TOKENIZER).collect()
+    assert Counter((r.doc_id, bytes(r.decoded).decode()) for r in back) == given
+    told = language.identify(tricky).collect()
+    wordless = sum(n for (_, t), n in given.items() if not re.search(r"[^\W\d_]", t))
+    assert sum(r.lang_pred == "und" for r in told) == wordless and all(0 <= r.score <= 1 for r in told)
+    size = Counter()
+    for (_, t), n in given.items():
+        size[t.lower()] += n
+    same = exact_dedup.exact_duplicates(tricky, keep="largest").collect()
+    assert Counter(r.group_size for r in same) == Counter({k: sum(v for v in size.values() if v == k) for k in set(size.values())})
+    assert sum(r.kept for r in same if r.doc_id is not None) >= len(size) - 1
+    sizes = Counter({len(t.encode()) + 1: 0 for _, t in given})
+    for (_, t), n in given.items():
+        sizes[len(t.encode()) + 1] += n
+    assert Counter(r.size for r in shards.shard(tricky).collect()) == sizes
+    judged = urls.judge_urls(tricky, urls.rule_table(spark), "doc_id", "text").collect()
+    assert {(r.host, r.rule, r.verdict) for r in judged} == {("", None, "allow")}
+    near = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in near_dedup.near_duplicates(tricky, n=3, percent=85).collect()}
+    assert near[1, 6] == (0, False) and near[0, 6] == (0, True) and near[4, 0] == (4, True) and near[9, 1] == (9, True)
+
+
+def test_links_near_the_threshold_are_found(spark):
+    """2,000 pairs of a similarity of 0.860 to 0.900 at a threshold of 0.85: recall is measured, not reckoned."""
+    draw, rows = random.Random(12), []
+    for i in range(2000):
+        words = [f"{i}.{j}" for j in range(400)]
+        other = list(words)
+        for j in draw.sample(range(10, 390, 4), 7 + i % 4):
+            other[j] = f"{i}.{j}x"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), n=3, percent=85).collect()}
+    assert sum(got[2 * i + 1] == 2 * i for i in range(2000)) == 2000
+
+
 def test_operators_take_any_table(spark, tricky):
     n = tricky.count()
     assert near_dedup.near_duplicates(tricky, n=3, percent=85).count() == n
