@@ -8,7 +8,7 @@ reads and writes those alone that its observations touch.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as E
 from ..operators import fold, gate, history, ledger, text
 from ..session import scratch, small_side, stored
-from ..sources import presence, snapshots
+from ..sources import large, presence, snapshots
 from ..sources.versions import BUCKETS, Bucketed, bucket_count, bucket_of, read_table, table_names, versions
 
 #: Versions back from which a run publishes deltas.
@@ -51,7 +51,8 @@ class Unhealthy(ValueError):
 
 
 #: A snapshot's document in a path, the release's name in that (a file or a folder, ``.../<name>.json`` or, one entity per line, ``.../doc=<name>.jsonl/part-0``), and
-#: the folder that says which channel's it is; without one it is that of any channel with such a release.
+#: the folder that says which channel's it is; without one it is that of any channel with such a release. Bytes from which one is read in fragments.
+LARGE = 32 << 20
 DOCUMENT, NAME, CHANNEL = r"^(.*?[.]jsonl?)(?:/.*)?$", r"([^/=]+)[.]jsonl?(?:/[^/]*)?$", r"/channel=([^/]+)/"
 
 
@@ -61,39 +62,39 @@ def of_path(path: str) -> list[Column]:
 
 
 def placed(spark: SparkSession, documents: str | list[str], work: DataFrame) -> DataFrame:
-    """``work`` with the path of each release's document (null: there is none); one in the channel's own folder goes before others."""
-    if isinstance(documents, str):
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(documents).select("path")
-    else:
-        files = spark.createDataFrame([(d,) for d in documents], "path string")
-    there = files.select(F.regexp_extract("path", DOCUMENT, 1).alias("doc")).distinct().select("doc", *of_path("doc")).filter("release_name <> ''")
+    """``work`` with the path and size of each release's document (null: there is none); one in the channel's own folder goes before others."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(documents).select("path", "length")  # contents are not read
+    there = files.groupBy(F.regexp_extract("path", DOCUMENT, 1).alias("doc")).agg(F.sum("length").alias("size")).select("doc", "size", *of_path("doc")).filter("release_name <> ''")
     rows = work.select("channel", "release_name", "era", "commit_hash", F.col("release_date").alias("snapshot_date"))
     met = rows.join(there, "release_name", "left").filter(F.col("folder").isNull() | (F.col("folder") == F.col("channel")))
-    first = met.groupBy("channel", "release_name").agg(F.min(F.struct(F.col("folder").isNull().alias("any"), "doc", "folder")).alias("d"))
-    return rows.join(first, ["channel", "release_name"], "left").select(*rows.columns, "d.doc", "d.folder")
+    first = met.groupBy("channel", "release_name").agg(F.min(F.struct(F.col("folder").isNull().alias("any"), "doc", "folder", "size")).alias("d"))
+    return rows.join(first, ["channel", "release_name"], "left").select(*rows.columns, "d.doc", "d.folder", "d.size")
 
 
 def observations(spark: SparkSession, documents: str | list[str], work: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Observations of the snapshots in ``work`` from their documents, and (channel, release_name, why) of those that can't be read.
 
-    Only the documents of ``work`` are read, each whole or not at all.
+    Only the documents of ``work`` are read, each whole or not at all; those of ``LARGE`` bytes and more by many tasks each.
     """
     todo = stored(placed(spark, documents, work))
     why = todo.filter("doc is null").select("channel", "release_name", F.lit("no document").alias("why"))
     parts = []
-    by_line = F.col("doc").endswith("l")
-    for these, read in ((by_line, snapshots.read_lines), (~by_line & (F.col("era") == "envelope"), snapshots.read_envelopes), (~by_line & (F.col("era") == "bare"), snapshots.read_bare)):
+    by_line, long = F.col("doc").endswith("l"), F.col("size") >= LARGE
+    readers = [(by_line, snapshots.read_lines)]
+    for era, read, split in (("envelope", snapshots.read_envelopes, large.read_large), ("bare", snapshots.read_bare, partial(large.read_large, bare=True))):
+        readers += [(~by_line & (F.col("era") == era) & ~long, read), (~by_line & (F.col("era") == era) & long, split)]
+    for these, read in readers:
         own = stored(todo.filter(these))
         paths = [r.doc for r in own.select("doc").distinct().collect()]  # one for each snapshot of the run
         if paths:
             rows, bad = read(spark, paths)
-            mine = F.broadcast(own.drop("doc").withColumnsRenamed({"release_name": "_name", "folder": "_folder"}))  # one for each path just collected
+            mine = F.broadcast(own.drop("doc", "size").withColumnsRenamed({"release_name": "_name", "folder": "_folder"}))  # one for each path just collected
             named = lambda df: df.select("*", *of_path("file")).join(mine, (F.col("release_name") == F.col("_name")) & F.col("folder").eqNullSafe(F.col("_folder")))  # noqa: B023, E731
             parts.append(named(snapshots.normalize(rows)).drop("_name", "_folder", "folder"))
             why = why.unionByName(named(bad).select("channel", "release_name", F.lit("malformed document").alias("why")))
     if not parts:
         nothing = spark.createDataFrame([], "file string, raw_path string, entry variant")
-        parts = [snapshots.normalize(nothing).withColumn("release_name", F.lit("")).join(todo.drop("doc", "folder"), "release_name")]
+        parts = [snapshots.normalize(nothing).withColumn("release_name", F.lit("")).join(todo.drop("doc", "folder", "size"), "release_name")]
     obs = reduce(DataFrame.unionByName, parts)
     order = F.struct("snapshot_date", "channel", F.col("release_name"), F.lit(0).cast("bigint").alias("a"))
     texts = {"license_raw": E.encode_array(F.col("license")), "advisories_raw": E.encode_array(F.col("advisories")), "platforms_raw": E.encode_array(F.col("platforms"))}

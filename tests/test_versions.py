@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from stratalog import session
 from stratalog.operators import fold, gate, history, search, text
 from stratalog.plans import index_run
-from stratalog.sources import presence, snapshots, versions
+from stratalog.sources import large, presence, snapshots, versions
 from stratalog.streaming import jobs
 
 OBS = "entity_path string, version string, channel string, era string, snapshot_date timestamp_ntz, commit_hash string, name string, description string, license_raw string, advisories_raw string, platforms_raw string, source_path string"
@@ -189,7 +189,9 @@ def test_a_missing_snapshot_is_waited_for_until_patience_is_over(spark):
     assert days(patience="1 hour") == [2, 3, 5]
 
 
-def test_releases_of_one_date_are_judged_each_by_itself(spark, tmp_path):
+@pytest.mark.parametrize("from_size", [1 << 30, 50])
+def test_releases_of_one_date_are_judged_each_by_itself(spark, tmp_path, monkeypatch, from_size):
+    monkeypatch.setattr(index_run, "LARGE", from_size)  # the same whether documents are read whole or in fragments
     docs, store = tmp_path / "docs", str(tmp_path / "store")
     day = dt.datetime(2024, 3, 8)
     text = lambda n, v: json.dumps({"version": 2, "packages": {f"p{i}": {"version": v} for i in range(n)}})
@@ -308,3 +310,45 @@ def test_a_new_snapshot_reads_its_neighbours_alone(spark, tmp_path):
     got = content(presence.turnover(spark, store, snaps, new).select("channel", "snapshot_date", "births", "deaths", "born", "died"))
     assert got == [r for r in want if r[0] == "a" and r[1].day in (4, 5)]
     assert content(presence.turnover(spark, store, snaps, snaps).select("channel", "snapshot_date", "births", "deaths", "born", "died")) == want
+
+
+# one large document
+
+
+def odd_entry(draw):
+    text = draw.choice(["plain", 'quote " brace } {', "back\\slash\\", "}{}", '\\"}', "é\n", "", "a,b"])
+    return {"version": draw.choice(["1", "2"]), "meta": {"description": text, "x": {"y": [{}, {"z": text}]}}} if draw.random() < 0.9 else draw.choice([5, [1, {"a": 2}], {}, "text }"])
+
+
+def both_readers(spark, folder, bare=False):
+    out = []
+    for rows, bad in (large.read_large(spark, str(folder), bare), (snapshots.read_bare if bare else snapshots.read_envelopes)(spark, str(folder))):
+        name = F.regexp_extract("file", r"([^/]+)$", 1)
+        out.append((sorted(map(tuple, rows.select(name, "raw_path", F.to_json("entry")).collect())), sorted(r[0] for r in bad.select(name).collect())))
+    return out
+
+
+@pytest.mark.parametrize("bare", [False, True])
+def test_documents_in_fragments_are_read_as_whole_ones(spark, tmp_path, bare):
+    draw, before = random.Random(bare), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    entries = {f"p{i}.{'q' * (i % 7)}": odd_entry(draw) for i in range(3000)}
+    wrap = (lambda e, v=2: e) if bare else (lambda e, v=2: {"version": v, "packages": e})
+    text = json.dumps(wrap(entries), indent=1)
+    some = dict(list(entries.items())[:5])
+    files = {
+        "whole": text, "cut": text[: len(text) // 2], "no_end": text.rstrip()[:-1], "more": text + "}", "blank_end": text + "\n \n", "tight": json.dumps(wrap(entries), separators=(",", ":")), "empty": json.dumps(wrap({})), "few": json.dumps(wrap(some)),
+        "scalars": json.dumps(wrap({"a": 1, "b": {"version": "1"}, "c": "x"})), "no_comma": json.dumps(wrap(some)).replace('}, "p1', '} "p1'), "nothing": "{", "list": "[]",
+    }
+    if not bare:
+        files |= {"other": json.dumps(wrap(some, 3)), "version_last": json.dumps({"packages": some, "version": "2"})}
+    for name, t in files.items():
+        (tmp_path / name).write_text(t)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(len(text) // 8))
+    try:
+        assert spark.read.option("lineSep", "}").text(str(tmp_path / "whole")).rdd.getNumPartitions() >= 8
+        ours, theirs = both_readers(spark, tmp_path, bare)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    more = [r for r in theirs[0] if r[0] == "more"]  # a whole text's parser passes over what follows the document
+    assert ours[1] == sorted({*theirs[1], "more"})
+    assert ours[0] == [r for r in theirs[0] if r not in more] and len(ours[0]) > 8000
