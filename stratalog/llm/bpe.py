@@ -35,8 +35,8 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 FULL = regex.compile(PATTERN.replace(r"[^\s", rf"[^{SPACE}").replace(r"\S", rf"[^{SPACE}]").replace(r"\s", rf"[{SPACE}]"))
 ODD = re.compile("[\x1c-\x1f\x85" + "".join(re.escape(c) for c in map(chr, range(0x80, 0x10000)) if unicodedata.category(c) in ("Nl", "No", "Cn")) + "\U00010000-\U0010ffff]")
 ODD_ASCII = re.compile("[\x1c-\x1f]")
-#: Pieces and pairs that a Python worker keeps, from task to task.
-MOST_PIECES = MOST_PAIRS = 250_000
+#: Pieces that a task keeps, and pairs that a Python worker keeps from task to task.
+MOST_PIECES = MOST_PAIRS = 150_000
 #: Rows, and characters unless one text is longer, that a task holds as Python objects at once.
 SLICE, SLICE_CHARS = 256, 1_000_000
 #: Longer pieces are not kept.
@@ -57,7 +57,7 @@ class Vocabulary:
         self.token = {i: t for t, i in self.rank.items()}
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.edges: dict[int, list[tuple[bytes, int, int]]] = {}
-        self.stable: dict[tuple[int, int], bool] = {}
+        self.stable: dict[int, bool] = {}
         self.sizes = {i: len(t) for i, t in self.token.items()}
         self.packed = {i: struct.pack("<I", i) for i in self.token}
         self.known = Pieces(self)
@@ -108,7 +108,7 @@ class Vocabulary:
         return True
 
     def can_follow(self, left: int, right: int) -> bool:
-        pair = left, right
+        pair = left << 32 | right
         out = self.stable.get(pair)
         if out is None:
             if len(self.stable) >= MOST_PAIRS:
@@ -125,7 +125,7 @@ def extend(v: Vocabulary, data: bytes, last: list[int]) -> list[int]:
         while begin >= 0 and (t := suffixes.get(data[begin:end])) is not None:
             if t >= 0:
                 if begin:
-                    fits = stable.get((last[begin - 1], t))
+                    fits = stable.get(last[begin - 1] << 32 | t)
                     if fits is None:
                         fits = v.can_follow(last[begin - 1], t)
                 else:
@@ -225,7 +225,7 @@ class Pieces(dict):
                                 break
                         else:
                             left = last[begin - 1]
-                            fits = stable.get((left, t))
+                            fits = stable.get(left << 32 | t)
                             if fits is None:
                                 fits = v.can_follow(left, t)
                             if fits:
@@ -350,6 +350,7 @@ def both_ways(text: Column, shared) -> Column:
         v = vocabulary(shared.value)
         for batch in tidy(batches):
             yield pa.array(({"ids": i, "decoded": decode(i, v)} for part in slices(batch) for i in encode(part, v)), kinds)
+        v.known.clear()  # the worker stays for other tasks
 
     return coded.asNondeterministic()(text)
 
