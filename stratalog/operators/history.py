@@ -42,8 +42,8 @@ def platforms_by_os(rows: DataFrame) -> DataFrame:
     return p.groupBy("entity_path", system.alias("os")).agg(F.array_join(F.array_sort(F.collect_set("platform")), ",").alias("platforms"))
 
 
-def latency_percentiles(events: DataFrame, key: str, value: str, ts: str, last: int = 1024, parts: int = 64) -> DataFrame:
-    """Nearest-rank p50, p95 and p99 of each key's last ``last`` values: the value at round((n - 1) * q), from 0.
+def last_values(events: DataFrame, key: str, value: str, ts: str, last: int = 1024, parts: int = 64) -> DataFrame:
+    """The ``last`` newest values of each key, of one moment the greatest.
 
     A key's rows are dealt over ``parts`` tasks, each of which keeps its last ones; only those meet in one task.
     """
@@ -51,7 +51,12 @@ def latency_percentiles(events: DataFrame, key: str, value: str, ts: str, last:
     part = F.pmod(F.xxhash64(ts, value), F.lit(parts))
     recent = events.select(key, value, ts, part.alias("_part")).withColumn("_n", F.row_number().over(W.partitionBy(key, "_part").orderBy(*newest))).filter(F.col("_n") <= last)
     recent = recent.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(*newest))).filter(F.col("_n") <= last)
-    r = recent.select(key, value, (F.row_number().over(W.partitionBy(key).orderBy(value)) - 1).alias("i"), F.count("*").over(W.partitionBy(key)).alias("n"))
+    return recent.drop("_part", "_n")
+
+
+def latency_percentiles(events: DataFrame, key: str, value: str, ts: str, last: int = 1024, parts: int = 64) -> DataFrame:
+    """Nearest-rank p50, p95 and p99 of each key's last ``last`` values (``last_values``): the value at round((n - 1) * q), from 0."""
+    r = last_values(events, key, value, ts, last, parts).select(key, value, (F.row_number().over(W.partitionBy(key).orderBy(value)) - 1).alias("i"), F.count("*").over(W.partitionBy(key)).alias("n"))
     at = lambda q: F.max(F.when(F.col("i") == F.round((F.col("n") - 1) * q), F.col(value)))
     return r.groupBy(key).agg(F.max("n").alias("n"), *[at(q).alias(f"p{int(q * 100)}") for q in (0.5, 0.95, 0.99)])
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import exprs as E
 from ..session import small_side
@@ -74,8 +75,22 @@ def settled(ledger: DataFrame, verdicts: DataFrame, now: Column) -> DataFrame:
 def lag_hours(ledger: DataFrame, now: Column) -> DataFrame:
     """One row: whole hours since the newest ingested snapshot (null without one), and whether a fallback source is due (24 hours or none)."""
     newest = ledger.agg(F.max(F.when(F.col("status") == "ingested", F.col("release_date"))).alias("newest"))
+    return newest.select("newest", *lag_columns(now))
+
+
+def lag_columns(now: Column) -> list[Column]:
     lag = F.floor((F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(F.col("newest").cast("timestamp"))) / 3600)
-    return newest.select("newest", lag.alias("lag_hours"), (F.coalesce(lag, F.lit(FALLBACK_HOURS)) >= FALLBACK_HOURS).alias("fallback_due"))
+    return [lag.alias("lag_hours"), (F.coalesce(lag, F.lit(FALLBACK_HOURS)) >= FALLBACK_HOURS).alias("fallback_due")]
+
+
+def lag_history(ledger: DataFrame) -> DataFrame:
+    """``lag_hours`` as of the date of each row of the ledger, by channel: what a run of that day would have found.
+
+    A channel is one task's, as in the gate, with one short row for each snapshot.
+    """
+    till = W.partitionBy("channel").orderBy("release_date")  # rows of one date see each other
+    newest = ledger.withColumn("newest", F.max(F.when(F.col("status") == "ingested", F.col("release_date"))).over(till))
+    return newest.select("channel", "release_name", "release_date", "newest", *lag_columns(F.col("release_date")))
 
 
 def insert_pending(ledger: DataFrame, found: DataFrame) -> DataFrame:

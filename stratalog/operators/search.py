@@ -224,7 +224,7 @@ def search(rows: DataFrame, requests: DataFrame, cap: int | None = CAP) -> DataF
 
     Requests have ``request_id``, ``q`` and any of OPTIONS; refused ones (``prepared``) give nothing. Without ``exact`` the path starts with ``q``; with a
     version only the shallowest depth that the prefix has is searched, or all of them with ``all_depths``. Exact searches have no cap. A page
-    limit of 0 is unlimited, larger ones than PAGE_CAP are cut; ``total`` counts before paging. Only keys, dates and flags are ranked;
+    limit of 0 is unlimited, larger ones than PAGE_CAP are cut; ``total`` counts before paging, and is a ``lower_bound`` where the cap was full, as rows beyond it are not looked at. Only keys, dates and flags are ranked;
     the rows of the pages take their other columns at the end.
     """
     asked = stored(prepared(requests).filter("refused is null"))
@@ -238,8 +238,9 @@ def search(rows: DataFrame, requests: DataFrame, cap: int | None = CAP) -> DataF
     scoped = prefix.join(least, "request_id", "left").filter(F.col("least").isNull() | (F.col("depth") == F.col("least"))).drop("least").filter(fits)
     date = F.when(F.col("want").isNull() | F.col("exact"), F.col("last_date")).otherwise(F.col("first_date"))
     order = [F.col("depth"), F.col("_date").desc(), F.col("entity_path"), F.col("version")]
-    capped = ranked(scoped.withColumn("_date", date), "_date", cap)
-    found = capped.unionByName(numbered(exact.withColumn("_date", date), order))
+    full = F.lit(False) if cap is None else F.max("rnk").over(W.partitionBy("request_id")) >= cap
+    capped = ranked(scoped.withColumn("_date", date), "_date", cap).withColumn("_full", full)
+    found = capped.unionByName(numbered(exact.withColumn("_date", date), order).withColumn("_full", F.lit(False)))
     found = found.filter(F.col("license").isNull() | F.contains("_license", F.lower("license"))).filter(F.col("arch").isNull() | F.array_contains("_platforms", F.col("arch"))).filter(~(F.col("hide_insecure") & F.col("_insecure")))
     newest = F.when(F.col("sort") == "date", -F.unix_micros(F.col("last_date").cast("timestamp")))
     by = [newest, F.when(F.col("sort") == "version", E.semver_key(F.col("version"))), F.when(F.col("sort") == "name", F.col("name")), F.col("rnk")]
@@ -248,8 +249,8 @@ def search(rows: DataFrame, requests: DataFrame, cap: int | None = CAP) -> DataF
     sign = sign.join(small_side(stored(total)), "request_id").withColumn("_nth", F.when(F.col("reverse"), F.col("_all") + 1 - F.col("_nth")).otherwise(F.col("_nth")))
     once = sign.withColumn("_copy", F.when(F.col("full"), F.lit(1)).otherwise(F.row_number().over(W.partitionBy("request_id", "entity_path", "version").orderBy("_nth")))).filter("_copy = 1")
     once = stored(numbered(once.drop("rnk"), [F.col("_nth")]))
-    totals = small_side(stored(once.groupBy("request_id").agg(F.count("*").alias("total"))))
+    totals = small_side(stored(once.groupBy("request_id").agg(F.count("*").alias("total"), F.bool_or("_full").alias("lower_bound"))))
     page = once.filter((F.col("rnk") > F.col("page_offset")) & ((F.col("page_limit") == 0) | (F.col("rnk") <= F.col("page_offset") + F.col("page_limit")))).join(totals, "request_id")
     page = page.withColumn("has_more", (F.col("page_limit") > 0) & (F.col("total") > F.col("page_offset") + F.col("page_limit")))
-    page = stored(page.select("request_id", "rnk", "entity_path", "version", "total", "has_more"))
+    page = stored(page.select("request_id", "rnk", "entity_path", "version", "total", "lower_bound", "has_more"))
     return small_side(page).join(rows, ["entity_path", "version"])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as E
 from ..operators import fold, gate, ledger, text
-from ..session import shared_dir, stored
+from ..session import shared_dir, state_of, stored
 from ..sources import snapshots, versions
 from ..sources.adapters import INT, OBS, observations, table
 from ..streaming import jobs
@@ -20,7 +20,7 @@ FLOORS = {"bare": ((1993, 20), (None, 30)), "envelope": ((1999, 30), (2000, 40),
 DENIED, BROKEN, LINES, SHARED = "F-1994-05", ("O-1998-02", "F-2000-05"), "1999-01-01", "R-1995-06"
 #: Where the first of the two index runs ends.
 CUT = "1996-12-31"
-RUNS: dict[tuple[str, str], tuple[str, list[DataFrame]]] = {}
+RUNS: dict[tuple, tuple[str, list[DataFrame]]] = {}
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -150,8 +150,8 @@ def documents(spark: SparkSession, d: str) -> tuple[str, DataFrame]:
 
 
 def indexed(spark: SparkSession, d: str) -> tuple[str, list[DataFrame]]:
-    """Two runs of the index over all snapshots, the first up to 1996, once per application: where it is published, and the reports."""
-    key = spark.sparkContext.applicationId, d
+    """Two runs of the index over all snapshots, the first up to 1996, once per application and state of the tables: where it is published, and the reports."""
+    key = spark.sparkContext.applicationId, d, state_of(spark, d)
     if key not in RUNS:
         path, listing = documents(spark, d)
         store, now = folder(spark, "index"), ntz(NOW)

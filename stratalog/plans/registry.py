@@ -10,7 +10,7 @@ from ..operators import fold, gate, history, ledger, search, text
 from ..sources import adapters
 from ..sources.adapters import INT, LEDGER, OBS, observations, table
 from ..session import stored
-from . import ingest, searches
+from . import exchange, ingest, searches
 from .searches import iv
 
 ENDS = ["entity_path", "version", "first_date", "first_commit", "last_date", "last_commit", "source_path"]
@@ -241,7 +241,7 @@ QUERIES = (fold_intervals, merge_late_batch, dedupe_intervals, dedupe_stats, sea
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (*QUERIES, *searches.QUERIES, *ingest.QUERIES)}
+    return {f.__name__: f for f in (*QUERIES, *searches.QUERIES, *ingest.QUERIES, *exchange.QUERIES)}
 
 
 LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -321,4 +321,4 @@ ORACLE |= {
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLE | searches.ORACLE | ingest.ORACLE
+    return ORACLE | searches.ORACLE | ingest.ORACLE | exchange.ORACLE

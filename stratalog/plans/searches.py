@@ -10,16 +10,16 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as E
 from ..operators import fold, history, search, text
-from ..session import shared_dir, stored
+from ..session import shared_dir, state_of, stored
 from ..sources import snapshots
 from ..sources.adapters import INT, observations, table
 
-STORES: dict[tuple[str, str], str] = {}
+STORES: dict[tuple, str] = {}
 
 
 def store(spark: SparkSession, d: str) -> str:
-    """Where the intervals of a folder's tables are published; done once per application, sorted by lower-case path within files."""
-    key = spark.sparkContext.applicationId, d
+    """Where the intervals of a folder's tables are published; done once per application and state of the tables, sorted by lower-case path within files."""
+    key = spark.sparkContext.applicationId, d, state_of(spark, d)
     if key not in STORES:
         rows = stored(fold.fold(observations(spark, d)))
         path = f"{shared_dir(spark)}/stratalog-store-{abs(hash(key)):x}"
@@ -55,6 +55,11 @@ def search_requests(spark, d):
     return search.search(iv(spark, d), requests(spark, d)).select("request_id", "rnk", "entity_path", "version", "last_date", "description", "total", "has_more")
 
 
+def search_totals(spark, d):
+    """The totals of the same requests with 40 candidates looked at: whether each is a lower bound."""
+    return search.search(iv(spark, d), requests(spark, d), 40).select("request_id", "total", "lower_bound").distinct()
+
+
 def refused_requests(spark, d):
     """Requests with options that exclude each other, after all options are filled in."""
     a = asking(spark, d).select("request_id", F.col("first").alias("q"), F.when(F.col("k") < 5, "1.").alias("version"), (F.col("k") % 2 == 0).alias("exact"), (F.col("k") % 3 == 0).alias("all_depths"), F.when(F.col("k") == 7, "size").alias("sort"), F.when(F.col("k") == 1, 900).cast("int").alias("page_limit"))
@@ -142,7 +147,7 @@ def stored_statistics(spark, d):
     return snapshots.statistics(spark, store(spark, d))
 
 
-QUERIES = (search_requests, prefix_paths, refused_requests, suggest_versions, suggest_on_exact_miss, name_lookup, name_prefix_lookup, known_names, description_requests, request_split, version_parts, usage_command, prefix_bounds, stored_statistics)
+QUERIES = (search_requests, search_totals, prefix_paths, refused_requests, suggest_versions, suggest_on_exact_miss, name_lookup, name_prefix_lookup, known_names, description_requests, request_split, version_parts, usage_command, prefix_bounds, stored_statistics)
 
 LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 A = "a AS (SELECT CAST(p_partkey AS BIGINT) AS request_id, CAST((p_partkey // 100) % 8 AS INT) AS k, string_split(p_name, ' ')[1] AS first, replace(p_name, ' ', '-') AS path, lower(string_split(p_type, ' ')[1]) AS kind, p_name FROM part WHERE p_partkey % 100 = 0)"
@@ -189,3 +194,5 @@ ORACLE = {
     "prefix_bounds": f"WITH {INT}, {A} SELECT request_id, kind AS q, left(kind, length(kind) - 1) || chr(ord(right(kind, 1)) + 1) AS stop, count(DISTINCT entity_path) AS n_paths FROM iv JOIN a ON starts_with(entity_path, kind) GROUP BY ALL",
     "stored_statistics": f"WITH {INT} SELECT count(*) AS n_rows, count(DISTINCT name) AS n_names, count(DISTINCT version) AS n_versions, min(first_date) AS first_date, max(last_date) AS last_date FROM iv",
 }
+#: The requests' twin with the smaller cap: a total is a lower bound where a candidate has the last rank under it.
+ORACLE["search_totals"] = ORACLE["search_requests"].replace("r0 <= 5000", "r0 <= 40").replace("SELECT request_id, rnk, entity_path, version, last_date, description, total, lim > 0 AND total > off + lim AS has_more FROM t", "SELECT DISTINCT request_id, total, request_id IN (SELECT request_id FROM r WHERE r0 = 40 AND NOT exact) AS lower_bound FROM t")

@@ -38,6 +38,13 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def state_of(spark: SparkSession, folder: str) -> tuple:
+    """Names, sizes and times of what lies in a folder: where they differ, what was derived from it before no longer holds."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in there))
+
+
 def small_side(df: DataFrame, most: int = 200_000) -> DataFrame:
     """Broadcast a short dimension or request table after counting its rows; beyond ``most`` Spark joins by shuffle, with the same result."""
     return F.broadcast(df) if df.count() <= most else df

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import fold, gate
+from ..operators import fold, gate, history
 from ..plans import index_run
 from ..session import scratch, small_side, stored
 from ..sources.versions import BUCKETS, Bucketed, bucket_count, bucket_of, drop_versions, latest_of, publish, read_table, versions
@@ -121,6 +121,30 @@ def keep_counts(counts: DataFrame, store: str, checkpoint: str, buckets: int = B
     return counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def keep_last_values(events: DataFrame, store: str, checkpoint: str, key: str = "event_type", value: str = "value", ts: str = "ts", last: int = LAST, buckets: int = BUCKETS):
+    """Keep the ``last`` newest values of each key of a stream under ``store``, in the table ``recent`` (key, value, at).
+
+    Late rows count by their own time, whatever batch they come in; rows without a value or a time don't count. Each batch is cut first, a
+    frequent key by many tasks, and publishes the buckets of its keys; ``history.latency_percentiles`` of the table is that of all rows so far.
+    """
+    rows = events.select(F.col(key).alias("key"), F.col(value).alias("value"), F.col(ts).alias("at")).filter("value is not null and at is not null")
+
+    def write(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        if done(spark, store, n):
+            return
+        with scratch():
+            cut = lambda df: history.last_values(df, "key", "value", "at", last)
+            new, parts = stored(cut(batch)), bucket_count(spark, store, "recent", buckets)
+            touched = index_run.touched_by(new, "key", parts)
+            if versions(spark, store):
+                new = cut(new.unionByName(read_table(spark, store, "recent", buckets=touched)))
+            publish({}, store, str(n), bucketed={"recent": Bucketed(new, touched, ["key", "at", "value"], "key", parts, False)})
+            drop_versions(spark, store, keep=2)
+
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def dense(counts: DataFrame, minutes: int = 30) -> DataFrame:
     """The last ``minutes`` minutes of per-minute counts up to the newest one, none left out."""
     spine = counts.agg(F.max("minute").alias("end")).filter("end is not null").select(F.explode(F.sequence(F.col("end") - F.make_interval(mins=F.lit(minutes - 1)), F.col("end"), F.expr("interval 1 minute"))).alias("minute"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stratalog.functions import exprs as E
 from stratalog.operators import fold, gate, history, ledger, search, text
 from stratalog.plans import index_run
+from stratalog.session import state_of
 from stratalog.sources import adapters, snapshots
 from stratalog.streaming import jobs
 
@@ -76,6 +77,60 @@ def test_last_values_alone_count(spark):
     assert got == {"k": (1024, 1976.0 + round(1023 * 0.5), 1976.0 + round(1023 * 0.95)), "one": (1, 7.0, 7.0)}
 
 
+def test_kept_last_values(spark, tmp_path):
+    """A frequent key, late values, equal moments, null values and keys, and a batch that is repeated."""
+    kinds = "key string, value double, at int"
+    batches = [
+        [("k", float(i), i) for i in range(1500, 3000)] + [("one", 7.0, 1), ("one", None, 9), (None, 3.0, 2), ("x", 1.0, None)],
+        [("k", -1.0, i) for i in range(1500)] + [("k", 5000.0, 2999), ("one", 7.0, 1), ("one", 6.0, 0)],
+        [("late", 2.0, 5)],
+    ]
+    of = lambda rows: spark.createDataFrame(rows, kinds).select("key", "value", F.timestamp_seconds("at").alias("ts"))
+    source, store, mark = (str(tmp_path / n) for n in ("in", "out", "ck"))
+
+    def run(checkpoint):
+        stream = spark.readStream.schema(of(batches[0]).schema).parquet(source)
+        jobs.keep_last_values(stream, store, checkpoint, key="key", last=1024, buckets=4).awaitTermination()
+
+    for rows in batches:
+        of(rows).coalesce(1).write.mode("append").parquet(source)
+        run(mark)
+    kept = snapshots.read_published(spark, store, "recent")
+    want = history.latency_percentiles(of([r for b in batches for r in b]).filter("value is not null and ts is not null"), "key", "value", "ts")
+    key = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert key(history.latency_percentiles(kept, "key", "value", "at")) == key(want)
+    assert {r.key: r.n for r in kept.groupBy("key").agg(F.count("*").alias("n")).collect()} == {"k": 1024, "one": 3, None: 1, "late": 1}
+    before = snapshots.versions(spark, store)
+    run(str(tmp_path / "lost"))  # a lost checkpoint: batch 0 is known as done
+    assert snapshots.versions(spark, store) == before and snapshots.read_published(spark, store, "recent").count() == 1029
+
+
+def test_lag_of_every_day(spark):
+    day = lambda n: dt.datetime(2021, 5, n)
+    rows = [("a", "r1", day(1), "failed"), ("a", "r2", day(2), "ingested"), ("a", "r3", day(2), "pending"), ("a", "r4", day(4), "failed"), ("b", "r5", day(3), "pending")]
+    book = spark.createDataFrame(rows, "channel string, release_name string, release_date timestamp_ntz, status string")
+    got = {r.release_name: (r.newest, r.lag_hours, r.fallback_due) for r in ledger.lag_history(book).collect()}
+    assert got == {"r1": (None, None, True), "r2": (day(2), 0, False), "r3": (day(2), 0, False), "r4": (day(2), 48, True), "r5": (None, None, True)}
+    assert ledger.lag_history(book.limit(0)).count() == 0
+
+
+def test_full_cap_makes_totals_lower_bounds(spark):
+    day = dt.datetime(2021, 5, 1)
+    rows = spark.createDataFrame([(f"p.{i}", "1", day, day, f"{i}", None, '["x"]' if i % 2 else "[]", None, 1) for i in range(10)], "entity_path string, version string, first_date timestamp_ntz, last_date timestamp_ntz, name string, license_raw string, advisories_raw string, platforms_raw string, depth int")
+    asked = spark.createDataFrame([(1, "p", False, True), (2, "p", False, False), (3, "p.1", True, False)], "request_id long, q string, exact boolean, hide_insecure boolean")
+    of = lambda cap: {(r.request_id, r.total, r.lower_bound) for r in search.search(rows, asked, cap).collect()}
+    assert of(6) == {(1, 3, True), (2, 6, True), (3, 1, False)}
+    assert of(11) == of(None) == {(1, 5, False), (2, 10, False), (3, 1, False)}
+
+
+def test_changed_tables_are_noticed(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "t.parquet"))
+    before = state_of(spark, str(tmp_path))
+    assert before == state_of(spark, str(tmp_path)) and len(before) == 1
+    spark.range(4).write.parquet(str(tmp_path / "u.parquet"))
+    assert before != state_of(spark, str(tmp_path))
+
+
 def test_dense_minutes(spark):
     m = lambda k: dt.datetime(2021, 5, 5, 10, k)
     counts = spark.createDataFrame([(m(40), 3), (m(12), 5), (m(2), 1)], "minute timestamp_ntz, n_events bigint")
