@@ -577,3 +577,15 @@ def test_phrases_in_names_or_descriptions(spark):
 def test_free_text(spark):
     df = spark.createDataFrame([("editor v4.5",), ("gcc 12 13",), ("py3 3.11",), (" two  words 1.0-rc1 ",), ("x 1.0+b",), ("plain",)], "q string")
     assert values(df, *E.request_parts(F.col("q"))) == [("editor", "4.5"), ("gcc 12 13", None), ("py3 3.11", None), ("two  words", "1.0-rc1"), ("x 1.0+b", None), ("plain", None)]
+
+
+def test_name_lookups_answer_equal_questions_once(spark):
+    rows = spark.createDataFrame([(f"set.blue-{n}", "1", 1, None, None, f"blue-{n}") for n in range(3)] + [("red-0", "1", 0, None, None, "red-0")], "entity_path string, version string, depth int, first_date timestamp_ntz, last_date timestamp_ntz, name string")
+    asked = spark.createDataFrame([(n, "BLUE-") for n in range(900)] + [(900, "red-0"), (901, "no"), (902, None)], "request_id bigint, q string")
+    found = search.named(rows, asked, False, None)
+    got = values(found, "request_id", "rnk", "entity_path")
+    assert sorted(got) == [(n, k + 1, f"set.blue-{k}") for n in range(900) for k in range(3)] + [(900, 1, "red-0")]
+    # rows are ranked for each question, not for each request
+    questions, asks = search.once(asked)
+    assert questions.count() == 4 and asks.count() == 903
+    assert sorted(values(search.to_all(search.ranked(search.prefix_join(rows, questions, "name"), "last_date", None), asks, 1), "request_id", "rnk", "entity_path")) == sorted(got)
