@@ -589,3 +589,24 @@ def test_name_lookups_answer_equal_questions_once(spark):
     questions, asks = search.once(asked)
     assert questions.count() == 4 and asks.count() == 903
     assert sorted(values(search.to_all(search.ranked(search.prefix_join(rows, questions, "name"), "last_date", None), asks, 1), "request_id", "rnk", "entity_path")) == sorted(got)
+
+
+@pytest.fixture
+def ranked_ids(monkeypatch):
+    """The requests whose rows are ranked, call by call."""
+    calls, real = [], search.ranked
+    monkeypatch.setattr(search, "ranked", lambda found, *more: (calls.append(sorted(r[0] for r in found.select("request_id").distinct().collect())), real(found, *more))[1])
+    return calls
+
+
+@pytest.fixture
+def blues(spark):
+    kinds = "entity_path string, version string, depth int, first_date timestamp_ntz, last_date timestamp_ntz, name string, description string, license_raw string, advisories_raw string, platforms_raw string"
+    return spark.createDataFrame([(f"blue-{n}", f"1.{n}", 0, None, None, f"blue-{n}", f"Blue {n} kind", "mit", "[]", "[]") for n in range(3)], kinds)
+
+
+def test_search_answers_equal_requests_once(spark, blues, ranked_ids):
+    asked = spark.createDataFrame([(n, "blue") for n in range(40)] + [(40, "blue-1")], "request_id bigint, q string")
+    got = sorted(values(search.search(blues, asked), "request_id", "rnk", "entity_path", "total"))
+    assert got == [(n, k + 1, f"blue-{k}", 3) for n in range(40) for k in range(3)] + [(40, 1, "blue-1", 1)]
+    assert ranked_ids == [[0, 40]]
