@@ -610,3 +610,9 @@ def test_search_answers_equal_requests_once(spark, blues, ranked_ids):
     got = sorted(values(search.search(blues, asked), "request_id", "rnk", "entity_path", "total"))
     assert got == [(n, k + 1, f"blue-{k}", 3) for n in range(40) for k in range(3)] + [(40, 1, "blue-1", 1)]
     assert ranked_ids == [[0, 40]]
+
+
+def test_totals_of_equal_requests_are_counted_once(spark, blues, ranked_ids):
+    asked = spark.createDataFrame([(n, "blue") for n in range(40)], "request_id bigint, q string")
+    assert sorted(set(values(search.search(blues, asked, 2), "request_id", "total", "lower_bound"))) == [(n, 2, True) for n in range(40)]
+    assert ranked_ids == [[0]]
