@@ -616,3 +616,13 @@ def test_totals_of_equal_requests_are_counted_once(spark, blues, ranked_ids):
     asked = spark.createDataFrame([(n, "blue") for n in range(40)], "request_id bigint, q string")
     assert sorted(set(values(search.search(blues, asked, 2), "request_id", "total", "lower_bound"))) == [(n, 2, True) for n in range(40)]
     assert ranked_ids == [[0]]
+
+
+def test_description_requests_rank_each_phrase_once(spark, blues, ranked_ids, monkeypatch):
+    from stratalog.plans import searches
+
+    monkeypatch.setattr(searches, "iv", lambda *_: blues)
+    asked = spark.createDataFrame([(100 * n, "x blue 1", "KIND A") for n in range(30)], "p_partkey bigint, p_name string, p_type string")
+    monkeypatch.setattr(searches, "table", lambda *_: asked)
+    assert searches.description_requests(spark, "").count() == 0  # one row each, before the page
+    assert ranked_ids == [[0]]
