@@ -626,3 +626,10 @@ def test_description_requests_rank_each_phrase_once(spark, blues, ranked_ids, mo
     monkeypatch.setattr(searches, "table", lambda *_: asked)
     assert searches.description_requests(spark, "").count() == 0  # one row each, before the page
     assert ranked_ids == [[0]]
+
+
+def test_tiered_answers_equal_requests_once(spark, blues, ranked_ids):
+    asked = spark.createDataFrame([(n, "blue-1", "1.") for n in range(30)] + [(30, "blu", "1.2")], "request_id bigint, q string, version string")
+    got = sorted(values(search.tiered(blues, asked), "request_id", "rnk", "tier", "entity_path"))
+    assert got == [(n, 1, "exact", "blue-1") for n in range(30)] + [(30, 1, "prefix", "blue-2")]
+    assert ranked_ids == [[0, 30]]
