@@ -633,3 +633,13 @@ def test_tiered_answers_equal_requests_once(spark, blues, ranked_ids):
     got = sorted(values(search.tiered(blues, asked), "request_id", "rnk", "tier", "entity_path"))
     assert got == [(n, 1, "exact", "blue-1") for n in range(30)] + [(30, 1, "prefix", "blue-2")]
     assert ranked_ids == [[0, 30]]
+
+
+@pytest.mark.parametrize("name", ["search_exact_all", "search_exact_version_all"])
+def test_exact_requests_of_equal_paths_are_ranked_once(spark, blues, ranked_ids, monkeypatch, name):
+    from stratalog.plans import registry
+
+    monkeypatch.setattr(registry, "iv", lambda *_: blues)
+    monkeypatch.setattr(registry, "part_requests", lambda *_: spark.createDataFrame([(n, "blue-1", "1.") for n in range(30)], "request_id bigint, q string, version string"))
+    assert sorted(values(registry.queries()[name](spark, ""), "request_id", "rnk", "entity_path")) == [(n, 1, "blue-1") for n in range(30)]
+    assert ranked_ids == [[0]]
