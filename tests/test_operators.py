@@ -643,3 +643,12 @@ def test_exact_requests_of_equal_paths_are_ranked_once(spark, blues, ranked_ids,
     monkeypatch.setattr(registry, "part_requests", lambda *_: spark.createDataFrame([(n, "blue-1", "1.") for n in range(30)], "request_id bigint, q string, version string"))
     assert sorted(values(registry.queries()[name](spark, ""), "request_id", "rnk", "entity_path")) == [(n, 1, "blue-1") for n in range(30)]
     assert ranked_ids == [[0]]
+
+
+def test_suggestions_of_equal_requests_are_made_once(spark, blues, monkeypatch):
+    seen, real = [], search.nearest_versions
+    monkeypatch.setattr(search, "nearest_versions", lambda at: (seen.append(sorted(values(at, "request_id", "version"))), real(at))[1])
+    asked = spark.createDataFrame([(n, "blue", "1.1") for n in range(20)] + [(20, "blue", "1.2")], "request_id bigint, q string, version string")
+    got = sorted(values(search.suggest(blues, asked).filter("rnk = 1"), "request_id", "version"))
+    assert got == [(n, "1.1") for n in range(20)] + [(20, "1.2")]
+    assert seen == [[(r, f"1.{n}") for r in (0, 20) for n in range(3)]]
