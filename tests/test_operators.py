@@ -652,3 +652,15 @@ def test_suggestions_of_equal_requests_are_made_once(spark, blues, monkeypatch):
     got = sorted(values(search.suggest(blues, asked).filter("rnk = 1"), "request_id", "version"))
     assert got == [(n, "1.1") for n in range(20)] + [(20, "1.2")]
     assert seen == [[(r, f"1.{n}") for r in (0, 20) for n in range(3)]]
+
+
+def test_prefix_paths_join_each_prefix_once(spark, blues, monkeypatch):
+    from stratalog.plans import searches
+
+    seen, real = [], search.prefix_join
+    monkeypatch.setattr(search, "prefix_join", lambda rows, q, *more: (seen.append(q.count()), real(rows, q, *more))[1])
+    monkeypatch.setattr(searches, "store", lambda *_: "")
+    monkeypatch.setattr(snapshots, "read_intervals", lambda *_: blues.withColumn("path_lc", F.col("entity_path")))
+    monkeypatch.setattr(searches, "table", lambda *_: spark.createDataFrame([(n, "blue 1x") for n in range(20)] + [(20, "blue 2")], "p_partkey bigint, p_name string"))
+    assert sorted(values(searches.prefix_paths(spark, ""), "request_id", "n_intervals", "first_path")) == [(20, 1, "blue-2")]
+    assert seen == [2]
