@@ -664,3 +664,15 @@ def test_prefix_paths_join_each_prefix_once(spark, blues, monkeypatch):
     monkeypatch.setattr(searches, "table", lambda *_: spark.createDataFrame([(n, "blue 1x") for n in range(20)] + [(20, "blue 2")], "p_partkey bigint, p_name string"))
     assert sorted(values(searches.prefix_paths(spark, ""), "request_id", "n_intervals", "first_path")) == [(20, 1, "blue-2")]
     assert seen == [2]
+
+
+def test_index_phrases_look_up_equal_phrases_once(spark, blues, monkeypatch):
+    from stratalog.plans import ingest
+
+    seen, real = [], text.phrase_hits
+    monkeypatch.setattr(text, "phrase_hits", lambda tokens, asked: (seen.append(asked.count()), real(tokens, asked))[1])
+    monkeypatch.setattr(ingest, "indexed", lambda *_: ("", []))
+    monkeypatch.setattr(snapshots, "read_published", lambda *_: text.token_rows(blues))
+    monkeypatch.setattr(ingest, "table", lambda *_: spark.createDataFrame([(n, "blue 1") for n in range(1, 21)], "p_partkey bigint, p_name string"))
+    assert sorted(values(ingest.index_phrases(spark, ""), "request_id", "n_intervals", "first_path")) == [(2 * n, 1, "blue-1") for n in range(1, 21)]
+    assert seen == [1]
