@@ -676,3 +676,9 @@ def test_index_phrases_look_up_equal_phrases_once(spark, blues, monkeypatch):
     monkeypatch.setattr(ingest, "table", lambda *_: spark.createDataFrame([(n, "blue 1") for n in range(1, 21)], "p_partkey bigint, p_name string"))
     assert sorted(values(ingest.index_phrases(spark, ""), "request_id", "n_intervals", "first_path")) == [(2 * n, 1, "blue-1") for n in range(1, 21)]
     assert seen == [1]
+
+
+def test_stream_files_grow_with_the_rows():
+    from stratalog.plans import ingest
+
+    assert [ingest.file_count(n) for n in (0, 600_000, 36_000_000, 216_000_000)] == [6, 6, 72, 432]
