@@ -682,3 +682,26 @@ def test_stream_files_grow_with_the_rows():
     from stratalog.plans import ingest
 
     assert [ingest.file_count(n) for n in (0, 600_000, 36_000_000, 216_000_000)] == [6, 6, 72, 432]
+
+
+def test_gate_stream_batches_have_whole_snapshots_in_many_files(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from stratalog.plans import ingest
+
+    seen, took = [], set()
+
+    def fold_stream(stream, *_, **__):
+        files = set(stream.sparkSession.read.parquet(place[0]).inputFiles()) - took
+        took.update(files)
+        seen.append((len(files), {tuple(r) for r in spark.read.parquet(*files).select("snapshot_date", "channel").distinct().collect()}))
+        return SimpleNamespace(awaitTermination=lambda: None)
+
+    place, real = [], ingest.folder
+    monkeypatch.setattr(ingest, "folder", lambda s, name: (place.append(real(s, name)), place[-1])[1])
+    monkeypatch.setattr(ingest, "STREAM_ROWS", 500)
+    monkeypatch.setattr(jobs, "fold_stream", fold_stream)
+    monkeypatch.setattr(snapshots, "read_published", lambda *_: spark.createDataFrame([], "channel string, era string, snapshot_date timestamp, n_entries bigint, status string"))
+    ingest.stream_gate(spark, "/root/testdata/sf0.001")
+    assert [n for n, _ in seen] == [4, 4, 4]
+    assert sum(len(s) for _, s in seen) == len(set().union(*[s for _, s in seen]))
