@@ -705,3 +705,9 @@ def test_gate_stream_batches_have_whole_snapshots_in_many_files(spark, monkeypat
     ingest.stream_gate(spark, "/root/testdata/sf0.001")
     assert [n for n, _ in seen] == [4, 4, 4]
     assert sum(len(s) for _, s in seen) == len(set().union(*[s for _, s in seen]))
+
+
+def test_names_of_equal_requests_are_ranked_once(spark, blues, ranked_ids):
+    asked = spark.createDataFrame([(n, "blue-1") for n in range(30)], "request_id bigint, q string")
+    assert sorted(values(search.named(blues, asked, True), "request_id", "rnk", "entity_path")) == [(n, 1, "blue-1") for n in range(30)]
+    assert ranked_ids == [[0]]
