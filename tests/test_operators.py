@@ -711,3 +711,15 @@ def test_names_of_equal_requests_are_ranked_once(spark, blues, ranked_ids):
     asked = spark.createDataFrame([(n, "blue-1") for n in range(30)], "request_id bigint, q string")
     assert sorted(values(search.named(blues, asked, True), "request_id", "rnk", "entity_path")) == [(n, 1, "blue-1") for n in range(30)]
     assert ranked_ids == [[0]]
+
+
+def test_observations_are_moved_once_before_their_wide_columns_are_made(spark, monkeypatch):
+    monkeypatch.setattr(adapters, "DEAL_ROWS", 1000)  # 6,000 rows
+    folded = fold.fold(adapters.observations(spark, DATA, True))
+    assert folded.rdd.getNumPartitions() == 6
+    plan = folded._jdf.queryExecution().optimizedPlan().toString()
+    moved = plan[plan.index("RepartitionByExpression"):]
+    assert "md5" not in moved and "spdxId" not in moved  # made after the move
+    physical = folded._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert physical.count("Exchange hashpartitioning") == 1
+    assert sorted(map(repr, folded.collect())) == sorted(map(repr, fold.fold(adapters.observations(spark, DATA)).collect()))
