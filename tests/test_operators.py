@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stratalog.functions import exprs as E
 from stratalog.operators import fold, gate, history, ledger, search, text
-from stratalog.plans import index_run
+from stratalog.plans import index_run, registry
 from stratalog.session import state_of
 from stratalog.sources import adapters, snapshots
 from stratalog.streaming import jobs
@@ -723,3 +723,8 @@ def test_observations_are_moved_once_before_their_wide_columns_are_made(spark, m
     physical = folded._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert physical.count("Exchange hashpartitioning") == 1
     assert sorted(map(repr, folded.collect())) == sorted(map(repr, fold.fold(adapters.observations(spark, DATA)).collect()))
+
+
+def test_the_gate_counts_snapshots_once(spark):
+    plan = registry.verdicts(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan  # the distinct entries of snapshots are counted before, not in each use
