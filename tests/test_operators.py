@@ -733,6 +733,15 @@ def test_answers_that_many_requests_share_are_given_by_many_tasks(spark):
     assert sorted(map(tuple, given.collect())) == [(r, n) for r in range(1000) for n in range(20)]
 
 
+def test_many_requests_take_their_answers_in_many_tasks(spark):
+    asks = spark.range(0, 1000, 1, 1).select(F.col("id").alias("request_id"), F.lit(7).cast("bigint").alias("_ask"))
+    answers = spark.range(0, 20, 1, 1).select(F.lit(7).cast("bigint").alias("request_id"), F.col("id").alias("rnk"))
+    for most, tasks in ((100, 2), (10, 1)):  # fewer answers than ``most``, and more
+        given = search.to_all(answers, asks, most)
+        assert given.select(F.spark_partition_id()).distinct().count() >= tasks
+        assert sorted(map(tuple, given.collect())) == [(r, n) for r in range(1000) for n in range(20)]
+
+
 def test_the_gate_counts_snapshots_once(spark):
     plan = registry.verdicts(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "Expand" not in plan  # the distinct entries of snapshots are counted before, not in each use
