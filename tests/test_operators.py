@@ -725,6 +725,17 @@ def test_observations_are_moved_once_before_their_wide_columns_are_made(spark, m
     assert sorted(map(repr, folded.collect())) == sorted(map(repr, fold.fold(adapters.observations(spark, DATA)).collect()))
 
 
+def test_observations_are_dealt_into_no_more_parts_than_are_written_as_they_come(spark):
+    parts = lambda n: adapters.dealt(spark.range(10), n, "id").rdd.getNumPartitions()
+    assert parts(1_500_000) == 6 and parts(216_000_000) == 200
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "600")
+    try:
+        assert parts(10) == spark.sparkContext.defaultParallelism and parts(216_000_000) == 200
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+
+
 def test_answers_that_many_requests_share_are_given_by_many_tasks(spark):
     asks = spark.range(0, 1000, 1, 1).select(F.col("id").alias("request_id"), F.lit(7).cast("bigint").alias("_ask"))
     answers = spark.range(0, 20, 1, 1).select(F.lit(7).cast("bigint").alias("request_id"), F.col("id").alias("rnk"))
