@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stratalog.functions import exprs as E
 from stratalog.operators import fold, gate, history, ledger, search, text
 from stratalog.plans import index_run, registry
-from stratalog.session import state_of
+from stratalog.session import hashed_side, state_of
 from stratalog.sources import adapters, snapshots
 from stratalog.streaming import jobs
 
@@ -736,6 +736,33 @@ def test_observations_are_dealt_into_no_more_parts_than_are_written_as_they_come
         spark.conf.set("spark.sql.shuffle.partitions", usual)
 
 
+def test_observations_of_many_parts_are_not_sorted_to_meet_them(spark, monkeypatch):
+    monkeypatch.setattr(adapters, "hashed_side", lambda part: hashed_side(part, 100))  # of 200 parts
+    hashed = adapters.observations(spark, DATA)
+    plan = hashed._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Sort" not in plan
+    monkeypatch.setattr(adapters, "hashed_side", lambda part: hashed_side(part, 200))
+    plain = adapters.observations(spark, DATA)
+    assert "ShuffledHashJoin" not in plain._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(repr, hashed.collect())) == sorted(map(repr, plain.collect()))
+
+
+def test_a_fold_sorts_an_observation_with_its_order_key_once(spark):
+    obs = adapters.observations(spark, DATA)
+    folded = fold.fold(obs)
+    plan = folded._jdf.queryExecution().executedPlan().toString()
+    assert "AS ord#" in plan and "AS last_ord#" not in plan and "AS last_commit#" not in plan.split("Sort [")[1]
+    assert sorted(map(repr, folded.collect())) == sorted(map(repr, fold.intervals(fold.merge(fold.as_bounds(obs))).collect()))
+
+
+@pytest.mark.parametrize("query", ["search_all_depths", "search_shallowest_version"])
+def test_version_searches_rank_narrow_rows(spark, monkeypatch, query):
+    moved, real = [], search.numbered
+    monkeypatch.setattr(search, "numbered", lambda found, *a, **b: (moved.append(found.columns), real(found, *a, **b))[1])
+    assert registry.queries()[query](spark, DATA).count()
+    assert len(moved) == 1 and not {"description", "license_raw", "platforms_raw", "last_commit"} & set(moved[0])
+
+
 def test_answers_that_many_requests_share_are_given_by_many_tasks(spark):
     asks = spark.range(0, 1000, 1, 1).select(F.col("id").alias("request_id"), F.lit(7).cast("bigint").alias("_ask"))
     answers = spark.range(0, 20, 1, 1).select(F.lit(7).cast("bigint").alias("request_id"), F.col("id").alias("rnk"))
