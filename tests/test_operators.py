@@ -780,6 +780,17 @@ def test_many_requests_take_their_answers_in_many_tasks(spark):
         assert sorted(map(tuple, given.collect())) == [(r, n) for r in range(1000) for n in range(20)]
 
 
+def test_answers_of_many_requests_take_few_bytes_a_row(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(search, "GIVEN_ROWS", 40_000, raising=False)
+    asks = spark.range(32_000).select((F.col("id") * 100).alias("request_id"), (F.col("id") * 7919 % 8).alias("_ask"))
+    answers = spark.range(160).select((F.col("id") % 8).alias("request_id"), F.floor(F.col("id") / 8).alias("rnk"), F.concat(F.lit("blue-"), "id").alias("entity_path"))
+    search.to_all(answers, asks).write.parquet(path := str(tmp_path / "given"))
+    given = spark.read.parquet(path)
+    assert given.count() == given.distinct().count() == 640_000  # each of 4,000 requests a question, and 20 answers
+    assert given.join(asks, "request_id").filter("entity_path = 'blue-' || (rnk * 8 + _ask)").count() == 640_000
+    assert sum(f.stat().st_size for f in (tmp_path / "given").glob("*.parquet")) < 1.5 * 640_000
+
+
 def test_the_gate_counts_snapshots_once(spark):
     plan = registry.verdicts(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "Expand" not in plan  # the distinct entries of snapshots are counted before, not in each use
